@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grace_dedup
+from . import grace_dedup, slack_packing
 from .shared import read_table
 
 
+def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.mark(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_slack_packing": op4_slack_packing,
     "op9_grace_dedup": op9_grace_dedup,
 }
 
