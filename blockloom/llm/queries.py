@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grace_dedup, slack_packing
+from . import grace_dedup, slack_packing, warc_index
 from .shared import read_table
 
 
@@ -12,16 +12,33 @@ def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_index.captures(warc_index.archive(spark, read_table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.mark(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_slack_packing": op4_slack_packing,
+    "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
 }
 
 ORACLES = {
+    "op8_warc_index": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+        ), g AS (
+            SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS response FROM p
+        )
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> response THEN response END AS refers_to
+        FROM g
+    """,
     "op9_grace_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
