@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grace_dedup, slack_packing, warc_index
+from . import bayes_jaccard, grace_dedup, slack_packing, warc_index
 from .shared import read_table
 
 
+def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bayes_jaccard": op3_bayes_jaccard,
     "op4_slack_packing": op4_slack_packing,
     "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
