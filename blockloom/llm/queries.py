@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_jaccard, grace_dedup, slack_packing, warc_index
+from . import bayes_jaccard, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
 from .shared import read_table
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_pu.score(docs, quality_pu.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -16,6 +21,11 @@ def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity_pu.score(docs, toxicity_pu.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_index.captures(warc_index.archive(spark, read_table(spark, sf_dir, "pages")), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -26,8 +36,10 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_pu": op1_quality_pu,
     "op3_bayes_jaccard": op3_bayes_jaccard,
     "op4_slack_packing": op4_slack_packing,
+    "op6_toxicity_pu": op6_toxicity_pu,
     "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
 }
