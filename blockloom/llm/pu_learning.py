@@ -73,7 +73,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     n = judged.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"), F.avg("y").alias("prior")).first()
     if not n["p"]:
         return docs.select(F.lit(True).alias("positive"), text_or_empty("text").alias("text")).limit(0), 0.0
-    drawn = lambda share: F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))
+    drawn = lambda share: F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < int(share * (1 << 40))
     trusted = judged.where((F.col("y") == 1) & drawn(min(1, max_positive / n["p"]))).select(F.col("doc_id").alias("id")).limit(max_positive * 9 // 8)
     rows = docs.where(~held_out("doc_id", mod, remainder)).select("doc_id", text_or_empty("text").alias("text"))
     total = docs.where(~held_out("doc_id", mod, remainder)).count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_jaccard, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
+from . import bayes_jaccard, crf_secrets, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
 from .shared import read_table
 
 
@@ -26,6 +26,11 @@ def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.score(docs, toxicity_pu.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return crf_secrets.digest(crf_secrets.scan(docs, crf_secrets.train(docs)))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_index.captures(warc_index.archive(spark, read_table(spark, sf_dir, "pages")), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +45,7 @@ QUERIES = {
     "op3_bayes_jaccard": op3_bayes_jaccard,
     "op4_slack_packing": op4_slack_packing,
     "op6_toxicity_pu": op6_toxicity_pu,
+    "op7_crf_secrets": op7_crf_secrets,
     "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
 }
