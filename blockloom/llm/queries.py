@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_jaccard, crf_secrets, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
+from . import bayes_jaccard, cover_tree, crf_secrets, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
 from .shared import read_table
 
 
@@ -40,6 +40,10 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.mark(read_table(spark, sf_dir, "documents"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
     "op3_bayes_jaccard": op3_bayes_jaccard,
@@ -48,6 +52,7 @@ QUERIES = {
     "op7_crf_secrets": op7_crf_secrets,
     "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
+    "op10_cover_tree": op10_cover_tree,
 }
 
 ORACLES = {
