@@ -216,7 +216,7 @@ def _units(raw: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x, x / np.sqrt((x * x).sum(1))[:, None]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chord(a: pd.Series, b: pd.Series) -> pd.Series:
     """Distance on the unit sphere of two columns of raw vectors."""
     out = np.empty(len(a))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_jaccard, cover_tree, crf_secrets, grace_dedup, quality_pu, slack_packing, toxicity_pu, warc_index
+from . import bayes_jaccard, cover_tree, crf_secrets, grace_dedup, quality_pu, slack_packing, streaming_viterbi, token_attribution, toxicity_pu, warc_index
 from .shared import read_table
 
 
@@ -13,6 +13,10 @@ def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score(docs, quality_pu.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_jaccard.jaccard_join(read_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -21,6 +25,10 @@ def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming_viterbi.encode(read_table(spark, sf_dir, "documents"), ids=False)
+
+
 def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity_pu.score(docs, toxicity_pu.train(docs, read_table(spark, sf_dir, "labels")))
@@ -46,8 +54,10 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
+    "op2_token_attribution": op2_token_attribution,
     "op3_bayes_jaccard": op3_bayes_jaccard,
     "op4_slack_packing": op4_slack_packing,
+    "op5_streaming_viterbi": op5_streaming_viterbi,
     "op6_toxicity_pu": op6_toxicity_pu,
     "op7_crf_secrets": op7_crf_secrets,
     "op8_warc_index": op8_warc_index,
