@@ -1,13 +1,50 @@
-"""Corpus cleaning from documents to packed training sequences."""
+"""From raw documents to packed training sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next one's docs. All but the last return the columns of documents: the quality classifier drops what
+it rejects, exact deduplication keeps one row of equal texts, the n-gram join keeps one document of
+each group of near copies, the secret scan masks what it finds, and packing gives the pieces' places.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from blockloom.llm import bayes_jaccard, crf_secrets, grace_dedup, quality_pu, slack_packing
+from blockloom.llm.shared import read_table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_pu.keep(docs, quality_pu.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return grace_dedup.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bayes_jaccard.keep(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return crf_secrets.redact(docs, crf_secrets.train(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
+
+#: SQL can't express the classifiers, the tokenizer and the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; tables between them go to the shared folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs
