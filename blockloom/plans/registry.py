@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .views import Ledger, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, views: str = "", sql: str | None = None):
+    """Registers f(ledger) under a name; sql runs below the CTEs of the named views."""
+
+    def add(f: Callable[[Ledger], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        if sql:
+            ORACLES[name] = with_views(views, sql) if views else sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["log_search_with_balance"](spark, sf_dir)
+
+
+from . import chain_queries, history_queries, pool_queries, stream_queries, tool_queries  # noqa: E402, F401  they register themselves
