@@ -1,0 +1,56 @@
+"""Queries that run as streams over all events, and their batch counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import changes
+from .registry import query
+from .views import HOURS, Ledger
+
+OPS = f"""
+    SELECT e.*, {HOURS} AS block, n.seq, CASE WHEN n.seq = 1 THEN 'revert' ELSE 'commit' END AS op, n.seq = 1 AS removed
+    FROM events e JOIN (VALUES (0), (1), (2)) n(seq) ON n.seq = 0 OR {HOURS} % 10 = 0"""
+
+
+@query("stream_logs", "", f"SELECT CAST(block AS BIGINT) AS block, seq, event_id, user_id AS address, event_type AS topic0, removed FROM ({OPS}) WHERE event_type IN ('click', 'purchase')")
+def stream_logs(x: Ledger):
+    return changes.run_once(changes.log_stream(changes.notifications(changes.event_stream(x.spark, x.sf_dir)), ["click", "purchase"]))
+
+
+@query("stream_windows", "", """
+    WITH w AS (SELECT epoch(ts)::BIGINT // 21600 * 21600 AS start, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL)
+    SELECT * FROM w WHERE start + 21600 <= (SELECT epoch_us(max(ts)) // 1000 / 1000.0 - 3600 FROM events)""")
+def stream_windows(x: Ledger):
+    return changes.run_once(changes.windowed_counts(changes.event_stream(x.spark, x.sf_dir)))
+
+
+@query("stream_balances", "", "SELECT event_id, user_id AS address, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before, value AS after FROM events")
+def stream_balances(x: Ledger):
+    return changes.run_once(changes.balance_changes(changes.event_stream(x.spark, x.sf_dir)))
+
+
+@query("finalized_commits", "", f"SELECT event_id, CAST({HOURS} AS BIGINT) AS block FROM events WHERE {HOURS} <= (SELECT min({HOURS}) + 500 FROM events)")
+def finalized_commits(x: Ledger):
+    notes = changes.notifications(x.table("events"))
+    first = notes.agg(F.min("block")).first()[0] or 0
+    return changes.finalized(notes, first + 500)
+
+
+@query("removed_receipts", "", f"SELECT CAST(block AS BIGINT) AS block, count(*) FILTER (removed) AS removed, count(*) FILTER (NOT removed) AS committed FROM ({OPS}) GROUP BY 1")
+def removed_receipts(x: Ledger):
+    return changes.notifications(x.table("events")).groupBy("block").agg(F.count(F.when(F.col("removed"), 1)).alias("removed"), F.count(F.when(~F.col("removed"), 1)).alias("committed"))
+
+
+@query("reorg_point", "headers", "SELECT (SELECT max(number) - 5 FROM headers) AS first, 6::BIGINT AS blocks")
+def reorg_point(x: Ledger):
+    ours = x.headers.select("number", "hash")
+    tip = ours.agg(F.max("number")).first()[0]
+    theirs = ours.select("number", F.when(F.col("number") > tip - 6, F.md5("hash")).otherwise(F.col("hash")).alias("other"))
+    return changes.reorg_depth(ours, theirs)
+
+
+@query("consumers_finished", "account_changes", "SELECT min(h) AS height FROM (SELECT address % 4 AS c, max(block) AS h FROM account_changes GROUP BY 1)")
+def consumers_finished(x: Ledger):
+    heights = x.account_changes.groupBy((F.col("address") % 4).alias("consumer")).agg(F.max("block").alias("height"))
+    return changes.finished_height(heights, 4)
