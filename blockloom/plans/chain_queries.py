@@ -249,3 +249,25 @@ def body_requests(x: Ledger):
     """The gap between block 100 and the head as descending requests of 512."""
     tip = x.headers.agg(F.max("number").alias("tip"))
     return tip.select(F.explode(F.sequence(F.col("tip"), F.lit(100).cast("long"), F.lit(-512).cast("long"))).alias("first")).withColumn("last", F.greatest(F.col("first") - 511, F.lit(100)))
+
+
+@query("block_ancestors", "headers", "SELECT number, hash, CAST(700 - number AS BIGINT) AS depth FROM headers WHERE number BETWEEN 684 AND 700")
+def block_ancestors(x: Ledger):
+    return chain.ancestors(x.headers, 700, 16)
+
+
+@query("orphan_blocks", "headers", "SELECT number, hash FROM headers WHERE (number - 1) % 97 = 0 AND number > 0 AND number % 97 <> 0")
+def orphan_blocks(x: Ledger):
+    return chain.orphans(x.headers.where("number % 97 <> 0")).select("number", "hash")
+
+
+@query("block_tags", "headers", """
+    SELECT 'latest' AS tag, max(number) AS number FROM headers UNION ALL SELECT 'earliest', min(number) FROM headers
+    UNION ALL SELECT 'safe', greatest(max(number) - 32, min(number)) FROM headers UNION ALL SELECT 'finalized', greatest(max(number) - 64, min(number)) FROM headers""")
+def block_tags(x: Ledger):
+    return chain.tags(x.headers)
+
+
+@query("transaction_count_as_of", "transactions", "SELECT sender, count(*) AS nonce FROM transactions WHERE number <= 1000 GROUP BY 1")
+def transaction_count_as_of(x: Ledger):
+    return x.transactions.where("number <= 1000").groupBy("sender").agg(F.count(F.lit(1)).alias("nonce"))

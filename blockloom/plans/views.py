@@ -92,6 +92,29 @@ class Ledger:
         """address, value: the state after all blocks."""
         return self.table("events").groupBy(F.col("user_id").alias("address")).agg(F.max_by("value", "event_id").alias("value"))
 
+    @cached_property
+    def storage_changes(self) -> DataFrame:
+        """block, address, slot, before (null: never written), after; one row per block, address and slot."""
+        events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("event_type").alias("slot"), F.col("value").alias("after"))
+        with_before = events.withColumn("before", F.lag("after").over(Window.partitionBy("address", "slot").orderBy("event_id")))
+        return with_before.groupBy("block", "address", "slot").agg(F.min_by("before", "event_id").alias("before"), F.max_by("after", "event_id").alias("after"))
+
+    @cached_property
+    def storages(self) -> DataFrame:
+        """address, slot, value after all blocks."""
+        return self.table("events").groupBy(F.col("user_id").alias("address"), F.col("event_type").alias("slot")).agg(F.max_by("value", "event_id").alias("value"))
+
+    @cached_property
+    def traces(self) -> DataFrame:
+        """tx_num, number, idx, path (of the call), from_, to_, value, gas, kind: a call for each transaction,
+        an inner one for every third, and a creation below every seventeenth."""
+        call = lambda path, a, b, value, kind: F.struct(F.lit(path).alias("path"), a.alias("from_"), b.alias("to_"), value.alias("value"), F.lit(kind).alias("kind"))
+        sender, recipient = F.col("sender").cast("long"), F.col("recipient").cast("long")
+        rows = F.array_compact(F.array(
+            call("", sender, recipient, F.col("tip"), "call"), F.when(F.col("tx_num") % 3 == 0, call("0", recipient, sender, F.col("gas"), "call")), F.when(F.col("tx_num") % 17 == 0, call("1", recipient, F.col("tx_num") % 500, F.lit(0).cast("long"), "create")),
+        ))
+        return self.transactions.select("tx_num", "number", "idx", "gas", F.explode(rows).alias("t")).select("tx_num", "number", "idx", "t.path", "t.from_", "t.to_", "t.value", "gas", "t.kind")
+
     @cached_property
     def pool(self) -> DataFrame:
         """submission_id, sender, nonce, max_fee, max_tip, cost, size, is_blob of the open orders."""
@@ -130,6 +153,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "account_changes": (("evts",), """
         SELECT block, address, arg_min_null(before, event_id) AS before, arg_max_null(value, event_id) AS after
         FROM (SELECT *, lag(value) OVER (PARTITION BY address ORDER BY event_id) AS before FROM evts) GROUP BY block, address"""),
+    "storage_changes": (("evts",), """
+        SELECT block, address, topic0 AS slot, arg_min_null(before, event_id) AS before, arg_max_null(value, event_id) AS after
+        FROM (SELECT *, lag(value) OVER (PARTITION BY address, topic0 ORDER BY event_id) AS before FROM evts) GROUP BY block, address, topic0"""),
+    "storages": (("evts",), "SELECT address, topic0 AS slot, arg_max_null(value, event_id) AS value FROM evts GROUP BY 1, 2"),
+    "traces": (("transactions",), """
+        SELECT tx_num, number, idx, '' AS path, CAST(sender AS BIGINT) AS from_, CAST(recipient AS BIGINT) AS to_, tip AS value, gas, 'call' AS kind FROM transactions
+        UNION ALL SELECT tx_num, number, idx, '0', recipient, sender, gas, gas, 'call' FROM transactions WHERE tx_num % 3 = 0
+        UNION ALL SELECT tx_num, number, idx, '1', recipient, tx_num % 500, 0, gas, 'create' FROM transactions WHERE tx_num % 17 = 0"""),
     "accounts": (("evts",), "SELECT address, arg_max_null(value, event_id) AS value FROM evts GROUP BY address"),
     "pool": ((), """
         SELECT o_orderkey AS submission_id, o_custkey AS sender, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS nonce, CAST(floor(o_totalprice) AS BIGINT) AS max_fee,
