@@ -1,17 +1,17 @@
 """Join of documents whose sets of word n-grams have a Jaccard similarity of 0.8 or more.
 
-Documents with one and the same set form a class. Classes that agree in any of 32 bands of five
+Documents with one and the same set are taken together. Sets that agree in any of 32 bands of five
 MinHash values are candidates (a pair at the threshold is missed with probability 3e-6). Candidates
 are compared MinHash by MinHash, 32 at a time: under a uniform prior, the pair is dropped as soon as
-the posterior probability that it reaches the threshold falls below the tolerance. Classes that
+the posterior probability that it reaches the threshold falls below the tolerance. Sets that
 stay connected form clusters; each cluster is brought together once, its pairs go through the same
 test, and what is left is verified on the complete sets. No pair is ever a row: tasks count links
-and hand on one edge per class, so the rows stay in proportion to the documents. Buckets and
+and hand on one edge per set, so the rows stay in proportion to the documents. Buckets and
 clusters beyond a task's share are split into blocks and compared block against block.
 
 Words are what white space separates, in lower case; a text of fewer than n words has one n-gram of
 all its words. Defined results: null and empty texts have no n-grams and link with nothing; repeated
-rows are copies like others (they share a class); null ids rank after all others in a class; an
+rows are copies like others (they share a set); null ids rank after all others; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -298,14 +298,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, text_key, class_id, n_links, component_id, kept.
+    """One row per document: doc_id, text_key, class_id, n_links, kept, set_id.
 
-    class_id is the smallest id with the same n-gram set, n_links the number of other documents at
-    the threshold or above (copies included), component_id the smallest id that links reach.
+    class_id is the smallest id that links reach, n_links the number of other documents at the
+    threshold or above (copies included), set_id the smallest id with the same n-gram set.
     """
     known = written(sketches(df, id_col, text_col, words))
     classes = known.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
     classes = written(classes)
     # Buckets with two classes or more, then the signatures of these classes only.
@@ -333,14 +333,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = written(tasks.mapInArrow(_verified, found))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("node", "class_id", "docs").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of_class.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_class = of_class.join(least, "root").select("node", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    of_class = classes.select("node", "set_id", "docs").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of_class.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    of_class = of_class.join(least, "root").select("node", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     out = known.select("doc_id", "text_key", "node").join(of_class, "node", "left")
     own = F.col("node").isNull()
     return out.select(
         "doc_id", "text_key", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        (own | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), F.when(own, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
     )
 
 
@@ -350,4 +350,5 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     Rows that repeat both id and text stay or go together (exact deduplication comes first).
     """
     stays = jaccard_join(df, id_col, text_col, words).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return df.join(stays, df[id_col].eqNullSafe(F.col("__id")) & (F.unhex(F.sha1(text_or_empty(text_col))) == F.col("__key")), "left_semi")
+    same_text = F.unhex(F.sha1(F.coalesce(df[text_col].cast("string"), F.lit("")))) == stays["__key"]
+    return df.join(stays, df[id_col].eqNullSafe(stays["__id"]) & same_text, "left_semi")

@@ -99,12 +99,12 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
         monkeypatch.setattr(bayes_jaccard, "CLUSTER_MEMBERS", members)
         got = {r["doc_id"]: r for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
         for (i, _), near, c in zip(rows, links, component):
-            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near), c, i == c), i
+            assert (got[i]["n_links"], got[i]["class_id"], got[i]["kept"]) == (len(near), c, i == c), i
 
 
 def test_jaccard_keep_and_empty_tables(spark):
     text = " ".join(f"w{k}" for k in range(50))
-    df = spark.createDataFrame([(1, text, 5), (2, text + " more", 6), (3, "", 7), (4, None, 8), (None, "lonely text of its own here", 9)], "doc_id long, text string, node long")
+    df = spark.createDataFrame([(1, text, 5, 0), (2, text + " more", 6, 0), (3, "", 7, 0), (4, None, 8, 0), (None, "lonely text of its own here", 9, 0)], "doc_id long, text string, node long, __id long")
     assert sorted(r["node"] for r in bayes_jaccard.keep(df).collect()) == [5, 7, 8, 9]
     assert bayes_jaccard.keep(df).columns == df.columns
     assert bayes_jaccard.jaccard_join(df.limit(0)).count() == 0
