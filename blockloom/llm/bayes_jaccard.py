@@ -333,8 +333,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = written(tasks.mapInArrow(_verified, found))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("node", "set_id", "docs").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of_class.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    of_class = written(classes.select("node", "set_id", "docs").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Written first, so that the join sees two shuffles and a very large component can be split.
+    least = written(of_class.groupBy("root").agg(F.min("set_id").alias("class_id")))
     of_class = of_class.join(least, "root").select("node", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     out = known.select("doc_id", "text_key", "node").join(of_class, "node", "left")
     own = F.col("node").isNull()
