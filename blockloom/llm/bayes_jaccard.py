@@ -37,7 +37,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, (4, 5), 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
 HASHES = BANDS * ROWS
 #: Members of a bucket, and n-grams of a cluster, that one task holds; more are split into blocks.
-BUCKET, CLUSTER_GRAMS, CLUSTER_MEMBERS = 4096, 4_000_000, 4096
+BUCKET, CLUSTER_GRAMS, CLUSTER_MEMBERS = 4096, 1_500_000, 4096
 GROUP_CHARS = 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
