@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 TRIGGERS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials access private login pass".split())
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
-MAX_MARKED, MAX_PLAIN, MAX_TOKENS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 80, 200_000, 3_000_000
+MAX_MARKED, MAX_PLAIN, MAX_TOKENS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 60, 200_000, 3_000_000
 O, B, I = 0, 1, 2
 NEWLINE = "newline"
 
@@ -111,7 +111,7 @@ class Crf:
 
     # fitting -------------------------------------------------------------------------------------
 
-    def fit(self, lines: list[tuple[list[str], list[int], str]], steps: int = 120, rate: float = 0.15, l2: float = 2e-3) -> "Crf":
+    def fit(self, lines: list[tuple[list[str], list[int], str]], steps: int = 80, rate: float = 0.15, l2: float = 2e-3) -> "Crf":
         """lines: (signatures, tags, file signature)."""
         lines = sorted((x for x in lines if x[0]), key=lambda x: (len(x[0]), x[0], x[1]))
         if not any(B in tags for _, tags, _ in lines):
@@ -353,8 +353,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_m
 
     drawn = [(list(r["line"]), list(r["tags"]), r["file"]) for r in chosen.mapInArrow(tag, schema).collect()]
     drawn.sort(key=lambda r: (B not in r[1], hashlib.md5(repr(r).encode()).digest()))
-    with_secret = [r for r in drawn if B in r[1]][: 2 * max_marked]
-    return Crf().fit(with_secret + [r for r in drawn if B not in r[1]][: 3 * max_marked])
+    with_secret = [r for r in drawn if B in r[1]][:max_marked]
+    return Crf().fit(with_secret + [r for r in drawn if B not in r[1]][: 2 * max_marked])
 
 
 def found_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, str]]]:
