@@ -299,8 +299,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     linked = written(tasks.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda b: _compared(b, threshold), found))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("node", "least", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = written(classes.select("node", "least", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Written first, so that the join sees two shuffles and a very large component can be split.
+    least = written(of_class.groupBy("root").agg(F.min("least").alias("component_id")))
     of_class = of_class.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = known.select("vec_id", "node").join(of_class, "node", "left")
     component = F.coalesce("component_id", "vec_id")
