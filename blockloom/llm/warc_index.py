@@ -132,8 +132,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, date
     adaptive execution splits the partition of a payload with very many copies.
     """
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(text_or_empty("html"), "UTF-8").alias("payload"))
-    slim = slim.withColumn("same", F.when(F.length("payload") >= least, F.unhex(F.sha2("payload", 256))))
-    groups = slim.where("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "response")
+    # Small payloads get a key of their own (16 bytes, not 32), so that they don't meet in the partition of null.
+    own = F.unhex(F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), "url")))
+    slim = slim.withColumn("same", F.when(F.length("payload") >= least, F.unhex(F.sha2("payload", 256))).otherwise(own))
+    groups = slim.where(F.length("payload") >= least).groupBy("same").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "response")
     chosen = slim.join(groups, "same", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
