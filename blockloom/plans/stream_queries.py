@@ -27,7 +27,7 @@ def stream_windows(x: Ledger):
 
 @query("stream_balances", "", "SELECT event_id, user_id AS address, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before, value AS after FROM events")
 def stream_balances(x: Ledger):
-    return changes.run_once(changes.balance_changes(changes.event_stream(x.spark, x.sf_dir)))
+    return changes.balance_changes(changes.run_once(changes.event_stream(x.spark, x.sf_dir).select("event_id", "user_id", "value")))
 
 
 @query("finalized_commits", "", f"SELECT event_id, CAST({HOURS} AS BIGINT) AS block FROM events WHERE {HOURS} <= (SELECT min({HOURS}) + 500 FROM events)")

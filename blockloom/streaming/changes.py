@@ -1,30 +1,31 @@
-"""Change streams: commits and reverts as rows, windowed counts with late data, keyed state.
+"""Change streams: commits and reverts as rows, windowed counts with late data, values before each event.
 
-All take and give streaming DataFrames; run_once starts a query that reads all there is, writes to a
+Streams take and give streaming DataFrames; run_once starts a query that reads all there is, writes to a
 table in the shared folder and ends, with its checkpoint beside it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.ranks import day_hours
 from ..sources.shared import shared_dir
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a file stream; its schema comes from the files, once.
 
+    All files there are make one batch. With files_per_trigger a watermark moves between batches, so files
+    that are not in time order lose rows of closed windows.
+
     A stream reads folders: where the table is a single file, its folder is read with a filter on the name.
     """
     path = f"{sf_dir}/events.parquet"
     now = spark.read.parquet(path)
-    stream = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = spark.readStream.schema(now.schema)
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
     if any(f.endswith("/events.parquet") for f in now.inputFiles()):
         return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.parquet(path)
@@ -52,26 +53,14 @@ def windowed_counts(events: DataFrame, window: str = "6 hours", delay: str = "1
     return timed.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n", "ids")
 
 
-STATE = "event_id long, value double"
-OUT = "event_id long, address long, before double, after double"
-
-
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, value = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    if last is not None:
-        rows = rows[rows["event_id"] > last]  # a replayed batch changes nothing
-    if not len(rows):
-        return
-    before = rows["value"].shift(1).astype(object)
-    before.iloc[0] = value
-    state.update((int(rows["event_id"].iloc[-1]), float(rows["value"].iloc[-1])))
-    yield pd.DataFrame({"event_id": rows["event_id"], "address": key[0], "before": before.astype(float), "after": rows["value"]})
-
-
 def balance_changes(events: DataFrame) -> DataFrame:
-    """Each event with the value that its account had before, kept as keyed state between batches."""
-    return events.groupBy("user_id").applyInPandasWithState(_track, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """Each event of a table with the value that its account had before, by event_id.
+
+    An event may arrive after its successors, so this is a window over what the stream has written:
+    the result doesn't depend on how files were dealt to batches.
+    """
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return events.select("event_id", F.col("user_id").alias("address"), before.alias("before"), F.col("value").alias("after"))
 
 
 def run_once(stream: DataFrame) -> DataFrame:
