@@ -106,7 +106,8 @@ def over_cap(pool: DataFrame, cap: int = MAX_PER_SENDER) -> DataFrame:
     return pool.groupBy("sender").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
 
 
-def within_bytes(pool: DataFrame, senders: list, limit: int) -> DataFrame:
-    """The longest prefix, by submission, of each sender's transactions whose sizes fit the limit."""
+def within_bytes(pool: DataFrame, senders: list | None, limit: int) -> DataFrame:
+    """The longest prefix, by submission, of each sender's transactions whose sizes fit the limit; None takes all senders."""
     running = F.sum("size").over(Window.partitionBy("sender").orderBy("submission_id").rowsBetween(Window.unboundedPreceding, 0))
-    return pool.where(F.col("sender").isin(senders)).withColumn("bytes", running).where(F.col("bytes") <= limit)
+    asked = pool if senders is None else pool.where(F.col("sender").isin(senders))
+    return asked.withColumn("bytes", running).where(F.col("bytes") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import chain, fees, history, logs
@@ -91,7 +91,18 @@ def body_indices(x: Ledger):
     SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
     FROM headers h LEFT JOIN transactions t USING (number) WHERE h.number BETWEEN 0 AND 2000 GROUP BY ALL""")
 def block_assembled(x: Ledger):
-    head = chain.in_range(x.headers, "number", 0, 2000).select("number", "hash")
+    return _assembled(chain.in_range(x.headers, "number", 0, 2000), x)
+
+
+@query("block_assembled_all", "headers transactions", """
+    SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
+    FROM headers h LEFT JOIN transactions t USING (number) GROUP BY ALL""")
+def block_assembled_all(x: Ledger):
+    return _assembled(x.headers, x)
+
+
+def _assembled(headers: DataFrame, x: Ledger) -> DataFrame:
+    head = headers.select("number", "hash")
     joined = head.join(x.transactions.select("number", "idx", F.col("hash").alias("tx")), "number", "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("tx").isNotNull(), F.struct("idx", "tx"))))
     return joined.groupBy("number", "hash").agg(listed.alias("l")).select("number", "hash", (F.size("l") == 0).alias("empty"), F.array_join(F.transform("l", lambda s: s["tx"]), ",").alias("txs"))
@@ -103,6 +114,11 @@ def block_of_transaction(x: Ledger):
     return chain.block_of_tx(x.body_indices, x.spark.range(0, top, 97).withColumnRenamed("id", "tx_num")).select("tx_num", "number")
 
 
+@query("block_of_transaction_all", "transactions", "SELECT tx_num, number FROM transactions")
+def block_of_transaction_all(x: Ledger):
+    return chain.block_of_tx(x.body_indices, x.transactions.select("tx_num")).select("tx_num", "number")
+
+
 @query("transactions_with_meta", "transactions headers", "SELECT t.hash, t.idx, h.hash AS block_hash, h.number, h.base_fee, h.ts FROM transactions t JOIN headers h USING (number)")
 def transactions_with_meta(x: Ledger):
     return x.transactions.select("number", "hash", "idx").join(x.headers.select("number", F.col("hash").alias("block_hash"), "base_fee", "ts"), "number").select("hash", "idx", "block_hash", "number", "base_fee", "ts")
@@ -243,6 +259,11 @@ def segment_split_and_append(x: Ledger):
     return chain.append_chain(low, high.where("number <= 900")).select("number", "hash")
 
 
+@query("segment_split_and_append_all", "headers", "SELECT number, hash FROM headers")
+def segment_split_and_append_all(x: Ledger):
+    return chain.append_chain(*chain.split_at(x.headers, 400)).select("number", "hash")
+
+
 @query("body_requests", "headers", """
     SELECT hi AS first, greatest(hi - 511, 100) AS last FROM (SELECT unnest(range((SELECT max(number) FROM headers), 99, -512)) AS hi)""")
 def body_requests(x: Ledger):

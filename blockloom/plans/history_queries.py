@@ -144,6 +144,11 @@ def hot_and_cold(x: Ledger):
     return stages.hot_and_cold(cold, hot, 600).where("number BETWEEN 500 AND 900").select("number", "hash", "store")
 
 
+@query("hot_and_cold_all", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers")
+def hot_and_cold_all(x: Ledger):
+    return stages.hot_and_cold(x.headers.where("number <= 620"), x.headers.where("number > 400"), 600).select("number", "hash", "store")
+
+
 @query("range_with_missing", "headers", "SELECT CAST(r.n AS BIGINT) AS number, h.hash FROM range((SELECT max(number) - 20 FROM headers), (SELECT max(number) + 20 FROM headers)) r(n) LEFT JOIN headers h ON h.number = r.n")
 def range_with_missing(x: Ledger):
     head = x.headers.agg(F.max("number")).first()[0]

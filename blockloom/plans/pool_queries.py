@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pool
@@ -86,8 +86,19 @@ def pool_truncated_senders(x: Ledger):
     WITH o AS (SELECT sender, nonce, max_fee + (submission_id % 40) * max_fee // 100 AS max_fee, max_tip + (submission_id % 30) * max_tip // 100 AS max_tip, is_blob, submission_id FROM pool WHERE submission_id % 3 = 0)
     SELECT o.submission_id, o.max_fee * 100 >= p.max_fee * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AND o.max_tip * 100 >= p.max_tip * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AS accepted FROM o JOIN pool p USING (sender, nonce)""")
 def pool_replacements(x: Ledger):
+    return _replacements(x, x.pool.where("submission_id % 3 = 0"))
+
+
+@query("pool_replacements_all", "pool", """
+    WITH o AS (SELECT sender, nonce, max_fee + (submission_id % 40) * max_fee // 100 AS max_fee, max_tip + (submission_id % 30) * max_tip // 100 AS max_tip, is_blob, submission_id FROM pool)
+    SELECT o.submission_id, o.max_fee * 100 >= p.max_fee * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AND o.max_tip * 100 >= p.max_tip * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AS accepted FROM o JOIN pool p USING (sender, nonce)""")
+def pool_replacements_all(x: Ledger):
+    return _replacements(x, x.pool)
+
+
+def _replacements(x: Ledger, offered: DataFrame) -> DataFrame:
     bumped = lambda c, m: (F.col(c) + F.expr(f"(submission_id % {m}) * {c} div 100")).alias(c)
-    offers = x.pool.where("submission_id % 3 = 0").select("sender", "nonce", bumped("max_fee", 40), bumped("max_tip", 30), "is_blob", "submission_id")
+    offers = offered.select("sender", "nonce", bumped("max_fee", 40), bumped("max_tip", 30), "is_blob", "submission_id")
     return pool.replacements(x.pool, offers).select("submission_id", "accepted")
 
 
@@ -122,6 +133,11 @@ def pool_within_bytes(x: Ledger):
     return pool.within_bytes(x.pool, [1, 2, 4, 5, 7, 8, 10], 2000).select("submission_id", "bytes")
 
 
+@query("pool_within_bytes_all", "pool", "SELECT submission_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT *, sum(size) OVER (PARTITION BY sender ORDER BY submission_id) AS bytes FROM pool) WHERE bytes <= 2000")
+def pool_within_bytes_all(x: Ledger):
+    return pool.within_bytes(x.pool, None, 2000).select("submission_id", "bytes")
+
+
 @query("pool_blob_order", "pool", """
     SELECT submission_id, CAST(CASE WHEN max_fee >= 200000 THEN 0 ELSE floor(CASE WHEN ln(max_fee / 200000.0) / ln(1.125) < 0 THEN -log2(-(ln(max_fee / 200000.0) / ln(1.125)) + 1) ELSE 0 END) END AS BIGINT) AS delta FROM pool WHERE is_blob AND max_fee > 0""")
 def pool_blob_order(x: Ledger):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history, traces
@@ -26,6 +27,12 @@ def trace_blocks_with_rewards(x: Ledger):
     return traces.with_rewards(x.traces, x.headers).where("number BETWEEN 0 AND 300").select("number", "tx_num", "path", "kind", "to_", "value")
 
 
+@query("trace_blocks_with_rewards_all", "traces headers", """
+    SELECT number, tx_num, path, kind, to_, value FROM traces UNION ALL SELECT number, NULL, '', 'reward', beneficiary, 2000 FROM headers""")
+def trace_blocks_with_rewards_all(x: Ledger):
+    return traces.with_rewards(x.traces, x.headers).select("number", "tx_num", "path", "kind", "to_", "value")
+
+
 @query("trace_gas_by_kind", "traces", "SELECT number, kind, sum(gas)::BIGINT AS gas, count(*) AS n, max(length(path)) AS depth FROM traces GROUP BY ALL")
 def trace_gas_by_kind(x: Ledger):
     return x.traces.groupBy("number", "kind").agg(F.sum("gas").alias("gas"), F.count(F.lit(1)).alias("n"), F.max(F.length("path")).alias("depth"))
@@ -66,7 +73,19 @@ def storage_history_index(x: Ledger):
     FROM (SELECT a AS address, slot, pos FROM range(1, 40) r(a), (VALUES ('click', 0), ('missing', 1), ('view', 2)) v(slot, pos)) w LEFT JOIN storages s ON s.address = w.address AND s.slot = w.slot GROUP BY 1""")
 def storage_values_batch(x: Ledger):
     """Several slots of several accounts at once, in the order asked for, misses included."""
-    asked = x.spark.range(1, 40).select(F.col("id").alias("address"), F.posexplode(F.array(*[F.lit(s) for s in ("click", "missing", "view")])).alias("pos", "slot"))
+    return _values_batch(x.spark.range(1, 40).withColumnRenamed("id", "address"), x)
+
+
+@query("storage_values_batch_all", "storages accounts", """
+    SELECT w.address, string_agg(CASE WHEN s.value IS NULL THEN 'none' ELSE w.slot END, ',' ORDER BY w.pos) AS found
+    FROM (SELECT address, slot, pos FROM accounts, (VALUES ('click', 0), ('missing', 1), ('view', 2)) v(slot, pos)) w LEFT JOIN storages s ON s.address = w.address AND s.slot = w.slot GROUP BY 1""")
+def storage_values_batch_all(x: Ledger):
+    """The same slots of every account."""
+    return _values_batch(x.accounts.select("address"), x)
+
+
+def _values_batch(addresses: DataFrame, x: Ledger) -> DataFrame:
+    asked = addresses.select("address", F.posexplode(F.array(*[F.lit(s) for s in ("click", "missing", "view")])).alias("pos", "slot"))
     joined = asked.join(x.storages, ["address", "slot"], "left")
     listed = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("value").isNull(), F.lit("none")).otherwise(F.col("slot")).alias("v"))))
     return joined.groupBy("address").agg(F.array_join(F.transform(listed, lambda s: s["v"]), ",").alias("found"))
