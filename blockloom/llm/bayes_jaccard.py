@@ -88,6 +88,11 @@ def minhashes(grams: np.ndarray) -> np.ndarray:
     return best
 
 
+def signature(minima: np.ndarray) -> bytes:
+    """A byte of each MinHash. A minimum over many n-grams has a top byte of zero, so all bits are mixed first."""
+    return ((minima * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def band_keys(minima: np.ndarray) -> list[int]:
     high = (minima >> np.uint64(16)).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -101,7 +106,7 @@ def band_keys(minima: np.ndarray) -> list[int]:
 def least_matches(threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """[(values compared, matches needed to go on)].
 
-    Values are compared by their low eight bits, so a pair of similarity s matches with probability
+    Values are compared by eight mixed bits, so a pair of similarity s matches with probability
     p = s + (1 - s) / 256; the posterior of s under a uniform prior follows from the likelihood
     p^m (1 - p)^(n - m) on a fine grid.
     """
@@ -184,7 +189,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                     continue
                 low = minhashes(g)
                 node.append(xxhash.xxh3_128_digest(g.tobytes()))
-                sig.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+                sig.append(signature(low))
                 bands.append(band_keys(low))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(node, pa.binary()), pa.array(grams, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
