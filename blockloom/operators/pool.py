@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import prefix_sums
+
 # Bits of a transaction's state, from the weakest to the strongest.
 BLOB, FEE_CAP, BLOB_FEE_CAP, NOT_HEAVY, BALANCE, NO_GAPS, NO_PARKED = 1, 2, 4, 8, 16, 32, 64
 #: Limits and price bumps in percent.
@@ -70,14 +72,14 @@ def evicted(pool: DataFrame, keep: int, base_fee: int) -> DataFrame:
     """submission_id, round of what goes until `keep` are left: in each round every sender's highest nonce,
     the lowest priorities first.
 
-    Only totals of each round meet in one window; within the last, partly evicted round, the cut-off
+    Only totals of ranges of rounds meet in one window; within the last, partly evicted round, the cut-off
     comes from one sort with a limit.
     """
     total = pool.count()
     if total <= keep:
         return pool.limit(0).select("submission_id", F.lit(0).cast("long").alias("round"))
     rounds = pool.withColumn("round", F.row_number().over(Window.partitionBy("sender").orderBy(F.desc("nonce"))).cast("long"))
-    sizes = rounds.groupBy("round").agg(F.count(F.lit(1)).alias("n")).withColumn("through", F.sum("n").over(Window.orderBy("round")))
+    sizes = prefix_sums(rounds.groupBy("round").agg(F.count(F.lit(1)).alias("n")), "round", "n", "before").withColumn("through", F.col("before") + F.col("n"))
     excess = total - keep
     last = sizes.where(F.col("through") >= excess).orderBy("round").first()
     rest = excess - (last["through"] - last["n"])

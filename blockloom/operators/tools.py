@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import positions
+
 
 def diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys and kind: rows with other values ('changed'), only left, or only right. Null keys are not equal to anything."""
@@ -16,8 +18,12 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str])
 
 
 def listing(df: DataFrame, key: str, skip: int, length: int | None, predicate: Column, reverse: bool = False) -> DataFrame:
-    """Rows in key order: skip counts all rows, length those that match; None takes every match."""
-    ordered = df.orderBy(F.desc(key) if reverse else F.asc(key)).offset(skip).where(predicate)
+    """Rows in order of a unique, integral key: skip counts all rows, length those that match; None takes every match.
+
+    Rows are numbered by counts of key ranges, so that skipping needs no task with all rows.
+    """
+    placed = positions(df.withColumn("__key", -F.col(key) if reverse else F.col(key)), "__key", "__at")
+    ordered = placed.where((F.col("__at") >= skip) & predicate).orderBy("__key").drop("__key", "__at")
     return ordered if length is None else ordered.limit(length)
 
 
