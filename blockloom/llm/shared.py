@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (local tests), a temporary folder is set.
+    Only where a local session names none (as in tests), a temporary folder is set; on a cluster that
+    is an error, as executors would not see the driver's folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

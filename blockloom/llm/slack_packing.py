@@ -4,17 +4,22 @@ A document's ids and an end id are cut into pieces of `capacity` ids, the first
 they don't come out even. The plan needs only how many pieces there are of each length (at most
 `capacity` numbers, whatever the corpus): per bin it takes the longest length left, finds by subset
 sums kept as bits the fullest combination of the lengths left beside it, and removes it, as often
-as the counts allow in one go. Pieces then find their place by their rank among those of equal
+as the counts allow in one go. Several orders of the lengths are tried, as they decide which of equally
+full combinations is taken, and the plan with the fewest bins is kept. Pieces then find their place by their rank among those of equal
 length; ranks come from counts per task and length, so no task sees more than its share of rows.
 
 Defined results: a null text is the empty text (a piece with only the end id); null ids and repeated
-rows are packed like any other row; an empty table gives no rows; other columns are not read.
+rows are packed like any other row; pieces of equal length are told apart only by where their task met
+them, so ties are settled by the plan; a text of any length is cut, never shortened; an empty table gives
+no rows; other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +32,20 @@ from pyspark.sql.window import Window
 from .bpe import word_bpe
 from .shared import text_or_empty, written
 
-CAPACITY, END_ID = 1024, 2
+CAPACITY, END_ID, ATTEMPTS = 1024, 2, 12
 
 
-def fullest(counts: list[int], room: int) -> dict[int, int]:
+def fullest(counts: list[int], room: int, order: Sequence[int] | None = None) -> dict[int, int]:
     """{length: times} of the combination with the largest sum up to room; counts[l] of l are left.
 
-    reach[k] has bit s set if the first k lengths can sum to s. Lengths ascend, so that reading back
-    from the end prefers long ones and leaves the short ones for later bins.
+    reach[k] has bit s set if the first k lengths of the order can sum to s. Lengths are added in the
+    order given (the longest first by default) until the room can be filled, so among combinations
+    that are equally full the order decides which lengths are spent and which are left for later bins.
     """
     wanted, full = 1 << room, (2 << room) - 1
     reach, lengths, bits = [], [], 1
-    for length in range(1, room + 1):
-        if not counts[length]:
+    for length in order or range(room, 0, -1):
+        if length > room or not counts[length]:
             continue
         reach.append(bits)
         lengths.append(length)
@@ -61,19 +67,49 @@ def fullest(counts: list[int], room: int) -> dict[int, int]:
     return chosen
 
 
-def bin_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """[(times of each length in the bin, bins of this kind)] that use up the histogram."""
+def _orders(capacity: int, attempts: int) -> Iterator[list[int]]:
+    """Orders of the lengths to try: longest first, shortest first, nearest to a share of the capacity, then shuffles."""
+    lengths = list(range(1, capacity + 1))
+    yield lengths[::-1]
+    yield lengths
+    for share in (5, 3):
+        yield sorted(lengths, key=lambda n: abs(share * n - capacity))
+    for seed in range(attempts):
+        random.Random(seed).shuffle(lengths)
+        yield list(lengths)
+
+
+def bin_plan(histogram: dict[int, int], capacity: int = CAPACITY, attempts: int = ATTEMPTS) -> list[tuple[dict[int, int], int]]:
+    """[(times of each length in the bin, bins of this kind)] that use up the histogram.
+
+    The plan with the fewest bins over several orders of the lengths (`attempts` to try, at least one); the
+    work of each depends on the number of lengths only.
+    """
+    best: tuple[int, list] | None = None
+    least = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    for order in islice(_orders(capacity, attempts), max(1, attempts)):
+        plan = _plan(histogram, capacity, order)
+        bins = sum(n for _, n in plan)
+        if best is None or bins < best[0]:
+            best = bins, plan
+        if bins == least:
+            break
+    return best[1]
+
+
+def _plan(histogram: dict[int, int], capacity: int, order: list[int]) -> list[tuple[dict[int, int], int]]:
     counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         counts[length] = n
     plan, longest = [], capacity
+    order = [n for n in order if counts[n]]
     while True:
         while longest and not counts[longest]:
             longest -= 1
         if not longest:
             return plan
         counts[longest] -= 1
-        chosen = fullest(counts, capacity - longest)
+        chosen = fullest(counts, capacity - longest, order) if longest < capacity else {}
         counts[longest] += 1
         chosen[longest] = chosen.get(longest, 0) + 1
         bins = min(counts[length] // times for length, times in chosen.items())

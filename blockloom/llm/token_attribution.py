@@ -7,9 +7,13 @@ allocated by an explicit rule: "majority" gives it to the section that holds mos
 the earlier one on a tie; "first" to the one where it begins. A token outside of all sections counts
 for section -1.
 
-Sections are half-open spans of code points, sorted and disjoint; by default the lines, each with its
-line feed. Defined results: null and empty texts have one empty section 0 with no tokens; repeated
-rows are counted each; an empty table gives no rows; other columns are not read.
+Sections are half-open spans of code points; by default the lines, each with its line feed. They are
+numbered as they stand in the array, and may be unsorted: of spans that overlap, each ends for the
+count where the next one (by start, then by place in the array) begins. What lies outside of the text holds nothing; a span that is
+null, has a null bound or ends before it begins is absent and holds nothing either, but keeps its number
+and has a row with 0 tokens. Defined results: null and empty texts have one empty section 0 with no tokens
+(lines) or the sections given, all without tokens; repeated rows are counted each; an empty table gives no
+rows; other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +93,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            spans = [[(s["start"], s["end"]) for s in x or []] for x in batch["spans"].to_pylist()] if spans_col else [line_sections(x) for x in texts]
+            spans = [[(s["start"], s["end"]) if s else (None, None) for s in x or []] for x in batch["spans"].to_pylist()] if spans_col else [line_sections(x) for x in texts]
             k = 0
             while k < len(texts):
                 end, size = k, 0
@@ -109,9 +113,14 @@ def _count(ids: pa.Array, texts: list[str], spans: list[list[tuple[int, int]]],
     at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
     n = np.array([len(s) for s in spans])
     owner = np.repeat(np.arange(len(texts)), n)
-    flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
-    starts, ends = flat[:, 0] + at[owner], flat[:, 1] + at[owner]
-    real = np.flatnonzero(ends > starts)  # empty sections hold nothing and would hide their neighbours
+    given = [x for s in spans for x in s]
+    flat = np.array([(0, 0) if None in x else x for x in given], np.int64).reshape(-1, 2)
+    size = np.diff(at)[owner]
+    starts, ends = np.clip(flat[:, 0], 0, size) + at[owner], np.clip(flat[:, 1], 0, size) + at[owner]
+    order = np.lexsort((np.arange(len(flat)), starts))
+    real = order[ends[order] > starts[order]]  # empty sections hold nothing and would hide their neighbours
+    ends[real[:-1]] = np.minimum(ends[real[:-1]], starts[real[1:]])  # overlaps end where the next one begins
+    real = real[ends[real] > starts[real]]
     where, odd = allocate(begin, end, starts[real], ends[real], rule) if len(real) else (np.full(len(begin), -1), np.zeros(len(begin), bool))
     held = np.where(where >= 0, real[np.maximum(where, 0)], -1) if len(real) else where
     counts = np.bincount(held[held >= 0], minlength=len(flat))
@@ -125,6 +134,7 @@ def _count(ids: pa.Array, texts: list[str], spans: list[list[tuple[int, int]]],
     section = np.arange(len(flat)) - np.repeat(first, n)
     join = lambda a, b: pa.array(np.concatenate([a, b]))
     zero = np.zeros(len(more), np.int64)
+    bound = lambda k: pa.array([x[k] for x in given] + [0] * len(more), pa.int64())  # noqa: E731  as given, nulls included
     return pa.RecordBatch.from_arrays(
-        [ids.take(join(owner, more)), pa.array(np.concatenate([section, zero - 1]), pa.int32()), join(flat[:, 0], zero), join(flat[:, 1], zero), join(counts, lost[more]), join(crossing, lost_odd[more])], names=names
+        [ids.take(join(owner, more)), pa.array(np.concatenate([section, zero - 1]), pa.int32()), bound(0), bound(1), join(counts, lost[more]), join(crossing, lost_odd[more])], names=names
     )

@@ -130,14 +130,13 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-TEXTS = ["", " ", "\n", "a", " lead", "trail ", "two  blanks", "line\nline\n\nnext\n x", "tab\tin\r\nit", "it's we'll 12ab,.!", "é ß\U0001f600　z", "\x00nul \x00 x", "<|endoftext|>", "x" * 3000, "word " * 2000]
+TEXTS = ["", " ", "\n", "a", " lead", "trail ", "two  blanks", "line\nline\n\nnext\n x", "tab\tin\r\nit", "it's we'll 12ab,.!", "é ß\U0001f600　z", "\x00nul \x00 x", "<|endoftext|>", "hi <|endoftext|> you<|endoftext|><|endoftext|>\n", "<|endoftext|", "x" * 3000, "word " * 2000]
 
 
 def test_ids_equal_the_tokenizer_file(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = TEXTS + [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     ids, bounds = WordBpe().encode(texts)
     for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
@@ -173,6 +172,9 @@ def test_packing_is_gapless_whole_and_close_to_the_bound(spark):
         assert at <= 1024
     assert len(bins) <= -(-total // 1024) + 2
     assert slack_packing.pack(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "1 AS piece", "'x' AS part", "2 AS rank", "3 AS length", "4 AS sequence_id")
+    places = lambda rows: sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert places(slack_packing.pack(clash).collect()) == places(got)
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -206,7 +208,6 @@ def test_token_counts_by_line_equal_offsets_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [(k, x) for k, x in enumerate(TEXTS)] + [(50, None)]
     got = defaultdict(dict)
     for r in token_attribution.count_tokens(spark.createDataFrame(rows, DOCS)).collect():
@@ -232,6 +233,26 @@ def test_tokens_that_cross_boundaries_follow_the_rule(spark):
         token_attribution.count_tokens(df, rule="other")
 
 
+def test_odd_sections_and_tables(spark):
+    schema = "doc_id long, text string, spans array<struct<start:long,end:long>>, section string, n_tokens int"
+    rows = [
+        (1, "hello wonderful", [(8, 15), None, (0, 8)], "x", 7),  # unsorted, a null span
+        (1, "hello wonderful", [(8, 15), None, (0, 8)], "x", 7),  # a repeated row
+        (2, "hello wonderful", [(None, 4), (3, None), (9, 2)], None, None),  # all absent
+        (3, "hello wonderful", [(0, 15), (5, 15)], "y", 1),  # the first ends where the second begins
+        (4, "hello", [(-3, 100)], "z", 1), (5, "next text", [(0, 9)], "z", 1),  # reaches no neighbour
+        (6, "", [(0, 3)], "w", 1), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted((tuple(r) for r in token_attribution.count_tokens(df, spans_col="spans").select("doc_id", "section", "start", "end", "n_tokens").collect()), key=repr)
+    one = [(1, 0, 8, 15, 1), (1, 1, None, None, 0), (1, 2, 0, 8, 1)]
+    want = one + one + [(2, -1, 0, 0, 2), (2, 0, None, 4, 0), (2, 1, 3, None, 0), (2, 2, 9, 2, 0), (3, 0, 0, 15, 1), (3, 1, 5, 15, 1), (4, 0, -3, 100, 1), (5, 0, 0, 9, 2), (6, 0, 0, 3, 0)]
+    assert got == sorted(want, key=repr)
+    assert token_attribution.count_tokens(df.limit(0), spans_col="spans").count() == token_attribution.count_tokens(df.limit(0)).count() == 0
+    by_line = token_attribution.count_tokens(df)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in by_line.collect()) == [(0, 0), (1, 2), (1, 2), (2, 2), (3, 2), (4, 1), (5, 2), (6, 0)]
+
+
 def full_viterbi(model, text):
     s = streaming_viterbi.MARK + text.replace(" ", streaming_viterbi.MARK)
     best = [(0.0, None, None)]
@@ -262,7 +283,7 @@ def test_streaming_viterbi_equals_the_whole_table():
     stream, out = model.stream(), []
     for c in streaming_viterbi.MARK + ("abcdefghij" * 500):
         out += stream.feed(c)
-        assert len(stream.best) <= 2 * model.longest  # the window, whatever the length
+        assert len(stream.back) <= 2 * model.longest  # the window, whatever the length
     assert out + stream.finish() == full_viterbi(model, "abcdefghij" * 500)
 
 
@@ -271,4 +292,8 @@ def test_sentencepiece_tables(spark):
     coded = streaming_viterbi.encode(df)
     assert all(r["round_trip"] for r in coded.collect())
     assert {r["doc_id"]: r["text"] for r in streaming_viterbi.decode(coded.where("doc_id > 3")).collect()} == {k: x for k, x in enumerate(TEXTS) if k > 3}
+    for r in coded.where("doc_id > 3").collect():
+        assert len(r["ids"]) == 4 * r["n_ids"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and zlib.crc32(TEXTS[r["doc_id"]].encode()) == r["decoded_crc32"]
     assert streaming_viterbi.encode(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "'x' AS ids", "1 AS n_ids", "2 AS round_trip")
+    assert sorted(map(repr, streaming_viterbi.encode(clash).collect())) == sorted(map(repr, coded.collect()))
