@@ -26,7 +26,7 @@ def op4_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming_viterbi.encode(read_table(spark, sf_dir, "documents"), ids=False)
+    return streaming_viterbi.encode(read_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

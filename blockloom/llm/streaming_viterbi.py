@@ -11,7 +11,8 @@ the segmentation of each stretch in between is kept for its next occurrence.
 The public model was trained as merges: its library's own ids follow the order of merges and differ
 where the best sum does; both decode to the same text. Ties go to the longer last piece. Defined
 results: null and empty texts have no ids; the marker itself (U+2581) reads as a blank, as in the
-library; repeated rows get equal results; an empty table gives no rows; other columns are not read.
+library; repeated rows get equal results; a text of any length goes through the same window; an empty
+table gives no rows; other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .bpe import vocabulary_path
 from .shared import text_or_empty
 
-MARK, STRETCHES_KEPT = "▁", 300_000
+MARK, STRETCHES_KEPT, _NOTHING = "▁", 300_000, (None, None, 0.0)
 _STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -104,64 +105,77 @@ class _Stretches(dict):
 
 
 class Stream:
-    """Viterbi state of one text; feed and finish return the ids that are committed."""
+    """Viterbi state of one text; feed and finish return the ids that are committed.
+
+    back[k] is the best way to the k-th boundary after the last committed one: where its last piece
+    starts, and that piece's id (or the ids of a character's bytes).
+    """
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.n = self.base = 0  # characters read; the boundary up to which ids are committed
-        self.best = {0: 0.0}
-        self.back: dict[int, tuple[int, list[int]]] = {}
-        self.open: list[tuple[int, dict]] = []  # starts of pieces that may still grow, the longest first
+        self.score = 0.0  # of the best way to the boundary that was read last
+        self.back: list[tuple[int, int | list[int]] | None] = [None]
+        self.open: list[tuple[float, int, dict]] = []  # (score, start, level) of pieces that may still grow, the longest first
 
     def feed(self, characters: str) -> list[int]:
         trie, unknown, longest = self.m.trie, self.m.unknown, self.m.longest
-        best, back, open_, n, out = self.best, self.back, self.open, self.n, []
+        back, open_, score, out = self.back, self.open, self.score, []
         for c in characters:
-            grown, top, way, single = [], -1e300, None, False
-            open_.append((n, trie))
-            for start, level in open_:
-                node = level.get(c)
-                if node is None:
-                    continue
-                if node[0]:
-                    grown.append((start, node[0]))
-                if node[1] is not None:
-                    single = start == n
-                    score = best[start] + node[2]
-                    if score > top:
-                        top, way = score, (start, [node[1]])
-            if not single:
-                score = best[n] + unknown
-                if score > top:
-                    top, way = score, (n, [self.m.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
-            n += 1
-            best[n], back[n], open_ = top, way, grown
-            if not grown or n - self.base >= longest:
-                out += self._commit({n, *(s for s, _ in grown)})
-        self.n, self.open = n, open_
+            grown, top, way, n = [], -1e300, None, len(back) - 1
+            for held, start, level in open_:
+                if c in level:
+                    below, piece, gain = level[c]
+                    if below:
+                        grown.append((held, start, below))
+                    if piece is not None and held + gain > top:
+                        top, way = held + gain, (start, piece)
+            below, piece, gain = trie.get(c, _NOTHING)
+            if below:
+                grown.append((score, n, below))
+            if piece is None:
+                if score + unknown > top:
+                    top, way = score + unknown, (n, [self.m.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")])
+            elif score + gain > top:
+                top, way = score + gain, (n, piece)
+            back.append(way)
+            score, open_ = top, grown
+            if not grown:
+                out += self._commit(n + 1)
+            elif n + 1 >= longest:
+                meet = self._meeting({n + 1, *(s for _, s, _ in grown)})
+                if meet:
+                    out += self._commit(meet)
+                    open_ = [(held, start - meet, below) for held, start, below in grown]
+        self.open, self.score = open_, score
         return out
 
-    def _commit(self, ends: set[int]) -> list[int]:
-        """Ids before the boundary at which the paths of all ends meet; drops what the window has left."""
-        while len(ends) > 1 and min(ends) > self.base:
+    def _meeting(self, ends: set[int]) -> int:
+        """The last boundary at which the backward paths of all ends meet; 0 if that is the last committed one."""
+        while len(ends) > 1 and min(ends):
             last = max(ends)
             ends.remove(last)
             ends.add(self.back[last][0])
-        at = meet = min(ends)
-        if meet == self.base:
-            return []
-        out: list[list[int]] = []
-        while at > self.base:
-            start, ids = self.back[at]
-            out.append(ids)
-            at = start
-        for k in range(self.base, meet):
-            del self.best[k], self.back[k + 1]
-        self.base = meet
-        return [i for ids in reversed(out) for i in ids]
+        return min(ends)
+
+    def _commit(self, meet: int) -> list[int]:
+        """Ids before a boundary, which becomes the first of the window."""
+        back, out, at = self.back, [], meet
+        while at:
+            at, piece = back[at]
+            if piece.__class__ is int:
+                out.append(piece)
+            else:
+                out += reversed(piece)
+        del back[:meet]
+        if meet:
+            back[0] = None
+            for k in range(1, len(back)):
+                back[k] = (back[k][0] - meet, back[k][1])
+        out.reverse()
+        return out
 
     def finish(self) -> list[int]:
-        return self._commit({self.n})
+        return self._commit(len(self.back) - 1)
 
 
 @lru_cache(2)
@@ -169,19 +183,22 @@ def piece_model(path: str | None = None) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ids: bool = True) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, round_trip (decoding gives the text again) and, if asked for, ids; no shuffle."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, round_trip (decoding gives the text again), decoded_crc32 (of the decoded
+    text in UTF-8) and ids (32 bits each, little-endian); no shuffle."""
     slim = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *([T.StructField("ids", T.BinaryType())] if ids else [])])
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("decoded_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
             texts = batch["text"].to_pylist()
             coded = [model.encode(x) for x in texts]
-            same = [model.decode(c) == x.replace(MARK, " ") for c, x in zip(coded, texts)]
-            columns = [batch["doc_id"], pa.array([len(c) >> 2 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(coded, pa.binary())] if ids else []), names=schema.names)
+            back = [model.decode(c) for c in coded]
+            same = [y == x.replace(MARK, " ") for y, x in zip(back, texts)]
+            crc = lambda rows: pa.array(map(zlib.crc32, rows), pa.int64())
+            columns = [batch["doc_id"], pa.array([len(c) >> 2 for c in coded], pa.int64()), crc(coded), pa.array(same), crc(y.encode("utf-8", "replace") for y in back), pa.array(coded, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return slim.mapInArrow(work, schema)
 
