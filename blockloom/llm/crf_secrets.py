@@ -1,17 +1,29 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 The field tags tokens as begin, inside or outside of a secret. A token's features come from its
-shape, the shapes and trigger words of two tokens before and one after it, and from the file. It is
+shape, the shapes and trigger words of two tokens before and one after it, whether a trigger word is
+among the REACH tokens before it, and from the file. It is
 fitted with numpy by maximum likelihood on lines of a bounded sample of texts, labelled by the
-patterns; copies of these lines with values redrawn from a wider alphabet keep it from leaning on
-the patterns' own alphabets. Lines are separate chains, decoded by Viterbi. All tokens get exact
-scores by table look-up; a line in which no token's gain over "outside" can be positive, whatever
-the transitions, is all outside, and only the other lines need the decoder.
-
-Pattern spans always stay; decoded spans that touch none of them are added as kind crf. Spans count
+patterns. What the patterns cannot say is taught by copies of these lines: one with the values redrawn
+from other alphabets, lengths and forms (signed tokens in parts, prefixed keys) behind other trigger
+words and separators, still secret; one with the trigger words gone and dates, versions, numbers, paths
+or short codes in the values' place, not secret. Lines are separate chains, decoded by Viterbi; for
+fitting, a long line is cut into consecutive windows, whose tokens keep the features of their
+neighbours beyond the cut. All tokens get exact scores by table look-up; a line in which no token's
+gain over "outside" can be positive, whatever the transitions, is all outside, and only the other lines
+need the decoder.
+
+Bounds of the sample, all parameters of `train`: `max_marked` and `max_plain` texts with and without a
+pattern match, and of their windows (`window` tokens each) `max_windows` of each of three kinds: with a
+value, without one but with a digit, and with neither; copies of windows come on top of the first. All are
+drawn by hashes. Everything else reads all rows and whole texts.
+
+Pattern spans always stay; decoded spans of ADDED_LEAST code points or more that touch none of them are
+added as kind crf. Spans count
 code points, end exclusive. Defined results: null and empty texts have no spans; a table without
-any pattern match gives a model that adds nothing; repeated rows get equal results; an empty table
-gives no rows; other columns are not read by `scan` and pass through `redact`.
+any pattern match gives a model that adds nothing; repeated rows get equal results (and count once for
+the sample); texts and lines of any length are scanned whole; an empty table gives no rows; other
+columns, whatever they are called, are not read by `scan` and pass through `redact`.
 """
 
 from __future__ import annotations
@@ -20,6 +32,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_or_empty, written
+from .shared import kth_smallest, text_or_empty, written
 
 # The patterns of the scan and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,9 +51,10 @@ KINDS = ("assign", "access", "hex", "crf")
 
 TRIGGERS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials access private login pass".split())
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
-MAX_MARKED, MAX_PLAIN, MAX_TOKENS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 60, 200_000, 3_000_000
+MAX_MARKED, MAX_PLAIN, MAX_WINDOWS, WINDOW, COPIES, STEPS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 2000, 80, 4, 120, 200_000, 3_000_000
+ADDED_LEAST = 8  # code points of a span that the field adds, as in the first pattern
 O, B, I = 0, 1, 2
-NEWLINE = "newline"
+NEWLINE, EDGE, NEAR, REACH = "newline", "edge", ("near none", "near trigger"), 6
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -91,10 +105,17 @@ def file_signature(triggers: bool, equals: bool, tokens: int) -> str:
     return f"file {triggers:d} {equals:d} {min(4, len(str(tokens)))}"
 
 
+def near_trigger(trigger: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether one of the REACH tokens before each is a trigger word; line holds where each token's line begins."""
+    at = np.arange(len(trigger))
+    sums = np.concatenate([[0], np.cumsum(trigger)])
+    return sums[at] > sums[np.maximum(at - REACH, line)]
+
+
 class Crf:
-    """Weights by position (own, before, two before, after, file), feature and tag; transitions; start."""
+    """Weights by place (own, before, two before, after, a trigger word near, file), feature and tag; transitions; start."""
 
-    PLACES = ("own", "before", "before2", "after", "file")
+    PLACES = ("own", "before", "before2", "after", "near", "file")
 
     def __init__(self):
         self.index: dict[str, int] = {}
@@ -111,54 +132,55 @@ class Crf:
 
     # fitting -------------------------------------------------------------------------------------
 
-    def fit(self, lines: list[tuple[list[str], list[int], str]], steps: int = 80, rate: float = 0.15, l2: float = 2e-3) -> "Crf":
-        """lines: (signatures, tags, file signature)."""
-        lines = sorted((x for x in lines if x[0]), key=lambda x: (len(x[0]), x[0], x[1]))
-        if not any(B in tags for _, tags, _ in lines):
+    def fit(self, windows: list["Window"], steps: int = STEPS, rate: float = 0.15, l2: float = 3e-5, balance: float = 0.5) -> "Crf":
+        """Adam over all windows; those of about the same length are taken together, time first.
+
+        Windows with a value, where they are few, weigh `balance` times as much together as the others.
+        """
+        windows = sorted((x for x in windows if x.tags), key=lambda x: (len(x.tags), x))
+        if not any(B in x.tags for x in windows):
             return self
-        sigs = sorted({s for x, _, _ in lines for s in x} | {f for _, _, f in lines} | {"edge"})
+        sigs = sorted({s for x in windows for s in x.signatures} | {x.file for x in windows} | {EDGE, *NEAR})
         at = {s: k for k, s in enumerate(sigs)}
         self.index = {f: k for k, f in enumerate(sorted({f for s in sigs for f in _features(s)}))}
         x = np.zeros((len(sigs), len(self.index)))
         for s, k in at.items():
             x[k, [self.index[f] for f in _features(s)]] = 1
-        n, length = len(lines), max(len(s) for s, _, _ in lines)
-        code = np.full((n, length + 3), at["edge"])
-        tag, mask = np.zeros((n, length), int), np.zeros((n, length), bool)
-        files = np.array([at[f] for _, _, f in lines])
-        for k, (s, t, _) in enumerate(lines):
-            code[k, 2 : 2 + len(s)] = [at[v] for v in s]
-            tag[k, : len(t)], mask[k, : len(t)] = t, True
-        views = {"own": code[:, 2:-1], "before": code[:, 1:-2], "before2": code[:, :-3], "after": code[:, 3:]}
-        size = len(self.index)
-        theta = np.zeros(5 * size * 3 + 12)
+        groups, begin = [], 0
+        for k, w in enumerate(windows):
+            if k + 1 == len(windows) or len(windows[k + 1].tags) > 1.3 * len(windows[begin].tags) + 2:
+                groups.append(_group(windows[begin : k + 1], at))
+                begin = k + 1
+        marked = sum(B in x.tags for x in windows)
+        heavy = max(1.0, balance * (len(windows) - marked) / marked)
+        n, size, classes, places = marked * heavy + len(windows) - marked, len(self.index), len(sigs), len(self.PLACES)
+        theta = np.zeros(places * size * 3 + 12)
         shut = np.zeros(12)
         shut[O * 3 + I] = shut[9 + I] = -1e4
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        one = np.eye(3)[tag] * mask[:, :, None]
         for t in range(1, steps + 1):
-            w = theta[:-12].reshape(5, size, 3)
+            w = theta[:-12].reshape(places, size, 3)
             tables = {p: x @ w[k] for k, p in enumerate(self.PLACES)}
-            unary = sum(tables[p][views[p]] for p in views) + tables["file"][files][:, None]
             trans, start = (theta[-12:-3] + shut[:9]).reshape(3, 3), theta[-3:] + shut[9:]
-            marginal, pairs = _marginals(unary, trans, start, mask)
-            miss = (one - marginal) * mask[:, :, None]
             grad = np.zeros_like(theta)
-            g = grad[:-12].reshape(5, size, 3)
-            for k, p in enumerate(self.PLACES):
-                by_class = np.zeros((len(sigs), 3))
-                if p == "file":
-                    np.add.at(by_class, files, miss.sum(1))
-                else:
-                    np.add.at(by_class, views[p][mask], miss[mask])
-                g[k] = x.T @ by_class
-            both = mask[:, 1:]
-            grad[-12:-3] = (np.einsum("nla,nlb->ab", one[:, :-1] * both[:, :, None], one[:, 1:]) - pairs).ravel()
-            grad[-3:] = (one[:, 0] - marginal[:, 0] * mask[:, :1]).sum(0)
+            by_class = np.zeros((places, classes, 3))
+            for g in groups:
+                weight = np.where(g.marked, heavy, 1.0)
+                unary = sum(tables[p][c] for p, c in zip(self.PLACES, g.codes)) + tables["file"][g.file]
+                marginal, pairs = _marginals(unary, trans, start, g.mask, weight)
+                miss = (g.one - marginal * g.mask[:, :, None]) * weight[:, None]
+                for tag in range(3):
+                    one_tag = np.ascontiguousarray(miss[:, :, tag]).ravel()
+                    for k, c in enumerate(g.codes):
+                        by_class[k, :, tag] += np.bincount(c.ravel(), one_tag, classes)
+                    by_class[-1, :, tag] += np.bincount(g.file, miss[:, :, tag].sum(0), classes)
+                grad[-12:-3] += (np.einsum("lna,lnb,n->ab", g.one[:-1], g.one[1:], weight) - pairs).ravel()
+                grad[-3:] += miss[0].sum(0)
+            grad[:-12] = (x.T @ by_class).ravel()
             grad = -grad / n + l2 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w = theta[:-12].reshape(5, size, 3)
+        w = theta[:-12].reshape(places, size, 3)
         self.weights = {p: w[k].copy() for k, p in enumerate(self.PLACES)}
         self.trans, self.start = (theta[-12:-3] + shut[:9]).reshape(3, 3), theta[-3:] + shut[9:]
         return self
@@ -187,10 +209,13 @@ class Crf:
 
     def unary(self, ids: np.ndarray, file: int) -> np.ndarray:
         """Scores of the tokens of one line."""
-        edge = self._id("edge")
+        edge = self._id(EDGE)
         padded = np.concatenate([[edge, edge], ids, [edge]])
+        far, near = map(self._id, NEAR)
+        names = list(self._ids)
+        close = near_trigger(np.array([names[i].startswith("trigger") for i in ids], bool), np.zeros(len(ids), np.int64))
         t = self._tables
-        return t["own"][ids] + t["before"][padded[1:-2]] + t["before2"][padded[:-3]] + t["after"][padded[3:]] + t["file"][file]
+        return t["own"][ids] + t["before"][padded[1:-2]] + t["before2"][padded[:-3]] + t["after"][padded[3:]] + t["near"][np.where(close, near, far)] + t["file"][file]
 
     def viterbi(self, unary: np.ndarray) -> list[int]:
         score = self.start + unary[0]
@@ -209,7 +234,7 @@ class Crf:
 
         The bound adds to a token's own gain the most that the transitions at its two sides can give.
         """
-        edge, newline = self._id("edge"), self._id(NEWLINE)
+        edge, newline, far, near = map(self._id, (EDGE, NEWLINE, *NEAR))
         split = [x.replace("\n", " \n ").split(" ") for x in texts]
         flat = pa.array([w for ws in split for w in ws], pa.large_string()).dictionary_encode()
         words = [self.word_ids(w) for w in flat.dictionary.to_pylist()]
@@ -238,7 +263,9 @@ class Crf:
         last = np.zeros(len(ids) + 1, bool)
         last[bounds] = True
         nxt = np.where(last[1:], edge, np.concatenate([shown[1:], [edge]])[: len(ids)])
-        gain = (t["own"][ids] + t["before"][prev] + t["before2"][prev2] + t["after"][nxt] + t["file"][file_ids][owner]).max(1)
+        begin = np.maximum.accumulate(np.where(first | (prev == edge), np.arange(len(ids)), 0))  # of the token's line
+        close = np.where(near_trigger(trigger, begin), near, far)
+        gain = (t["own"][ids] + t["before"][prev] + t["before2"][prev2] + t["after"][nxt] + t["near"][close] + t["file"][file_ids][owner]).max(1)
         free = np.concatenate([self.trans.ravel(), self.start])
         side = max(0.0, float(free.max() - self.trans[O, O]), float(self.start.max() - self.start[O]))
         line = np.cumsum(is_end) - is_end  # numbered over all texts
@@ -262,7 +289,7 @@ class Crf:
                     out.append((begins[k] + m.start(), begins[k] + m.end()))
                 elif tag == I:
                     out[-1] = (out[-1][0], begins[k] + m.end())
-        return out
+        return [(s, e) for s, e in out if e - s >= ADDED_LEAST]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         if not self.index:
@@ -277,84 +304,173 @@ class Crf:
         return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-
-def _marginals(unary, trans, start, mask):
-    """Tag probabilities of each token, and expected counts of tag pairs, by forward and backward sums."""
-    n, length, _ = unary.shape
-    forward, backward = np.zeros_like(unary), np.zeros_like(unary)
-    forward[:, 0] = start + unary[:, 0]
-    for k in range(1, length):
-        step = _log_sum(forward[:, k - 1, :, None] + trans, 1) + unary[:, k]
-        forward[:, k] = np.where(mask[:, k, None], step, forward[:, k - 1])
-    total = _log_sum(forward[:, -1], 1)
-    for k in range(length - 2, -1, -1):
-        step = _log_sum(trans + (unary[:, k + 1] + backward[:, k + 1])[:, None, :], 2)
-        backward[:, k] = np.where(mask[:, k + 1, None], step, 0)
-    marginal = np.exp(np.clip(forward + backward - total[:, None, None], -700, 0))
-    pairs = np.zeros((3, 3))
-    for k in range(1, length):
-        p = forward[:, k - 1, :, None] + trans + (unary[:, k] + backward[:, k])[:, None, :] - total[:, None, None]
-        pairs += (np.exp(np.clip(p, -700, 0)) * mask[:, k, None, None]).sum(0)
-    return marginal, pairs
-
-
-def training_lines(text: str, seed: int) -> list[tuple[list[str], list[int], str]]:
-    """The tagged lines of a text: those with values, redrawn copies of these, and some others."""
-    spans = pattern_spans(text)
-    values = sorted({(v, e) for _, e, _, v in spans})
+class Window(NamedTuple):
+    """Tokens of a line: their signatures with those of two tokens before and one after, whether a trigger
+    word is near, their tags, the file's signature."""
+
+    signatures: list[str]
+    near: list[bool]
+    tags: list[int]
+    file: str
+
+
+class _Group(NamedTuple):
+    """Windows of about the same length as arrays, time first."""
+
+    codes: tuple[np.ndarray, ...]  # signature numbers at the places own, before, before2, after, near
+    file: np.ndarray
+    mask: np.ndarray
+    one: np.ndarray
+    marked: np.ndarray
+
+
+def _group(windows: list[Window], at: dict[str, int]) -> _Group:
+    n, length = len(windows), len(windows[-1].tags)
+    code, near = np.full((length + 3, n), at[EDGE]), np.full((length, n), at[NEAR[0]])
+    tag, mask = np.zeros((length, n), int), np.zeros((length, n), bool)
+    for k, w in enumerate(windows):
+        code[: len(w.signatures), k] = [at[s] for s in w.signatures]
+        near[: len(w.tags), k] = [at[NEAR[x]] for x in w.near]
+        tag[: len(w.tags), k], mask[: len(w.tags), k] = w.tags, True
+    one = np.eye(3)[tag] * mask[:, :, None]
+    return _Group((code[2:-1], code[1:-2], code[:-3], code[3:], near), np.array([at[w.file] for w in windows]), mask, one, (tag == B).any(0))
+
+
+def _marginals(unary, trans, start, mask, weight=None):
+    """Tag probabilities of each token, and (weighted) expected counts of tag pairs, by forward and backward sums.
+
+    Arrays run over time first; sums are scaled to 1 at every token, so that nothing under- or overflows.
+    """
+    length, n, _ = unary.shape
+    e, t, s = np.exp(unary - unary.max(2, keepdims=True)), np.exp(trans), np.exp(start)
+    forward, scale = np.empty_like(e), np.ones((length, n, 1))
+    for k in range(length):
+        step = (s if not k else forward[k - 1] @ t) * e[k]
+        scale[k] = step.sum(1, keepdims=True)
+        forward[k] = step / scale[k]
+    backward, pairs = np.ones_like(e), np.zeros((3, 3))
+    for k in range(length - 1, 0, -1):
+        after = np.where(mask[k, :, None], e[k] * backward[k] / scale[k], 0)
+        pairs += (forward[k - 1] if weight is None else forward[k - 1] * weight[:, None]).T @ after
+        backward[k - 1] = np.where(mask[k, :, None], after @ t.T, 1)
+    return forward * backward, pairs * t
+
+
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def drawn_secret(rng: random.Random, n: int) -> str:
+    """A value of about n characters in a form that the patterns need not know."""
+    text = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    form = rng.randrange(6)
+    if form == 0:
+        return text(_LOWER + _UPPER + _DIGITS, n)
+    if form == 1:
+        return text(_LOWER + _DIGITS, n)
+    if form == 2:
+        return text("ABCDEF" + _DIGITS, n)
+    if form == 3:  # a prefixed key
+        return "_".join([text(_LOWER, rng.randrange(2, 5)), *([text(_LOWER, 4)] * rng.randrange(2)), text(_LOWER + _UPPER + _DIGITS, n)])
+    if form == 4:  # a signed token in parts
+        return ".".join(text(_LOWER + _UPPER + _DIGITS + "-_", k) for k in (n // 2 + 4, n, n))
+    return text(_LOWER + _UPPER + _DIGITS + "+/-", n)
+
+
+def drawn_plain(rng: random.Random) -> str:
+    """What mixes signs, letters and digits and is no secret: a date, time, version, number, path or short code."""
+    number = lambda a, b: str(rng.randrange(a, b))
+    word = lambda: "".join(rng.choices(_LOWER, k=rng.randrange(3, 9)))
+    return rng.choice([
+        lambda: f"{number(1900, 2100)}-{number(10, 13)}-{number(10, 29)}", lambda: f"v{number(0, 20)}.{number(0, 20)}.{number(0, 99)}", lambda: number(1, 10 ** rng.randrange(1, 13)),
+        lambda: "/".join([word(), word(), word() + number(0, 99)]), lambda: "".join(rng.choices(_UPPER, k=rng.randrange(1, 4))) + number(1, 10**5), lambda: f"{word()}-{word()}.{word()}", lambda: word() + number(0, 2030),
+    ])()
+
+
+def training_windows(text: str, seed: int, window: int = WINDOW, copies: int = COPIES) -> list[Window]:
+    """The tagged windows of a text; those with values come with so many copies of both kinds (see above)."""
+    values = sorted({(v, e) for _, e, _, v in pattern_spans(text)})
     tokens = TOKEN.findall(text)
     file = file_signature(any(t.lower() in TRIGGERS for t in tokens), "=" in tokens, len(tokens))
-    rng, out, at = random.Random(seed), [], 0
+    triggers, rng, out, at = sorted(TRIGGERS), random.Random(seed), [], 0
     for line in text.split("\n"):
-        found = list(TOKEN.finditer(line))
-        tags, held = [], None
-        for m in found:
+        words, tags, held = [], [], None
+        for m in TOKEN.finditer(line):
             inside = next(((v, e) for v, e in values if v <= at + m.start() and at + m.end() <= e), None)
+            words.append(m[0])
             tags.append(O if inside is None else I if inside == held else B)
             held = inside
         at += len(line) + 1
-        begin = max(0, tags.index(B) - MAX_TOKENS // 2) if B in tags else 0
-        words, tags = [m[0] for m in found][begin : begin + MAX_TOKENS], tags[begin : begin + MAX_TOKENS]
-        if B in tags or any(any(map(str.isdigit, w)) for w in words) or rng.random() < 0.2:
-            out.append(([signature(w) for w in words], tags, file))
-        if B in tags:
-            drawn = [w if t == O else "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(max(16, len(w)))) for w, t in zip(words, tags)]
-            out.append(([signature(w) for w in drawn], tags, file))
+        out += _windows(words, tags, file, window)
+        for secret in (True, False) * copies if B in tags else ():
+            copied, kept, bare = [], [], False
+            for w, t in zip(words, tags):
+                if t == I or bare and w in "'\"":  # a value without an opening sign has no closing one
+                    continue
+                bare = False
+                if t == O:
+                    if secret and w.lower() in TRIGGERS and rng.random() < 0.3:  # two of them, as in "access key"
+                        copied.append(rng.choice(triggers))
+                        kept.append(O)
+                    copied.append(w if w.lower() not in TRIGGERS else rng.choice(triggers) if secret else "".join(rng.choices(_LOWER, k=5)))
+                elif secret:
+                    while copied and copied[-1] in "=:'\"" or len(copied) > 1 and copied[-1] == "is":
+                        copied.pop()
+                        kept.pop()
+                    form = rng.choice([(), ("=",), (":",), ("=", ">"), ("is",), (":", '"'), ("=", "'"), ("=", ">", '"')])
+                    if not copied or copied[-1].lower() not in TRIGGERS:
+                        form = (rng.choice(triggers), *form)
+                    form = form or (copied.pop(),)
+                    kept = kept[: len(copied)]
+                    copied += [*form, drawn_secret(rng, rng.randrange(16, 49))]
+                    kept += [O] * len(form)
+                    bare = form[-1] not in "'\""
+                else:
+                    copied.append(drawn_plain(rng))
+                kept.append(t if secret else O)
+            out += [x for x in _windows(copied, kept, file, window) if not secret or B in x.tags]
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_marked: int = MAX_MARKED, max_plain: int = MAX_PLAIN) -> Crf:
-    """Fits the field on a sample of at most so many texts with and without pattern matches.
+def _windows(words: list[str], tags: list[int], file: str, window: int) -> list[Window]:
+    """A line in consecutive windows; a value that a cut would part goes on in the next one as its beginning."""
+    sigs = [EDGE, EDGE, *map(signature, words), EDGE]
+    near = near_trigger(np.array([s.startswith("trigger") for s in sigs[2:-1]], bool), np.zeros(len(words), np.int64)).tolist()
+    tags = [B if t == I and k % window == 0 else t for k, t in enumerate(tags)]
+    return [Window(sigs[k : k + window + 3], near[k : k + window], tags[k : k + window], file) for k in range(0, len(words), window)]
+
 
-    Both are drawn by a hash of the id (a null id by that of its text); only the lines' shapes and
-    tags come to the driver.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_marked: int = MAX_MARKED, max_plain: int = MAX_PLAIN, max_windows: int = MAX_WINDOWS, window: int = WINDOW, steps: int = STEPS) -> Crf:
+    """Fits the field on a bounded sample of texts with and without pattern matches, and of their windows.
+
+    Both are drawn by hashes of the id and the text; only the windows' shapes and tags come to the driver.
     """
-    texts = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), text_or_empty(text_col)), F.lit(5)).alias("draw"))
+    text = text_or_empty(text_col)
+    texts = docs.select(text.alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), text), F.lit(5)), F.lit(1 << 62)).alias("draw"))
     marked = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}") | F.col("text").rlike("AKIA[A-Z0-9]{12}") | F.col("text").rlike("[0-9a-f]{32}")
-    n = texts.count()
-    draw = F.pmod("draw", F.lit(1 << 40))
-    # One pass: keep plain texts by chance alone, marked ones up to a rate that the first pass measures.
-    plain = draw < int(min(1, max_plain / max(1, n)) * (1 << 40))
-    pool = draw < int(min(1, 60 * max_marked / max(1, n)) * (1 << 40))
-    sample = written(texts.where(pool & (plain | marked)).withColumn("marked", marked))
-    found = sample.where("marked").count()
-    rate = int(min(1, 60 * max_marked / max(1, n)) * (1 << 40)) * min(1, max_marked / max(1, found))
-    chosen = sample.where((F.col("marked") & (draw < int(rate) + 1)) | (~F.col("marked") & plain)).select("text", "draw", "marked").limit(2 * (max_marked + max_plain))
-    schema = T.StructType([T.StructField("line", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.IntegerType())), T.StructField("file", T.StringType())])
+    n = max(1, docs.agg(F.approx_count_distinct(id_col) + F.count_if(F.col(id_col).isNull())).first()[0])
+    # A first cut by the share that is wanted (marked texts are looked for among 60 times as many), then an exact one.
+    share = lambda k: F.col("draw") < int(min(1, k / n) * (1 << 62))
+    pool = texts.where(share(60 * max_marked)).groupBy("draw").agg(F.min("text").alias("text")).withColumn("marked", marked)  # rows that repeat an id count once
+    sample = written(pool.where(F.col("marked") | share(1.3 * max_plain)))
+    chosen = sample.limit(0)
+    for kind, most in ((F.col("marked"), max_marked), (~F.col("marked"), max_plain)):
+        mine = sample.where(kind)
+        last = kth_smallest(mine, "draw", most)
+        chosen = chosen if last is None else chosen.unionByName(mine.where(F.col("draw") <= last))
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("line", T.ArrayType(T.StringType())), T.StructField("near", T.ArrayType(T.BooleanType())), T.StructField("tags", T.ArrayType(T.IntegerType())), T.StructField("file", T.StringType())])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for text, seed in zip(batch["text"].to_pylist(), batch["draw"].to_pylist()) for x in training_lines(text, seed)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], names=schema.names)
-
-    drawn = [(list(r["line"]), list(r["tags"]), r["file"]) for r in chosen.mapInArrow(tag, schema).collect()]
-    drawn.sort(key=lambda r: (B not in r[1], hashlib.md5(repr(r).encode()).digest()))
-    with_secret = [r for r in drawn if B in r[1]][:max_marked]
-    return Crf().fit(with_secret + [r for r in drawn if B not in r[1]][: 2 * max_marked])
+            rows = [x for text, seed in zip(batch["text"].to_pylist(), batch["draw"].to_pylist()) for x in training_windows(text, seed, window)]
+            kinds = [0 if B in x.tags else 1 if any(s.startswith(("mix", "digits")) for s in x.signatures) else 2 for x in rows]
+            at = [int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=7).digest()) for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(at, pa.int64()), pa.array([x.signatures for x in rows], pa.list_(pa.string())), pa.array([x.near for x in rows], pa.list_(pa.bool_())), pa.array([x.tags for x in rows], pa.list_(pa.int32())), pa.array([x.file for x in rows], pa.string())], names=schema.names)
+
+    tagged = written(chosen.mapInArrow(tag, schema))
+    windows = []
+    for kind, most in ((0, 2 * max_windows), (1, max_windows), (2, max_windows)):  # those with a value and their copies
+        windows += tagged.where(F.col("kind") == kind).orderBy("at").limit(most).collect()
+    return Crf().fit([Window(list(r["line"]), list(r["near"]), list(r["tags"]), r["file"]) for r in windows], steps)
 
 
 def found_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, str]]]:

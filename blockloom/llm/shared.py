@@ -34,6 +34,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kth_smallest(df: DataFrame, column: str, k: int):
+    """The k-th smallest value of a column, the largest where there are fewer, None where there are none.
+
+    Filtering by it takes k rows without moving them into one task: only k values of each task are merged.
+    """
+    return df.select(column).orderBy(column).limit(k).agg(F.max(column)).first()[0]
+
+
 def text_or_empty(column: str):
     """The text column as string, null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

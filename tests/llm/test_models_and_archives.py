@@ -92,7 +92,7 @@ def crf():
     for k in range(400):
         text = " ".join(word() for _ in range(12))
         secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
-        lines += crf_secrets.training_lines(text + (f" token = \"{secret}\" " if k % 2 else f" {rng.randrange(10**6)} ") + text, k)
+        lines += crf_secrets.training_windows(text + (f" token = \"{secret}\" " if k % 2 else f" {rng.randrange(10**6)} ") + text, k)
     return crf_secrets.Crf().fit(lines, steps=80)
 
 
@@ -120,19 +120,19 @@ def test_viterbi_and_the_bound_equal_full_decoding(crf):
 
 def test_crf_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(0)
-    unary, trans, start = rng.normal(0, 1, (1, 4, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3)
-    mask = np.array([[True, True, True, False]])
+    unary, trans, start = rng.normal(0, 1, (4, 1, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3)
+    mask = np.array([[True], [True], [True], [False]])
     marginal, pairs = crf_secrets._marginals(unary, trans, start, mask)
     total = np.zeros((3, 3))
     both, z = np.zeros((3, 3)), 0.0
     for t in np.ndindex(3, 3, 3):
-        p = math.exp(start[t[0]] + sum(unary[0, k, x] for k, x in enumerate(t)) + trans[t[0], t[1]] + trans[t[1], t[2]])
+        p = math.exp(start[t[0]] + sum(unary[k, 0, x] for k, x in enumerate(t)) + trans[t[0], t[1]] + trans[t[1], t[2]])
         z += p
         for k, x in enumerate(t):
             total[k, x] += p
         both[t[0], t[1]] += p
         both[t[1], t[2]] += p
-    assert np.allclose(marginal[0, :3], total / z) and np.allclose(pairs, both / z)
+    assert np.allclose(marginal[:3, 0], total / z) and np.allclose(pairs, both / z)
 
 
 def test_scan_and_redact_tables(spark):
