@@ -3,11 +3,14 @@
 Every text is described by some twenty shares and means (distinct words, repeated neighbours,
 signs, capitals, repeated lines, ...), each unfolded into steps at quantiles of the sample, and a
 linear model over them is fitted by non-negative unbiased risk. Only the text is read: no labels,
-language, source or id are inputs of a score.
+language, source or id are inputs of a score. All numbers are defined for texts of every length: runs of
+two or five words of a shorter text are one run of all its words, a mean over no pairs is 0, and the
+share of the top word counts its repetitions (its occurrences but one).
 
 Defined results: null and empty texts have all shares 0 and get a score like any other text;
-repeated rows get equal scores; without any label 1 to learn from, every score is the prior; an
-empty table gives no rows; other columns are not read.
+repeated rows get equal scores, texts of any length are described whole; where no label, or every label
+that may be learnt from, is 1, every score is the prior (0 or 1); an empty table gives no rows; other
+columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ class _Shapes(dict):
 
 _shapes = _Shapes()
 NAMES = (
-    "words", "distinct words", "top word", "word length", "letters", "digits", "signs", "upper case", "only signs", "ends in signs", "short words", "capitals",
+    "words", "distinct words", "repeats of the top word", "word length", "letters", "digits", "signs", "upper case", "only signs", "ends in signs", "short words", "capitals",
     "repeated neighbours", "repeated after two", "distinct pairs", "distinct fives", "repeated lines", "words a line", "characters",
 )
 
@@ -67,6 +70,8 @@ def _describe(texts: list[str]) -> np.ndarray:
     code = np.asarray(flat.indices).astype(np.int64)
     shape = np.array([_shapes[w] for w in flat.dictionary.to_pylist()], np.float64).reshape(-1, 9)
     out, at = np.zeros((len(texts), len(NAMES))), 0
+    mean = lambda x: np.count_nonzero(x) / max(1, len(x))
+    distinct = lambda x: len(np.unique(x)) / len(x) if len(x) else 1.0
     for k, (text, words) in enumerate(zip(texts, split)):
         n = len(words)
         if not n:
@@ -76,12 +81,12 @@ def _describe(texts: list[str]) -> np.ndarray:
         total = shape[c].sum(0)
         chars = total[0]
         lines = [x for x in text.split("\n") if x]
-        pairs = c[1:] * len(shape) + c[:-1] if n > 1 else c
-        fives = (pairs[:-3] * 1_000_003 + pairs[3:]) * 1_000_003 + c[2:-2] if n > 4 else c
+        pairs = c[1:] * len(shape) + c[:-1]
+        fives = (pairs[:-3] * 1_000_003 + pairs[3:]) * 1_000_003 + c[2:-2]
         counts = np.unique(c, return_counts=True)[1]
         out[k] = (
-            np.log1p(n), len(counts) / n, counts.max() / n if n > 9 else 0, chars / n, total[1] / chars, total[2] / chars, total[3] / chars, *(total[4:] / n),
-            (c[1:] == c[:-1]).mean() if n > 1 else 0, (c[2:] == c[:-2]).mean() if n > 2 else 0, len(np.unique(pairs)) / len(pairs), len(np.unique(fives)) / len(fives),
+            np.log1p(n), len(counts) / n, (counts.max() - 1) / n, chars / n, total[1] / chars, total[2] / chars, total[3] / chars, *(total[4:] / n),
+            mean(c[1:] == c[:-1]), mean(c[2:] == c[:-2]), distinct(pairs), distinct(fives),
             1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)), np.log1p(len(text)),
         )
     return out
@@ -123,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
 
     rows = sorted((r["positive"], bytes(r["x"])) for r in sample.mapInArrow(described, schema).collect())
     x = {kind: np.frombuffer(b"".join(b for p, b in rows if p == kind)).reshape(-1, len(NAMES)) for kind in (True, False)}
-    if not len(x[True]) or not len(x[False]):
+    if not len(x[True]) or not len(x[False]) or prior == 1:
         return Model(np.zeros((0, 0)), np.zeros(0), prior)
     return fit(x[True], x[False], prior)
 

@@ -1,13 +1,18 @@
 """Toxicity classifier: non-negative positive-unlabelled learning over words and word beginnings.
 
-Features are the distinct words of a text (lower case, without signs at either end), their first
-three to seven characters, and whether two or three of the words share such a beginning. Those most
-over-represented in confirmed toxic texts against unlabelled ones are kept (at most `most`), and a linear model over their presence is fitted by the
-class-prior-corrected risk. Only the text is read: no labels, language, source or id are inputs.
+Features are the distinct words of a text (lower case, without signs at either end), their beginnings of
+three to seven characters (BEGINNINGS; a longer word has its own feature besides), and whether two or
+three of the words share such a beginning. A linear model over their presence is fitted by the
+class-prior-corrected risk. Features are chosen by four parameters of `train`: at least `least_texts`
+confirmed texts must have one, its over-representation against unlabelled texts must reach a z of
+`least_z`, the share of toxic texts among those that have it, as the prior lets it be estimated, must
+reach `least_share`, and of these the `most` largest z are kept. Only the text is read: no labels,
+language, source or id are inputs. Parameters choose features; no row is left out by them.
 
 Defined results: null and empty texts have no features and get the model's base score; repeated rows
-get equal scores; without any confirmed example every score is the prior, 0; an empty table gives no
-rows; other columns are not read.
+get equal scores, texts of any length are read whole; without any confirmed example every score is the
+prior, 0, and where every label that may be learnt from is 1, it is 1; an empty table gives no rows;
+other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from .pu_learning import fit_nn_pu, sigmoid, training_sample
 from .quality_pu import scored
 from .shared import text_or_empty
 
-MOD, REMAINDER, THRESHOLD, FEATURES, LEAST_TEXTS, LEAST_Z, LEAST_SHARE, WORDS_KEPT, GROUP_CHARS = 3, 1, 0.7, 400, 3, 5.0, 0.4, 300_000, 3_000_000
+MOD, REMAINDER, THRESHOLD, WORDS_KEPT, GROUP_CHARS = 3, 1, 0.7, 300_000, 3_000_000
+#: How features are chosen; see above.
+FEATURES, LEAST_TEXTS, LEAST_Z, LEAST_SHARE, BEGINNINGS = 400, 3, 4.0, 0.6, (3, 7)
 
 
 def features(words: set[str]) -> set[str]:
@@ -51,7 +58,7 @@ def bare(word: str) -> str:
 
 def features_of(word: str) -> list[str]:
     """A bare word itself (marked) and its beginnings; none for the empty word."""
-    return [f"={word}", *[word[:k] for k in range(3, min(7, len(word)) + 1)]] if word else []
+    return [f"={word}", *[word[:k] for k in range(BEGINNINGS[0], min(BEGINNINGS[1], len(word)) + 1)]] if word else []
 
 
 @dataclass
@@ -114,7 +121,7 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], index: dict[str,
     return Model(index, weights, intercept, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = MOD, remainder: int = REMAINDER, max_positive: int = pu_learning.MAX_POSITIVE, max_unlabelled: int = pu_learning.MAX_UNLABELLED, most: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = MOD, remainder: int = REMAINDER, max_positive: int = pu_learning.MAX_POSITIVE, max_unlabelled: int = pu_learning.MAX_UNLABELLED, most: int = FEATURES, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z, least_share: float = LEAST_SHARE) -> Model:
     """Feature counts of the bounded sample are added up by Spark; the chosen features and the sample's
     short lists of them come to the driver, where the model is fitted."""
     sample, prior = training_sample(docs, labels, label, mod, remainder, max_positive, max_unlabelled)
@@ -129,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = M
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([kinds[0][f] for f in names], pa.int64()), pa.array([kinds[1][f] for f in names], pa.int64())], names=counted.names)
 
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(True) or not n.get(False):
+    if not n.get(True) or not n.get(False) or prior == 1:
         return Model({}, np.zeros(0), 0.0, prior)
-    sums = sample.mapInArrow(count, counted).groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_TEXTS)
+    sums = sample.mapInArrow(count, counted).groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least_texts)
     share = (F.col("p") + F.col("u")) / (n[True] + n[False])
-    z = (F.col("p") / n[True] - F.col("u") / n[False]) / F.sqrt(share * (1 - share) * (1 / n[True] + 1 / n[False]))
+    z = F.try_divide(F.col("p") / n[True] - F.col("u") / n[False], F.sqrt(share * (1 - share) * (1 / n[True] + 1 / n[False])))  # null for what every text has
     toxic = prior * (F.col("p") / n[True]) / ((F.col("u") + 0.5) / n[False])  # share of the texts with the feature, as estimated
-    best = sums.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (toxic >= LEAST_SHARE)).orderBy(F.desc("z"), "feature").limit(most).collect()
+    best = sums.withColumn("z", z).where((F.col("z") >= least_z) & (toxic >= least_share)).orderBy(F.desc("z"), "feature").limit(most).collect()
     index = {r["feature"]: k for k, r in enumerate(best)}
     bare = Model(index, np.zeros(0), 0.0, prior)
     listed = T.StructType([T.StructField("positive", T.BooleanType()), T.StructField("f", T.ArrayType(T.IntegerType()))])
