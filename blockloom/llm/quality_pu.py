@@ -105,7 +105,10 @@ class Model:
         return np.clip(step, 0, 1).reshape(len(x), -1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(self.unfolded(describe(texts)) @ self.weights + self.intercept) if len(self.weights) else np.full(len(texts), self.intercept)
+        """A row's sum does not depend on the rows beside it, so equal texts get equal scores."""
+        if not len(self.weights):
+            return np.full(len(texts), self.intercept)
+        return sigmoid((self.unfolded(describe(texts)) * self.weights).sum(1) + self.intercept)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
