@@ -40,7 +40,8 @@ def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc_index.captures(warc_index.archive(spark, read_table(spark, sf_dir, "pages")), payloads=False)
+    pages = read_table(spark, sf_dir, "pages")
+    found = warc_index.look_up(warc_index.archive(spark, pages), pages, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

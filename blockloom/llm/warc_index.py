@@ -4,14 +4,21 @@ Writing: each task appends its records, one gzip member each, to archives of its
 folder and reports where each record lies; only the archives that a finished task reports are read,
 so a task that is run again does no harm. Index: entries (reversed-host URL key, page, archive,
 offset, length) are sorted by range partitioning and written as compressed blocks; the sparse
-directory holds one row per block with its first key. Reading: a look-up searches the directory by
-bisection, reads the block's byte range, bisects the block's keys and reads the record's byte range.
+directory holds one row per block with its first and last key, and the part (task) that wrote it.
+
+Looking up any number of URLs is a Spark job: their distinct keys are dealt to the parts of the index by
+bisecting the parts' key ranges (as many as tasks wrote the index), the keys of a part meet its
+directory rows sorted, each key bisects the directory, the block's byte range is read once for all keys
+in it, and each key bisects the block's entries. Records are then read by byte ranges, neighbours in an
+archive together. Blocks without a wanted key are not opened.
 
 Of records with equal payloads of at least `least` bytes the one with the largest page id is a
 response and the others revisit it. Defined results: null html is an empty payload, a null url an
 empty key; null ids rank below every other id, and a group with no id at all has only responses;
-rows that repeat the id of the response are responses too; an empty table gives no archives; other
-columns are not read.
+rows that repeat the id of the response are responses too; html of any length is one record; URLs with one
+and the same key share their captures, and a key that is asked for several times gives them once; an
+empty table gives no archives, and look-ups in an empty directory find nothing; other columns, whatever
+they are called, are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +51,7 @@ ENTRY = T.StructType([
 ])
 DIRECTORY = T.StructType([
     T.StructField("first_key", T.StringType()), T.StructField("last_key", T.StringType()), T.StructField("file", T.StringType()),
-    T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("entries", T.LongType()),
+    T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("entries", T.LongType()), T.StructField("part", T.IntegerType()),
 ])
 CAPTURE = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()),
@@ -156,11 +164,11 @@ def build_index(entries: DataFrame, folder: str, per_block: int = ENTRIES_PER_BL
     ordered = entries.repartitionByRange("key", F.xxhash64("archive", "offset")).sortWithinPartitions("key", "page_id", "archive", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, held, rows = _Files(folder, ".cdx", ARCHIVE_BYTES), [], []
+        files, held, rows, part = _Files(folder, ".cdx", ARCHIVE_BYTES), [], [], TaskContext.get().partitionId()
 
         def block() -> None:
             data = zlib.compress(json.dumps(held).encode(), 6)
-            rows.append((held[0][0], held[-1][0], *files.append(data), len(data), len(held)))
+            rows.append((held[0][0], held[-1][0], *files.append(data), len(data), len(held), part))
             held.clear()
 
         for batch in batches:
@@ -171,8 +179,8 @@ def build_index(entries: DataFrame, folder: str, per_block: int = ENTRIES_PER_BL
         if held:
             block()
         files.close()
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=DIRECTORY.names)
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=DIRECTORY.names)
 
     return written(ordered.mapInArrow(write, DIRECTORY))
 
@@ -189,19 +197,71 @@ def read_block(file: str, offset: int, length: int) -> list[list]:
     return json.loads(zlib.decompress(_range(file, offset, length)))
 
 
-def captures(directory: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every capture in the index: blocks, then records in ranges that join neighbours in an archive.
+_ENTRY_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
-    payloads=False leaves the (checked) payloads out of the result.
-    """
 
-    def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(directory: DataFrame, urls: DataFrame, url_col: str) -> DataFrame:
+    """part, key: the distinct keys of the URLs, each with the parts of the index whose range holds it (materialised)."""
+    schema = T.StructType([T.StructField("key", T.StringType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, offset, length in zip(*(batch[c].to_pylist() for c in ("file", "offset", "length"))):
-                rows = read_block(file, offset, length)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=ENTRY.names)
+            yield pa.RecordBatch.from_arrays([pa.array(map(url_key, batch.column(0).to_pylist()), pa.string())], names=["key"])
+
+    ranges = sorted(map(tuple, directory.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).select("lo", "hi", "part").collect()))  # a row for each task of the index
+    lows, highs, parts = ([r[k] for r in ranges] for k in range(3))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(parts[k], key) for key in batch["key"].to_pylist() for k in range(bisect.bisect_left(highs, key), bisect.bisect_right(lows, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["part", "key"])
+
+    keys = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(keyed, schema).distinct()
+    return written(keys.mapInArrow(deal, T.StructType([T.StructField("part", T.IntegerType()), *schema.fields])))
+
 
-    found = directory.mapInArrow(open_blocks, ENTRY)
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of wanted keys, from rows that come sorted: a part's directory, then the keys wanted of it."""
+    part, firsts, lasts, spots = None, [], [], []
+    at, entries, found = -1, [], []
+    for batch in batches:
+        for p, wanted, key, last, *spot in zip(*(batch[c].to_pylist() for c in ("part", "wanted", "key", "last_key", "file", "offset", "length"))):
+            if p != part:
+                part, firsts, lasts, spots, at = p, [], [], [], -1
+            if not wanted:
+                firsts.append(key)
+                lasts.append(last)
+                spots.append(spot)
+                continue
+            for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                if k != at:
+                    at, entries = k, read_block(*spots[k])
+                begin = bisect.bisect_left(entries, key, key=lambda e: e[0])
+                while begin < len(entries) and entries[begin][0] == key:
+                    found.append(entries[begin])
+                    begin += 1
+                if len(found) >= 5000:
+                    yield _entry_batch(found)
+                    found = []
+    yield _entry_batch(found)
+
+
+def _entry_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _ENTRY_TYPES)], names=ENTRY.names)
+
+
+def look_up(directory: DataFrame, urls: DataFrame, url_col: str = "url", payloads: bool = True) -> DataFrame:
+    """The captures of all URLs of a table, one row each.
+
+    payloads=False leaves the (checked) payloads out of the result.
+    """
+    dealt = _dealt(directory, urls, url_col)
+    mine = directory.join(dealt.select("part").distinct(), "part", "left_semi")
+    blank = lambda kind: F.lit(None).cast(kind)
+    rows = mine.select("part", F.lit(False).alias("wanted"), F.col("first_key").alias("key"), "last_key", "file", "offset", "length").unionByName(
+        dealt.select("part", F.lit(True).alias("wanted"), "key", blank("string").alias("last_key"), blank("string").alias("file"), blank("long").alias("offset"), blank("long").alias("length"))
+    )
+    found = rows.repartition("part").sortWithinPartitions("part", "wanted", "key", "last_key").mapInArrow(_search, ENTRY)
     stripe = (F.col("offset") / F.lit(16 << 20)).cast("long")
     near = found.repartition("archive", stripe).sortWithinPartitions("archive", "offset")
     return near.mapInArrow(lambda batches: _read_records(batches, payloads), CAPTURE)
@@ -227,30 +287,6 @@ def _read_records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
 _CAPTURE_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-class CaptureIndex:
-    """Look-ups of single URLs: the directory is read once, blocks and records by byte ranges.
-
-    The directory has a row for every `per_block` captures; where even that is too much for one
-    process, restrict it by key first (its file is sorted) or join with it instead.
-    """
-
-    def __init__(self, directory: DataFrame):
-        self.rows = sorted(map(tuple, directory.collect()), key=lambda r: r[:2])
-        self.lasts = [r[1] for r in self.rows]
-
-    def find(self, url: str) -> list[dict]:
-        key, out = url_key(url), []
-        for first, _, file, offset, length, _ in self.rows[bisect.bisect_left(self.lasts, key) :]:
-            if first > key:
-                break
-            entries = read_block(file, offset, length)
-            at = bisect.bisect_left(entries, key, key=lambda e: e[0])
-            while at < len(entries) and entries[at][0] == key:
-                out.append(parsed(_range(*entries[at][2:])))
-                at += 1
-        return out
-
-
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
     """Writes archives and index below folder and returns the directory."""
     folder = folder or os.path.join(shared_dir(spark), "warc")

@@ -159,7 +159,7 @@ def test_archives_round_trip(spark, monkeypatch):
     rows = [(1, "http://a.org/x", long), (2, "http://a.org/y", long), (9, "http://b.org/", long), (3, None, None), (4, "http://a.org/x", "short"), (5, "http://c.org/\r\n\r\n", "short"), (None, "http://n.org/", other), (7, "http://n.org/", other), (8, "http://d.org/", "a\r\n\r\nb" + "z" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     directory = warc_index.build_index(warc_index.write_archives(pages, shared_dir(spark)), shared_dir(spark), per_block=2)
-    got = {r["page_id"]: r for r in warc_index.captures(directory).collect()}
+    got = {r["page_id"]: r for r in warc_index.look_up(directory, pages).collect()}
     assert len(got) == len(rows)
     for i, url, html in rows:
         r, data = got[i], (html or "").encode()
@@ -168,10 +168,44 @@ def test_archives_round_trip(spark, monkeypatch):
         assert r["payload_bytes"] == len(data) and r["refers_to"] == (response if response != i else None)
         assert r["record_type"] == ("response" if response == i else "revisit")
         assert bytes(r["payload"]) == (data if response == i else b"")
-    index = warc_index.CaptureIndex(directory)
-    assert sorted(c["page_id"] for c in index.find("https://www.a.org/x")) == [1, 4]
-    assert index.find("http://missing.org/") == [] and len(index.rows) >= 5
-    assert warc_index.captures(warc_index.archive(spark, pages.limit(0))).count() == 0
+    asked = lambda *urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    assert sorted(r["page_id"] for r in warc_index.look_up(directory, asked("https://www.a.org/x", "http://a.org/x")).collect()) == [1, 4]
+    assert warc_index.look_up(directory, asked("http://missing.org/", "http://zz.zz/", "http://a.a/")).count() == 0 and directory.count() >= 5
+    empty = warc_index.archive(spark, pages.limit(0))
+    assert warc_index.look_up(empty, pages).count() == 0 and warc_index.look_up(directory, asked()).count() == 0
+
+
+def test_look_ups_open_no_block_without_a_wanted_key(spark):
+    """All other blocks are overwritten: what is wanted is found all the same, and their keys are an error."""
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://host', id % 40, '.org/', id % 50) AS url", "concat('page ', id) AS html")
+    directory = warc_index.build_index(warc_index.write_archives(pages, shared_dir(spark)), shared_dir(spark), per_block=5)
+    wanted = "http://host7.org/7"
+    key, spoilt = warc_index.url_key(wanted), 0
+    for r in directory.collect():
+        if not r["first_key"] <= key <= r["last_key"]:
+            path = "/" + r["file"].split(":", 1)[-1].lstrip("/")
+            with open(path, "r+b") as file:
+                file.seek(r["offset"])
+                file.write(b"\0" * r["length"])
+            spoilt += 1
+    assert spoilt > 70
+    got = warc_index.look_up(directory, spark.createDataFrame([(wanted,)], "url string")).collect()
+    assert sorted(r["page_id"] for r in got) == [k for k in range(400) if k % 40 == 7 and k % 50 == 7]
+    with pytest.raises(Exception):
+        warc_index.look_up(directory, pages.where("page_id = 0")).collect()
+
+
+def test_a_hot_url_spans_parts_and_odd_pages_keep_their_rows(spark):
+    same = [(k, "http://hot.org/", f"<p>{k % 3}" + "z" * 1500) for k in range(300)]
+    odd = [(7, "http://hot.org/", "<p>1" + "z" * 1500), (7, "http://hot.org/", "<p>1" + "z" * 1500), (900, None, "x" * 3_000_000), (901, "\u00e4.example/\U0001f600?q=1 2", None), (None, None, "y" * 1200)]
+    pages = spark.createDataFrame([(*r, "c", 1) for r in same + odd], "page_id long, url string, html string, key string, offset int")
+    found = warc_index.look_up(warc_index.build_index(warc_index.write_archives(pages, shared_dir(spark)), shared_dir(spark), per_block=7), pages, payloads=False).collect()
+    assert sorted((r["page_id"] if r["page_id"] is not None else -1 for r in found)) == sorted(r[0] if r[0] is not None else -1 for r in same + odd)
+    top = {f"<p>{c}": max(k for k, _, h in same if h.startswith(f"<p>{c}")) for c in range(3)}
+    for r in found:
+        html = next((h for k, _, h in same + odd if k == r["page_id"]), None) or ""
+        response = top[html[:4]] if html.startswith("<p>") else r["page_id"]
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if response == r["page_id"] else ("revisit", response)) and r["payload"] is None
 
 
 def brute_cosine(rows, t):
