@@ -7,8 +7,9 @@ records recursively into spill files until the distinct contents of a bucket fit
 table that compares complete contents.
 
 Defined results: a null text is the empty text; a null id ranks after every other id; of rows that
-repeat both id and text one stays; empty input gives empty output; other columns, whatever they are
-called, pass through `keep` untouched.
+repeat both id and text one stays (that with the smallest other columns, so the choice doesn't depend on
+the order of rows); texts of any length are compared whole; empty input gives empty output; other columns,
+whatever they are called, pass through `keep` untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from .shared import text_or_empty, written
 _TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 #: Bytes of batches that a task folds at a time, and the spill files of one level.
 MEMORY, FANOUT_BITS = 48 << 20, 4
-RUNS_OF_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def normalised(text: str | None) -> bytes:
@@ -40,9 +40,20 @@ def normalised(text: str | None) -> bytes:
     return b
 
 
-def content_key(text_col: str):
-    """SHA-256 of the normalised text as native expression (32 bytes)."""
-    return F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), RUNS_OF_SPACE, " "), 256))
+def content_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (SHA-256 of the normalised text, 32 bytes) for every row; no shuffle."""
+    slim = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    schema = T.StructType([slim.schema["id"], T.StructField("key", T.BinaryType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([sha256_of(x) for x in batch["text"].to_pylist()], pa.binary())], names=schema.names)
+
+    return slim.mapInArrow(keyed, schema)
+
+
+def sha256_of(text: str | None) -> bytes:
+    return hashlib.sha256(normalised(text)).digest()
 
 
 class ContentTable:
@@ -200,7 +211,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory
 
     def keyed(batches):
         for b in batches:
-            keys = pa.array([hashlib.sha256(normalised(x)).digest() for x in b["text"].to_pylist()], pa.binary())
+            keys = pa.array([sha256_of(x) for x in b["text"].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, b["id"], b["_n"]], ["key", "keep_id", "group_size"])
 
     return kept.mapInArrow(keyed, schema)
@@ -209,11 +220,13 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory
 def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Membership comes back by joining ids and keys only (no texts). Rows that repeat id and key are
-    counted before that join; adaptive execution splits the partition of a hot key.
+    Which contents are equal, the smallest id and the size of each group come from the table that
+    compares complete contents; rows then find their group by the SHA-256 of their normalised text, so
+    the second pass moves ids and keys only. Rows that repeat id and key are counted before that join;
+    adaptive execution splits the partition of a hot key.
     """
     found = written(groups(df, id_col, text_col, memory))
-    rows = df.select(F.col(id_col).alias("doc_id"), content_key(text_col).alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = content_keys(df, id_col, text_col).withColumnRenamed("id", "doc_id").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     return rows.join(found, "key").select(
         "doc_id", "keep_id", "group_size", F.hex("key").alias("h"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower("h").alias("text_sha256"))
