@@ -4,15 +4,19 @@ Documents with one and the same set are taken together. Sets that agree in any o
 MinHash values are candidates (a pair at the threshold is missed with probability 3e-6). Candidates
 are compared MinHash by MinHash, 32 at a time: under a uniform prior, the pair is dropped as soon as
 the posterior probability that it reaches the threshold falls below the tolerance. Sets that
-stay connected form clusters; each cluster is brought together once, its pairs go through the same
-test, and what is left is verified on the complete sets. No pair is ever a row: tasks count links
-and hand on one edge per set, so the rows stay in proportion to the documents. Buckets and
-clusters beyond a task's share are split into blocks and compared block against block.
+stay connected form clusters. A cluster of more than a few hundred sets is split into blocks; the same
+test on signatures alone tells which pairs of blocks have any pair left, and only these fetch their
+blocks' complete sets (packed and compressed, as near copies share most n-grams) to verify them
+exactly. No pair of documents is ever a row: tasks count links and hand on one edge per set, so the rows
+stay in proportion to the documents. Buckets beyond a task's share are compared block against block too.
+
+The complete sets are worked out again from the texts of one document of each clustered set; where
+these are too many to broadcast their keys, that join shuffles the texts once.
 
 Words are what white space separates, in lower case; a text of fewer than n words has one n-gram of
 all its words. Defined results: null and empty texts have no n-grams and link with nothing; repeated
-rows are copies like others (they share a set); null ids rank after all others; an
-empty table gives no rows; other columns are not read.
+rows are copies like others (they share a set); null ids rank after all others; texts of any length
+have all their n-grams; an empty table gives no rows; other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .components import UnionFind, components
 from .shared import text_or_empty, written
@@ -36,8 +39,10 @@ from .shared import text_or_empty, written
 WORDS, THRESHOLD, TOLERANCE = 5, (4, 5), 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
 HASHES = BANDS * ROWS
-#: Members of a bucket, and n-grams of a cluster, that one task holds; more are split into blocks.
-BUCKET, CLUSTER_GRAMS, CLUSTER_MEMBERS = 4096, 1_500_000, 4096
+#: Members of a bucket that one task holds, and members and n-grams of a cluster that stay in one block.
+BUCKET, CLUSTER_MEMBERS, CLUSTER_GRAMS = 4096, 256, 1_500_000
+#: Larger clusters have blocks of at least so many members, about so many blocks, and blocks of at most so many.
+BLOCK_LEAST, BLOCKS, BLOCK_MOST = 64, 40, 4096
 GROUP_CHARS = 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,22 +250,57 @@ def _linked_twos(rows: list[tuple[bytes, bytes]], rules: list[tuple[int, int]])
     return pa.RecordBatch.from_arrays([pa.array([pairs[k][c][0] for k in stay], pa.binary()) for c in (0, 1)], ["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, links, root): linked documents in other classes, and the smallest class reached."""
-    rules, (num, den) = least_matches(), THRESHOLD
-    for rows in _grouped(batches, ["cluster", "i", "j"]):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block: nodes, documents of each, sizes, signatures, and the sets as a compressed payload."""
+    for rows in _grouped(batches, ["cluster", "block"]):
         first: dict[bytes, int] = {}
         for k, node in enumerate(rows["node"].to_pylist()):  # rows that repeat id and text come twice
             first.setdefault(node, k)
-        nodes = list(first)
         rows = rows.take(pa.array(first.values(), pa.int64()))
+        join = lambda c: b"".join(rows[c].to_pylist())
+        numbers = lambda c: np.asarray(rows[c]).astype(np.int64).tobytes()
+        sets = pa.compress(join("set"), codec="zstd", asbytes=True)
+        head = [rows["cluster"][:1], rows["block"][:1], rows["blocks"][:1]]
+        yield pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in (join("node"), numbers("docs"), numbers("grams"), join("sig"), sets))], names=_BLOCK.names)
+
+
+_BLOCK = T.StructType([
+    T.StructField("cluster", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("blocks", T.IntegerType()),
+    *(T.StructField(c, T.BinaryType()) for c in ("nodes", "docs", "sizes", "sigs", "sets")),
+])
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """Each block once for each pair (i <= j) of blocks of its cluster."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return blocks.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
+
+
+def _plausible_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, i, j) of the pairs of blocks with a pair of sets that no step drops."""
+    rules, found = least_matches(), []
+    for rows in _grouped(batches, ["cluster", "i", "j"]):
+        sigs = [np.frombuffer(x, np.uint8).reshape(-1, HASHES) for x in rows["sigs"].to_pylist()]
+        a, b, same = sigs[0], sigs[-1], rows["i"][0] == rows["j"][0]
+        if not same and len(sigs) == 1:  # the hash left the other block empty
+            continue
+        if any(((p + x.start < q + y.start) if same else np.ones(len(p), bool)).any() for x, y in _tiles(len(a), len(b)) for p, q in [plausible(a[x], b[y], rules)]):
+            found.append([rows[c][0].as_py() for c in ("cluster", "i", "j")])
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["cluster", "i", "j"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, links, root): linked documents in other classes, and the smallest class reached."""
+    rules, (num, den) = least_matches(), THRESHOLD
+    for rows in _grouped(batches, ["cluster", "i", "j"]):
+        join = lambda c: b"".join(rows[c].to_pylist())
+        raw, at = join("nodes"), np.cumsum([0, *(len(x) // 16 for x in rows["nodes"].to_pylist())])
+        nodes = [raw[k : k + 16] for k in range(0, len(raw), 16)]
         n = len(nodes)
-        sig, size = _matrix(rows["sig"], HASHES), np.asarray(rows["grams"])
-        docs, mine = np.asarray(rows["docs"]), np.asarray(rows["mine"])
-        i0, j0 = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left = np.flatnonzero(mine == i0)
-        right = np.flatnonzero(mine == j0)
-        grams = np.frombuffer(b"".join(rows["set"].to_pylist()), np.uint64)
+        sig, size, docs = np.frombuffer(join("sigs"), np.uint8).reshape(-1, HASHES), np.frombuffer(join("sizes"), np.int64), np.frombuffer(join("docs"), np.int64)
+        i0, j0 = 0, rows.num_rows - 1  # one block with itself, or two
+        left, right = np.arange(at[i0], at[i0 + 1]), np.arange(at[j0], at[j0 + 1])
+        grams = np.frombuffer(b"".join(pa.decompress(x, int(size[at[k] : at[k + 1]].sum()) * 8, codec="zstd", asbytes=True) for k, x in enumerate(rows["sets"].to_pylist())), np.uint64)
         begin = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(n), size)
         order = np.argsort(grams, kind="stable")
@@ -315,17 +355,21 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes)
     # Buckets with two classes or more, then the signatures of these classes only.
     bands = classes.select("node", F.explode("bands").alias("key"))
-    shared = bands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    # Counts are combined before their shuffle and written, so that the join can split a very common key.
+    many = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = bands.join(many, "key")
     buckets = shared.withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int")).drop("n").join(classes.select("node", "sig"), "node")
     pairs = _blocks(buckets, "blocks", "key").drop("mine").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     edge = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     clusters = components(pairs.mapInArrow(_linked_in_bucket, edge)).withColumnRenamed("root", "cluster")
-    # Each cluster's complete sets, once.
+    # Each cluster's complete sets, in blocks.
     chosen = written(clusters.join(classes.select("node", "docs", "one", "grams", "sig"), "node"))
-    sizes = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("grams") / CLUSTER_GRAMS), F.ceil(F.count(F.lit(1)) / CLUSTER_MEMBERS)).cast("int").alias("blocks"))
+    members, grams = F.count(F.lit(1)), F.ceil(F.sum("grams") / CLUSTER_GRAMS)
+    many = F.greatest(F.least(F.ceil(members / BLOCK_LEAST), F.lit(BLOCKS)), F.ceil(members / BLOCK_MOST))
+    sizes = chosen.groupBy("cluster").agg(F.greatest(F.when(members > CLUSTER_MEMBERS, many).otherwise(F.lit(1)), grams).cast("int").alias("blocks"))
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.unhex(F.sha1("text")))
-    wanted = chosen.join(sizes, "cluster").select("cluster", "blocks", "node", "docs", "grams", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
-    ready = texts.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).select("cluster", "blocks", "node", "docs", "grams", "sig", "text")
+    wanted = chosen.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "docs", "grams", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
+    ready = texts.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).select("cluster", "block", "blocks", "node", "docs", "grams", "sig", "text")
     with_set = T.StructType([*ready.drop("text").schema.fields, T.StructField("set", T.BinaryType())])
 
     def add_sets(batches):
@@ -333,9 +377,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = pa.array([g.tobytes() for g in gram_sets(batch["text"].to_pylist(), words)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in with_set.names[:-1]], sets], names=with_set.names)
 
-    tasks = _blocks(ready.mapInArrow(add_sets, with_set), "blocks", "cluster").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    blocks = written(ready.mapInArrow(add_sets, with_set).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "node").mapInArrow(_packed, _BLOCK))
+    pair = T.StructType([T.StructField("cluster", T.BinaryType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
+    split = _block_pairs(blocks.where("blocks > 1").select("cluster", "block", "blocks", "sigs")).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
+    alive = split.mapInArrow(_plausible_blocks, pair)
+    sides = alive.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tasks = blocks.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(blocks.where("blocks > 1").join(sides, ["cluster", "block"])).drop("blocks")
     found = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
-    verified = written(tasks.mapInArrow(_verified, found))
+    verified = written(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(_verified, found))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_class = written(classes.select("node", "set_id", "docs").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -355,6 +404,6 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
 
     Rows that repeat both id and text stay or go together (exact deduplication comes first).
     """
-    stays = jaccard_join(df, id_col, text_col, words).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same_text = F.unhex(F.sha1(F.coalesce(df[text_col].cast("string"), F.lit("")))) == stays["__key"]
-    return df.join(stays, df[id_col].eqNullSafe(stays["__id"]) & same_text, "left_semi")
+    goes = jaccard_join(df, id_col, text_col, words).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same_text = F.unhex(F.sha1(F.coalesce(df[text_col].cast("string"), F.lit("")))) == goes["__key"]
+    return df.join(goes, df[id_col].eqNullSafe(goes["__id"]) & same_text, "left_anti")

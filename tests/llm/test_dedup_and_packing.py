@@ -94,9 +94,9 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
                 copy[rng.randrange(90)] = word()
             rows.append((100 * k + c + 10, " ".join(copy + (passage if c % 3 == 0 else []))))
     links, component = jaccard_by_hand(rows)
-    for bucket, members in ((4096, 4096), (3, 3)):  # also with buckets and clusters split into blocks
-        monkeypatch.setattr(bayes_jaccard, "BUCKET", bucket)
-        monkeypatch.setattr(bayes_jaccard, "CLUSTER_MEMBERS", members)
+    for bucket, members, least, blocks in ((4096, 256, 64, 40), (3, 3, 2, 3), (4096, 1, 1, 40)):  # also with buckets and clusters split into blocks
+        for name, value in (("BUCKET", bucket), ("CLUSTER_MEMBERS", members), ("BLOCK_LEAST", least), ("BLOCKS", blocks)):
+            monkeypatch.setattr(bayes_jaccard, name, value)
         got = {r["doc_id"]: r for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
         for (i, _), near, c in zip(rows, links, component):
             assert (got[i]["n_links"], got[i]["class_id"], got[i]["kept"]) == (len(near), c, i == c), i
@@ -111,6 +111,13 @@ def test_jaccard_keep_and_empty_tables(spark):
     assert bayes_jaccard.jaccard_join(df.where("doc_id = 3")).first()["n_links"] == 0
 
 
+def test_jaccard_of_very_long_and_repeated_texts(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long), (2, long.replace("w77 ", "x ")), (2, long.replace("w77 ", "x ")), (3, " ".join(f"v{k}" for k in range(90_000))), (None, long)]
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert got == sorted([(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 3, 0, True), (None, 1, 3, False)], key=repr)
+
+
 def test_bayes_rules_keep_pairs_at_the_threshold():
     rules = bayes_jaccard.least_matches()
     assert [n for n, _ in rules] == list(range(32, 161, 32)) and all(0 < m < 0.8 * n for n, m in rules)
