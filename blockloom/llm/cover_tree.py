@@ -1,13 +1,16 @@
 """Exact near-duplicate join of vectors by cosine, with cover trees traversed in pairs.
 
 Vectors are compared only when labels (and lengths) are equal. Equal vectors are folded first, so
-copies cost nothing further. Each label's vectors are dealt into blocks around pivots from a bounded
-sample, a block never larger than `block`; a pair of blocks is compared unless their covering radii
-rule every link out. A task holds one pair of blocks: it builds a cover tree over each (nested levels
-with halving radii) and descends both at once, dropping node pairs that are too far apart for any
-link and counting those that are close enough for every link; what is left is decided by the cosine
-in double precision. Tasks return a count of links and one edge for each vector, never pairs, so
-rows stay in proportion to the vectors in each task.
+copies cost nothing further. A tree of cells is grown over all vectors by Spark, level by level: a cell
+of more than `block` vectors (at first, a label) is dealt to the nearest of the pivots that a bounded
+sample of that cell gives, and every child knows its center and covering radius. The tree is then
+descended in pairs, by joins of the pairs that are left with their cells' children; pairs whose radii
+rule every link out are dropped at each level, so pairs of leaves come from the bounds of the levels
+above. A task holds one pair of leaves: it builds a cover tree over each (nested levels with halving
+radii) and descends both at once, dropping node pairs that are too far apart for any link and counting
+those that are close enough for every link; what is left is decided by the cosine in double precision.
+Tasks return a count of links and one edge for each vector, never pairs, so rows stay in proportion to
+the vectors in each task. The samples only decide where vectors are dealt; all are dealt and compared.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components, a null
 label or a null id links with nothing: n_links 0, component_id its own id, kept. Rows that repeat id
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,7 @@ from .bayes_jaccard import _grouped
 from .components import UnionFind, components
 from .shared import written
 
-THRESHOLD, BLOCK, PIVOT_SAMPLE, LEAF, SLACK = 0.98, 8192, 4096, 24, 1e-7  # slack: distances near 0 carry errors of 1e-8
+THRESHOLD, BLOCK, PIVOT_SAMPLE, DEPTH, LEAF, SLACK = 0.98, 8192, 512, 16, 24, 1e-7  # slack: distances near 0 carry errors of 1e-8
 
 
 @dataclass
@@ -218,32 +222,100 @@ def _units(raw: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 @F.pandas_udf(T.DoubleType())
 def chord(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Distance on the unit sphere of two columns of raw vectors."""
-    out = np.empty(len(a))
-    sizes = a.map(len).to_numpy()
-    for size in np.unique(sizes):
+    """Distance on the unit sphere of two columns of raw vectors; 0 where either is missing."""
+    out = np.zeros(len(a))
+    sizes = np.array([0 if u is None or v is None else len(u) for u, v in zip(a, b)])
+    for size in set(sizes.tolist()) - {0}:
         at = np.flatnonzero(sizes == size)
         (_, x), (_, y) = _units(a.iloc[at].tolist(), size // 8), _units(b.iloc[at].tolist(), size // 8)
         out[at] = np.sqrt(np.maximum(0, 2 - 2 * (x * y).sum(1)))
     return pd.Series(out)
 
 
-def pivots(classes: DataFrame, sample: int = PIVOT_SAMPLE, block: int = BLOCK) -> dict[tuple[str, int], np.ndarray]:
-    """A net for each label from a sample of at most so many vectors (drawn by their keys).
+PIVOT = T.StructType([T.StructField("cell", T.StringType()), T.StructField("child", T.IntegerType()), T.StructField("center", T.BinaryType())])
 
-    Labels that fit one block need none. The net only decides how vectors are dealt into blocks;
-    every vector is dealt and compared, whatever the sample.
+
+def net_of(sample: pa.Table) -> pa.Table:
+    """The pivots of a cell: a net of its sample at the first level of a cover tree; none if the sample has no coarse structure."""
+    raw = sorted(sample["raw"].to_pylist())
+    _, x = _units(raw, len(raw[0]) // 8)
+    tree = CoverTree(x)
+    net = [n.center for n in tree.children(tree.root)] if len(raw) > 1 else []
+    if not 1 < len(net) <= max(2, len(raw) // 8):
+        net = []
+    cell = sample["cell"].to_pylist()[:1] * len(net)
+    return pa.table([pa.array(cell, pa.string()), pa.array(range(len(net)), pa.int32()), pa.array([raw[k] for k in net], pa.binary())], names=PIVOT.names)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each vector's nearest pivot and its distance, from rows that come sorted: a cell's pivots, then its vectors."""
+    for rows in _grouped(batches, ["cell", "salt"]):
+        pivot = rows.filter(pc.invert(rows["member"]))
+        _, centers = _units(pivot["raw"].to_pylist(), len(pivot["raw"][0].as_py()) // 8)
+        children = np.asarray(pivot["child"])
+        mine = rows.filter(rows["member"])
+        for k in range(0, mine.num_rows, 4096):
+            part = mine.slice(k, 4096)
+            _, x = _units(part["raw"].to_pylist(), centers.shape[1])
+            near = x @ centers.T
+            at = near.argmax(1)
+            d = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(at)), at]))
+            yield pa.RecordBatch.from_arrays([*[part[c] for c in names[:-2]], pa.array(children[at], pa.int32()), pa.array(d, pa.float64())], names=names)
+
+
+def top_cell():
+    """The cell of all vectors of a label and length; hashed, so that names of cells below can't clash with a label."""
+    return F.md5(F.concat_ws(" ", "dim", "label"))
+
+
+def cells(classes: DataFrame, block: int = BLOCK, sample: int = PIVOT_SAMPLE) -> tuple[DataFrame, list[DataFrame]]:
+    """Vectors with their leaf cell (node, n, dim, raw, cell), and the children of each level (parent, cell, center, radius).
+
+    A cell without coarse structure stays whole, and so does one at the deepest level.
     """
-    large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    drawn = classes.join(large.select("label", "dim"), ["label", "dim"], "left_semi").orderBy("node").limit(sample).select("label", "dim", "raw").collect()
-    out = {}
-    for key in {(r["label"], r["dim"]) for r in drawn}:
-        _, x = _units([r["raw"] for r in drawn if (r["label"], r["dim"]) == key], key[1])
-        tree = CoverTree(x)
-        net = [n.center for n in tree.children(tree.root)]
-        if len(net) <= max(2, len(x) // 8):  # else the space has no coarse structure to use
-            out[key] = x[net]
-    return out
+    rest = classes.select("node", "n", "dim", "raw", top_cell().alias("cell"))
+    done, levels = [], []
+    for level in range(DEPTH):
+        sizes = rest.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+        large = written(rest.join(sizes, "cell")) if not sizes.isEmpty() else None
+        if large is None:
+            break
+        done.append(rest.join(sizes, "cell", "left_anti"))
+        draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40))
+        pivots = written(large.where(draw < F.lit(float(sample << 40)) / F.col("size")).select("cell", "raw").groupBy("cell").applyInArrow(net_of, PIVOT))
+        whole = large.join(pivots.select("cell").distinct(), "cell", "left_anti").drop("size")
+        done.append(whole)
+        parts = F.ceil(F.col("size") / block).cast("int")
+        names = ["node", "n", "dim", "raw", "cell", "child", "d"]
+        blank = [F.lit(None).cast(large.schema[c].dataType).alias(c) for c in names[:3]]
+        asked = pivots.join(sizes, "cell").select(*blank, F.col("center").alias("raw"), "cell", "child", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        split = large.join(pivots.select("cell").distinct(), "cell", "left_semi")
+        split = split.select(*names[:5], F.lit(None).cast("int").alias("child"), F.lit(True).alias("member"), F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int").alias("salt"))
+        schema = T.StructType([*[large.schema[c] for c in names[:5]], T.StructField("child", T.IntegerType()), T.StructField("d", T.DoubleType())])
+        dealt = asked.unionByName(split).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member", "child")
+        dealt = written(dealt.mapInArrow(lambda b: _nearest(b, names), schema).withColumn("below", F.concat_ws(".", "cell", F.col("child").cast("string"))))
+        radius = dealt.groupBy("cell", "child", "below").agg(F.max("d").alias("radius"))
+        levels.append(written(radius.join(pivots, ["cell", "child"]).select(F.col("cell").alias("parent"), F.col("below").alias("cell"), "center", "radius")))
+        rest = dealt.select("node", "n", "dim", "raw", F.col("below").alias("cell"))
+    done.append(rest)
+    leaves = done[0]
+    for df in done[1:]:
+        leaves = leaves.unionByName(df)
+    return leaves, levels
+
+
+def near_cells(tops: DataFrame, levels: list[DataFrame], reach: float) -> DataFrame:
+    """a, b (a <= b) of the pairs of leaf cells that can hold a link, by descending the tree in pairs from its tops (cell)."""
+    none = F.lit(None)
+    pairs = tops.select(F.col("cell").alias("a"), F.col("cell").alias("b"), none.cast("binary").alias("ca"), none.cast("double").alias("ra"), none.cast("binary").alias("cb"), none.cast("double").alias("rb"))
+    for below in levels:
+        for side, c, r in (("a", "ca", "ra"), ("b", "cb", "rb")):
+            child = below.select(F.col("parent").alias(side), F.col("cell").alias("x"), F.col("center").alias("cx"), F.col("radius").alias("rx"))
+            pairs = pairs.withColumn("same", F.col("a") == F.col("b")) if side == "a" else pairs
+            pairs = pairs.join(child, side, "left").withColumns({side: F.coalesce("x", side), c: F.coalesce("cx", c), r: F.coalesce("rx", r)}).drop("x", "cx", "rx")
+        close = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("a") == F.col("b")) | (chord("ca", "cb") <= F.col("ra") + F.col("rb") + reach)
+        pairs = written(pairs.where(~F.col("same") | (F.col("a") <= F.col("b"))).where(close).drop("same"))
+    return pairs.select("a", "b")
 
 
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -252,9 +324,11 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         raw, x = _units(rows["raw"].to_pylist(), rows["dim"][0].as_py())
         nodes, side = rows["node"].to_pylist(), np.asarray(rows["side"])
         links = Links(x, raw, np.asarray(rows["n"]), threshold)
-        if (side == side[0]).all():
+        if rows["self"][0].as_py():
             tree = CoverTree(x)
             links.traverse(tree, tree)
+        elif (side == side[0]).all():  # the hash left the other part empty
+            continue
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             trees = []
@@ -272,29 +346,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row per row of df: vec_id, n_links, component_id, kept."""
     known = written(vectors(df, id_col, vector_col, label_col))
     classes = written(known.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw")))
-    net = pivots(classes, sample, block)
-    schema = T.StructType([*classes.drop("least").schema.fields, T.StructField("cell", T.IntegerType())])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = [0] * batch.num_rows
-            for k, (label, dim, raw) in enumerate(zip(*(batch[c].to_pylist() for c in ("label", "dim", "raw")))):
-                if (label, dim) in net:
-                    cell[k] = int((net[label, dim] @ _units([raw], dim)[1][0]).argmax())
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in schema.names[:-1]], pa.array(cell, pa.int32())], names=schema.names)
-
-    dealt = classes.select(*schema.names[:-1]).mapInArrow(deal, schema)
-    cells = dealt.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"))
-    split = written(dealt.join(cells, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int")).drop("size"))
-    # A block's first vector is its center; its radius rules pairs of blocks out.
-    blocks = split.groupBy("label", "dim", "cell", "part").agg(F.min_by("raw", "node").alias("center"))
-    apart = split.join(blocks, ["label", "dim", "cell", "part"]).withColumn("d", chord("raw", "center")).groupBy("label", "dim", "cell", "part").agg(F.max("d").alias("radius"), F.first("center").alias("center"))
-    blocks = written(apart.withColumn("id", F.concat_ws(" ", "label", "dim", "cell", "part")))
+    leaves, levels = cells(classes, block, sample)
+    leaves = written(leaves)
     reach = float(np.sqrt(2 - 2 * threshold)) + 2 * SLACK
-    one, two = blocks.select("label", "dim", F.col("id").alias("a"), F.col("center").alias("ca"), F.col("radius").alias("ra")), blocks.select("label", "dim", F.col("id").alias("b"), F.col("center").alias("cb"), F.col("radius").alias("rb"))
-    pairs = written(one.join(two, ["label", "dim"]).where(F.col("a") <= F.col("b")).where((F.col("a") == F.col("b")) | (chord("ca", "cb") <= F.col("ra") + F.col("rb") + reach)).select("a", "b", F.concat_ws("|", "a", "b").alias("pair")))
-    sides = pairs.select("pair", F.col("a").alias("id"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("pair", F.col("b").alias("id"), F.lit(1).alias("side")))
-    tasks = split.withColumn("id", F.concat_ws(" ", "label", "dim", "cell", "part")).join(sides, "id").select("pair", "side", "node", "n", "dim", "raw")
+    # A leaf that is still too large is dealt to parts by hash, and its parts are compared part against part.
+    sizes = written(leaves.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    split = leaves.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    pairs = near_cells(classes.select(top_cell().alias("cell")).distinct(), levels, reach)
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("cell").alias(side), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"p{side}")), side)
+    pairs = written(pairs.where((F.col("a") != F.col("b")) | (F.col("pa") <= F.col("pb"))).withColumn("pair", F.concat_ws("|", "a", "pa", "b", "pb")))
+    self = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
+    sides = pairs.select("pair", F.col("a").alias("cell"), F.col("pa").alias("part"), F.lit(0).alias("side")).unionByName(pairs.where(~self).select("pair", F.col("b").alias("cell"), F.col("pb").alias("part"), F.lit(1).alias("side")))
+    # Whether a pair is a leaf with itself is said by its rows, as a hash may leave a part empty.
+    sides = sides.join(pairs.select("pair", self.alias("self")), "pair")
+    tasks = split.join(sides, ["cell", "part"]).select("pair", "self", "side", "node", "n", "dim", "raw")
     found = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
     linked = written(tasks.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda b: _compared(b, threshold), found))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))

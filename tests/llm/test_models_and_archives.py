@@ -236,12 +236,30 @@ def test_vectors_equal_brute_force(spark, block):
             rows.append((label * 1000 + k, (centers[k % 6] + rng.normal(0, spread, 8)).astype(np.float32).tolist(), label))
     rows += [(5000 + k, rows[3][1], 1) for k in range(5)] + [(5000, rows[3][1], 1)]  # copies, and a repeated row
     rows += [(1, None, 1), (2, [0.0] * 8, 1), (3, [1.0, None] + [0.0] * 6, 1), (4, [float("nan")] * 8, 1), (5, [float("inf")] + [1.0] * 7, 1), (6, rows[0][1], None), (7, [], 1), (8, [1.0, 2.0], 1), (9, [2.0, 4.0], 1), (None, rows[0][1], 1), (10, [float(np.float32(2.0 * x)) for x in rows[0][1]], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"node": F.lit("clash"), "cell": F.lit(1)})
     got = [tuple(r) for r in cover_tree.near_duplicates(df, block=block, sample=64).collect()]
     assert sorted(got, key=repr) == sorted(brute_cosine(rows, 0.98), key=repr)
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_far_cells_are_never_paired(spark):
+    """Tight groups far apart: the tree over all vectors grows several levels, and its leaves meet near ones only."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(64):
+        center = rng.normal(0, 1, 16)
+        rows += [(100 * k + c, (center + rng.normal(0, 0.01, 16)).astype(np.float32).tolist(), "1.5") for c in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    known = cover_tree.vectors(df).selectExpr("node", "1 AS n", "label", "dim", "raw")
+    leaves, levels = cover_tree.cells(known, 60, 400)
+    assert levels and leaves.count() == len(rows) and leaves.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 60
+    tops = known.select(cover_tree.top_cell().alias("cell")).distinct()
+    n, pairs = leaves.select("cell").distinct().count(), cover_tree.near_cells(tops, levels, 0.2).collect()
+    assert len(pairs) < 0.2 * n * (n + 1) / 2 and len(set(pairs)) == len(pairs) and sum(p["a"] == p["b"] for p in pairs) == n
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df, block=60, sample=400).collect()}
+    want = {i: (links, c) for i, links, c, _ in brute_cosine(rows, 0.98)}
+    assert got == want and min(w[0] for w in want.values()) >= 24
+
+
 def test_cover_tree_is_nested_and_covers():
     x = np.random.default_rng(1).normal(0, 1, (400, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]
