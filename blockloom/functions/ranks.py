@@ -6,20 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 4096
+#: Keys of one range where positions and neighbours are worked out within a group (a sender, an account).
+GROUP_WIDTH = 1 << 20
 
 
-def prefix_sums(df: DataFrame, key: str, amount: str, out: str, width: int = WIDTH) -> DataFrame:
+def prefix_sums(df: DataFrame, key: str, amount: str, out: str, width: int = WIDTH, levels: int = 2) -> DataFrame:
     """df with the sum of `amount` over all rows with a smaller `key` (unique, integral).
 
-    Keys fall into ranges of `width`; only one total for each range meets in one window, the rest
-    is summed within the ranges.
+    Keys fall into ranges of `width`, their totals into ranges of ranges, and so on: at the last level one
+    total for each width ** levels keys meets in one window (60,000 for 10 ** 12 keys), the rest is
+    summed within the ranges.
     """
     range_ = F.floor(F.col(key) / width).alias("__range")
     totals = df.groupBy(range_).agg(F.sum(amount).alias("__total"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
-    inner = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__range", F.floor(F.col(key) / width)).join(offsets, "__range").withColumn(out, (F.col("__offset") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).cast("long")).drop("__range", "__offset")
+    if levels > 1:
+        offsets = prefix_sums(totals, "__range", "__total", "__offset", width, levels - 1).drop("__total")
+    else:
+        before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    held = "__held" if key == "__range" else key  # totals of ranges are keyed by their range
+    rows = df.withColumnRenamed(key, held).withColumn("__range", F.floor(F.col(held) / width))
+    inner = Window.partitionBy("__range").orderBy(held).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.join(offsets, "__range").withColumn("__sum", (F.col("__offset") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).cast("long"))
+    return summed.drop("__range", "__offset").withColumnRenamed(held, key).withColumnRenamed("__sum", out)
+
+
+def position_within(df: DataFrame, groups: list[str], key: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
+    """df with the number of rows of its group that have a smaller key (unique, integral).
+
+    A group is split at ranges of keys, so that one with very many rows is not one task; only counts of its
+    ranges meet.
+    """
+    range_ = F.floor(F.col(key) / width)
+    counts = df.groupBy(*groups, range_.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inner = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(key)) - 1
+    return df.withColumn("__range", range_).withColumn("__at", inner).join(offsets, [*groups, "__range"]).withColumn(out, (F.col("__offset") + F.col("__at")).cast("long")).drop("__range", "__at", "__offset")
+
+
+def previous_within(df: DataFrame, groups: list[str], key: str, value: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
+    """df with `value` of the row of its group that comes before it by key (unique, integral); null for the first.
+
+    As above: a group is split at ranges of keys, and only the last value of each range is carried on.
+    """
+    range_ = F.floor(F.col(key) / width)
+    lasts = df.groupBy(*groups, range_.alias("__range")).agg(F.max_by(F.struct(value), key).alias("__last"))
+    carried = lasts.select(*groups, "__range", F.lag("__last").over(Window.partitionBy(*groups).orderBy("__range")).alias("__carried"))
+    inner = F.lag(F.struct(value)).over(Window.partitionBy(*groups, "__range").orderBy(key))
+    joined = df.withColumn("__range", range_).withColumn("__near", inner).join(carried, [*groups, "__range"])
+    return joined.withColumn(out, F.coalesce("__near", "__carried")[value]).drop("__range", "__near", "__carried")
 
 
 def positions(df: DataFrame, key: str, out: str, width: int = WIDTH) -> DataFrame:

@@ -43,16 +43,17 @@ def block_of_tx(body_indices: DataFrame, tx_nums: DataFrame, width: int = 4096)
     return tx_nums.withColumn("range", F.floor(F.col("tx_num") / width)).join(ranged, "range").where(F.col("tx_num").between(F.col("first_tx_num"), F.col("last"))).drop("range", "last")
 
 
-def enriched_receipts(receipts: DataFrame, txs: DataFrame, headers: DataFrame) -> DataFrame:
-    """Receipts with the gas of each transaction (difference of the running gas) and its effective price."""
-    own = F.col("cumulative_gas") - F.lag("cumulative_gas", 1, 0).over(Window.partitionBy("number").orderBy("idx"))
-    with_gas = receipts.withColumn("gas_used", own)
-    return with_gas.join(txs.select("tx_num", "hash", "sender", "tip", "max_fee"), "tx_num").join(headers.select("number", "base_fee"), "number").withColumn("effective_price", F.least("max_fee", F.col("base_fee") + F.col("tip")))
+def with_effective_price(receipts: DataFrame) -> DataFrame:
+    """Receipts that carry their transaction's caps and their block's base fee, with the price that was paid."""
+    return receipts.withColumn("effective_price", F.least("max_fee", F.col("base_fee") + F.col("tip")))
+
+
+# The least gas limit, and the share of the parent's limit that a limit must not move by.
+MINIMUM_GAS_LIMIT, LIMIT_DIVISOR = 5000, 1024
 
 
 def header_faults(headers: DataFrame) -> DataFrame:
     """number, fault: each rule that a header breaks on its own or against its parent."""
-    order = Window.partitionBy((F.floor(F.col("number") / 8192))).orderBy("number")
     # A range's first header finds its parent in the row before it, which is sent along.
     edge = headers.where(F.pmod("number", F.lit(8192)) == 8191)
     both = headers.withColumn("own", F.lit(True)).unionByName(edge.withColumns({"own": F.lit(False)}))
@@ -66,7 +67,8 @@ def header_faults(headers: DataFrame) -> DataFrame:
         "number is not the parent's plus one": known & (F.col("number") != F.col("p_number") + 1),
         "parent hash": known & (F.col("parent_hash") != F.col("p_hash")),
         "timestamp not after the parent's": known & (F.col("ts") <= F.col("p_ts")),
-        "gas limit moved too far": known & (F.abs(F.col("gas_limit") - F.col("p_gas_limit")) >= F.floor(F.col("p_gas_limit") / 1024) + 1),
+        "gas limit moved too far": known & (F.abs(F.col("gas_limit") - F.col("p_gas_limit")) >= F.call_function("div", F.col("p_gas_limit"), F.lit(LIMIT_DIVISOR))),
+        "gas limit below the minimum": known & (F.col("gas_limit") < MINIMUM_GAS_LIMIT),
         "base fee": known & (F.col("base_fee") != next_base_fee(F.col("p_base_fee"), F.col("p_gas_used"), F.col("p_gas_limit"))),
     }
     listed = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
@@ -81,18 +83,20 @@ def body_faults(headers: DataFrame, txs: DataFrame, receipts: DataFrame) -> Data
     return joined.where((F.col("gas_used") != F.col("body_gas")) | (F.col("gas_used") != F.col("receipt_gas")))
 
 
-def gaps(df: DataFrame, key: str, width: int = 8192) -> DataFrame:
-    """start, end (inclusive) of the missing keys between present ones; ranges meet at their edges."""
-    slot = F.floor(F.col(key) / width)
-    edges = df.groupBy(slot.alias("slot")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    inner = df.select(F.col(key).alias("k")).withColumn("next", F.lead("k").over(Window.partitionBy(F.floor(F.col("k") / width)).orderBy("k"))).where("next > k + 1").select((F.col("k") + 1).alias("start"), (F.col("next") - 1).alias("end"))
-    outer = edges.withColumn("next", F.lead("lo").over(Window.orderBy("slot"))).where("next > hi + 1").select((F.col("hi") + 1).alias("start"), (F.col("next") - 1).alias("end"))
-    return inner.unionByName(outer)
+def gaps(df: DataFrame, key: str, width: int = 8192, levels: int = 3) -> DataFrame:
+    """start, end (inclusive) of the missing keys between present ones.
 
-
-def ommer_rewards(base: int, gap: Column) -> Column:
-    """Reward of an ommer at a distance from its block."""
-    return (F.lit(8) - gap) * F.lit(base) / 8
+    Keys meet their successors within ranges of `width`, the ranges' ends theirs within ranges of ranges, and
+    so on; at the last level one row for each width ** levels keys is left in one window.
+    """
+    runs, found = df.select(F.col(key).alias("lo"), F.col(key).alias("hi")), None
+    for level in range(levels + 1):
+        slot = F.floor(F.col("lo") / width ** (level + 1))
+        window = Window.partitionBy(slot).orderBy("lo") if level < levels else Window.orderBy("lo")
+        apart = runs.withColumn("next", F.lead("lo").over(window)).where("next > hi + 1").select((F.col("hi") + 1).alias("start"), (F.col("next") - 1).alias("end"))
+        found = apart if found is None else found.unionByName(apart)
+        runs = runs.groupBy(slot.alias("slot")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("slot")
+    return found
 
 
 def append_chain(left: DataFrame, right: DataFrame) -> DataFrame:

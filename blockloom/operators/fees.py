@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Defaults of the tip suggestion: blocks sampled, lowest tips of each, percentile, ceiling.
 BLOCKS, SAMPLE, PERCENTILE, MAX_HISTORY, CEILING = 20, 3, 60, 1024, 500_000_000_000
+# Gas of a blob, and how fast the blob fee follows the excess.
+GAS_PER_BLOB, UPDATE_FRACTION = 131_072, 3_338_477
 
 
 def reward_percentiles(txs: DataFrame, headers: DataFrame, percentiles: Sequence[float]) -> DataFrame:
@@ -28,12 +30,92 @@ def reward_percentiles(txs: DataFrame, headers: DataFrame, percentiles: Sequence
 
 def next_base_fee(base_fee, gas_used, gas_limit, denominator: int = 8, elasticity: int = 2):
     """The base fee that follows a block, in integers."""
-    target = F.floor(gas_limit / elasticity)
+    div = lambda a, b: F.call_function("div", a, b)
+    target = div(gas_limit, F.lit(elasticity))
     gap = F.abs(gas_used - target)
-    change = F.floor(F.floor(base_fee * gap / target) / denominator).cast("long")
+    change = div(div(base_fee * gap, F.greatest(target, F.lit(1))), F.lit(denominator))
     return F.when(gas_used == target, base_fee).when(gas_used > target, base_fee + F.greatest(change, F.lit(1))).otherwise(F.greatest(base_fee - change, F.lit(0))).cast("long")
 
 
+def effective_tip() -> Column:
+    """What a transaction pays above its block's base fee; null where its cap doesn't reach it."""
+    return F.when(F.col("max_fee") >= F.col("base_fee"), F.least("tip", F.col("max_fee") - F.col("base_fee")))
+
+
+def rewards_of_blocks(txs: DataFrame, percentiles: Sequence[float]) -> DataFrame:
+    """number, rewards: per block the effective tips (0 below the base fee) at which the running gas, by ascending
+    tip, reaches each percentile of the block's gas; the last one stands in. txs: number, tx_num, gas, tip, max_fee, base_fee."""
+    order = Window.partitionBy("number").orderBy("reward", "tx_num")
+    ranked = txs.select("number", "tx_num", "gas", F.coalesce(effective_tip(), F.lit(0)).alias("reward"))
+    ranked = ranked.withColumns({"reached": F.sum("gas").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("gas").over(Window.partitionBy("number"))})
+    at = [F.coalesce(F.min(F.when(F.col("reached") >= F.floor(F.col("total") * float(p) / 100.0), F.col("reward"))), F.max("reward")) for p in percentiles]
+    return ranked.groupBy("number").agg(F.array(*at).alias("rewards"))
+
+
+def full_fee_history(headers: DataFrame, txs: DataFrame, first: int, last: int, percentiles: Sequence[float], blobs: DataFrame | None = None, blob_limit: int = 6, blob_target: int = 3) -> DataFrame:
+    """number, base_fee, gas_used_ratio, rewards, blob_base_fee, blob_gas_used_ratio of a range, and a last row with the fees after it.
+
+    blobs: number, blobs (carried by the block), excess (blob gas above target before it); blocks without a row
+    carry none. Rewards of a block without transactions are zeros; percentiles must ascend within 0 and 100.
+    """
+    if list(percentiles) != sorted(percentiles) or any(not 0 <= p <= 100 for p in percentiles):
+        raise ValueError("percentiles must ascend within 0 and 100")
+    if last < first or last - first >= MAX_HISTORY:
+        raise ValueError(f"a range of 1 to {MAX_HISTORY} blocks")
+    history = fee_history(headers, first, last).join(rewards_of_blocks(txs, percentiles), "number", "left")
+    zeros = F.array(*[F.lit(0).cast("long") for _ in percentiles])
+    history = history.withColumn("rewards", F.when(F.col("number") <= last, F.coalesce("rewards", zeros)))
+    if blobs is None:
+        blobs = headers.select("number", F.lit(0).alias("blobs"), F.lit(0).alias("excess")).limit(0)
+    mine = blobs.where(F.col("number").between(first, last))
+    after = mine.where(F.col("number") == last).select((F.col("number") + 1).alias("number"), F.lit(0).alias("blobs"), next_excess(F.col("excess"), F.col("blobs"), blob_target).alias("excess"))
+    joined = history.join(mine.select("number", "blobs", "excess").unionByName(after), "number", "left").fillna(0, ["blobs", "excess"])
+    ratio = F.when(F.col("number") <= last, F.col("blobs") / F.lit(float(blob_limit)))
+    return joined.select("number", "base_fee", "gas_used_ratio", "rewards", blob_base_fee(F.col("excess")).alias("blob_base_fee"), ratio.alias("blob_gas_used_ratio"))
+
+
+def next_excess(excess: Column, blobs: Column, target: int = 3, gas_per_blob: int = GAS_PER_BLOB) -> Column:
+    """Blob gas above target after a block."""
+    return F.greatest(excess + (blobs - target) * gas_per_blob, F.lit(0)).cast("long")
+
+
+def blob_base_fee(excess: Column, update_fraction: int = UPDATE_FRACTION, least: int = 1) -> Column:
+    """least * e^(excess / update_fraction) by its series, in integers; terms are folded until they vanish.
+
+    A hundred terms reach a fee of e^30 and more, where 64-bit fees end.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    wide = lambda x: x.cast("decimal(38,0)")
+    start = F.struct(wide(F.lit(0)).alias("sum"), wide(F.lit(least * update_fraction)).alias("term"))
+    step = lambda acc, k: F.struct((acc["sum"] + acc["term"]).cast("decimal(38,0)").alias("sum"), wide(div((acc["term"] * wide(excess)).cast("decimal(38,0)"), wide(F.lit(update_fraction) * k))).alias("term"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long")), start, step, lambda acc: div(acc["sum"], wide(F.lit(update_fraction))).cast("long"))
+
+
+def gas_price(tip: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row: the suggested tip (tip) above the base fee of the latest block."""
+    base = headers.agg(F.max_by("base_fee", "number")).first()[0]
+    return tip.select((F.col("tip") + F.lit(base)).alias("gas_price"))
+
+
+def tips_at_capacity(txs: DataFrame, headers: DataFrame, least: int, ceiling: int = CEILING) -> DataFrame:
+    """number, tip: per block the least suggestion, or a tenth above the median effective tip where the block was full.
+
+    A block is full if its gas and that of its largest transaction together exceed its limit. txs: number,
+    gas, tip, max_fee, base_fee; transactions whose cap doesn't reach the base fee don't count for the median.
+    """
+    place = F.row_number().over(Window.partitionBy("number").orderBy("effective", "tx_num"))
+    own = txs.select("number", "tx_num", "gas", effective_tip().alias("effective"))
+    placed = own.where("effective IS NOT NULL").withColumns({"place": place, "n": F.count(F.lit(1)).over(Window.partitionBy("number"))})
+    middle = F.call_function("div", F.col("n"), F.lit(2))
+    high, low = F.max(F.when(F.col("place") == middle + 1, F.col("effective"))), F.max(F.when(F.col("place") == middle, F.col("effective")))
+    medians = placed.groupBy("number").agg(F.when(F.max("n") % 2 == 1, high).otherwise(F.call_function("div", low + high, F.lit(2))).alias("median"))
+    largest = own.groupBy("number").agg(F.max("gas").alias("largest"))
+    joined = headers.select("number", "gas_used", "gas_limit").join(largest, "number", "left").join(medians, "number", "left")
+    raised = F.col("median") + F.call_function("div", F.col("median"), F.lit(10))
+    full = F.col("gas_used") + F.coalesce("largest", F.lit(0)) > F.col("gas_limit")
+    return joined.select("number", F.least(F.when(full & F.col("median").isNotNull(), F.greatest(raised, F.lit(least))).otherwise(F.lit(least)), F.lit(ceiling)).cast("long").alias("tip"))
+
+
 def fee_history(headers: DataFrame, first: int, last: int) -> DataFrame:
     """number, base_fee, gas_used_ratio of the range, and the base fee after it (ratio null)."""
     rows = headers.where(F.col("number").between(first, last))
@@ -41,9 +123,9 @@ def fee_history(headers: DataFrame, first: int, last: int) -> DataFrame:
     return rows.select("number", "base_fee", (F.col("gas_used") / F.col("gas_limit")).alias("gas_used_ratio")).unionByName(after)
 
 
-def lowest_tips(txs: DataFrame, headers: DataFrame, sample: int = SAMPLE, ignore_below: int = 2) -> DataFrame:
-    """number, place, tip: the lowest tips of each block, without the beneficiary's own and very low ones."""
-    own = txs.join(headers.select("number", "beneficiary"), "number").where((F.col("sender") != F.col("beneficiary")) & (F.col("tip") >= ignore_below))
+def lowest_tips(txs: DataFrame, sample: int = SAMPLE, ignore_below: int = 2) -> DataFrame:
+    """number, place, tip: the lowest tips of each block, without the beneficiary's own and very low ones; txs have their block's beneficiary."""
+    own = txs.where((F.col("sender") != F.col("beneficiary")) & (F.col("tip") >= ignore_below))
     place = F.row_number().over(Window.partitionBy("number").orderBy("tip", "tx_num"))
     return own.withColumn("place", place.cast("long")).where(F.col("place") <= sample).select("number", "place", "tip")
 
@@ -54,9 +136,8 @@ def suggested_tip(txs: DataFrame, headers: DataFrame, head: int, blocks: int = B
     At most min(head, 2 * max_history) blocks are looked at, newest first, until `blocks` of them had
     a sample; a block without one counts as a tip of 0.
     """
-    looked = headers.where((F.col("number") <= head) & (F.col("number") > head - min(head, 2 * max_history)))
-    tips = lowest_tips(txs.join(looked.select("number"), "number", "left_semi"), looked, sample)
-    filled = looked.select("number").join(tips, "number", "left")
+    in_reach = (F.col("number") <= head) & (F.col("number") > head - min(head, 2 * max_history))
+    filled = headers.where(in_reach).select("number").join(lowest_tips(txs.where(in_reach), sample), "number", "left")
     per_block = filled.groupBy("number").agg(F.count("tip").alias("n"))
     # Populated blocks so far, newest first; the window holds one row for each of the blocks looked at.
     seen = F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(Window.orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, -1))

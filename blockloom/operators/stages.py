@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,29 +54,3 @@ def read_segments(spark, path: str, start: int, end: int, size: int = 500_000, k
 def hot_and_cold(cold: DataFrame, hot: DataFrame, watermark: int, key: str = "number") -> DataFrame:
     """One view over both stores: cold up to the watermark, hot above; each scan is pruned."""
     return cold.where(F.col(key) <= watermark).withColumn("store", F.lit("cold")).unionByName(hot.where(F.col(key) > watermark).withColumn("store", F.lit("hot")))
-
-
-class Pipeline:
-    """Stages run in order up to a target block, each with its own checkpoint; unwinding goes backwards.
-
-    A stage is (name, execute(first, last), unwind(to)); checkpoints are a plain dict that the caller
-    stores, so that a run that breaks off goes on where it stood.
-    """
-
-    def __init__(self, stages: list[tuple[str, Callable[[int, int], None], Callable[[int], None]]], checkpoints: dict[str, int] | None = None, batch: int = 500_000):
-        self.stages, self.checkpoints, self.batch = stages, dict(checkpoints or {}), batch
-
-    def run(self, target: int) -> dict[str, int]:
-        for name, execute, _ in self.stages:
-            while (done := self.checkpoints.get(name, 0)) < target:
-                last = min(target, done + self.batch)
-                execute(done + 1, last)
-                self.checkpoints[name] = last
-        return self.checkpoints
-
-    def unwind(self, to: int) -> dict[str, int]:
-        for name, _, back in reversed(self.stages):
-            if self.checkpoints.get(name, 0) > to:
-                back(to)
-                self.checkpoints[name] = to
-        return self.checkpoints

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import position_within
 from ..operators import chain, fees, history, logs
 from .registry import query
 from .views import Ledger
 
+NEXT_FEE = "CASE WHEN {used} = {target} THEN {fee} WHEN {used} > {target} THEN {fee} + greatest({fee} * ({used} - {target}) // {target} // 8, 1) ELSE greatest({fee} - {fee} * ({target} - {used}) // {target} // 8, 0) END"
 TOPICS = (["click", "purchase", "view", "login"], None)
 
 
@@ -23,7 +25,7 @@ def _log_head(x: Ledger) -> int:
 @query("log_search", "logs", "SELECT block, log_index, address, topic0, topic1, data FROM logs WHERE block BETWEEN 24 AND 480 AND address IN (1, 7, 11, 42, 99) AND topic0 IN ('click', 'purchase', 'view', 'login')")
 def log_search(x: Ledger):
     bounds = logs.block_range(24, 480, _log_head(x))
-    return logs.checked(logs.search(x.logs, bounds, [1, 7, 11, 42, 99], TOPICS), bounds).select("block", "log_index", "address", "topic0", "topic1", "data")
+    return logs.checked(logs.search(x.logs_between(*bounds), bounds, [1, 7, 11, 42, 99], TOPICS), bounds).select("block", "log_index", "address", "topic0", "topic1", "data")
 
 
 @query("log_search_wildcard", "logs", "SELECT block, log_index, address, topic0, topic1 FROM logs WHERE topic1 IN (10, 20, 30, 40)")
@@ -42,7 +44,7 @@ def log_poll(x: Ledger):
     LEFT JOIN (SELECT address, arg_min_null(before, block) AS before FROM account_changes WHERE block >= 360 GROUP BY address) c USING (address)
     WHERE l.block BETWEEN 24 AND 480 AND l.topic0 IN ('click', 'purchase', 'view', 'login')""")
 def log_search_with_balance(x: Ledger):
-    found = logs.search(x.logs, (24, 480), None, TOPICS).select("block", "log_index", "address", "topic0")
+    found = logs.search(x.logs_between(24, 480), (24, 480), None, TOPICS).select("block", "log_index", "address", "topic0")
     return found.join(history.as_of(x.account_changes, x.accounts, 360).withColumnRenamed("value", "balance"), "address")
 
 
@@ -53,7 +55,7 @@ def block_logs_digest(x: Ledger):
 
 @query("header_range", "headers", "SELECT * FROM headers WHERE number BETWEEN 100 AND 1100")
 def header_range(x: Ledger):
-    return chain.in_range(x.headers, "number", 100, 1100)
+    return x.headers_between(100, 1100)
 
 
 @query("header_by_hash", "headers", "SELECT * FROM headers WHERE hash IN (md5('block-5'), md5('block-77'), md5('block-900'))")
@@ -64,7 +66,7 @@ def header_by_hash(x: Ledger):
 
 @query("canonical_hashes", "headers", "SELECT number, hash FROM headers WHERE number >= 10 AND number < 60")
 def canonical_hashes(x: Ledger):
-    return chain.in_range(x.headers, "number", 10, 60, closed=False).select("number", "hash")
+    return x.headers_between(10, 59).select("number", "hash")
 
 
 @query("chain_info", "headers", "SELECT max(number) AS best_number, arg_max(hash, number) AS best_hash, min(number) AS earliest FROM headers")
@@ -79,7 +81,7 @@ def headers_while(x: Ledger):
 
 @query("headers_stepped", "headers", "SELECT number, hash FROM headers WHERE number >= 7 AND (number - 7) % 4 = 0 AND number < 7 + 4 * 1024")
 def headers_stepped(x: Ledger):
-    return x.headers.where((F.col("number") >= 7) & ((F.col("number") - 7) % 4 == 0) & (F.col("number") < 7 + 4 * 1024)).select("number", "hash")
+    return x.headers_between(7, 6 + 4 * 1024).where((F.col("number") - 7) % 4 == 0).select("number", "hash")
 
 
 @query("body_indices", "body_indices", "SELECT * FROM body_indices")
@@ -91,21 +93,20 @@ def body_indices(x: Ledger):
     SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
     FROM headers h LEFT JOIN transactions t USING (number) WHERE h.number BETWEEN 0 AND 2000 GROUP BY ALL""")
 def block_assembled(x: Ledger):
-    return _assembled(chain.in_range(x.headers, "number", 0, 2000), x)
+    return _assembled(x.headers_between(0, 2000), x.transactions_between(0, 2000))
 
 
 @query("block_assembled_all", "headers transactions", """
     SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
     FROM headers h LEFT JOIN transactions t USING (number) GROUP BY ALL""")
 def block_assembled_all(x: Ledger):
-    return _assembled(x.headers, x)
+    return _assembled(x.headers, x.transactions)
 
 
-def _assembled(headers: DataFrame, x: Ledger) -> DataFrame:
-    head = headers.select("number", "hash")
-    joined = head.join(x.transactions.select("number", "idx", F.col("hash").alias("tx")), "number", "left")
-    listed = F.array_sort(F.collect_list(F.when(F.col("tx").isNotNull(), F.struct("idx", "tx"))))
-    return joined.groupBy("number", "hash").agg(listed.alias("l")).select("number", "hash", (F.size("l") == 0).alias("empty"), F.array_join(F.transform("l", lambda s: s["tx"]), ",").alias("txs"))
+def _assembled(headers: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Transactions are listed before the join, so that both sides have a row for each block."""
+    listed = transactions.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("l")).select("number", F.array_join(F.transform("l", lambda s: s["hash"]), ",").alias("txs"))
+    return headers.select("number", "hash").join(listed, "number", "left").select("number", "hash", F.col("txs").isNull().alias("empty"), F.coalesce("txs", F.lit("")).alias("txs"))
 
 
 @query("block_of_transaction", "transactions", "SELECT tx_num, number FROM transactions WHERE tx_num % 97 = 0")
@@ -121,27 +122,26 @@ def block_of_transaction_all(x: Ledger):
 
 @query("transactions_with_meta", "transactions headers", "SELECT t.hash, t.idx, h.hash AS block_hash, h.number, h.base_fee, h.ts FROM transactions t JOIN headers h USING (number)")
 def transactions_with_meta(x: Ledger):
-    return x.transactions.select("number", "hash", "idx").join(x.headers.select("number", F.col("hash").alias("block_hash"), "base_fee", "ts"), "number").select("hash", "idx", "block_hash", "number", "base_fee", "ts")
+    return x.enriched_between(None, None).select("hash", "idx", "block_hash", "number", "base_fee", "ts")
 
 
 @query("transactions_by_block_range", "headers transactions", """
     SELECT h.number, count(t.tx_num) AS n, coalesce(min(t.tx_num), -1) AS first_tx, coalesce(max(t.tx_num), -1) AS last_tx
     FROM headers h LEFT JOIN transactions t USING (number) WHERE h.number BETWEEN 500 AND 5000 GROUP BY 1""")
 def transactions_by_block_range(x: Ledger):
-    joined = chain.in_range(x.headers.select("number"), "number", 500, 5000).join(x.transactions.select("number", "tx_num"), "number", "left")
-    return joined.groupBy("number").agg(F.count("tx_num").alias("n"), F.coalesce(F.min("tx_num"), F.lit(-1)).alias("first_tx"), F.coalesce(F.max("tx_num"), F.lit(-1)).alias("last_tx"))
+    held = F.col("tx_count") > 0
+    return x.body_indices_between(500, 5000).select("number", F.col("tx_count").alias("n"), F.when(held, F.col("first_tx_num")).otherwise(-1).alias("first_tx"), F.when(held, F.col("first_tx_num") + F.col("tx_count") - 1).otherwise(-1).alias("last_tx"))
 
 
 @query("tx_range_of_blocks", "body_indices", "SELECT min(first_tx_num) AS first_tx, max(first_tx_num + tx_count - 1) AS last_tx FROM body_indices WHERE number BETWEEN 100 AND 300 AND tx_count > 0")
 def tx_range_of_blocks(x: Ledger):
-    return chain.in_range(x.body_indices, "number", 100, 300).where("tx_count > 0").agg(F.min("first_tx_num").alias("first_tx"), F.max(F.col("first_tx_num") + F.col("tx_count") - 1).alias("last_tx"))
+    return x.body_indices_between(100, 300).where("tx_count > 0").agg(F.min("first_tx_num").alias("first_tx"), F.max(F.col("first_tx_num") + F.col("tx_count") - 1).alias("last_tx"))
 
 
 @query("transaction_by_sender_nonce", "transactions", """
     SELECT sender, nonce, tx_num FROM (SELECT sender, tx_num, row_number() OVER (PARTITION BY sender ORDER BY tx_num) - 1 AS nonce FROM transactions) WHERE nonce IN (0, 5, 17)""")
 def transaction_by_sender_nonce(x: Ledger):
-    nonce = F.row_number().over(Window.partitionBy("sender").orderBy("tx_num")) - 1
-    return x.transactions.select("sender", "tx_num").withColumn("nonce", nonce.cast("long")).where(F.col("nonce").isin(0, 5, 17)).select("sender", "nonce", "tx_num")
+    return position_within(x.transactions.select("sender", "tx_num"), ["sender"], "tx_num", "nonce").where(F.col("nonce").isin(0, 5, 17)).select("sender", "nonce", "tx_num")
 
 
 @query("transaction_by_block_and_index", "transactions", "SELECT number, idx, hash FROM transactions WHERE idx = 2")
@@ -158,29 +158,49 @@ def senders_by_tx_range(x: Ledger):
     SELECT h.number, count(r.tx_num) AS n, coalesce(max(r.cumulative_gas), 0) AS gas, count(r.tx_num) FILTER (r.success) AS n_success
     FROM headers h LEFT JOIN receipts r USING (number) WHERE h.number < 8192 GROUP BY 1""")
 def receipts_by_block_range(x: Ledger):
-    joined = chain.in_range(x.headers.select("number"), "number", None, 8191).join(x.receipts, "number", "left")
-    return joined.groupBy("number").agg(F.count("tx_num").alias("n"), F.coalesce(F.max("cumulative_gas"), F.lit(0)).alias("gas"), F.count(F.when(F.col("success"), 1)).alias("n_success"))
+    return _receipt_sums(x.headers_between(0, 8191), x.receipts_between(0, 8191))
+
+
+@query("receipts_by_block_range_all", "headers receipts", """
+    SELECT h.number, count(r.tx_num) AS n, coalesce(max(r.cumulative_gas), 0) AS gas, count(r.tx_num) FILTER (r.success) AS n_success
+    FROM headers h LEFT JOIN receipts r USING (number) GROUP BY 1""")
+def receipts_by_block_range_all(x: Ledger):
+    return _receipt_sums(x.headers, x.receipts)
+
+
+def _receipt_sums(headers: DataFrame, receipts: DataFrame) -> DataFrame:
+    sums = receipts.groupBy("number").agg(F.count("tx_num").alias("n"), F.max("cumulative_gas").alias("gas"), F.count(F.when(F.col("success"), 1)).alias("n_success"))
+    return headers.select("number").join(sums, "number", "left").fillna(0, ["n", "gas", "n_success"])
 
 
 @query("block_receipts", "receipts transactions headers", """
     SELECT r.tx_num, t.hash, r.success, r.cumulative_gas - lag(r.cumulative_gas, 1, 0) OVER (PARTITION BY r.number ORDER BY r.idx) AS gas_used, least(t.max_fee, h.base_fee + t.tip) AS effective_price
     FROM receipts r JOIN transactions t USING (tx_num) JOIN headers h ON h.number = r.number""")
 def block_receipts(x: Ledger):
-    return chain.enriched_receipts(x.receipts, x.transactions, x.headers).select("tx_num", "hash", "success", "gas_used", "effective_price")
+    return chain.with_effective_price(x.enriched_between(None, None)).select("tx_num", "hash", "success", "gas_used", "effective_price")
 
 
 @query("block_details", "transactions headers", """
     SELECT h.number, h.gas_used, count(t.tx_num) AS n_txs, coalesce(sum(t.gas * least(t.max_fee, h.base_fee + t.tip)), 0)::BIGINT AS total_fees FROM headers h LEFT JOIN transactions t USING (number) GROUP BY 1, 2""")
 def block_details(x: Ledger):
-    joined = x.headers.select("number", "gas_used", "base_fee").join(x.transactions.select("number", "tx_num", "gas", "tip", "max_fee"), "number", "left")
-    fee = F.col("gas") * F.least("max_fee", F.col("base_fee") + F.col("tip"))
-    return joined.groupBy("number", "gas_used").agg(F.count("tx_num").alias("n_txs"), F.coalesce(F.sum(fee), F.lit(0)).cast("long").alias("total_fees"))
+    paid = chain.with_effective_price(x.enriched_between(None, None))
+    sums = paid.groupBy("number").agg(F.count(F.lit(1)).alias("n_txs"), F.sum(F.col("gas") * F.col("effective_price")).alias("total_fees"))
+    return x.headers.select("number", "gas_used").join(sums, "number", "left").fillna(0, ["n_txs", "total_fees"])
 
 
 @query("block_transaction_page", "transactions", "SELECT number, idx, hash FROM transactions WHERE number BETWEEN 0 AND 400 AND idx >= 2 AND idx < 4")
 def block_transaction_page(x: Ledger):
-    page, size = 1, 2
-    return chain.in_range(x.transactions, "number", 0, 400).where((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size)).select("number", "idx", "hash")
+    return _page(x.transactions_between(0, 400), 1, 2)
+
+
+@query("block_transaction_page_all", "transactions", "SELECT number, idx, hash FROM transactions WHERE idx >= 2 AND idx < 4")
+def block_transaction_page_all(x: Ledger):
+    return _page(x.transactions, 1, 2)
+
+
+def _page(transactions: DataFrame, page: int, size: int) -> DataFrame:
+    """The same page of every block's transactions."""
+    return transactions.where((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size)).select("number", "idx", "hash")
 
 
 @query("reward_percentiles", "transactions headers", """
@@ -194,17 +214,16 @@ def reward_percentiles(x: Ledger):
 @query("fee_history", "headers", """
     SELECT number, base_fee, gas_used / gas_limit AS gas_used_ratio FROM headers WHERE number BETWEEN 200 AND 1223
     UNION ALL
-    SELECT number + 1, CAST(CASE WHEN gas_used = 200 THEN base_fee WHEN gas_used > 200 THEN base_fee + greatest(floor(floor(base_fee * (gas_used - 200) / 200) / 8), 1)
-           ELSE greatest(base_fee - floor(floor(base_fee * (200 - gas_used) / 200) / 8), 0) END AS BIGINT), NULL FROM headers WHERE number = 1223""")
+    SELECT number + 1, CAST(""" + NEXT_FEE.format(fee="base_fee", used="gas_used", target="(gas_limit // 2)") + """ AS BIGINT), NULL FROM headers WHERE number = 1223""")
 def fee_history(x: Ledger):
-    return fees.fee_history(x.headers, 200, 1223)
+    return fees.fee_history(x.headers_between(200, 1223), 200, 1223)
 
 
 @query("lowest_tips", "transactions headers", """
     SELECT number, place, tip FROM (SELECT t.number, t.tip, row_number() OVER (PARTITION BY t.number ORDER BY t.tip, t.tx_num) AS place
     FROM transactions t JOIN headers h USING (number) WHERE t.sender <> h.beneficiary AND t.tip >= 2) WHERE place <= 3""")
 def lowest_tips(x: Ledger):
-    return fees.lowest_tips(x.transactions, x.headers)
+    return fees.lowest_tips(x.enriched_between(None, None))
 
 
 @query("suggested_tip", "transactions headers", """
@@ -216,7 +235,9 @@ def lowest_tips(x: Ledger):
     l AS (SELECT list(tip ORDER BY tip) AS tips FROM v)
     SELECT CAST(least(tips[((len(tips) - 1) * 60) // 100 + 1], 500000000000) AS BIGINT) AS tip FROM l""")
 def suggested_tip(x: Ledger):
-    return fees.suggested_tip(x.transactions, x.headers, _head(x))
+    head = _head(x)
+    reach = (head - 2 * fees.MAX_HISTORY, head)
+    return fees.suggested_tip(x.enriched_between(*reach), x.headers_between(*reach), head)
 
 
 @query("median_tip", "transactions", "SELECT number, median(tip) AS median_tip, max(gas) AS max_gas FROM transactions GROUP BY 1")
@@ -224,19 +245,21 @@ def median_tip(x: Ledger):
     return x.transactions.groupBy("number").agg(F.median("tip").alias("median_tip"), F.max("gas").alias("max_gas"))
 
 
-@query("gas_by_recipient_and_sender", "transactions", "SELECT sender, success, sum(gas)::BIGINT AS gas, count(*) AS n FROM transactions GROUP BY ALL")
+@query("gas_by_recipient_and_sender", "transactions", "SELECT recipient, sender, success, sum(gas)::BIGINT AS gas, count(*) AS n FROM transactions GROUP BY ALL")
 def gas_by_recipient_and_sender(x: Ledger):
-    return x.transactions.groupBy("sender", "success").agg(F.sum("gas").alias("gas"), F.count(F.lit(1)).alias("n"))
+    return x.transactions.groupBy("recipient", "sender", "success").agg(F.sum("gas").alias("gas"), F.count(F.lit(1)).alias("n"))
 
 
 @query("header_faults", "headers", """
-    WITH p AS (SELECT *, lag(number) OVER w AS pn, lag(hash) OVER w AS ph, lag(ts) OVER w AS pt, lag(gas_used) OVER w AS pg, lag(base_fee) OVER w AS pb FROM headers WINDOW w AS (ORDER BY number)),
+    WITH p AS (SELECT *, lag(number) OVER w AS pn, lag(hash) OVER w AS ph, lag(ts) OVER w AS pt, lag(gas_used) OVER w AS pg, lag(gas_limit) OVER w AS pl, lag(base_fee) OVER w AS pb FROM headers WINDOW w AS (ORDER BY number)),
     f AS (
         SELECT number, 'gas used beyond limit' AS fault FROM p WHERE gas_used > gas_limit
         UNION ALL SELECT number, 'number is not the parent''s plus one' FROM p WHERE number <> pn + 1
         UNION ALL SELECT number, 'parent hash' FROM p WHERE parent_hash <> ph
         UNION ALL SELECT number, 'timestamp not after the parent''s' FROM p WHERE ts <= pt
-        UNION ALL SELECT number, 'base fee' FROM p WHERE pn IS NOT NULL AND base_fee <> CASE WHEN pg = 200 THEN pb WHEN pg > 200 THEN pb + greatest(floor(floor(pb * (pg - 200) / 200) / 8), 1) ELSE greatest(pb - floor(floor(pb * (200 - pg) / 200) / 8), 0) END)
+        UNION ALL SELECT number, 'gas limit moved too far' FROM p WHERE abs(gas_limit - pl) >= pl // 1024
+        UNION ALL SELECT number, 'gas limit below the minimum' FROM p WHERE pn IS NOT NULL AND gas_limit < 5000
+        UNION ALL SELECT number, 'base fee' FROM p WHERE pn IS NOT NULL AND base_fee <> """ + NEXT_FEE.format(fee="pb", used="pg", target="(pl // 2)") + """)
     SELECT * FROM f""")
 def header_faults(x: Ledger):
     return chain.header_faults(x.headers)
@@ -248,9 +271,9 @@ def body_faults(x: Ledger):
 
 
 @query("key_gaps", "transactions", """
-    SELECT k + 1 AS start, n - 1 AS "end" FROM (SELECT tx_num AS k, lead(tx_num) OVER (ORDER BY tx_num) AS n FROM transactions WHERE NOT success OR gas > 25) WHERE n > k + 1""")
+    SELECT k + 1 AS start, n - 1 AS "end" FROM (SELECT tx_num AS k, lead(tx_num) OVER (ORDER BY tx_num) AS n FROM transactions WHERE NOT success OR gas > 500) WHERE n > k + 1""")
 def key_gaps(x: Ledger):
-    return chain.gaps(x.transactions.where("NOT success OR gas > 25").select("tx_num"), "tx_num")
+    return chain.gaps(x.transactions.where("NOT success OR gas > 500").select("tx_num"), "tx_num")
 
 
 @query("segment_split_and_append", "headers", "SELECT number, hash FROM headers WHERE number <= 900")
@@ -274,7 +297,7 @@ def body_requests(x: Ledger):
 
 @query("block_ancestors", "headers", "SELECT number, hash, CAST(700 - number AS BIGINT) AS depth FROM headers WHERE number BETWEEN 684 AND 700")
 def block_ancestors(x: Ledger):
-    return chain.ancestors(x.headers, 700, 16)
+    return chain.ancestors(x.headers_between(684, 700), 700, 16)
 
 
 @query("orphan_blocks", "headers", "SELECT number, hash FROM headers WHERE (number - 1) % 97 = 0 AND number > 0 AND number % 97 <> 0")
@@ -291,4 +314,4 @@ def block_tags(x: Ledger):
 
 @query("transaction_count_as_of", "transactions", "SELECT sender, count(*) AS nonce FROM transactions WHERE number <= 1000 GROUP BY 1")
 def transaction_count_as_of(x: Ledger):
-    return x.transactions.where("number <= 1000").groupBy("sender").agg(F.count(F.lit(1)).alias("nonce"))
+    return x.transactions_between(None, 1000).groupBy("sender").agg(F.count(F.lit(1)).alias("nonce"))

@@ -2,18 +2,30 @@
 
 Orders are blocks, lineitems their transactions, events the log and the account history, open orders
 the pool. Names and types are fixed here once; every query is written against them.
+
+What numbers all rows (blocks, transactions, log entries) or looks at a row's predecessor is worked out once
+for each state of the tables: the result is written as segments, Parquet in folders of a range of block
+numbers, sorted inside, and every view reads from there. A range of blocks opens its folders only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import day_hours, positions, prefix_sums, seconds
+from ..functions.ranks import day_hours, positions, prefix_sums, previous_within, seconds
+from ..operators.stages import write_segments
+from ..sources.shared import shared_dir
+
+#: Gas of a unit of quantity. The gas limit goes up by 2 every 64 blocks, three times, and then back at once.
+UNIT_GAS, GAS_LIMIT = 20, 4998
+#: Blocks of a segment at least, and segments of a table at most (larger tables have longer segments).
+SEGMENT, SEGMENTS = 8192, 2048
 
-GAS_LIMIT = 400
+_stored: dict[tuple[str, ...], tuple[str, int]] = {}
 
 
 def tag(kind: str, column) -> F.Column:
@@ -30,62 +42,151 @@ class Ledger:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    # segments ------------------------------------------------------------------------------------
+
+    def _state(self, names: tuple[str, ...]) -> str:
+        """A digest of the files of the tables: other files, sizes or times make another state."""
+        seen = []
+        for name in names:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.sf_dir}/{name}.parquet").select("path", "length", F.col("modificationTime").cast("string"))
+            seen.append(files.groupBy().agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[:])
+        return hashlib.md5(repr(seen).encode()).hexdigest()
+
+    def _segments(self, name: str, tables: tuple[str, ...], build, key: str = "number") -> tuple[DataFrame, int]:
+        """The stored rows of a view with their bucket, and the length of a segment; built at the first use in a session."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._state(tables))
+        if at not in _stored:
+            path, df = f"{shared_dir(self.spark)}/{name}", build()
+            # Lengths are powers of two, so that segments of one table lie within those of another.
+            top = (self.table(tables[0]).count() if key == "number" else self._hours) // SEGMENTS
+            size = max(SEGMENT if key == "number" else 64, 1 << top.bit_length())
+            write_segments(df, path, size, key)
+            _stored[at] = path, size
+        path, size = _stored[at]
+        return self.spark.read.parquet(path), size
+
+    def _between(self, view: tuple[DataFrame, int], key: str, first: int | None, last: int | None) -> DataFrame:
+        """Rows of a range of keys; its folders are named, as Spark can't infer them."""
+        df, size = view
+        for bound, test in ((first, "__ge__"), (last, "__le__")):
+            if bound is not None:
+                df = df.where(getattr(F.col("bucket"), test)(bound // size)).where(getattr(F.col(key), test)(bound))
+        return df.drop("bucket")
+
+    @cached_property
+    def _block_segments(self) -> tuple[DataFrame, int]:
+        """number, o_orderkey, ts, beneficiary, base_fee, gas_used, tx_count, first_tx_num."""
+
+        def build() -> DataFrame:
+            lines = self.table("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("tx_count"), (F.sum(F.floor("l_quantity")) * UNIT_GAS).alias("gas_used"))
+            orders = positions(self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey", "number")
+            joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            blocks = joined.select(
+                "number", "o_orderkey", seconds("o_orderdate").alias("ts"), F.col("o_custkey").alias("beneficiary"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("base_fee"),
+                F.coalesce("gas_used", F.lit(0)).cast("long").alias("gas_used"), F.coalesce("tx_count", F.lit(0)).cast("long").alias("tx_count"),
+            )
+            return prefix_sums(blocks, "number", "tx_count", "first_tx_num")
+
+        return self._segments("blocks", ("orders", "lineitem"), build)
+
+    @cached_property
+    def _tx_segments(self) -> tuple[DataFrame, int]:
+        """tx_num, number, idx, sender, recipient, gas, tip, max_fee, success, cumulative_gas; ts, base_fee, beneficiary of the block."""
+
+        def build() -> DataFrame:
+            order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+            gas = (F.floor("l_quantity") * UNIT_GAS).cast("long")
+            lines = self.table("lineitem").select(
+                "l_orderkey", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("l_suppkey").alias("sender"), F.col("l_partkey").alias("recipient"), gas.alias("gas"),
+                F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long").alias("tip"), F.floor("l_extendedprice").cast("long").alias("max_fee"), (F.col("l_returnflag") != "R").alias("success"),
+                F.sum(gas).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_gas"),
+            )
+            keyed = self._block_segments[0].select("o_orderkey", "number", "first_tx_num", "ts", "base_fee", "beneficiary")
+            joined = lines.join(keyed, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("tx_num", F.col("first_tx_num") + F.col("idx"))
+            return joined.select("tx_num", "number", "idx", "sender", "recipient", "gas", "tip", "max_fee", "success", "cumulative_gas", "ts", "base_fee", "beneficiary")
+
+        return self._segments("transactions", ("orders", "lineitem"), build)
+
     @cached_property
-    def _blocks(self) -> DataFrame:
-        lines = self.table("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("tx_count"), F.sum(F.floor("l_quantity")).alias("gas_used"))
-        orders = positions(self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey", "number")
-        joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
-        return joined.withColumns({"tx_count": F.coalesce("tx_count", F.lit(0)).cast("long"), "gas_used": F.coalesce("gas_used", F.lit(0)).cast("long")})
+    def _hours(self) -> int:
+        ends = self.table("events").agg(F.min(day_hours("ts")).alias("lo"), F.max(day_hours("ts")).alias("hi")).first()
+        return (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+
+    @cached_property
+    def _first_hour(self) -> int:
+        return self.table("events").agg(F.min(day_hours("ts"))).first()[0] or 0
+
+    @cached_property
+    def _log_segments(self) -> tuple[DataFrame, int]:
+        """block, log_index, address, topic0, topic1, data, event_id, value, and the value before by account and by slot."""
+
+        def build() -> DataFrame:
+            events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("event_type").alias("topic0"), F.floor("value").cast("long").alias("topic1"), F.col("props").alias("data"), "value")
+            events = events.withColumn("log_index", (F.row_number().over(Window.partitionBy("block").orderBy("event_id")) - 1).cast("long"))
+            return previous_within(previous_within(events, ["address"], "event_id", "value", "before"), ["address", "topic0"], "event_id", "value", "before_slot")
+
+        return self._segments("logs", ("events",), build, "block")
+
+    # views ---------------------------------------------------------------------------------------
+
+    def headers_between(self, first: int | None, last: int | None) -> DataFrame:
+        """The headers of a range of blocks (bounds included, None is unbounded)."""
+        step = F.floor(F.col("number") / 64) % 4 * 2
+        return self._between(self._block_segments, "number", first, last).select(
+            "number", tag("block-", F.col("number")).alias("hash"), tag("block-", F.col("number") - 1).alias("parent_hash"), "ts", "beneficiary", "gas_used", (F.lit(GAS_LIMIT) + step).cast("long").alias("gas_limit"), "base_fee"
+        )
 
     @cached_property
     def headers(self) -> DataFrame:
         """number, hash, parent_hash, ts, beneficiary, gas_used, gas_limit, base_fee."""
-        return self._blocks.select(
-            "number", tag("block-", F.col("number")).alias("hash"), tag("block-", F.col("number") - 1).alias("parent_hash"), seconds("o_orderdate").alias("ts"),
-            F.col("o_custkey").alias("beneficiary"), "gas_used", F.lit(GAS_LIMIT).cast("long").alias("gas_limit"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("base_fee"),
-        )
+        return self.headers_between(None, None)
+
+    def body_indices_between(self, first: int | None, last: int | None) -> DataFrame:
+        return self._between(self._block_segments, "number", first, last).select("number", "first_tx_num", "tx_count")
 
     @cached_property
     def body_indices(self) -> DataFrame:
         """number, first_tx_num, tx_count; blocks without transactions included."""
-        return prefix_sums(self._blocks.select("number", "tx_count"), "number", "tx_count", "first_tx_num").select("number", "first_tx_num", "tx_count")
+        return self.body_indices_between(None, None)
+
+    def transactions_between(self, first: int | None, last: int | None) -> DataFrame:
+        """The transactions of a range of blocks."""
+        return self._between(self._tx_segments, "number", first, last).select("tx_num", "number", "idx", tag("tx-", F.col("tx_num")).alias("hash"), "sender", "recipient", "gas", "tip", "max_fee", "success")
 
     @cached_property
     def transactions(self) -> DataFrame:
         """tx_num, number, idx, hash, sender, recipient, gas, tip, max_fee, success."""
-        lines = self.table("lineitem")
-        keyed = prefix_sums(self._blocks.select("o_orderkey", "number", "tx_count"), "number", "tx_count", "first_tx_num")
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        indexed = lines.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-        joined = indexed.join(keyed, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("tx_num", F.col("first_tx_num") + F.col("idx"))
-        return joined.select(
-            "tx_num", "number", "idx", tag("tx-", F.col("tx_num")).alias("hash"), F.col("l_suppkey").alias("sender"), F.col("l_partkey").alias("recipient"), F.floor("l_quantity").cast("long").alias("gas"),
-            F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long").alias("tip"), F.floor("l_extendedprice").cast("long").alias("max_fee"), (F.col("l_returnflag") != "R").alias("success"),
-        )
+        return self.transactions_between(None, None)
+
+    def enriched_between(self, first: int | None, last: int | None) -> DataFrame:
+        """Transactions of a range of blocks with their receipts and what reports need of their blocks; a scan."""
+        rows = self._between(self._tx_segments, "number", first, last)
+        return rows.withColumns({"hash": tag("tx-", F.col("tx_num")), "gas_used": F.col("gas"), "block_hash": tag("block-", F.col("number"))})
+
+    def receipts_between(self, first: int | None, last: int | None) -> DataFrame:
+        """The receipts of a range of blocks, with the gas of each transaction."""
+        return self._between(self._tx_segments, "number", first, last).select("tx_num", "number", "idx", "cumulative_gas", "success", F.col("gas").alias("gas_used"))
 
     @cached_property
     def receipts(self) -> DataFrame:
-        """tx_num, number, idx, cumulative_gas, success."""
-        running = Window.partitionBy("number").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-        return self.transactions.select("tx_num", "number", "idx", F.sum("gas").over(running).alias("cumulative_gas"), "success")
+        """tx_num, number, idx, cumulative_gas, success, gas_used."""
+        return self.receipts_between(None, None)
 
-    @cached_property
-    def _first_hour(self) -> int:
-        return self.table("events").agg(F.min(day_hours("ts"))).first()[0] or 0
+    def logs_between(self, first: int | None, last: int | None) -> DataFrame:
+        return self._between(self._log_segments, "block", first, last).select("block", "log_index", "address", "topic0", "topic1", "data", "event_id")
 
     @cached_property
     def logs(self) -> DataFrame:
         """block, log_index, address, topic0, topic1, data, event_id; log_index counts all logs of the block."""
-        events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("event_type").alias("topic0"), F.floor("value").cast("long").alias("topic1"), F.col("props").alias("data"))
-        order = Window.partitionBy("block").orderBy("event_id")
-        return events.withColumn("log_index", (F.row_number().over(order) - 1).cast("long"))
+        return self.logs_between(None, None)
+
+    def changes_between(self, first: int | None, last: int | None) -> DataFrame:
+        return self._between(self._log_segments, "block", first, last).groupBy("block", "address").agg(F.min_by("before", "event_id").alias("before"), F.max_by("value", "event_id").alias("after"))
 
     @cached_property
     def account_changes(self) -> DataFrame:
         """block, address, before (null: did not exist), after; one row per block and address."""
-        events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("value").alias("after"))
-        with_before = events.withColumn("before", F.lag("after").over(Window.partitionBy("address").orderBy("event_id")))
-        return with_before.groupBy("block", "address").agg(F.min_by("before", "event_id").alias("before"), F.max_by("after", "event_id").alias("after"))
+        return self.changes_between(None, None)
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -95,9 +196,7 @@ class Ledger:
     @cached_property
     def storage_changes(self) -> DataFrame:
         """block, address, slot, before (null: never written), after; one row per block, address and slot."""
-        events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("event_type").alias("slot"), F.col("value").alias("after"))
-        with_before = events.withColumn("before", F.lag("after").over(Window.partitionBy("address", "slot").orderBy("event_id")))
-        return with_before.groupBy("block", "address", "slot").agg(F.min_by("before", "event_id").alias("before"), F.max_by("after", "event_id").alias("after"))
+        return self._log_segments[0].groupBy("block", "address", F.col("topic0").alias("slot")).agg(F.min_by("before_slot", "event_id").alias("before"), F.max_by("value", "event_id").alias("after"))
 
     @cached_property
     def storages(self) -> DataFrame:
@@ -106,6 +205,9 @@ class Ledger:
 
     @cached_property
     def traces(self) -> DataFrame:
+        return self.traces_between(None, None)
+
+    def traces_between(self, first: int | None, last: int | None) -> DataFrame:
         """tx_num, number, idx, path (of the call), from_, to_, value, gas, kind: a call for each transaction,
         an inner one for every third, and a creation below every seventeenth."""
         call = lambda path, a, b, value, kind: F.struct(F.lit(path).alias("path"), a.alias("from_"), b.alias("to_"), value.alias("value"), F.lit(kind).alias("kind"))
@@ -113,7 +215,7 @@ class Ledger:
         rows = F.array_compact(F.array(
             call("", sender, recipient, F.col("tip"), "call"), F.when(F.col("tx_num") % 3 == 0, call("0", recipient, sender, F.col("gas"), "call")), F.when(F.col("tx_num") % 17 == 0, call("1", recipient, F.col("tx_num") % 500, F.lit(0).cast("long"), "create")),
         ))
-        return self.transactions.select("tx_num", "number", "idx", "gas", F.explode(rows).alias("t")).select("tx_num", "number", "idx", "t.path", "t.from_", "t.to_", "t.value", "gas", "t.kind")
+        return self.transactions_between(first, last).select("tx_num", "number", "idx", "gas", F.explode(rows).alias("t")).select("tx_num", "number", "idx", "t.path", "t.from_", "t.to_", "t.value", "gas", "t.kind")
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -128,19 +230,19 @@ class Ledger:
 
 HOURS = "(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 24 + hour(ts))"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
-    "blocks": ((), """
+    "blocks": ((), f"""
         SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS number, o_orderkey, o_custkey, o_totalprice, o_orderdate,
-               CAST(coalesce(n, 0) AS BIGINT) AS tx_count, CAST(coalesce(g, 0) AS BIGINT) AS gas_used
+               CAST(coalesce(n, 0) AS BIGINT) AS tx_count, CAST(coalesce(g, 0) * {UNIT_GAS} AS BIGINT) AS gas_used
         FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(floor(l_quantity)) AS g FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""),
     "headers": (("blocks",), f"""
         SELECT number, md5('block-' || number) AS hash, md5('block-' || (number - 1)) AS parent_hash,
                CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400 + hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS BIGINT) AS ts,
-               o_custkey AS beneficiary, gas_used, CAST({GAS_LIMIT} AS BIGINT) AS gas_limit, CAST(floor(o_totalprice / 1000) AS BIGINT) AS base_fee
+               o_custkey AS beneficiary, gas_used, CAST({GAS_LIMIT} + number // 64 % 4 * 2 AS BIGINT) AS gas_limit, CAST(floor(o_totalprice / 1000) AS BIGINT) AS base_fee
         FROM blocks"""),
     "body_indices": (("blocks",), """
         SELECT number, CAST(coalesce(sum(tx_count) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_tx_num, tx_count FROM blocks"""),
-    "transactions": (("blocks", "body_indices"), """
-        SELECT first_tx_num + idx AS tx_num, number, idx, md5('tx-' || (first_tx_num + idx)) AS hash, l_suppkey AS sender, l_partkey AS recipient, CAST(floor(l_quantity) AS BIGINT) AS gas,
+    "transactions": (("blocks", "body_indices"), f"""
+        SELECT first_tx_num + idx AS tx_num, number, idx, md5('tx-' || (first_tx_num + idx)) AS hash, l_suppkey AS sender, l_partkey AS recipient, CAST(floor(l_quantity) * {UNIT_GAS} AS BIGINT) AS gas,
                CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS tip, CAST(floor(l_extendedprice) AS BIGINT) AS max_fee, l_returnflag <> 'R' AS success
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS idx FROM lineitem)
         JOIN blocks ON l_orderkey = o_orderkey JOIN body_indices USING (number)"""),

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; only where that is unset, a temporary folder is set."""
+    """A fresh path below spark.checkpoint.dir; only where a local session leaves it unset, a temporary folder is set.
+
+    On a cluster that is an error: executors would not see the driver's folder.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"

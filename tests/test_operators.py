@@ -191,16 +191,6 @@ def test_segments_prune_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString()
 
 
-def test_pipeline_of_stages_resumes_and_unwinds():
-    seen = []
-    names = [(n, lambda a, b, n=n: seen.append((n, a, b)), lambda to, n=n: seen.append((n, "back", to))) for n in ("headers", "bodies")]
-    p = stages.Pipeline(names, {"headers": 4}, batch=3)
-    assert p.run(8) == {"headers": 8, "bodies": 8}
-    assert seen == [("headers", 5, 7), ("headers", 8, 8), ("bodies", 1, 3), ("bodies", 4, 6), ("bodies", 7, 8)]
-    assert p.unwind(2) == {"headers": 2, "bodies": 2}
-    assert seen[-2:] == [("bodies", "back", 2), ("headers", "back", 2)]
-
-
 def test_keccak_and_rlp(spark):
     assert encodings.keccak256_rows([b"", b"abc", b"x" * 136])[1].hex() == "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"
     df = table(spark, [("",), (None,), ("abc",)], "s string").select(encodings.keccak256_hex("s").alias("h"))
