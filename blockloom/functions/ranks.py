@@ -31,6 +31,48 @@ def prefix_sums(df: DataFrame, key: str, amount: str, out: str, width: int = WID
     return summed.drop("__range", "__offset").withColumnRenamed(held, key).withColumnRenamed("__sum", out)
 
 
+def prefix_minima(df: DataFrame, key: str, amount: str, out: str, width: int = WIDTH) -> DataFrame:
+    """df with the smallest `amount` of all rows up to its `key` (unique, integral), its own included.
+
+    Only minima of ranges, and of ranges of ranges, meet.
+    """
+    slot = lambda k: F.floor(F.col(key) / width**k)
+    held, parts = df.withColumns({"__1": slot(1), "__2": slot(2)}), ["__2", "__1"]
+    lows = held.groupBy(*parts).agg(F.min(amount).alias("__low"))
+    tops = lows.groupBy("__2").agg(F.min("__low").alias("__top"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__2", F.min("__top").over(earlier(Window.orderBy("__2"))).alias("__before2"))
+    lows = lows.select(*parts, F.min("__low").over(earlier(Window.partitionBy("__2").orderBy("__1"))).alias("__before1"))
+    own = F.min(amount).over(Window.partitionBy(*parts).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = held.withColumn("__own", own).join(lows, parts).join(tops, "__2")
+    return rows.withColumn(out, F.least("__own", "__before1", "__before2")).drop("__1", "__2", "__own", "__before1", "__before2")
+
+
+def take_until(df: DataFrame, keys: list[str], needs: dict[str, int]) -> DataFrame:
+    """The first rows by ascending keys (integral, together unique) until the sum of every amount named in
+    `needs` reaches what is needed; all rows if they don't suffice, none if nothing is needed.
+
+    Key by key, only totals by value are summed up (in ranges); no task gets all rows.
+    """
+    if all(n <= 0 for n in needs.values()):
+        return df.limit(0)
+    taken = df.limit(0)
+    for depth, key in enumerate(keys):
+        totals = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in needs])
+        for c in needs:
+            totals = prefix_sums(totals, key, c, f"__before_{c}")
+        reached = F.lit(True)
+        for c, n in needs.items():
+            reached = reached & (F.col(f"__before_{c}") + F.col(c) >= n)
+        cut = totals.where(reached).orderBy(key).first()
+        if cut is None:
+            return taken.unionByName(df)
+        last = depth == len(keys) - 1
+        taken = taken.unionByName(df.where(F.col(key) <= cut[key] if last else F.col(key) < cut[key]))
+        df, needs = df.where(F.col(key) == cut[key]), {c: n - cut[f"__before_{c}"] for c, n in needs.items()}
+    return taken
+
+
 def position_within(df: DataFrame, groups: list[str], key: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
     """df with the number of rows of its group that have a smaller key (unique, integral).
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import prefix_minima, prefix_sums
+
 #: Defaults of the tip suggestion: blocks sampled, lowest tips of each, percentile, ceiling.
 BLOCKS, SAMPLE, PERCENTILE, MAX_HISTORY, CEILING = 20, 3, 60, 1024, 500_000_000_000
 # Gas of a blob, and how fast the blob fee follows the excess.
@@ -33,7 +35,8 @@ def next_base_fee(base_fee, gas_used, gas_limit, denominator: int = 8, elasticit
     div = lambda a, b: F.call_function("div", a, b)
     target = div(gas_limit, F.lit(elasticity))
     gap = F.abs(gas_used - target)
-    change = div(div(base_fee * gap, F.greatest(target, F.lit(1))), F.lit(denominator))
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the product exceeds 64 bits
+    change = div(div(wide(base_fee) * wide(gap), wide(F.greatest(target, F.lit(1)))), F.lit(denominator))
     return F.when(gas_used == target, base_fee).when(gas_used > target, base_fee + F.greatest(change, F.lit(1))).otherwise(F.greatest(base_fee - change, F.lit(0))).cast("long")
 
 
@@ -79,6 +82,15 @@ def next_excess(excess: Column, blobs: Column, target: int = 3, gas_per_blob: in
     return F.greatest(excess + (blobs - target) * gas_per_blob, F.lit(0)).cast("long")
 
 
+def excess_blob_gas(blobs: DataFrame, target: int = 3, gas_per_blob: int = GAS_PER_BLOB) -> DataFrame:
+    """blobs (number, blobs; all numbers from 0 on) with excess: blob gas above target before each block.
+
+    The excess never falls below zero, so it is the running sum above target less its smallest value so far.
+    """
+    rows = prefix_sums(blobs.withColumn("above", ((F.col("blobs") - target) * gas_per_blob).cast("long")), "number", "above", "sum")
+    return prefix_minima(rows, "number", "sum", "low").withColumn("excess", (F.col("sum") - F.least("low", F.lit(0))).cast("long")).drop("above", "sum", "low")
+
+
 def blob_base_fee(excess: Column, update_fraction: int = UPDATE_FRACTION, least: int = 1) -> Column:
     """least * e^(excess / update_fraction) by its series, in integers; terms are folded until they vanish.
 

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import prefix_sums
+from ..functions.ranks import position_within, take_until
 
 # Bits of a transaction's state, from the weakest to the strongest.
-BLOB, FEE_CAP, BLOB_FEE_CAP, NOT_HEAVY, BALANCE, NO_GAPS, NO_PARKED = 1, 2, 4, 8, 16, 32, 64
+BLOB, BLOB_FEE_CAP, FEE_CAP, NOT_HEAVY, BALANCE, NO_GAPS, NO_PARKED = 2, 4, 8, 16, 32, 64, 128
 #: Limits and price bumps in percent.
 MAX_PER_SENDER, BUMP, BLOB_BUMP = 16, 10, 100
 
@@ -20,31 +20,39 @@ def priority(base_fee: int) -> Column:
     return F.when(F.col("max_fee") >= base_fee, F.least("max_tip", F.col("max_fee") - base_fee))
 
 
-def with_state(pool: DataFrame, balances: DataFrame, base_fee: int, block_gas: int = 400) -> DataFrame:
+def with_state(pool: DataFrame, balances: DataFrame, base_fee: int, block_gas: int, blob_fee: int = 1) -> DataFrame:
     """pool with cumulative_cost, state and subpool. balances: sender, balance, next_nonce (missing: 0).
 
-    Costs and gaps run along a sender's nonces; the sub-pool follows from comparing the state as a
-    number, strongest bit first.
+    Costs and gaps run along a sender's nonces; the blob-fee bit is always set where there are no blobs.
+    A transaction has parked ancestors if any earlier one lacks a bit of its own. The sub-pool follows from
+    comparing the state as a number, strongest bit first.
     """
     order = Window.partitionBy("sender").orderBy("nonce")
     rows = pool.join(balances, "sender", "left").fillna(0, ["balance", "next_nonce"])
     rows = rows.withColumn("cumulative_cost", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    gapless = F.col("nonce") - F.col("next_nonce") == F.row_number().over(order) - 1
-    rows = rows.withColumns({"enough": F.col("cumulative_cost") <= F.col("balance"), "gapless": gapless, "paid": F.col("max_fee") >= base_fee})
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("parked_before", ~F.coalesce(F.every(F.col("enough") & F.col("gapless") & F.col("paid")).over(earlier), F.lit(True)))
+    own = {
+        BLOB_FEE_CAP: ~F.col("is_blob") | (F.col("blob_fee") >= blob_fee), FEE_CAP: F.col("max_fee") >= base_fee, NOT_HEAVY: F.col("gas") <= block_gas,
+        BALANCE: F.col("cumulative_cost") <= F.col("balance"), NO_GAPS: F.col("nonce") - F.col("next_nonce") == F.row_number().over(order) - 1,
+    }
     bit = lambda c, b: F.when(c, F.lit(b)).otherwise(F.lit(0))
-    state = bit(F.col("is_blob"), BLOB) + bit(F.col("paid"), FEE_CAP) + bit(F.col("max_fee") >= base_fee // 2, BLOB_FEE_CAP) + bit(F.col("size") <= block_gas * 10, NOT_HEAVY) + bit(F.col("enough"), BALANCE) + bit(F.col("gapless"), NO_GAPS) + bit(~F.col("parked_before"), NO_PARKED)
+    rows = rows.withColumn("own", sum((bit(c, b) for b, c in own.items()), F.lit(0)))
+    ready = F.every(F.col("own") == sum(own)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    state = F.col("own") + bit(F.col("is_blob"), BLOB) + bit(F.coalesce(ready, F.lit(True)), NO_PARKED)
     rows = rows.withColumn("state", state.cast("long"))
-    return rows.withColumn("subpool", subpool(F.col("state"))).drop("enough", "gapless", "paid", "parked_before")
+    return rows.withColumn("subpool", subpool(F.col("state"))).drop("own")
 
 
 def subpool(state: Column) -> Column:
     """pending, basefee, blob or queued by ordered comparison of the state."""
     ready = NO_PARKED + NO_GAPS + BALANCE + NOT_HEAVY
     blob = state.bitwiseAND(F.lit(BLOB)) > 0
-    bare = state - F.when(blob, F.lit(BLOB)).otherwise(F.lit(0))
-    return F.when(bare >= ready + FEE_CAP + BLOB_FEE_CAP, F.lit("pending")).when(blob, F.lit("blob")).when(bare >= ready, F.lit("basefee")).otherwise(F.lit("queued"))
+    return F.when(state >= ready + FEE_CAP + BLOB_FEE_CAP, F.lit("pending")).when(blob, F.lit("blob")).when(state >= ready, F.lit("basefee")).otherwise(F.lit("queued"))
+
+
+def promoted(parked: DataFrame, base_fee: int) -> DataFrame:
+    """The parked transactions that a base fee releases: a sender's first, by nonce, that can't pay holds back all after it."""
+    held = F.every(F.col("max_fee") >= base_fee).over(Window.partitionBy("sender").orderBy("nonce").rowsBetween(Window.unboundedPreceding, 0))
+    return parked.withColumn("released", held).where("released").drop("released")
 
 
 def best_order(pool: DataFrame, base_fee: int) -> DataFrame:
@@ -68,24 +76,35 @@ def consecutive(pool: DataFrame, next_nonces: DataFrame) -> DataFrame:
     return first.groupBy("sender").agg(F.max("nonce").alias("nonce"), F.max_by("submission_id", "nonce").alias("submission_id"))
 
 
-def evicted(pool: DataFrame, keep: int, base_fee: int) -> DataFrame:
-    """submission_id, round of what goes until `keep` are left: in each round every sender's highest nonce,
-    the lowest priorities first.
+def evicted(pool: DataFrame, base_fee: int, max_count: int, max_bytes: int) -> DataFrame:
+    """submission_id, pass, round of what goes until the pool is within both limits.
 
-    Only totals of ranges of rounds meet in one window; within the last, partly evicted round, the cut-off
-    comes from one sort with a limit.
+    In each round every sender's highest nonce goes, the lowest priorities first. The first pass spares local
+    transactions, and with them what a sender has below; only if that is not enough, a second pass takes any.
     """
-    total = pool.count()
-    if total <= keep:
-        return pool.limit(0).select("submission_id", F.lit(0).cast("long").alias("round"))
-    rounds = pool.withColumn("round", F.row_number().over(Window.partitionBy("sender").orderBy(F.desc("nonce"))).cast("long"))
-    sizes = prefix_sums(rounds.groupBy("round").agg(F.count(F.lit(1)).alias("n")), "round", "n", "before").withColumn("through", F.col("before") + F.col("n"))
-    excess = total - keep
-    last = sizes.where(F.col("through") >= excess).orderBy("round").first()
-    rest = excess - (last["through"] - last["n"])
-    whole = rounds.where(F.col("round") < last["round"])
-    part = rounds.where(F.col("round") == last["round"]).orderBy(F.asc_nulls_first(priority(base_fee)), F.desc("submission_id")).limit(rest)
-    return whole.select("submission_id", "round").unionByName(part.select("submission_id", "round"))
+    goes = None
+    for spare in (True, False):
+        sums = pool.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+        needs = {"one": sums["n"] - max_count, "size": sums["bytes"] - max_bytes}
+        rows = pool
+        if spare:
+            local = pool.where("is_local").groupBy("sender").agg(F.max("nonce").alias("top_local"))
+            rows = pool.join(local, "sender", "left").where("top_local IS NULL OR nonce > top_local").drop("top_local")
+        ranked = position_within(rows.withColumn("down", -F.col("nonce")), ["sender"], "down", "round")
+        ranked = ranked.withColumns({"worth": F.coalesce(priority(base_fee), F.lit(-1)), "age": -F.col("submission_id"), "one": F.lit(1)})
+        out = take_until(ranked, ["round", "worth", "age"], needs).select("submission_id", F.lit(1 if spare else 2).alias("pass"), (F.col("round") + 1).alias("round"))
+        goes = out if goes is None else goes.unionByName(out)
+        pool = pool.join(out.select("submission_id"), "submission_id", "left_anti")
+    return goes
+
+
+def truncated(parked: DataFrame, max_count: int, max_bytes: int) -> DataFrame:
+    """submission_id of parked transactions that go until both limits are met: whole senders, the least
+    recently submitting first, each from its highest nonce down."""
+    sums = parked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    latest = parked.groupBy("sender").agg(F.max("submission_id").alias("latest"))
+    rows = parked.join(latest, "sender").withColumns({"down": -F.col("nonce"), "one": F.lit(1)})
+    return take_until(rows, ["latest", "down"], {"one": sums["n"] - max_count, "size": sums["bytes"] - max_bytes}).select("submission_id")
 
 
 def replacements(pool: DataFrame, offers: DataFrame, bump: int = BUMP, blob_bump: int = BLOB_BUMP) -> DataFrame:
@@ -97,10 +116,21 @@ def replacements(pool: DataFrame, offers: DataFrame, bump: int = BUMP, blob_bump
     return joined.withColumn("accepted", F.col("old_fee").isNull() | enough)
 
 
-def fee_delta(max_fee: Column, current: int) -> Column:
-    """Steps of 12.5 % between a fee cap and the current fee on a log scale, rounded away from the fee when below."""
-    jumps = F.ln(max_fee / F.lit(float(current))) / math.log(1.125)
-    return F.when(max_fee >= current, F.lit(0)).otherwise(F.floor(-F.log2(-jumps + 1))).cast("long")
+def fee_delta(fee: Column, current: Column) -> Column:
+    """How many doublings of 12.5 % steps lie between a fee and the current one, signed.
+
+    Both fees count by their whole binary logarithm (0 for a fee of 0); their distance in steps is rounded
+    away from zero, and its own whole logarithm is the result; 0 for less than a step.
+    """
+    whole = lambda x: F.when(x > 0, F.length(F.bin(x)) - 1).otherwise(F.lit(0))
+    steps = (whole(fee) - whole(current)) / F.lit(math.log2(1.125))
+    far = whole(F.ceil(F.abs(steps)))
+    return F.when(F.abs(steps) < 1, F.lit(0)).otherwise(F.when(steps > 0, far).otherwise(-far)).cast("long")
+
+
+def blob_priority(base_fee: int, blob_fee: int) -> Column:
+    """Of blob transactions: the worse of both distances to the current fees, 0 at best."""
+    return F.least(fee_delta(F.col("blob_fee"), F.lit(blob_fee)), fee_delta(F.col("max_fee"), F.lit(base_fee)), F.lit(0)).cast("long")
 
 
 def over_cap(pool: DataFrame, cap: int = MAX_PER_SENDER) -> DataFrame:

@@ -9,38 +9,41 @@ from ..operators import pool
 from .registry import query
 from .views import Ledger
 
-BASE = 60_000
+BASE, BLOB_FEE, BLOCK_GAS = 60_000, 30_000, 5_000
 STATE = """
     b AS (SELECT c_custkey AS sender, CAST(floor(greatest(c_acctbal, 0) * 100) AS BIGINT) AS balance, CAST(0 AS BIGINT) AS next_nonce FROM customer),
     j AS (SELECT p.*, coalesce(balance, 0) AS balance, coalesce(next_nonce, 0) AS next_nonce FROM pool p LEFT JOIN b USING (sender)),
-    r AS (SELECT *, CAST(sum(cost) OVER w AS BIGINT) AS cumulative_cost, nonce - next_nonce = row_number() OVER w - 1 AS gapless, max_fee >= 60000 AS paid FROM j WINDOW w AS (PARTITION BY sender ORDER BY nonce)),
-    e AS (SELECT *, cumulative_cost <= balance AS enough FROM r),
-    q AS (SELECT *, NOT coalesce(bool_and(enough AND gapless AND paid) OVER (PARTITION BY sender ORDER BY nonce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS parked FROM e),
-    s AS (SELECT *, CAST(paid::INT * 2 + (max_fee >= 30000)::INT * 4 + (size <= 4000)::INT * 8 + enough::INT * 16 + gapless::INT * 32 + (NOT parked)::INT * 64 AS BIGINT) AS bare FROM q),
-    t AS (SELECT *, bare + is_blob::INT AS state, CASE WHEN bare >= 126 THEN 'pending' WHEN is_blob THEN 'blob' WHEN bare >= 120 THEN 'basefee' ELSE 'queued' END AS subpool FROM s)"""
+    r AS (SELECT *, CAST(sum(cost) OVER w AS BIGINT) AS cumulative_cost, nonce - next_nonce = row_number() OVER w - 1 AS gapless FROM j WINDOW w AS (PARTITION BY sender ORDER BY nonce)),
+    e AS (SELECT *, cumulative_cost <= balance AS enough, max_fee >= 60000 AS paid, NOT is_blob OR blob_fee >= 30000 AS blob_paid, gas <= 5000 AS light FROM r),
+    q AS (SELECT *, coalesce(bool_and(enough AND gapless AND paid AND blob_paid AND light) OVER (PARTITION BY sender ORDER BY nonce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ready FROM e),
+    s AS (SELECT *, CAST(is_blob::INT * 2 + blob_paid::INT * 4 + paid::INT * 8 + light::INT * 16 + enough::INT * 32 + gapless::INT * 64 + ready::INT * 128 AS BIGINT) AS state FROM q),
+    t AS (SELECT *, CASE WHEN state >= 252 THEN 'pending' WHEN is_blob THEN 'blob' WHEN state >= 240 THEN 'basefee' ELSE 'queued' END AS subpool FROM s)"""
 
 
 def _balances(x: Ledger):
     return x.table("customer").select(F.col("c_custkey").alias("sender"), F.floor(F.greatest("c_acctbal", F.lit(0.0)) * 100).cast("long").alias("balance"), F.lit(0).cast("long").alias("next_nonce"))
 
 
+def _with_state(x: Ledger) -> DataFrame:
+    return pool.with_state(x.pool, _balances(x), BASE, BLOCK_GAS, BLOB_FEE)
+
+
 @query("pool_subpools", "pool", f"WITH {STATE} SELECT submission_id, cumulative_cost, CAST(state AS BIGINT) AS state, subpool FROM t")
 def pool_subpools(x: Ledger):
-    return pool.with_state(x.pool, _balances(x), BASE).select("submission_id", "cumulative_cost", "state", "subpool")
+    return _with_state(x).select("submission_id", "cumulative_cost", "state", "subpool")
 
 
 @query("pool_status", "pool", f"WITH {STATE} SELECT subpool, count(*) AS n, sum(size)::BIGINT AS bytes, count(DISTINCT sender) AS senders FROM t GROUP BY 1")
 def pool_status(x: Ledger):
-    return pool.with_state(x.pool, _balances(x), BASE).groupBy("subpool").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.countDistinct("sender").alias("senders"))
+    return _with_state(x).groupBy("subpool").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.countDistinct("sender").alias("senders"))
 
 
-@query("pool_promotions", "pool", """
-    WITH l AS (SELECT CASE WHEN max_fee >= 30000 THEN 'pays' ELSE 'parked' END AS at_low, CASE WHEN max_fee >= 60000 THEN 'pays' ELSE 'parked' END AS at_high FROM pool)
-    SELECT at_high, at_low, count(*) AS n FROM l GROUP BY ALL""")
+@query("pool_promotions", "pool", f"""
+    WITH {STATE}, p AS (SELECT submission_id, sender, nonce, bool_and(max_fee >= 30000) OVER (PARTITION BY sender ORDER BY nonce) AS released FROM t WHERE subpool = 'basefee')
+    SELECT submission_id, sender, nonce FROM p WHERE released""")
 def pool_promotions(x: Ledger):
-    """How a falling base fee moves fee caps across its boundary."""
-    pays = lambda fee: F.when(F.col("max_fee") >= fee, F.lit("pays")).otherwise(F.lit("parked"))
-    return x.pool.groupBy(pays(BASE).alias("at_high"), pays(BASE // 2).alias("at_low")).agg(F.count(F.lit(1)).alias("n"))
+    """What a base fee of half releases from the transactions that wait for it."""
+    return pool.promoted(_with_state(x).where("subpool = 'basefee'"), BASE // 2).select("submission_id", "sender", "nonce")
 
 
 @query("pool_best", "pool", """
@@ -68,18 +71,29 @@ def pool_consecutive(x: Ledger):
 
 
 @query("pool_evicted", "pool", """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY nonce DESC) AS round, CASE WHEN max_fee >= 60000 THEN least(max_tip, max_fee - 60000) END AS pr FROM pool)
-    SELECT submission_id, round FROM r ORDER BY round, pr ASC NULLS FIRST, submission_id DESC LIMIT greatest((SELECT count(*) FROM pool) * 2 // 3, 0)""")
+    WITH g AS (SELECT count(*) // 3 AS max_count, CAST(sum(size) AS BIGINT) // 4 AS max_bytes, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM pool),
+    l AS (SELECT p.*, coalesce(CASE WHEN max_fee >= 60000 THEN least(max_tip, max_fee - 60000) END, -1) AS worth, nonce > coalesce(max(CASE WHEN is_local THEN nonce END) OVER (PARTITION BY sender), -1) AS free FROM pool p),
+    r1 AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY nonce DESC) AS round FROM l WHERE free),
+    c1 AS (SELECT *, count(*) OVER o AS gone, coalesce(sum(size) OVER o, 0) AS gone_bytes FROM r1 WINDOW o AS (ORDER BY round, worth, submission_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    p1 AS (SELECT submission_id, size, round FROM c1, g WHERE n - gone > max_count OR bytes - gone_bytes > max_bytes),
+    h AS (SELECT (SELECT count(*) FROM p1) AS n1, (SELECT coalesce(sum(size), 0) FROM p1) AS b1),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY nonce DESC) AS round FROM l WHERE submission_id NOT IN (SELECT submission_id FROM p1)),
+    c2 AS (SELECT *, count(*) OVER o AS gone, coalesce(sum(size) OVER o, 0) AS gone_bytes FROM r2 WINDOW o AS (ORDER BY round, worth, submission_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    p2 AS (SELECT submission_id, round FROM c2, g, h WHERE n - n1 - gone > max_count OR bytes - b1 - gone_bytes > max_bytes)
+    SELECT submission_id, 1 AS pass, round FROM p1 UNION ALL SELECT submission_id, 2, round FROM p2""")
 def pool_evicted(x: Ledger):
-    total = x.pool.count()
-    return pool.evicted(x.pool, total - total * 2 // 3, BASE)
+    sums = x.pool.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    return pool.evicted(x.pool, BASE, sums["n"] // 3, (sums["bytes"] or 0) // 4)
 
 
-@query("pool_truncated_senders", "pool", """
-    SELECT sender, max(submission_id) AS latest, count(*) AS n, sum(size)::BIGINT AS bytes FROM pool GROUP BY 1""")
+@query("pool_truncated_senders", "pool", f"""
+    WITH {STATE}, k AS (SELECT submission_id, sender, nonce, size, max(submission_id) OVER (PARTITION BY sender) AS latest, count(*) OVER () AS n, sum(size) OVER () AS bytes FROM t WHERE subpool = 'queued'),
+    c AS (SELECT *, count(*) OVER o AS gone, coalesce(sum(size) OVER o, 0) AS gone_bytes FROM k WINDOW o AS (ORDER BY latest, nonce DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT submission_id FROM c WHERE n - gone > n // 2 OR bytes - gone_bytes > bytes // 3""")
 def pool_truncated_senders(x: Ledger):
-    """Per sender what decides who goes first when whole senders are evicted: the latest submission."""
-    return x.pool.groupBy("sender").agg(F.max("submission_id").alias("latest"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    parked = _with_state(x).where("subpool = 'queued'")
+    sums = parked.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    return pool.truncated(parked, sums["n"] // 2, (sums["bytes"] or 0) // 3)
 
 
 @query("pool_replacements", "pool", """
@@ -138,10 +152,15 @@ def pool_within_bytes_all(x: Ledger):
     return pool.within_bytes(x.pool, None, 2000).select("submission_id", "bytes")
 
 
-@query("pool_blob_order", "pool", """
-    SELECT submission_id, CAST(CASE WHEN max_fee >= 200000 THEN 0 ELSE floor(CASE WHEN ln(max_fee / 200000.0) / ln(1.125) < 0 THEN -log2(-(ln(max_fee / 200000.0) / ln(1.125)) + 1) ELSE 0 END) END AS BIGINT) AS delta FROM pool WHERE is_blob AND max_fee > 0""")
+DELTA = """CASE WHEN {d} = 0 THEN 0 ELSE sign({d}) * (length(bin(CAST(ceil(abs({d}) / 0.16992500144231237) AS BIGINT))) - 1) END"""
+WHOLE = "(CASE WHEN {x} > 0 THEN length(bin({x})) - 1 ELSE 0 END)"
+
+
+@query("pool_blob_order", "pool", f"""
+    WITH d AS (SELECT submission_id, {WHOLE.format(x="blob_fee")} - {WHOLE.format(x="30000")} AS blob, {WHOLE.format(x="max_fee")} - {WHOLE.format(x="60000")} AS fee FROM pool WHERE is_blob)
+    SELECT submission_id, CAST(least({DELTA.format(d="blob")}, {DELTA.format(d="fee")}, 0) AS BIGINT) AS priority FROM d""")
 def pool_blob_order(x: Ledger):
-    return x.pool.where("is_blob AND max_fee > 0").select("submission_id", pool.fee_delta(F.col("max_fee"), 200_000).alias("delta"))
+    return x.pool.where("is_blob").select("submission_id", pool.blob_priority(BASE, BLOB_FEE).alias("priority"))
 
 
 @query("pool_next_nonce", "pool transactions", "SELECT sender, greatest(max(n), 0) + 1 AS next_nonce FROM (SELECT sender, max(nonce) AS n FROM pool GROUP BY 1 UNION ALL SELECT sender, count(*) - 1 FROM transactions GROUP BY 1) GROUP BY 1")

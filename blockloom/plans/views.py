@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import day_hours, positions, prefix_sums, previous_within, seconds
+from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
 from ..operators.stages import write_segments
 from ..sources.shared import shared_dir
 
@@ -219,12 +219,13 @@ class Ledger:
 
     @cached_property
     def pool(self) -> DataFrame:
-        """submission_id, sender, nonce, max_fee, max_tip, cost, size, is_blob of the open orders."""
+        """submission_id, sender, nonce, max_fee, max_tip, cost, size, is_blob, gas, blob_fee, is_local of the open orders."""
         open_ = self.table("orders").where(F.col("o_orderstatus") == "O")
-        order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-        return open_.select(
-            F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("sender"), (F.row_number().over(order) - 1).cast("long").alias("nonce"), F.floor("o_totalprice").cast("long").alias("max_fee"),
+        numbered = position_within(open_, ["o_custkey"], "o_orderkey", "nonce")
+        return numbered.select(
+            F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("sender"), "nonce", F.floor("o_totalprice").cast("long").alias("max_fee"),
             F.floor(F.col("o_totalprice") / 7).cast("long").alias("max_tip"), F.floor(F.col("o_totalprice") * 2).cast("long").alias("cost"), (F.col("o_orderkey") % 997 + 100).cast("long").alias("size"), (F.col("o_orderkey") % 11 == 0).alias("is_blob"),
+            (F.col("o_orderkey") % 400 * 13).cast("long").alias("gas"), F.when(F.col("o_orderkey") % 11 == 0, F.floor(F.col("o_totalprice") / 3)).otherwise(0).cast("long").alias("blob_fee"), (F.col("o_custkey") % 10 == 0).alias("is_local"),
         )
 
 
@@ -266,7 +267,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "accounts": (("evts",), "SELECT address, arg_max_null(value, event_id) AS value FROM evts GROUP BY address"),
     "pool": ((), """
         SELECT o_orderkey AS submission_id, o_custkey AS sender, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS nonce, CAST(floor(o_totalprice) AS BIGINT) AS max_fee,
-               CAST(floor(o_totalprice / 7) AS BIGINT) AS max_tip, CAST(floor(o_totalprice * 2) AS BIGINT) AS cost, CAST(o_orderkey % 997 + 100 AS BIGINT) AS size, o_orderkey % 11 = 0 AS is_blob
+               CAST(floor(o_totalprice / 7) AS BIGINT) AS max_tip, CAST(floor(o_totalprice * 2) AS BIGINT) AS cost, CAST(o_orderkey % 997 + 100 AS BIGINT) AS size, o_orderkey % 11 = 0 AS is_blob,
+               CAST(o_orderkey % 400 * 13 AS BIGINT) AS gas, CAST(CASE WHEN o_orderkey % 11 = 0 THEN floor(o_totalprice / 3) ELSE 0 END AS BIGINT) AS blob_fee, o_custkey % 10 = 0 AS is_local
         FROM orders WHERE o_orderstatus = 'O'"""),
 }
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import encodings
-from blockloom.functions.ranks import positions, prefix_sums
+from blockloom.functions.ranks import position_within, positions, prefix_minima, prefix_sums, previous_within, take_until
 from blockloom.operators import chain, fees, history, logs, pool, retention, stages, tools
 from blockloom.sources import archive
 
@@ -90,6 +90,30 @@ def test_positions_and_sums_across_ranges(spark):
     assert sorted((r["k"], r["before"]) for r in sums) == [(k, 2 * i) for i, k in enumerate(keys)]
 
 
+def test_positions_and_neighbours_within_groups(spark):
+    rows = [(g, k, k * 10 + g) for g in (1, 2) for k in (0, 3, 7, 8, 9, 20, 33) if k % (g + 1) != 1]
+    df = table(spark, rows, "g long, k long, v long")
+    at = {(r["g"], r["k"]): (r["p"], r["b"]) for r in previous_within(position_within(df, ["g"], "k", "p", 8), ["g"], "k", "v", "b", 8).collect()}
+    for g in (1, 2):
+        mine = [r for r in rows if r[0] == g]
+        assert [at[g, k] for _, k, _ in mine] == [(i, mine[i - 1][2] if i else None) for i in range(len(mine))]
+    low = prefix_minima(df.where("g = 1").withColumn("v", F.abs(F.col("k") - 8)), "k", "v", "m", 3).orderBy("k").collect()
+    assert [r["m"] for r in low] == [min(abs(k - 8) for _, k, _ in rows if _ == _ and k <= r["k"] and (1, k, k * 10 + 1) in rows) for r in low]
+
+
+def test_take_until(spark):
+    rows = [(a, b, (3 * a + b) % 5 + 1) for a in range(6) for b in range(7)]
+    df = table(spark, rows, "a long, b long, n long").withColumn("one", F.lit(1))
+    for need in (0, 1, 9, 40, 125, 10**6):
+        total, want = 0, []
+        for r in sorted(rows):
+            if total >= need and (len(want) >= need // 10):
+                break
+            want.append(r[:2])
+            total += r[2]
+        assert sorted((r["a"], r["b"]) for r in take_until(df, ["a", "b"], {"n": need, "one": need // 10}).collect()) == want
+
+
 def test_reward_percentiles_of_empty_block_and_ties(spark):
     headers = table(spark, [(0, 0), (1, 30)], "number long, gas_used long")
     txs = table(spark, [(1, 5, 0, 10), (1, 5, 1, 10), (1, 9, 2, 10)], "number long, tip long, tx_num long, gas long")
@@ -103,11 +127,44 @@ def test_fake_exponential():
     assert fees.fake_exponential(10_000, 5, 1) > 1_400_000
 
 
+@pytest.mark.parametrize("fee, used, limit, after", [
+    (1000, 15, 30, 1000), (1000, 30, 30, 1125), (1000, 0, 30, 875), (7, 16, 30, 8), (0, 30, 30, 1), (10**15, 10_000_000, 30_000_000, 10**15 - 10**15 * 5_000_000 // 15_000_000 // 8),
+])
+def test_next_base_fee(spark, fee, used, limit, after):
+    df = table(spark, [(fee, used, limit)], "f long, u long, l long")
+    assert df.select(fees.next_base_fee(F.col("f"), F.col("u"), F.col("l"))).first()[0] == after
+
+
+def test_blob_fees_and_excess(spark):
+    df = table(spark, [(0,), (2_314_057,), (10 * 1024 * 1024,), (40_000_000,)], "e long")
+    assert [r[0] for r in df.select(fees.blob_base_fee(F.col("e"))).collect()] == [fees.fake_exponential(1, e, fees.UPDATE_FRACTION) for e in (0, 2_314_057, 10 * 1024 * 1024, 40_000_000)]
+    blobs, excess, want = [6, 6, 0, 0, 0, 6, 3, 4, 0], 0, []
+    for n in blobs:
+        want.append(excess)
+        excess = max(0, excess + (n - 3) * fees.GAS_PER_BLOB)
+    rows = table(spark, list(enumerate(blobs)), "number long, blobs long")
+    assert [r["excess"] for r in fees.excess_blob_gas(rows).orderBy("number").collect()] == want
+
+
+def test_full_fee_history_and_capacity(spark):
+    headers = table(spark, [(1, 10, 90, 100), (2, 11, 10, 100), (3, 12, 0, 100)], "number long, base_fee long, gas_used long, gas_limit long")
+    txs = table(spark, [(1, 0, 50, 5, 100, 10), (1, 1, 40, 8, 100, 10), (2, 2, 10, 3, 5, 11)], "number long, tx_num long, gas long, tip long, max_fee long, base_fee long")
+    got = {r["number"]: r for r in fees.full_fee_history(headers, txs, 1, 3, (0, 50, 60, 100)).collect()}
+    assert [got[n]["rewards"] for n in (1, 2, 3, 4)] == [[5, 5, 8, 8], [0, 0, 0, 0], [0, 0, 0, 0], None]  # the second's cap is below its base fee
+    assert got[1]["gas_used_ratio"] == 0.9 and got[4]["gas_used_ratio"] is None and got[4]["base_fee"] == 12 - 12 // 8 and {r["blob_base_fee"] for r in got.values()} == {1}
+    tips = {r["number"]: r["tip"] for r in fees.tips_at_capacity(txs, headers, 2).collect()}
+    assert tips == {1: 6, 2: 2, 3: 2}  # a median of 6, and a tenth of it; the others had room
+    for bad in ((50, 10), (-1,), (101,)):
+        with pytest.raises(ValueError):
+            fees.full_fee_history(headers, txs, 1, 3, bad)
+
+
 def test_header_rules(spark):
-    rows = [(0, "h0", "x", 1, 5, 100, 8), (1, "h1", "h0", 2, 50, 100, 7), (2, "h2", "bad", 2, 101, 100, 7), (4, "h4", "h2", 9, 50, 300, 7)]
+    rows = [(0, "h0", "x", 1, 5, 10_240, 8), (1, "h1", "h0", 2, 50, 10_249, 7), (2, "h2", "bad", 2, 10_300, 10_239, 7), (4, "h4", "h2", 9, 50, 4_999, 7)]
     faults = listed(chain.header_faults(table(spark, rows, "number long, hash string, parent_hash string, ts long, gas_used long, gas_limit long, base_fee long")))
     assert (2, "parent hash") in faults and (2, "gas used beyond limit") in faults and (2, "timestamp not after the parent's") in faults
-    assert (4, "number is not the parent's plus one") in faults and (4, "gas limit moved too far") in faults
+    assert (4, "number is not the parent's plus one") in faults and (4, "gas limit moved too far") in faults and (4, "gas limit below the minimum") in faults
+    assert (2, "gas limit moved too far") in faults and (1, "gas limit moved too far") not in faults  # 10 of 10,249 is a share of 1024, 9 of 10,240 is not
     assert not any(n in (0, 1) and "hash" in f for n, f in faults)
 
 
@@ -137,20 +194,76 @@ def test_prune_modes():
         retention.should_prune("other", 10, 100)
 
 
-def test_eviction_rounds_equal_a_loop(spark):
-    rows = [(100 * s + n, s, n, 1000 + (7 * s + 3 * n) % 50, 10) for s in range(5) for n in range(s + 1)]
-    df = table(spark, rows, "submission_id long, sender long, nonce long, max_fee long, max_tip long")
+def evict_by_hand(rows, base, max_count, max_bytes):
+    """Round by round, worst first, each sender's highest nonce; local ones are spared at first."""
     left, order = {r[0]: r for r in rows}, []
-    while left:
-        heads = {}
-        for r in left.values():
-            if r[1] not in heads or r[2] > heads[r[1]][2]:
-                heads[r[1]] = r
-        for r in sorted(heads.values(), key=lambda r: (min(r[4], r[3] - 1000), -r[0])):
-            order.append(r[0])
-            del left[r[0]]
-    for keep in (0, 4, 9, 15):
-        assert sorted(r["submission_id"] for r in pool.evicted(df, keep, 1000).collect()) == sorted(order[: max(0, len(rows) - keep)])
+    over = lambda: len(left) > max_count or sum(r[5] for r in left.values()) > max_bytes
+    for spare in (True, False):
+        while over():
+            heads = {}
+            for r in left.values():
+                if r[1] not in heads or r[2] > heads[r[1]][2]:
+                    heads[r[1]] = r
+            going = [r for r in sorted(heads.values(), key=lambda r: (min(r[4], r[3] - base) if r[3] >= base else -1, -r[0])) if not (spare and r[6])]
+            if not going:
+                break
+            for r in going:
+                if not over():
+                    break
+                order.append(r[0])
+                del left[r[0]]
+    return order
+
+
+@pytest.mark.parametrize("max_count, max_bytes", [(0, 0), (4, 10**6), (21, 300), (9, 10**6), (10**6, 500), (21, 10**6)])
+def test_eviction_rounds_equal_a_loop(spark, max_count, max_bytes):
+    rows = [(100 * s + n, s, n, 1000 + (7 * s + 3 * n) % 50, 10, 10 + 7 * s % 40, s == 4 or (s == 5 and n == 2)) for s in range(6) for n in range(s + 1)]
+    df = table(spark, rows, "submission_id long, sender long, nonce long, max_fee long, max_tip long, size long, is_local boolean")
+    assert sorted(r["submission_id"] for r in pool.evicted(df, 1000, max_count, max_bytes).collect()) == sorted(evict_by_hand(rows, 1000, max_count, max_bytes))
+
+
+def test_truncation_takes_whole_senders_least_recent_first(spark):
+    senders = {"a": 4, "b": 3, "c": 3, "d": 1}
+    rows, at = [], 0
+    for s, n in senders.items():
+        for k in range(n):
+            rows.append((at, ord(s), k, 10))
+            at += 1
+    df = table(spark, rows, "submission_id long, sender long, nonce long, size long")
+    gone = {r["submission_id"] for r in pool.truncated(df, 4, 10**6).collect()}
+    assert gone == {r[0] for r in rows if chr(r[1]) in "ab"}  # c and d are left
+    assert {r["submission_id"] for r in pool.truncated(df, 9, 10**6).collect()} == {3, 2}  # a's highest nonces
+    assert pool.truncated(df, 11, 110).count() == 0 and pool.truncated(df, 11, 75).count() == 4
+
+
+@pytest.mark.parametrize("base, fee, expected", [(7, 10, 2), (17_200_000_000, 17_200_000_000, 0), (9_853_941_692, 11_085_092_510, 0), (11_544_106_391, 10_356_781_100, 0), (17_200_000_000, 7, -7), (7, 17_200_000_000, 7), (100, 80, 0), (100, 63, -2), (0, 0, 0)])
+def test_fee_distance(spark, base, fee, expected):
+    assert table(spark, [(fee, base)], "fee long, base long").select(pool.fee_delta(F.col("fee"), F.col("base"))).first()[0] == expected
+
+
+def test_blob_order_goes_by_the_worse_distance(spark):
+    rows = [(1, 80, 630), (2, 80, 800), (3, 63, 800), (4, 63, 630)]
+    df = table(spark, rows, "submission_id long, blob_fee long, max_fee long").withColumn("p", pool.blob_priority(1000, 100))
+    assert [r["p"] for r in df.orderBy("submission_id").collect()] == [0, 0, -2, -2]
+
+
+def test_promotion_stops_at_the_first_that_cannot_pay(spark):
+    df = table(spark, [(1, 0, 100), (1, 1, 40), (1, 2, 100), (2, 0, 40), (2, 1, 100), (3, 5, 50)], "sender long, nonce long, max_fee long")
+    assert listed(pool.promoted(df, 50).select("sender", "nonce")) == [(1, 0), (3, 5)]
+    assert pool.promoted(df, 40).count() == 6 and pool.promoted(df, 101).count() == 0
+
+
+def test_states_and_subpools(spark):
+    rows = [
+        (1, 0, 100, 10, 50, False, 0), (1, 1, 10, 10, 50, False, 0), (1, 2, 100, 10, 50, False, 0),  # pays, waits for the fee, waits for it too
+        (2, 0, 100, 10, 50, True, 9), (3, 0, 100, 10, 50, True, 1), (4, 1, 100, 10, 50, False, 0), (5, 0, 100, 999, 50, False, 0), (6, 0, 100, 10, 500, False, 0),
+    ]
+    df = table(spark, rows, "sender long, nonce long, max_fee long, cost long, gas long, is_blob boolean, blob_fee long")
+    balances = table(spark, [(s, 100, 0) for s in range(1, 7)], "sender long, balance long, next_nonce long")
+    got = {(r["sender"], r["nonce"]): (r["state"], r["subpool"]) for r in pool.with_state(df, balances, 50, 100, 5).collect()}
+    assert got == {
+        (1, 0): (252, "pending"), (1, 1): (244, "basefee"), (1, 2): (124, "queued"), (2, 0): (254, "pending"), (3, 0): (250, "blob"), (4, 1): (188, "queued"), (5, 0): (220, "queued"), (6, 0): (236, "queued"),
+    }
 
 
 def test_best_order_equals_a_loop(spark):

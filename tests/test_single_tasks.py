@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from blockloom.operators import pool, tools
+from blockloom.plans import views
+
+from .conftest import SF
 
 
 def test_listing_skips_without_a_global_limit(spark):
@@ -12,10 +15,21 @@ def test_listing_skips_without_a_global_limit(spark):
     assert [r["number"] for r in got.collect()] == list(range(19_958, -1, -2))
 
 
-def test_rounds_meet_as_totals_of_ranges(spark, monkeypatch):
-    widths, real = [], pool.prefix_sums
-    monkeypatch.setattr(pool, "prefix_sums", lambda *a: widths.append(a[1:]) or real(*a))
-    rows = spark.range(9_000).select(F.col("id").alias("submission_id"), F.lit(1).alias("sender"), F.col("id").alias("nonce"), F.lit(10).alias("max_fee"), F.lit(1).alias("max_tip"))
-    got = pool.evicted(rows, 3_000, 5)
-    assert widths == [("round", "n", "before")] and got.count() == 6_000
-    assert got.agg(F.min("submission_id")).first()[0] == 3_000 and got.agg(F.max("round")).first()[0] == 6_000
+def test_no_window_over_all_rows_of_a_pool(spark):
+    """A sender with all transactions: rounds, priorities and ages are cut by totals."""
+    rows = spark.range(9_000).select(F.col("id").alias("submission_id"), F.lit(1).alias("sender"), F.col("id").alias("nonce"), F.lit(10).alias("max_fee"), F.lit(1).alias("max_tip"), F.lit(7).alias("size"), F.lit(False).alias("is_local"))
+    got = pool.evicted(rows, 5, 3_000, 10**9)
+    assert got.count() == 6_000 and got.agg(F.min("submission_id")).first()[0] == 3_000 and got.agg(F.max("round")).first()[0] == 6_000
+
+
+def test_ranges_of_blocks_open_their_folders_only(spark, monkeypatch):
+    monkeypatch.setattr(views, "SEGMENT", 256)
+    monkeypatch.setattr(views, "_stored", {})
+    x = views.Ledger(spark, SF)
+    for df, scans in ((x.headers_between(300, 700), 1), (x.enriched_between(300, 700), 1), (x.transactions_between(300, 700), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == scans and "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(number)" in plan and "Exchange" not in plan
+        assert len({f.rsplit("/", 2)[1] for f in df.inputFiles()}) <= 6 and df.where("number < 300 OR number > 700").isEmpty()
+    whole = x.headers.count()
+    assert whole == spark.read.parquet(f"{SF}/orders.parquet").count() and x.headers_between(None, 99).count() == 100 == x.headers_between(whole - 100, None).count()
+    assert views.Ledger(spark, SF).headers.inputFiles() == x.headers.inputFiles() and len(views._stored) == 2  # built once
