@@ -10,8 +10,9 @@ blocks' complete sets (packed and compressed, as near copies share most n-grams)
 exactly. No pair of documents is ever a row: tasks count links and hand on one edge per set, so the rows
 stay in proportion to the documents. Buckets beyond a task's share are compared block against block too.
 
-The complete sets are worked out again from the texts of one document of each clustered set; where
-these are too many to broadcast their keys, that join shuffles the texts once.
+The complete sets are worked out again from the texts of one document of each clustered set. Up to
+FEW_WANTED of them, 64-bit keys are broadcast to leave all other texts out before the join; beyond that
+the join shuffles the texts once.
 
 Words are what white space separates, in lower case; a text of fewer than n words has one n-gram of
 all its words. Defined results: null and empty texts have no n-grams and link with nothing; repeated
@@ -43,6 +44,8 @@ HASHES = BANDS * ROWS
 BUCKET, CLUSTER_MEMBERS, CLUSTER_GRAMS = 4096, 256, 1_500_000
 #: Larger clusters have blocks of at least so many members, about so many blocks, and blocks of at most so many.
 BLOCK_LEAST, BLOCKS, BLOCK_MOST = 64, 40, 4096
+#: Documents whose texts are read again, up to which their keys (8 bytes each) are broadcast.
+FEW_WANTED = 2_000_000
 GROUP_CHARS = 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -369,6 +372,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = chosen.groupBy("cluster").agg(F.greatest(F.when(members > CLUSTER_MEMBERS, many).otherwise(F.lit(1)), grams).cast("int").alias("blocks"))
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.unhex(F.sha1("text")))
     wanted = chosen.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "docs", "grams", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
+    if chosen.count() <= FEW_WANTED:
+        keys = wanted.select(F.xxhash64("one_id", "one_key").alias("key")).distinct()
+        texts = texts.withColumn("key", F.xxhash64("id", "text_key")).join(F.broadcast(keys), "key", "left_semi").drop("key")
     ready = texts.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).select("cluster", "block", "blocks", "node", "docs", "grams", "sig", "text")
     with_set = T.StructType([*ready.drop("text").schema.fields, T.StructField("set", T.BinaryType())])
 

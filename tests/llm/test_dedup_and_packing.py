@@ -95,7 +95,7 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
             rows.append((100 * k + c + 10, " ".join(copy + (passage if c % 3 == 0 else []))))
     links, component = jaccard_by_hand(rows)
     for bucket, members, least, blocks in ((4096, 256, 64, 40), (3, 3, 2, 3), (4096, 1, 1, 40)):  # also with buckets and clusters split into blocks
-        for name, value in (("BUCKET", bucket), ("CLUSTER_MEMBERS", members), ("BLOCK_LEAST", least), ("BLOCKS", blocks)):
+        for name, value in (("BUCKET", bucket), ("CLUSTER_MEMBERS", members), ("BLOCK_LEAST", least), ("BLOCKS", blocks), ("FEW_WANTED", 10**6 if members > 3 else 0)):
             monkeypatch.setattr(bayes_jaccard, name, value)
         got = {r["doc_id"]: r for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
         for (i, _), near, c in zip(rows, links, component):
