@@ -50,6 +50,26 @@ def index_shards(changes: DataFrame, keys: list[str], size: int = SHARD) -> Data
     return shards.withColumn("last", last).select(*keys, F.when(F.col("shard") == F.col("last"), F.lit(2**63 - 1)).otherwise(F.element_at("blocks", -1)).alias("shard_end"), "blocks")
 
 
+def shard_lookup(shards: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted (keys, block) with next_block: the first block at or after it that changed the key, null if none.
+
+    The shard is the first whose end is not below the block; the block is searched in that shard only.
+    """
+    reached = wanted.join(shards, keys).where(F.col("shard_end") >= F.col("block"))
+    found = reached.groupBy(*keys, "block").agg(F.min_by("blocks", "shard_end").alias("blocks"))
+    later = F.element_at(F.filter("blocks", lambda b: b >= F.col("block")), 1)
+    return wanted.join(found.select(*keys, "block", F.when(F.array_max("blocks") >= F.col("block"), later).alias("next_block")), [*keys, "block"], "left")
+
+
+def account_info(changes: DataFrame, current: DataFrame, txs: DataFrame, creations: DataFrame, block: int) -> DataFrame:
+    """address, balance, nonce, code at the start of a block: what stood there, transactions sent before it, and the
+    hash of the code of an account created before it (null: none). creations: contract, number, tx_num."""
+    nonces = txs.where(F.col("number") < block).groupBy(F.col("sender").cast("long").alias("address")).agg(F.count(F.lit(1)).alias("nonce"))
+    codes = creations.where(F.col("number") < block).select(F.col("contract").cast("long").alias("address"), F.md5(F.concat(F.lit("code-"), F.col("tx_num").cast("string"))).alias("code"))
+    state = as_of(changes, current, block).withColumnRenamed("value", "balance")
+    return state.join(nonces, "address", "left").join(codes, "address", "left").fillna(0, ["nonce"]).select("address", "balance", "nonce", "code")
+
+
 def trim_shards(shards: DataFrame, keys: list[str], block: int, size: int = SHARD) -> DataFrame:
     """Shards without blocks <= block; empty ones go, and the last that is left is open."""
     kept = shards.select(*keys, F.explode("blocks").alias("block")).where(F.col("block") > block)

@@ -226,14 +226,17 @@ def lowest_tips(x: Ledger):
     return fees.lowest_tips(x.enriched_between(None, None))
 
 
-@query("suggested_tip", "transactions headers", """
+SUGGESTED_TIP = """
     WITH looked AS (SELECT * FROM headers WHERE number > (SELECT max(number) - least(max(number), 2048) FROM headers)),
     s AS (SELECT h.number, t.tip, row_number() OVER (PARTITION BY h.number ORDER BY t.tip, t.tx_num) AS place FROM looked h JOIN transactions t USING (number) WHERE t.sender <> h.beneficiary AND t.tip >= 2),
     f AS (SELECT l.number, s.tip FROM looked l LEFT JOIN (SELECT * FROM s WHERE place <= 3) s USING (number)),
     b AS (SELECT number, coalesce(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY number DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM (SELECT number, count(tip) AS n FROM f GROUP BY 1)),
     v AS (SELECT coalesce(tip, 0) AS tip FROM f JOIN b USING (number) WHERE seen < 20),
     l AS (SELECT list(tip ORDER BY tip) AS tips FROM v)
-    SELECT CAST(least(tips[((len(tips) - 1) * 60) // 100 + 1], 500000000000) AS BIGINT) AS tip FROM l""")
+    SELECT CAST(least(tips[((len(tips) - 1) * 60) // 100 + 1], 500000000000) AS BIGINT) AS tip FROM l"""
+
+
+@query("suggested_tip", "transactions headers", SUGGESTED_TIP)
 def suggested_tip(x: Ledger):
     head = _head(x)
     reach = (head - 2 * fees.MAX_HISTORY, head)

@@ -24,6 +24,8 @@ from ..sources.shared import shared_dir
 UNIT_GAS, GAS_LIMIT = 20, 4998
 #: Blocks of a segment at least, and segments of a table at most (larger tables have longer segments).
 SEGMENT, SEGMENTS = 8192, 2048
+#: Characters of a hash that name its folder in the index of hashes.
+PREFIX = 2
 
 _stored: dict[tuple[str, ...], tuple[str, int]] = {}
 
@@ -127,6 +129,25 @@ class Ledger:
 
         return self._segments("logs", ("events",), build, "block")
 
+    @cached_property
+    def _hash_index(self) -> DataFrame:
+        """hash, kind (block or tx), number, tx_num, in folders by the first characters of the hash, sorted inside."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir, "hashes", self._state(("orders", "lineitem")))
+        if at not in _stored:
+            nothing = F.lit(None).cast("long")
+            blocks = self.headers.select("hash", F.lit("block").alias("kind"), "number", nothing.alias("tx_num"))
+            index = blocks.unionByName(self.transactions.select("hash", F.lit("tx").alias("kind"), "number", "tx_num"))
+            path = f"{shared_dir(self.spark)}/hashes"
+            ordered = index.withColumn("prefix", F.substring("hash", 1, PREFIX)).repartitionByRange("hash").sortWithinPartitions("prefix", "hash")
+            ordered.write.partitionBy("prefix").option("compression", "zstd").parquet(path)
+            _stored[at] = path, PREFIX
+        return self.spark.read.schema("hash string, kind string, number long, tx_num long, prefix string").parquet(_stored[at][0])
+
+    def of_hashes(self, hashes: list[str], kind: str) -> DataFrame:
+        """hash, number, tx_num of those hashes that are there; opens their folders only."""
+        found = self._hash_index.where(F.col("prefix").isin([h[:PREFIX] for h in hashes]))
+        return found.where(F.col("hash").isin(hashes) & (F.col("kind") == kind)).select("hash", "number", "tx_num")
+
     # views ---------------------------------------------------------------------------------------
 
     def headers_between(self, first: int | None, last: int | None) -> DataFrame:

@@ -63,14 +63,48 @@ def balance_changes(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("address"), before.alias("before"), F.col("value").alias("after"))
 
 
-def run_once(stream: DataFrame) -> DataFrame:
-    """All that the stream holds now, as a table; the query's checkpoint lies beside it."""
+def run_once(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """All that the stream holds now, as a table; the query's checkpoint lies beside it.
+
+    With the path of an earlier run, only what has come since then is read, and the table grows.
+    """
     spark = stream.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(spark)
     stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
+def resumed(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """number, hash, op, seq: what brings a consumer's chain (theirs: number, hash) to the canonical one (ours).
+
+    First its blocks that have left the chain are reverted, the highest first; then the canonical blocks after
+    the last common one are committed in order, and live ones may follow.
+    """
+    gone = theirs.join(ours, ["number", "hash"], "left_anti")
+    ends = gone.agg(F.min("number")).first()[0], theirs.agg(F.max("number")).first()[0]
+    top = -1 if ends[1] is None else ends[1]
+    fork = top + 1 if ends[0] is None else ends[0]
+    reverts = theirs.where(F.col("number") >= fork).select("number", "hash", F.lit("revert").alias("op"), (F.lit(top) - F.col("number")).alias("seq"))
+    commits = ours.where(F.col("number") >= fork).select("number", "hash", F.lit("commit").alias("op"), (F.col("number") - fork + (top + 1 - fork)).alias("seq"))
+    return reverts.unionByName(commits)
+
+
+def inverted(notes: DataFrame) -> DataFrame:
+    """Notifications taken back: commits are reverts and reverts commits, the last one first."""
+    return notes.withColumns({"op": F.when(F.col("op") == "commit", F.lit("revert")).otherwise(F.lit("commit")), "seq": -F.col("seq"), "removed": ~F.col("removed")})
+
+
+def kept_for(notes: DataFrame, finished: int) -> DataFrame:
+    """The logged notifications that a restart needs: those above the height that all consumers have finished."""
+    return notes.where(F.col("block") > finished)
+
+
+def standing(notes: DataFrame, key: str = "event_id") -> DataFrame:
+    """The rows that stand after all notifications: the last word on each is a commit."""
+    last = notes.groupBy(key).agg(F.max_by(F.struct("op", "block"), "seq").alias("last"))
+    return last.where("last.op = 'commit'").select(key, F.col("last.block").alias("block"))
+
+
 def finalized(notes: DataFrame, block: int) -> DataFrame:
     """Commits up to the finalized block that stand: the last word on each event."""
     return notes.where(F.col("block") <= block).groupBy("event_id").agg(F.max_by("op", "seq").alias("op"), F.max("block").alias("block")).where("op = 'commit'").select("event_id", "block")
