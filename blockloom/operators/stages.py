@@ -28,11 +28,6 @@ def next_range(body_indices: DataFrame, checkpoint: int, max_txs: int) -> DataFr
     return rows.agg(F.lit(checkpoint + 1).cast("long").alias("first_block"), F.max("number").alias("last_block"), F.sum("tx_count").alias("txs"))
 
 
-def hash_index(txs: DataFrame) -> DataFrame:
-    """hash, tx_num, range-partitioned and sorted by hash, ready to be written."""
-    return txs.select("hash", "tx_num").repartitionByRange("hash").sortWithinPartitions("hash")
-
-
 def segments(body_indices: DataFrame, size: int) -> DataFrame:
     """The fixed-size block ranges of the cold store."""
     return body_indices.groupBy(F.floor(F.col("number") / size).alias("bucket")).agg(

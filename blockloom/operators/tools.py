@@ -67,11 +67,19 @@ def partitioned_by(df: DataFrame, targets: DataFrame, keys: list[str]) -> tuple[
     return df.join(targets, keys, "left_semi"), df.join(targets, keys, "left_anti")
 
 
+def tree_depth(leaves: int, per_group: int = 1000) -> int:
+    """The depth at which a group of evenly spread leaves has about so many at most."""
+    depth = 1
+    while leaves > per_group * 16**depth:
+        depth += 1
+    return depth
+
+
 def hash_tree(leaves: DataFrame, depth: int) -> DataFrame:
     """level, path, hash of a 16-way tree over leaves (path: hex key, hash).
 
     At each level the hashes below a prefix are joined in path order and hashed, so equal contents give
-    equal roots. depth should grow with the table (log16 of the leaves), so that groups stay small.
+    equal roots. depth should grow with the table, so that groups stay small: see tree_depth.
     """
     joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda s: s["hash"]), ""), 256)
     level = leaves.groupBy(F.substring("path", 1, depth).alias("p")).agg(joined().alias("hash")).select(F.col("p").alias("path"), "hash")

@@ -16,7 +16,7 @@ AS_OF = """
 
 @query("accounts_as_of", "account_changes accounts", AS_OF.format(n=300))
 def accounts_as_of(x: Ledger):
-    return history.as_of(x.account_changes, x.accounts, 300)
+    return history.as_of(x.changes_between(300, None), x.accounts, 300)
 
 
 @query("accounts_as_of_genesis", "account_changes accounts", AS_OF.format(n=1))
@@ -47,25 +47,25 @@ def history_class(x: Ledger):
 
 @query("changed_accounts", "account_changes", "SELECT DISTINCT address FROM account_changes WHERE block BETWEEN 50 AND 80")
 def changed_accounts(x: Ledger):
-    return x.account_changes.where(F.col("block").between(50, 80)).select("address").distinct()
+    return x.changes_between(50, 80).select("address").distinct()
 
 
 @query("changed_accounts_and_blocks", "account_changes", "SELECT address, string_agg(block, ',' ORDER BY block) AS blocks FROM account_changes WHERE block BETWEEN 50 AND 250 GROUP BY 1")
 def changed_accounts_and_blocks(x: Ledger):
-    listed = x.account_changes.where(F.col("block").between(50, 250)).groupBy("address").agg(F.array_sort(F.collect_list("block")).alias("b"))
+    listed = x.changes_between(50, 250).groupBy("address").agg(F.array_sort(F.collect_list("block")).alias("b"))
     return listed.select("address", F.array_join(F.transform("b", lambda v: v.cast("string")), ",").alias("blocks"))
 
 
 @query("block_changeset", "account_changes", "SELECT address, before FROM account_changes WHERE block = 120")
 def block_changeset(x: Ledger):
-    return x.account_changes.where("block = 120").select("address", "before")
+    return x.changes_between(120, 120).select("address", "before")
 
 
 @query("changed_balances", "account_changes accounts", """
     WITH m AS (SELECT address, before, after FROM account_changes WHERE block = 240)
     SELECT address, coalesce(after, 0) AS value FROM m WHERE after IS DISTINCT FROM before""")
 def changed_balances(x: Ledger):
-    return history.changed_balances(x.account_changes, x.accounts, 240)
+    return history.changed_balances(x.changes_between(240, None), x.accounts, 240)
 
 
 @query("state_unwound", "account_changes accounts", "SELECT * FROM (" + AS_OF.format(n=401) + ") WHERE value IS NOT NULL")
@@ -95,8 +95,8 @@ def history_index_trimmed(x: Ledger):
     WITH l AS (SELECT address, arg_max_null(after, block) AS value FROM account_changes WHERE block >= 700 GROUP BY 1), s AS (SELECT * FROM (""" + AS_OF.format(n=700) + """))
     SELECT address, value FROM l UNION ALL SELECT address, value FROM s WHERE address NOT IN (SELECT address FROM l)""")
 def live_over_stored(x: Ledger):
-    live = x.account_changes.where("block >= 700").groupBy("address").agg(F.max_by("after", "block").alias("value"))
-    return history.merged([live, history.as_of(x.account_changes, x.accounts, 700)], "address")
+    live = x.changes_between(700, None).groupBy("address").agg(F.max_by("after", "block").alias("value"))
+    return history.merged([live, history.as_of(x.changes_between(700, None), x.accounts, 700)], "address")
 
 
 @query("latest_change_per_account", "account_changes", "SELECT address, max(block) AS block, arg_max_null(after, block) AS value, count(*) AS n_changes FROM account_changes GROUP BY 1")
@@ -107,7 +107,7 @@ def latest_change_per_account(x: Ledger):
 @query("stage_append_bodies", "body_indices", "SELECT number, first_tx_num, tx_count, CASE WHEN tx_count > 0 THEN first_tx_num + tx_count - 1 END AS last_tx_num FROM body_indices WHERE number BETWEEN 1001 AND 3000")
 def stage_append_bodies(x: Ledger):
     """Bodies appended after checkpoint 1000: numbering goes on from the last transaction."""
-    return stages.append_bodies(x.body_indices.where("number <= 1000"), x.body_indices.where("number BETWEEN 1001 AND 3000").select("number", "tx_count"))
+    return stages.append_bodies(x.body_indices_between(None, 1000), x.body_indices_between(1001, 3000).select("number", "tx_count"))
 
 
 @query("stage_batches_by_tx", "body_indices", """
@@ -121,15 +121,16 @@ def stage_next_range(x: Ledger):
     return stages.next_range(x.body_indices, 100, 3000)
 
 
-@query("stage_hash_index", "transactions", "SELECT substr(hash, 1, 1) AS slot, count(*) AS n, min(hash) AS first_hash, arg_min(tx_num, hash) AS first_tx FROM transactions GROUP BY 1")
+@query("stage_hash_index", "transactions", "SELECT substr(hash, 1, 2) AS prefix, count(*) AS n, min(hash) AS first_hash, arg_min(tx_num, hash) AS first_tx FROM transactions GROUP BY 1")
 def stage_hash_index(x: Ledger):
-    index = stages.hash_index(x.transactions)
-    return index.groupBy(F.substring("hash", 1, 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"), F.min_by("tx_num", "hash").alias("first_tx"))
+    """The folders of the index of hashes, and what each begins with."""
+    index = x._hash_index.where("kind = 'tx'")
+    return index.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"), F.min_by("tx_num", "hash").alias("first_tx"))
 
 
 @query("stage_gas_total", "headers", "SELECT sum(gas_used)::BIGINT AS gas FROM headers WHERE number BETWEEN 10 AND 5000")
 def stage_gas_total(x: Ledger):
-    return x.headers.where(F.col("number").between(10, 5000)).agg(F.sum("gas_used").alias("gas"))
+    return x.headers_between(10, 5000).agg(F.sum("gas_used").alias("gas"))
 
 
 @query("segment_buckets", "body_indices", """
@@ -140,19 +141,18 @@ def segment_buckets(x: Ledger):
 
 @query("hot_and_cold", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers WHERE number BETWEEN 500 AND 900")
 def hot_and_cold(x: Ledger):
-    cold, hot = x.headers.where("number <= 620"), x.headers.where("number > 400")
-    return stages.hot_and_cold(cold, hot, 600).where("number BETWEEN 500 AND 900").select("number", "hash", "store")
+    return stages.hot_and_cold(x.headers_between(500, 620), x.headers_between(500, 900), 600).select("number", "hash", "store")
 
 
 @query("hot_and_cold_all", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers")
 def hot_and_cold_all(x: Ledger):
-    return stages.hot_and_cold(x.headers.where("number <= 620"), x.headers.where("number > 400"), 600).select("number", "hash", "store")
+    return stages.hot_and_cold(x.headers_between(None, 620), x.headers_between(401, None), 600).select("number", "hash", "store")
 
 
 @query("range_with_missing", "headers", "SELECT CAST(r.n AS BIGINT) AS number, h.hash FROM range((SELECT max(number) - 20 FROM headers), (SELECT max(number) + 20 FROM headers)) r(n) LEFT JOIN headers h ON h.number = r.n")
 def range_with_missing(x: Ledger):
     head = x.headers.agg(F.max("number")).first()[0]
-    return x.spark.range(head - 20, head + 20).withColumnRenamed("id", "number").join(x.headers.select("number", "hash"), "number", "left")
+    return x.spark.range(head - 20, head + 20).withColumnRenamed("id", "number").join(x.headers_between(head - 20, None).select("number", "hash"), "number", "left")
 
 
 @query("prune_by_mode", "headers", """
@@ -178,9 +178,10 @@ def prune_receipts_with_allowed_log(x: Ledger):
     return retention.keep_with_allowed(x.receipts, allowed, "number", 2000).groupBy("number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("account_slots", "account_changes", "SELECT address, count(DISTINCT block % 24) AS slots, count(*) AS n FROM account_changes GROUP BY 1")
+@query("account_slots", "storage_changes", "SELECT address, count(DISTINCT slot) AS slots, count(*) AS n FROM storage_changes WHERE block <= 500 GROUP BY 1")
 def account_slots(x: Ledger):
-    return x.account_changes.groupBy("address").agg(F.countDistinct(F.col("block") % 24).alias("slots"), F.count(F.lit(1)).alias("n"))
+    """Slots that each account has written up to a block, and how often."""
+    return x.storage_changes.where("block <= 500").groupBy("address").agg(F.countDistinct("slot").alias("slots"), F.count(F.lit(1)).alias("n"))
 
 
 @query("recent_access_cache", "account_changes", """

@@ -65,15 +65,15 @@ def state_partitioned(x: Ledger):
     return known.agg(F.count(F.lit(1)).alias("n")).select(F.lit(True).alias("known"), "n").unionByName(new.agg(F.count(F.lit(1)).alias("n")).select(F.lit(False).alias("known"), "n")).where("n > 0")
 
 
-@query("state_hash_tree", "headers", """
-    WITH l AS (SELECT sha256('a' || number) AS path, sha256(number || ':' || hash) AS hash FROM headers),
-    t2 AS (SELECT substr(path, 1, 2) AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM l GROUP BY 1),
-    t1 AS (SELECT substr(path, 1, 1) AS p, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM t2 GROUP BY 1),
-    t0 AS (SELECT '' AS path, sha256(string_agg(hash, '' ORDER BY p)) AS hash FROM t1)
-    SELECT 2::BIGINT AS level, path, hash FROM t2 UNION ALL SELECT 1, p, hash FROM t1 UNION ALL SELECT 0, path, hash FROM t0""")
+TREE = "WITH l AS (SELECT sha256('a' || number) AS path, sha256(number || ':' || hash) AS hash FROM headers), t5 AS (SELECT substr(path, 1, 5) AS p, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM l GROUP BY 1)"
+TREE += "".join(f", t{d} AS (SELECT substr(p, 1, {d}) AS p, sha256(string_agg(hash, '' ORDER BY t{d + 1}.p)) AS hash FROM t{d + 1} GROUP BY substr(t{d + 1}.p, 1, {d}))" for d in range(4, -1, -1))
+
+
+@query("state_hash_tree", "headers", TREE + " UNION ALL ".join(f" SELECT {d}::BIGINT AS level, p AS path, hash FROM t{d}" for d in range(6)))
 def state_hash_tree(x: Ledger):
+    """Five levels: enough for groups of a thousand leaves up to a thousand million headers."""
     n = F.col("number").cast("string")
-    return tools.hash_tree(x.headers.select(F.sha2(F.concat(F.lit("a"), n), 256).alias("path"), F.sha2(F.concat_ws(":", n, "hash"), 256).alias("hash")), 2)
+    return tools.hash_tree(x.headers.select(F.sha2(F.concat(F.lit("a"), n), 256).alias("path"), F.sha2(F.concat_ws(":", n, "hash"), 256).alias("hash")), 5)
 
 
 @query("block_root", "transactions", "SELECT number, sha256(string_agg(hash, '' ORDER BY idx)) AS root FROM transactions GROUP BY 1")

@@ -12,19 +12,19 @@ from .views import Ledger
 
 @query("trace_filter", "traces", "SELECT number, idx, path, from_, to_, value FROM traces WHERE number BETWEEN 100 AND 200 AND (from_ IN (1, 2, 3) OR to_ IN (5, 7, 11, 13))")
 def trace_filter(x: Ledger):
-    return traces.trace_filter(x.traces, 100, 200, traces.involved([1, 2, 3], [5, 7, 11, 13])).select("number", "idx", "path", "from_", "to_", "value")
+    return traces.trace_filter(x.traces_between(100, 200), 100, 200, traces.involved([1, 2, 3], [5, 7, 11, 13])).select("number", "idx", "path", "from_", "to_", "value")
 
 
 @query("trace_filter_page", "traces", "SELECT number, idx, path, value FROM traces WHERE number BETWEEN 300 AND 400 ORDER BY number, idx, path LIMIT 50 OFFSET 75")
 def trace_filter_page(x: Ledger):
-    return traces.trace_filter(x.traces, 300, 400, traces.involved(None, None), 75, 50).select("number", "idx", "path", "value")
+    return traces.trace_filter(x.traces_between(300, 400), 300, 400, traces.involved(None, None), 75, 50).select("number", "idx", "path", "value")
 
 
 @query("trace_blocks_with_rewards", "traces headers", """
     SELECT number, tx_num, path, kind, to_, value FROM traces WHERE number BETWEEN 0 AND 300
     UNION ALL SELECT number, NULL, '', 'reward', beneficiary, 2000 FROM headers WHERE number BETWEEN 0 AND 300""")
 def trace_blocks_with_rewards(x: Ledger):
-    return traces.with_rewards(x.traces, x.headers).where("number BETWEEN 0 AND 300").select("number", "tx_num", "path", "kind", "to_", "value")
+    return traces.with_rewards(x.traces_between(0, 300), x.headers_between(0, 300)).select("number", "tx_num", "path", "kind", "to_", "value")
 
 
 @query("trace_blocks_with_rewards_all", "traces headers", """

@@ -296,6 +296,18 @@ def test_hash_tree_depends_on_contents_only(spark):
     assert root(leaves) != root(leaves.where("hash <> md5('7')"))
 
 
+def test_tree_depth_follows_the_leaves():
+    assert [tools.tree_depth(n) for n in (0, 16_000, 16_001, 10**9)] == [1, 1, 2, 5]
+
+
+def test_shard_lookup_equals_a_search(spark):
+    changes = table(spark, [(a, b) for a, blocks in (("x", (1, 4, 9, 10, 30)), ("y", (7,))) for b in blocks], "address string, block long")
+    wanted = table(spark, [(a, b) for a in "xy" for b in (0, 1, 2, 7, 8, 10, 11, 31)], "address string, block long")
+    got = {(r["address"], r["block"]): r["next_block"] for r in history.shard_lookup(history.index_shards(changes, ["address"], 2), wanted, ["address"]).collect()}
+    held = {"x": (1, 4, 9, 10, 30), "y": (7,)}
+    assert got == {(a, b): min((c for c in held[a] if c >= b), default=None) for a in "xy" for b in (0, 1, 2, 7, 8, 10, 11, 31)}
+
+
 def test_segments_prune_folders(spark, tmp_path):
     df = spark.range(5000).withColumnRenamed("id", "number").withColumn("v", F.col("number") * 2)
     stages.write_segments(df, f"file://{tmp_path}/seg", 1000)
