@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 next one's docs. All but the last return the columns of documents: the quality classifier drops what
 it rejects, exact deduplication keeps one row of equal texts, the n-gram join keeps one document of
 each group of near copies, the secret scan masks what it finds, and packing gives the pieces' places.
+
+Defined results: a null text is the empty text for every decision (and stays null until packing, where it
+is a piece with only the end id); a null id ranks after all others when one row of a group is kept; of
+equal texts the smallest id stays, and of rows that repeat both id and text one; empty texts are scored
+like any others, link with nothing, and are equal to each other; texts of any length go through whole;
+nulls in other columns are kept; extra columns, whatever they are called, pass through all stages but the
+last; an empty table gives no rows. Without labels to learn from, or with label 1 nowhere, the quality
+stage rejects all documents (every score is the prior, 0).
 """
 
 from __future__ import annotations
