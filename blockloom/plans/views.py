@@ -15,6 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
 from ..operators.stages import write_segments
@@ -27,7 +28,7 @@ SEGMENT, SEGMENTS = 8192, 2048
 #: Characters of a hash that name its folder in the index of hashes.
 PREFIX = 2
 
-_stored: dict[tuple[str, ...], tuple[str, int]] = {}
+_stored: dict[tuple[str, ...], tuple] = {}
 
 
 def tag(kind: str, column) -> F.Column:
@@ -63,9 +64,9 @@ class Ledger:
             top = (self.table(tables[0]).count() if key == "number" else self._hours) // SEGMENTS
             size = max(SEGMENT if key == "number" else 64, 1 << top.bit_length())
             write_segments(df, path, size, key)
-            _stored[at] = path, size
-        path, size = _stored[at]
-        return self.spark.read.parquet(path), size
+            _stored[at] = path, size, T.StructType([*df.schema.fields, T.StructField("bucket", T.LongType())])
+        path, size, schema = _stored[at]
+        return self.spark.read.schema(schema).parquet(path), size  # a table without rows has no files to infer it from
 
     def _between(self, view: tuple[DataFrame, int], key: str, first: int | None, last: int | None) -> DataFrame:
         """Rows of a range of keys; its folders are named, as Spark can't infer them."""
@@ -140,7 +141,7 @@ class Ledger:
             path = f"{shared_dir(self.spark)}/hashes"
             ordered = index.withColumn("prefix", F.substring("hash", 1, PREFIX)).repartitionByRange("hash").sortWithinPartitions("prefix", "hash")
             ordered.write.partitionBy("prefix").option("compression", "zstd").parquet(path)
-            _stored[at] = path, PREFIX
+            _stored[at] = (path,)
         return self.spark.read.schema("hash string, kind string, number long, tx_num long, prefix string").parquet(_stored[at][0])
 
     def of_hashes(self, hashes: list[str], kind: str) -> DataFrame:

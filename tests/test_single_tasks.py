@@ -33,3 +33,13 @@ def test_ranges_of_blocks_open_their_folders_only(spark, monkeypatch):
     whole = x.headers.count()
     assert whole == spark.read.parquet(f"{SF}/orders.parquet").count() and x.headers_between(None, 99).count() == 100 == x.headers_between(whole - 100, None).count()
     assert views.Ledger(spark, SF).headers.inputFiles() == x.headers.inputFiles() and len(views._stored) == 2  # built once
+
+
+def test_views_of_empty_and_of_changed_tables(spark, tmp_path):
+    """Tables without rows give views without rows; other files of the same name are another state."""
+    for name in ("orders", "lineitem", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    x = views.Ledger(spark, f"file://{tmp_path}")
+    assert x.headers.isEmpty() and x.transactions.isEmpty() and x.logs.isEmpty() and x.account_changes.isEmpty() and x.of_hashes(["00"], "tx").isEmpty()
+    spark.read.parquet(f"{SF}/orders.parquet").limit(7).write.mode("append").parquet(f"file://{tmp_path}/orders.parquet")
+    assert views.Ledger(spark, f"file://{tmp_path}").headers.count() == 7
