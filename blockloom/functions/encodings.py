@@ -1,4 +1,4 @@
-"""Scalar functions: order-preserving keys, Keccak-256, RLP, nibble paths, sub-range arithmetic."""
+"""Scalar functions: order-preserving keys, Keccak-256, nibble paths."""
 
 from __future__ import annotations
 
@@ -88,49 +88,3 @@ def keccak256_hex(s: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(s), index=s.index, dtype=object)
     out[real.index] = [h.hex() for h in hashes]
     return out
-
-
-def rlp_encode(item) -> bytes:
-    """Recursive length prefix of bytes, non-negative integers and lists of them."""
-    if isinstance(item, int):
-        item = item.to_bytes((item.bit_length() + 7) // 8, "big")
-    if isinstance(item, (bytes, bytearray)):
-        return bytes(item) if len(item) == 1 and item[0] < 0x80 else _prefix(len(item), 0x80) + bytes(item)
-    body = b"".join(map(rlp_encode, item))
-    return _prefix(len(body), 0xC0) + body
-
-
-def _prefix(n: int, base: int) -> bytes:
-    if n < 56:
-        return bytes([base + n])
-    size = n.to_bytes((n.bit_length() + 7) // 8, "big")
-    return bytes([base + 55 + len(size)]) + size
-
-
-def rlp_decode(data: bytes):
-    """The item that data holds; bytes beyond it are an error."""
-    item, end = _rlp_item(data, 0)
-    if end != len(data):
-        raise ValueError("bytes after the item")
-    return item
-
-
-def _rlp_item(data: bytes, at: int):
-    first = data[at]
-    if first < 0x80:
-        return data[at : at + 1], at + 1
-    base, is_list = (0xC0, True) if first >= 0xC0 else (0x80, False)
-    n, begin = first - base, at + 1
-    if n > 55:
-        begin += n - 55
-        n = int.from_bytes(data[at + 1 : begin], "big")
-    end = begin + n
-    if end > len(data):
-        raise ValueError("data ends within an item")
-    if not is_list:
-        return data[begin:end], end
-    out = []
-    while begin < end:
-        item, begin = _rlp_item(data, begin)
-        out.append(item)
-    return out, end

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,13 @@ def header_range(x: Ledger):
 
 @query("header_by_hash", "headers", "SELECT * FROM headers WHERE hash IN (md5('block-5'), md5('block-77'), md5('block-900'))")
 def header_by_hash(x: Ledger):
-    wanted = x.spark.range(1).select(F.explode(F.array(*[F.md5(F.lit(f"block-{n}")) for n in (5, 77, 900)])).alias("hash"))
-    return x.headers.join(F.broadcast(wanted), "hash", "left_semi")  # three rows
+    return _of_hashes(x, [hashlib.md5(f"block-{n}".encode()).hexdigest() for n in (5, 77, 900)])
+
+
+def _of_hashes(x: Ledger, hashes: list[str]) -> DataFrame:
+    """The headers of a few hashes, by the index of hashes and their blocks' folders."""
+    numbers = [r["number"] for r in x.of_hashes(hashes, "block").collect()]  # one for each hash at most
+    return x.headers_between(min(numbers, default=0), max(numbers, default=-1)).where(F.col("number").isin(numbers))
 
 
 @query("canonical_hashes", "headers", "SELECT number, hash FROM headers WHERE number >= 10 AND number < 60")
