@@ -51,7 +51,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 TRIGGERS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential credentials access private login pass".split())
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
-MAX_MARKED, MAX_PLAIN, MAX_WINDOWS, WINDOW, COPIES, STEPS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 2000, 80, 4, 120, 200_000, 3_000_000
+MAX_MARKED, MAX_PLAIN, MAX_WINDOWS, WINDOW, COPIES, STEPS, WORDS_KEPT, GROUP_CHARS = 1000, 600, 2000, 80, 4, 120, 200_000, 1_500_000
 ADDED_LEAST = 8  # code points of a span that the field adds, as in the first pattern
 O, B, I = 0, 1, 2
 NEWLINE, EDGE, NEAR, REACH = "newline", "edge", ("near none", "near trigger"), 6

@@ -28,7 +28,7 @@ from . import pu_learning
 from .pu_learning import fit_nn_pu, sigmoid, training_sample
 from .shared import text_or_empty
 
-MOD, REMAINDER, THRESHOLD, KNOTS, WORDS_KEPT, GROUP_CHARS = 5, 0, 0.3, 8, 200_000, 3_000_000
+MOD, REMAINDER, THRESHOLD, KNOTS, WORDS_KEPT, GROUP_CHARS = 5, 0, 0.3, 8, 200_000, 2_000_000
 
 
 class _Shapes(dict):
