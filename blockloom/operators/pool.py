@@ -92,6 +92,7 @@ def evicted(pool: DataFrame, base_fee: int, max_count: int, max_bytes: int) -> D
             rows = pool.join(local, "sender", "left").where("top_local IS NULL OR nonce > top_local").drop("top_local")
         ranked = position_within(rows.withColumn("down", -F.col("nonce")), ["sender"], "down", "round")
         ranked = ranked.withColumns({"worth": F.coalesce(priority(base_fee), F.lit(-1)), "age": -F.col("submission_id"), "one": F.lit(1)})
+        ranked = ranked.select("submission_id", "round", "worth", "age", "one", "size").persist()  # read once for each key; spills to disk
         out = take_until(ranked, ["round", "worth", "age"], needs).select("submission_id", F.lit(1 if spare else 2).alias("pass"), (F.col("round") + 1).alias("round"))
         goes = out if goes is None else goes.unionByName(out)
         pool = pool.join(out.select("submission_id"), "submission_id", "left_anti")
