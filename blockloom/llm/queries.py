@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_jaccard, cover_tree, crf_secrets, grace_dedup, quality_pu, slack_packing, streaming_viterbi, token_attribution, toxicity_pu, warc_index
+from . import bayes_jaccard, cover_tree, crf_secrets, decontamination, grace_dedup, lexical_search, quality_pu, slack_packing, streaming_viterbi, token_attribution, toxicity_pu, warc_index, whitening
 from .shared import read_table
 
 
@@ -53,6 +53,18 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.listed(*whitening.whiten(read_table(spark, sf_dir, "embeddings")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
     "op2_token_attribution": op2_token_attribution,
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_warc_index": op8_warc_index,
     "op9_grace_dedup": op9_grace_dedup,
     "op10_cover_tree": op10_cover_tree,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -89,4 +104,6 @@ ORACLES = {
                h AS text_sha256
         FROM d
     """,
+    "op12_decontamination": decontamination.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
