@@ -112,22 +112,6 @@ def split_at(df: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("number") <= number), df.where(F.col("number") > number)
 
 
-def ancestors(headers: DataFrame, number: int, depth: int) -> DataFrame:
-    """number, hash, depth of a block and what its parent hashes lead to, so many steps at most.
-
-    The walk can meet only the depth + 1 blocks up to the number; they are read once and held.
-    """
-    near = headers.where(F.col("number").between(number - depth, number)).select("number", "hash", "parent_hash")
-    near = headers.sparkSession.createDataFrame(near.collect(), near.schema)
-    return near.sparkSession.sql(
-        f"""WITH RECURSIVE walk (number, hash, parent_hash, depth) MAX RECURSION LEVEL {depth + 2} AS (
-            SELECT number, hash, parent_hash, 0 FROM {{near}} WHERE number = {number}
-            UNION ALL SELECT n.number, n.hash, n.parent_hash, walk.depth + 1 FROM {{near}} n JOIN walk ON n.hash = walk.parent_hash WHERE walk.depth < {depth})
-        SELECT number, hash, CAST(depth AS BIGINT) AS depth FROM walk""",
-        near=near,
-    )
-
-
 def orphans(headers: DataFrame, genesis: int = 0) -> DataFrame:
     """Headers whose parent is not there."""
     parents = headers.select(F.col("hash").alias("parent_hash"))

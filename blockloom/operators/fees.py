@@ -16,18 +16,11 @@ GAS_PER_BLOB, UPDATE_FRACTION = 131_072, 3_338_477
 
 
 def reward_percentiles(txs: DataFrame, headers: DataFrame, percentiles: Sequence[float]) -> DataFrame:
-    """number, p, reward: the tip at which the running gas of a block, by ascending tip, reaches p % of its gas.
-
-    The threshold is truncated; the last transaction stands in when the gas is never reached; a
-    block without transactions has reward 0.
-    """
-    running = Window.partitionBy("number").orderBy("tip", "tx_num").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = txs.select("number", "tip", "tx_num", "gas").withColumn("reached", F.sum("gas").over(running))
-    wanted = headers.select("number", "gas_used", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])).alias("p"))
-    wanted = wanted.withColumn("threshold", F.floor(F.col("gas_used") * F.col("p") / 100.0).cast("long"))
-    joined = wanted.join(ranked, "number", "left")
-    enough = F.min(F.when(F.col("reached") >= F.col("threshold"), F.col("tip")))
-    return joined.groupBy("number", "p").agg(F.coalesce(enough, F.max("tip"), F.lit(0)).cast("long").alias("reward"))
+    """number, p, reward: rewards_of_blocks as a row for each percentile; a block without transactions has reward 0."""
+    zeros = F.array(*[F.lit(0).cast("long") for _ in percentiles])
+    listed = headers.select("number").join(rewards_of_blocks(txs, percentiles), "number", "left").select("number", F.coalesce("rewards", zeros).alias("rewards"))
+    named = F.arrays_zip(F.array(*[F.lit(float(p)) for p in percentiles]).alias("p"), F.col("rewards").alias("reward"))
+    return listed.select("number", F.inline(named).alias("p", "reward"))
 
 
 def next_base_fee(base_fee, gas_used, gas_limit, denominator: int = 8, elasticity: int = 2):
@@ -136,8 +129,13 @@ def fee_history(headers: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def lowest_tips(txs: DataFrame, sample: int = SAMPLE, ignore_below: int = 2) -> DataFrame:
-    """number, place, tip: the lowest tips of each block, without the beneficiary's own and very low ones; txs have their block's beneficiary."""
-    own = txs.where((F.col("sender") != F.col("beneficiary")) & (F.col("tip") >= ignore_below))
+    """number, place, tip: the lowest effective tips of each block, without the beneficiary's own and very low ones.
+
+    txs: number, tx_num, sender, tip, max_fee, and base_fee and beneficiary of the block; a transaction whose cap
+    doesn't reach the base fee has no tip.
+    """
+    paid = txs.where(F.col("sender") != F.col("beneficiary")).select("number", "tx_num", effective_tip().alias("tip"))
+    own = paid.where(F.col("tip") >= ignore_below)
     place = F.row_number().over(Window.partitionBy("number").orderBy("tip", "tx_num"))
     return own.withColumn("place", place.cast("long")).where(F.col("place") <= sample).select("number", "place", "tip")
 
@@ -159,11 +157,6 @@ def suggested_tip(txs: DataFrame, headers: DataFrame, head: int, blocks: int = B
     return listed.select(F.least(F.coalesce(F.expr(f"element_at(tips, cast((size(tips) - 1) * {percentile} div 100 as int) + 1)"), F.lit(0)), F.lit(ceiling)).cast("long").alias("tip"))
 
 
-def fake_exponential(factor: int, numerator: int, denominator: int) -> int:
-    """factor * e^(numerator / denominator) by its series, in integers."""
-    out, term, k = 0, factor * denominator, 1
-    while term > 0:
-        out += term
-        term = term * numerator // (denominator * k)
-        k += 1
-    return out // denominator
+def median_tips(txs: DataFrame) -> DataFrame:
+    """number, median_tip, max_gas: the median of each block's effective tips (null where no cap reaches its base fee)."""
+    return txs.groupBy("number").agg(F.median(effective_tip()).alias("median_tip"), F.max("gas").alias("max_gas"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import position_within
-from ..operators import chain, fees, history, logs
+from ..operators import chain, fees, history, logs, tree
 from .registry import query
 from .views import Ledger
 
@@ -67,8 +67,7 @@ def header_by_hash(x: Ledger):
 
 def _of_hashes(x: Ledger, hashes: list[str]) -> DataFrame:
     """The headers of a few hashes, by the index of hashes and their blocks' folders."""
-    numbers = [r["number"] for r in x.of_hashes(hashes, "block").collect()]  # one for each hash at most
-    return x.headers_between(min(numbers, default=0), max(numbers, default=-1)).where(F.col("number").isin(numbers))
+    return x.headers_at([r["number"] for r in x.of_hashes(hashes, "block").collect()])  # one for each hash at most
 
 
 @query("canonical_hashes", "headers", "SELECT number, hash FROM headers WHERE number >= 10 AND number < 60")
@@ -97,16 +96,9 @@ def body_indices(x: Ledger):
 
 
 @query("block_assembled", "headers transactions", """
-    SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
-    FROM headers h LEFT JOIN transactions t USING (number) WHERE h.number BETWEEN 0 AND 2000 GROUP BY ALL""")
-def block_assembled(x: Ledger):
-    return _assembled(x.headers_between(0, 2000), x.transactions_between(0, 2000))
-
-
-@query("block_assembled_all", "headers transactions", """
     SELECT h.number, h.hash, list(t.hash ORDER BY t.idx) FILTER (t.hash IS NOT NULL) IS NULL AS empty, coalesce(string_agg(t.hash, ',' ORDER BY t.idx), '') AS txs
     FROM headers h LEFT JOIN transactions t USING (number) GROUP BY ALL""")
-def block_assembled_all(x: Ledger):
+def block_assembled(x: Ledger):
     return _assembled(x.headers, x.transactions)
 
 
@@ -116,14 +108,8 @@ def _assembled(headers: DataFrame, transactions: DataFrame) -> DataFrame:
     return headers.select("number", "hash").join(listed, "number", "left").select("number", "hash", F.col("txs").isNull().alias("empty"), F.coalesce("txs", F.lit("")).alias("txs"))
 
 
-@query("block_of_transaction", "transactions", "SELECT tx_num, number FROM transactions WHERE tx_num % 97 = 0")
+@query("block_of_transaction", "transactions", "SELECT tx_num, number FROM transactions")
 def block_of_transaction(x: Ledger):
-    top = x.body_indices.agg(F.max(F.col("first_tx_num") + F.col("tx_count"))).first()[0]
-    return chain.block_of_tx(x.body_indices, x.spark.range(0, top, 97).withColumnRenamed("id", "tx_num")).select("tx_num", "number")
-
-
-@query("block_of_transaction_all", "transactions", "SELECT tx_num, number FROM transactions")
-def block_of_transaction_all(x: Ledger):
     return chain.block_of_tx(x.body_indices, x.transactions.select("tx_num")).select("tx_num", "number")
 
 
@@ -158,20 +144,13 @@ def transaction_by_block_and_index(x: Ledger):
 
 @query("senders_by_tx_range", "transactions", "SELECT tx_num, sender FROM transactions WHERE tx_num BETWEEN 1000 AND 9000")
 def senders_by_tx_range(x: Ledger):
-    return chain.in_range(x.transactions.select("tx_num", "sender"), "tx_num", 1000, 9000)
+    return chain.in_range(x.transactions_between(*x.blocks_of_tx_range(1000, 9000)).select("tx_num", "sender"), "tx_num", 1000, 9000)
 
 
 @query("receipts_by_block_range", "headers receipts", """
-    SELECT h.number, count(r.tx_num) AS n, coalesce(max(r.cumulative_gas), 0) AS gas, count(r.tx_num) FILTER (r.success) AS n_success
-    FROM headers h LEFT JOIN receipts r USING (number) WHERE h.number < 8192 GROUP BY 1""")
-def receipts_by_block_range(x: Ledger):
-    return _receipt_sums(x.headers_between(0, 8191), x.receipts_between(0, 8191))
-
-
-@query("receipts_by_block_range_all", "headers receipts", """
     SELECT h.number, count(r.tx_num) AS n, coalesce(max(r.cumulative_gas), 0) AS gas, count(r.tx_num) FILTER (r.success) AS n_success
     FROM headers h LEFT JOIN receipts r USING (number) GROUP BY 1""")
-def receipts_by_block_range_all(x: Ledger):
+def receipts_by_block_range(x: Ledger):
     return _receipt_sums(x.headers, x.receipts)
 
 
@@ -195,13 +174,8 @@ def block_details(x: Ledger):
     return x.headers.select("number", "gas_used").join(sums, "number", "left").fillna(0, ["n_txs", "total_fees"])
 
 
-@query("block_transaction_page", "transactions", "SELECT number, idx, hash FROM transactions WHERE number BETWEEN 0 AND 400 AND idx >= 2 AND idx < 4")
+@query("block_transaction_page", "transactions", "SELECT number, idx, hash FROM transactions WHERE idx >= 2 AND idx < 4")
 def block_transaction_page(x: Ledger):
-    return _page(x.transactions_between(0, 400), 1, 2)
-
-
-@query("block_transaction_page_all", "transactions", "SELECT number, idx, hash FROM transactions WHERE idx >= 2 AND idx < 4")
-def block_transaction_page_all(x: Ledger):
     return _page(x.transactions, 1, 2)
 
 
@@ -210,12 +184,12 @@ def _page(transactions: DataFrame, page: int, size: int) -> DataFrame:
     return transactions.where((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size)).select("number", "idx", "hash")
 
 
-@query("reward_percentiles", "transactions headers", """
-    WITH r AS (SELECT number, tip, tx_num, sum(gas) OVER (PARTITION BY number ORDER BY tip, tx_num) AS reached FROM transactions),
+@query("reward_percentiles", "paid headers", """
+    WITH r AS (SELECT number, coalesce(effective, 0) AS tip, sum(gas) OVER (PARTITION BY number ORDER BY coalesce(effective, 0), tx_num) AS reached FROM paid),
     w AS (SELECT number, gas_used, p FROM headers, (VALUES (10.0), (50.0), (60.0), (90.0)) v(p))
     SELECT w.number, CAST(w.p AS DOUBLE) AS p, CAST(coalesce(min(tip) FILTER (reached >= floor(gas_used * CAST(p AS DOUBLE) / 100)), max(tip), 0) AS BIGINT) AS reward FROM w LEFT JOIN r USING (number) GROUP BY ALL""")
 def reward_percentiles(x: Ledger):
-    return fees.reward_percentiles(x.transactions, x.headers, (10, 50, 60, 90))
+    return fees.reward_percentiles(x.enriched_between(None, None), x.headers, (10, 50, 60, 90))
 
 
 @query("fee_history", "headers", """
@@ -226,16 +200,16 @@ def fee_history(x: Ledger):
     return fees.fee_history(x.headers_between(200, 1223), 200, 1223)
 
 
-@query("lowest_tips", "transactions headers", """
-    SELECT number, place, tip FROM (SELECT t.number, t.tip, row_number() OVER (PARTITION BY t.number ORDER BY t.tip, t.tx_num) AS place
-    FROM transactions t JOIN headers h USING (number) WHERE t.sender <> h.beneficiary AND t.tip >= 2) WHERE place <= 3""")
+@query("lowest_tips", "paid", """
+    SELECT number, place, tip FROM (SELECT number, effective AS tip, row_number() OVER (PARTITION BY number ORDER BY effective, tx_num) AS place
+    FROM paid WHERE sender <> beneficiary AND effective >= 2) WHERE place <= 3""")
 def lowest_tips(x: Ledger):
     return fees.lowest_tips(x.enriched_between(None, None))
 
 
 SUGGESTED_TIP = """
     WITH looked AS (SELECT * FROM headers WHERE number > (SELECT max(number) - least(max(number), 2048) FROM headers)),
-    s AS (SELECT h.number, t.tip, row_number() OVER (PARTITION BY h.number ORDER BY t.tip, t.tx_num) AS place FROM looked h JOIN transactions t USING (number) WHERE t.sender <> h.beneficiary AND t.tip >= 2),
+    s AS (SELECT t.number, t.effective AS tip, row_number() OVER (PARTITION BY t.number ORDER BY t.effective, t.tx_num) AS place FROM looked h JOIN paid t USING (number) WHERE t.sender <> t.beneficiary AND t.effective >= 2),
     f AS (SELECT l.number, s.tip FROM looked l LEFT JOIN (SELECT * FROM s WHERE place <= 3) s USING (number)),
     b AS (SELECT number, coalesce(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY number DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM (SELECT number, count(tip) AS n FROM f GROUP BY 1)),
     v AS (SELECT coalesce(tip, 0) AS tip FROM f JOIN b USING (number) WHERE seen < 20),
@@ -243,16 +217,16 @@ SUGGESTED_TIP = """
     SELECT CAST(least(tips[((len(tips) - 1) * 60) // 100 + 1], 500000000000) AS BIGINT) AS tip FROM l"""
 
 
-@query("suggested_tip", "transactions headers", SUGGESTED_TIP)
+@query("suggested_tip", "paid headers", SUGGESTED_TIP)
 def suggested_tip(x: Ledger):
     head = _head(x)
     reach = (head - 2 * fees.MAX_HISTORY, head)
     return fees.suggested_tip(x.enriched_between(*reach), x.headers_between(*reach), head)
 
 
-@query("median_tip", "transactions", "SELECT number, median(tip) AS median_tip, max(gas) AS max_gas FROM transactions GROUP BY 1")
+@query("median_tip", "paid", "SELECT number, median(effective) AS median_tip, max(gas) AS max_gas FROM paid GROUP BY 1")
 def median_tip(x: Ledger):
-    return x.transactions.groupBy("number").agg(F.median("tip").alias("median_tip"), F.max("gas").alias("max_gas"))
+    return fees.median_tips(x.enriched_between(None, None))
 
 
 @query("gas_by_recipient_and_sender", "transactions", "SELECT recipient, sender, success, sum(gas)::BIGINT AS gas, count(*) AS n FROM transactions GROUP BY ALL")
@@ -286,14 +260,8 @@ def key_gaps(x: Ledger):
     return chain.gaps(x.transactions.where("NOT success OR gas > 500").select("tx_num"), "tx_num")
 
 
-@query("segment_split_and_append", "headers", "SELECT number, hash FROM headers WHERE number <= 900")
+@query("segment_split_and_append", "headers", "SELECT number, hash FROM headers")
 def segment_split_and_append(x: Ledger):
-    low, high = chain.split_at(x.headers, 400)
-    return chain.append_chain(low, high.where("number <= 900")).select("number", "hash")
-
-
-@query("segment_split_and_append_all", "headers", "SELECT number, hash FROM headers")
-def segment_split_and_append_all(x: Ledger):
     return chain.append_chain(*chain.split_at(x.headers, 400)).select("number", "hash")
 
 
@@ -307,7 +275,34 @@ def body_requests(x: Ledger):
 
 @query("block_ancestors", "headers", "SELECT number, hash, CAST(700 - number AS BIGINT) AS depth FROM headers WHERE number BETWEEN 684 AND 700")
 def block_ancestors(x: Ledger):
-    return chain.ancestors(x.headers_between(684, 700), 700, 16)
+    return tree.ancestors(x.headers_between(684, 700), hashlib.md5(b"block-700").hexdigest(), 16)
+
+
+@query("block_tree", "tree", "SELECT number, hash, CASE WHEN kind = 'lost' THEN hash ELSE md5('block-0') END AS root, CASE WHEN kind = 'lost' THEN 0 ELSE number END AS depth FROM tree")
+def block_tree(x: Ledger):
+    """Where each block of all forks comes from, and how far."""
+    return tree.rooted(x.tree)
+
+
+@query("block_tree_canonical", "headers", "SELECT number, hash FROM headers")
+def block_tree_canonical(x: Ledger):
+    """The chain of the best head among all forks."""
+    return tree.canonical(x.tree)
+
+
+@query("block_tree_descends", "tree", "SELECT number, hash, kind = 'chain' AND number > 325 OR kind IN ('fork', 'twig') AND f >= 325 AS descends FROM tree")
+def block_tree_descends(x: Ledger):
+    """Of all blocks, those that descend from block 325, where a fork begins."""
+    return tree.descends(x.tree, hashlib.md5(b"block-325").hexdigest())
+
+
+@query("block_tree_finalized", "tree headers", """
+    WITH t AS (SELECT greatest(max(number) // 50 * 50 - 23, 0) AS n FROM headers)
+    SELECT number, hash, CASE WHEN number < n THEN 'below' WHEN kind = 'chain' OR kind IN ('fork', 'twig') AND f >= n OR kind = 'lost' AND number > n THEN 'kept' ELSE 'side' END AS fate FROM tree, t""")
+def block_tree_finalized(x: Ledger):
+    """What becomes of all blocks once one near the head is final, two blocks into a fork."""
+    number = max((_head(x) or 0) // 50 * 50 - 23, 0)
+    return tree.after_finality(x.tree, number, hashlib.md5(f"block-{number}".encode()).hexdigest())
 
 
 @query("orphan_blocks", "headers", "SELECT number, hash FROM headers WHERE (number - 1) % 97 = 0 AND number > 0 AND number % 97 <> 0")

@@ -139,13 +139,8 @@ def segment_buckets(x: Ledger):
     return stages.segments(x.body_indices, 500)
 
 
-@query("hot_and_cold", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers WHERE number BETWEEN 500 AND 900")
+@query("hot_and_cold", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers")
 def hot_and_cold(x: Ledger):
-    return stages.hot_and_cold(x.headers_between(500, 620), x.headers_between(500, 900), 600).select("number", "hash", "store")
-
-
-@query("hot_and_cold_all", "headers", "SELECT number, hash, CASE WHEN number <= 600 THEN 'cold' ELSE 'hot' END AS store FROM headers")
-def hot_and_cold_all(x: Ledger):
     return stages.hot_and_cold(x.headers_between(None, 620), x.headers_between(401, None), 600).select("number", "hash", "store")
 
 
@@ -181,7 +176,7 @@ def prune_receipts_with_allowed_log(x: Ledger):
 @query("account_slots", "storage_changes", "SELECT address, count(DISTINCT slot) AS slots, count(*) AS n FROM storage_changes WHERE block <= 500 GROUP BY 1")
 def account_slots(x: Ledger):
     """Slots that each account has written up to a block, and how often."""
-    return x.storage_changes.where("block <= 500").groupBy("address").agg(F.countDistinct("slot").alias("slots"), F.count(F.lit(1)).alias("n"))
+    return x.storage_changes_between(None, 500).groupBy("address").agg(F.countDistinct("slot").alias("slots"), F.count(F.lit(1)).alias("n"))
 
 
 @query("recent_access_cache", "account_changes", """

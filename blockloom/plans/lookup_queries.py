@@ -26,13 +26,9 @@ WANTED = "(SELECT md5(unnest(['tx-5', 'tx-68', 'tx-4242', 'no such transaction']
 
 
 def _rows_of(x: Ledger, found: DataFrame) -> DataFrame:
-    """The enriched rows of a few transactions: of their blocks' folders, those numbers."""
+    """The enriched rows of a few transactions; opens the folders of their blocks only."""
     rows = found.collect()  # one for each hash that was asked for at most
-    if not rows:
-        return x.enriched_between(0, -1)
-    numbers = [r["number"] for r in rows]
-    near = x.enriched_between(min(numbers), max(numbers)).where(F.col("number").isin(numbers))
-    return near.where(F.col("tx_num").isin([r["tx_num"] for r in rows]))
+    return x.enriched_at([r["number"] for r in rows]).where(F.col("tx_num").isin([r["tx_num"] for r in rows]))
 
 
 @query("transaction_by_hash", "transactions", f"SELECT w.hash, t.tx_num, t.number, t.idx, t.sender, t.recipient, t.gas, t.tip FROM {WANTED} LEFT JOIN transactions t USING (hash)")
@@ -48,8 +44,7 @@ def transaction_by_hash(x: Ledger):
 def receipt_by_hash(x: Ledger):
     hashes, wanted = _wanted(x)
     rows = _rows_of(x, x.of_hashes(hashes, "tx"))
-    ends = rows.agg(F.min("number"), F.max("number")).first()
-    created = _created(x.traces_between(*ends)) if ends[0] is not None else _created(x.traces_between(0, -1))
+    created = _created(traces.of_transactions(rows))
     found = chain.with_effective_price(rows).join(created, "tx_num", "left").select("hash", "number", "success", "gas_used", "cumulative_gas", "effective_price", "contract")
     return chain.multi_get(wanted, found, ["hash"])
 
@@ -67,9 +62,7 @@ def receipts_with_contract(x: Ledger):
 @query("header_and_body_by_hash", "headers body_indices", "SELECT h.number, h.hash, b.first_tx_num, b.tx_count FROM headers h JOIN body_indices b USING (number) WHERE h.hash IN (md5('block-5'), md5('block-77'), md5('block-900'))")
 def header_and_body_by_hash(x: Ledger):
     numbers = [r["number"] for r in x.of_hashes([hashlib.md5(f"block-{n}".encode()).hexdigest() for n in (5, 77, 900)], "block").collect()]
-    first, last = (min(numbers), max(numbers)) if numbers else (0, -1)
-    mine = F.col("number").isin(numbers)
-    return x.headers_between(first, last).where(mine).select("number", "hash").join(x.body_indices_between(first, last).where(mine), "number")
+    return x.headers_at(numbers).select("number", "hash").join(x.body_indices_at(numbers), "number")
 
 
 BLOBS = "SELECT number, CASE WHEN tx_count >= 7 THEN 6 ELSE tx_count % 4 END AS blobs FROM body_indices"
@@ -99,7 +92,7 @@ def fee_history_full(x: Ledger):
     return found.withColumn("rewards", F.array_join(F.transform("rewards", lambda r: r.cast("string")), ","))
 
 
-@query("gas_price", "transactions headers", f"SELECT t.tip + (SELECT arg_max(base_fee, number) FROM headers) AS gas_price FROM ({SUGGESTED_TIP}) t")
+@query("gas_price", "paid headers", f"SELECT t.tip + (SELECT arg_max(base_fee, number) FROM headers) AS gas_price FROM ({SUGGESTED_TIP}) t")
 def gas_price(x: Ledger):
     return fees.gas_price(suggested_tip(x), x.headers)
 

@@ -97,16 +97,9 @@ def pool_truncated_senders(x: Ledger):
 
 
 @query("pool_replacements", "pool", """
-    WITH o AS (SELECT sender, nonce, max_fee + (submission_id % 40) * max_fee // 100 AS max_fee, max_tip + (submission_id % 30) * max_tip // 100 AS max_tip, is_blob, submission_id FROM pool WHERE submission_id % 3 = 0)
-    SELECT o.submission_id, o.max_fee * 100 >= p.max_fee * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AND o.max_tip * 100 >= p.max_tip * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AS accepted FROM o JOIN pool p USING (sender, nonce)""")
-def pool_replacements(x: Ledger):
-    return _replacements(x, x.pool.where("submission_id % 3 = 0"))
-
-
-@query("pool_replacements_all", "pool", """
     WITH o AS (SELECT sender, nonce, max_fee + (submission_id % 40) * max_fee // 100 AS max_fee, max_tip + (submission_id % 30) * max_tip // 100 AS max_tip, is_blob, submission_id FROM pool)
     SELECT o.submission_id, o.max_fee * 100 >= p.max_fee * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AND o.max_tip * 100 >= p.max_tip * (CASE WHEN o.is_blob THEN 200 ELSE 110 END) AS accepted FROM o JOIN pool p USING (sender, nonce)""")
-def pool_replacements_all(x: Ledger):
+def pool_replacements(x: Ledger):
     return _replacements(x, x.pool)
 
 
@@ -142,13 +135,8 @@ def pool_unknown_announced(x: Ledger):
     return x.table("orders").select(F.col("o_orderkey").alias("submission_id")).join(x.pool.select("submission_id"), "submission_id", "left_anti")
 
 
-@query("pool_within_bytes", "pool", "SELECT submission_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT *, sum(size) OVER (PARTITION BY sender ORDER BY submission_id) AS bytes FROM pool WHERE sender IN (1, 2, 4, 5, 7, 8, 10)) WHERE bytes <= 2000")
+@query("pool_within_bytes", "pool", "SELECT submission_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT *, sum(size) OVER (PARTITION BY sender ORDER BY submission_id) AS bytes FROM pool) WHERE bytes <= 2000")
 def pool_within_bytes(x: Ledger):
-    return pool.within_bytes(x.pool, [1, 2, 4, 5, 7, 8, 10], 2000).select("submission_id", "bytes")
-
-
-@query("pool_within_bytes_all", "pool", "SELECT submission_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT *, sum(size) OVER (PARTITION BY sender ORDER BY submission_id) AS bytes FROM pool) WHERE bytes <= 2000")
-def pool_within_bytes_all(x: Ledger):
     return pool.within_bytes(x.pool, None, 2000).select("submission_id", "bytes")
 
 

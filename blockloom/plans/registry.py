@@ -26,6 +26,3 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["log_search_with_balance"](spark, sf_dir)
-
-
-from . import chain_queries, history_queries, lookup_queries, pool_queries, stream_queries, tool_queries, trace_queries  # noqa: E402, F401  they register themselves

@@ -21,15 +21,8 @@ def trace_filter_page(x: Ledger):
 
 
 @query("trace_blocks_with_rewards", "traces headers", """
-    SELECT number, tx_num, path, kind, to_, value FROM traces WHERE number BETWEEN 0 AND 300
-    UNION ALL SELECT number, NULL, '', 'reward', beneficiary, 2000 FROM headers WHERE number BETWEEN 0 AND 300""")
-def trace_blocks_with_rewards(x: Ledger):
-    return traces.with_rewards(x.traces_between(0, 300), x.headers_between(0, 300)).select("number", "tx_num", "path", "kind", "to_", "value")
-
-
-@query("trace_blocks_with_rewards_all", "traces headers", """
     SELECT number, tx_num, path, kind, to_, value FROM traces UNION ALL SELECT number, NULL, '', 'reward', beneficiary, 2000 FROM headers""")
-def trace_blocks_with_rewards_all(x: Ledger):
+def trace_blocks_with_rewards(x: Ledger):
     return traces.with_rewards(x.traces, x.headers).select("number", "tx_num", "path", "kind", "to_", "value")
 
 
@@ -53,13 +46,43 @@ def contract_creators(x: Ledger):
     LEFT JOIN (SELECT address, slot, arg_min_null(before, block) AS before FROM storage_changes WHERE block >= 250 GROUP BY ALL) c USING (address, slot)""")
 def storage_as_of(x: Ledger):
     key = F.struct("address", "slot").alias("key")
-    state = history.as_of(x.storage_changes.select(key, "block", "before"), x.storages.select(key, "value"), 250, "key")
+    state = history.as_of(x.storage_changes_between(250, None).select(key, "block", "before"), x.storages.select(key, "value"), 250, "key")
     return state.select("key.address", "key.slot", "value")
 
 
 @query("changed_slots", "storage_changes", "SELECT address, string_agg(slot, ',' ORDER BY slot) AS slots FROM (SELECT DISTINCT address, slot FROM storage_changes WHERE block BETWEEN 100 AND 300) GROUP BY 1")
 def changed_slots(x: Ledger):
-    return x.storage_changes.where(F.col("block").between(100, 300)).groupBy("address").agg(F.array_join(F.array_sort(F.collect_set("slot")), ",").alias("slots"))
+    return x.storage_changes_between(100, 300).groupBy("address").agg(F.array_join(F.array_sort(F.collect_set("slot")), ",").alias("slots"))
+
+
+@query("storage_changeset", "storage_changes", "SELECT address, slot, before FROM storage_changes WHERE block = 120")
+def storage_changeset(x: Ledger):
+    """What a block changed: each slot with the value before."""
+    return x.storage_changes_between(120, 120).select("address", "slot", "before")
+
+
+@query("storage_changesets_range", "storage_changes", "SELECT block, address, slot, before FROM storage_changes WHERE block BETWEEN 100 AND 300")
+def storage_changesets_range(x: Ledger):
+    return x.storage_changes_between(100, 300).select("block", "address", "slot", "before")
+
+
+@query("storage_changed_blocks", "storage_changes", """
+    SELECT address, slot, string_agg(block, ',' ORDER BY block) AS blocks FROM storage_changes WHERE block BETWEEN 50 AND 250 GROUP BY ALL""")
+def storage_changed_blocks(x: Ledger):
+    """Slots that a range of blocks changed, each with those blocks."""
+    listed = x.storage_changes_between(50, 250).groupBy("address", "slot").agg(F.array_sort(F.collect_list("block")).alias("b"))
+    return listed.select("address", "slot", F.array_join(F.transform("b", lambda v: v.cast("string")), ",").alias("blocks"))
+
+
+@query("storage_before_block", "storage_changes storages", """
+    SELECT w.block, s.address, s.slot, c.address IS NOT NULL AS changed, c.before FROM storages s, (VALUES (CAST(0 AS BIGINT)), (120), (240), (100000)) w(block)
+    LEFT JOIN storage_changes c ON c.block = w.block AND c.address = s.address AND c.slot = s.slot""")
+def storage_before_block(x: Ledger):
+    """Every slot at several blocks: whether the block changed it, and the value before it if so."""
+    blocks = [0, 120, 240, 100_000]
+    asked = x.storages.select("address", "slot", F.explode(F.array(*[F.lit(n).cast("long") for n in blocks])).alias("block"))
+    made = x.storage_changes_at(blocks).select("block", "address", "slot", "before", F.lit(True).alias("made"))
+    return asked.join(made, ["block", "address", "slot"], "left").select("block", "address", "slot", F.coalesce("made", F.lit(False)).alias("changed"), "before")
 
 
 @query("storage_history_index", "storage_changes", "SELECT address, slot, count(DISTINCT block) AS n, max(block) AS last_block FROM storage_changes GROUP BY 1, 2")
@@ -68,18 +91,10 @@ def storage_history_index(x: Ledger):
     return shards.groupBy("address", "slot").agg(F.sum(F.size("blocks")).alias("n"), F.max(F.element_at("blocks", -1)).alias("last_block"))
 
 
-@query("storage_values_batch", "storages", """
-    SELECT w.address, string_agg(CASE WHEN s.value IS NULL THEN 'none' ELSE w.slot END, ',' ORDER BY w.pos) AS found
-    FROM (SELECT a AS address, slot, pos FROM range(1, 40) r(a), (VALUES ('click', 0), ('missing', 1), ('view', 2)) v(slot, pos)) w LEFT JOIN storages s ON s.address = w.address AND s.slot = w.slot GROUP BY 1""")
-def storage_values_batch(x: Ledger):
-    """Several slots of several accounts at once, in the order asked for, misses included."""
-    return _values_batch(x.spark.range(1, 40).withColumnRenamed("id", "address"), x)
-
-
-@query("storage_values_batch_all", "storages accounts", """
+@query("storage_values_batch", "storages accounts", """
     SELECT w.address, string_agg(CASE WHEN s.value IS NULL THEN 'none' ELSE w.slot END, ',' ORDER BY w.pos) AS found
     FROM (SELECT address, slot, pos FROM accounts, (VALUES ('click', 0), ('missing', 1), ('view', 2)) v(slot, pos)) w LEFT JOIN storages s ON s.address = w.address AND s.slot = w.slot GROUP BY 1""")
-def storage_values_batch_all(x: Ledger):
+def storage_values_batch(x: Ledger):
     """The same slots of every account."""
     return _values_batch(x.accounts.select("address"), x)
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
 from ..operators.stages import write_segments
+from ..operators.traces import of_transactions
 from ..sources.shared import shared_dir
 
 #: Gas of a unit of quantity. The gas limit goes up by 2 every 64 blocks, three times, and then back at once.
@@ -76,6 +77,11 @@ class Ledger:
                 df = df.where(getattr(F.col("bucket"), test)(bound // size)).where(getattr(F.col(key), test)(bound))
         return df.drop("bucket")
 
+    def _at(self, view: tuple[DataFrame, int], key: str, keys: list[int]) -> DataFrame:
+        """Rows of a few keys; the folders that hold them are listed."""
+        df, size = view
+        return df.where(F.col("bucket").isin(sorted({k // size for k in keys})) & F.col(key).isin(keys)).drop("bucket")
+
     @cached_property
     def _block_segments(self) -> tuple[DataFrame, int]:
         """number, o_orderkey, ts, beneficiary, base_fee, gas_used, tx_count, first_tx_num."""
@@ -125,7 +131,7 @@ class Ledger:
 
         def build() -> DataFrame:
             events = self.table("events").select("event_id", (day_hours("ts") - self._first_hour).alias("block"), F.col("user_id").alias("address"), F.col("event_type").alias("topic0"), F.floor("value").cast("long").alias("topic1"), F.col("props").alias("data"), "value")
-            events = events.withColumn("log_index", (F.row_number().over(Window.partitionBy("block").orderBy("event_id")) - 1).cast("long"))
+            events = position_within(events, ["block"], "event_id", "log_index")
             return previous_within(previous_within(events, ["address"], "event_id", "value", "before"), ["address", "topic0"], "event_id", "value", "before_slot")
 
         return self._segments("logs", ("events",), build, "block")
@@ -153,8 +159,15 @@ class Ledger:
 
     def headers_between(self, first: int | None, last: int | None) -> DataFrame:
         """The headers of a range of blocks (bounds included, None is unbounded)."""
+        return self._headers(self._between(self._block_segments, "number", first, last))
+
+    def headers_at(self, numbers: list[int]) -> DataFrame:
+        return self._headers(self._at(self._block_segments, "number", numbers))
+
+    @staticmethod
+    def _headers(blocks: DataFrame) -> DataFrame:
         step = F.floor(F.col("number") / 64) % 4 * 2
-        return self._between(self._block_segments, "number", first, last).select(
+        return blocks.select(
             "number", tag("block-", F.col("number")).alias("hash"), tag("block-", F.col("number") - 1).alias("parent_hash"), "ts", "beneficiary", "gas_used", (F.lit(GAS_LIMIT) + step).cast("long").alias("gas_limit"), "base_fee"
         )
 
@@ -163,9 +176,26 @@ class Ledger:
         """number, hash, parent_hash, ts, beneficiary, gas_used, gas_limit, base_fee."""
         return self.headers_between(None, None)
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """number, hash, parent_hash: the headers, and beside them side chains of one to seven blocks after every
+        fiftieth block, branches of some of those, and blocks whose parents are unknown."""
+        chain = self.headers.select("number", "hash", "parent_hash")
+        top = chain.agg(F.max("number")).first()[0] or 0
+        at = F.col("number")
+        forks = chain.where((at % 50 == 25) & (at + 9 <= top)).select("number", "hash", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.floor(at / 50) % 7)).alias("k"))
+        name = lambda k: tag("fork-", F.concat_ws("-", at, k))
+        sides = forks.select((at + F.col("k")).alias("number"), name(F.col("k")).alias("hash"), F.when(F.col("k") == 1, F.col("hash")).otherwise(name(F.col("k") - 1)).alias("parent_hash"))
+        twigs = forks.where((F.col("k") == 3) & (at % 150 == 25)).select((at + 3).alias("number"), tag("twig-", at).alias("hash"), name(F.lit(2)).alias("parent_hash"))
+        lost = chain.where((at % 200 == 125) & (at + 9 <= top)).select((at + 1).alias("number"), tag("lost-", at).alias("hash"), tag("nowhere-", at).alias("parent_hash"))
+        return chain.unionByName(sides).unionByName(twigs).unionByName(lost)
+
     def body_indices_between(self, first: int | None, last: int | None) -> DataFrame:
         return self._between(self._block_segments, "number", first, last).select("number", "first_tx_num", "tx_count")
 
+    def body_indices_at(self, numbers: list[int]) -> DataFrame:
+        return self._at(self._block_segments, "number", numbers).select("number", "first_tx_num", "tx_count")
+
     @cached_property
     def body_indices(self) -> DataFrame:
         """number, first_tx_num, tx_count; blocks without transactions included."""
@@ -182,9 +212,21 @@ class Ledger:
 
     def enriched_between(self, first: int | None, last: int | None) -> DataFrame:
         """Transactions of a range of blocks with their receipts and what reports need of their blocks; a scan."""
-        rows = self._between(self._tx_segments, "number", first, last)
+        return self._enriched(self._between(self._tx_segments, "number", first, last))
+
+    def enriched_at(self, numbers: list[int]) -> DataFrame:
+        return self._enriched(self._at(self._tx_segments, "number", numbers))
+
+    @staticmethod
+    def _enriched(rows: DataFrame) -> DataFrame:
         return rows.withColumns({"hash": tag("tx-", F.col("tx_num")), "gas_used": F.col("gas"), "block_hash": tag("block-", F.col("number"))})
 
+    def blocks_of_tx_range(self, first: int, last: int) -> tuple[int, int]:
+        """The first and last block that hold transactions first to last; an empty range (0, -1) where none does."""
+        ends = F.col("first_tx_num") + F.col("tx_count")
+        found = self.body_indices.where((F.col("tx_count") > 0) & (F.col("first_tx_num") <= last) & (ends > first)).agg(F.min("number").alias("lo"), F.max("number").alias("hi")).first()
+        return (0, -1) if found["lo"] is None else (found["lo"], found["hi"])
+
     def receipts_between(self, first: int | None, last: int | None) -> DataFrame:
         """The receipts of a range of blocks, with the gas of each transaction."""
         return self._between(self._tx_segments, "number", first, last).select("tx_num", "number", "idx", "cumulative_gas", "success", F.col("gas").alias("gas_used"))
@@ -215,10 +257,20 @@ class Ledger:
         """address, value: the state after all blocks."""
         return self.table("events").groupBy(F.col("user_id").alias("address")).agg(F.max_by("value", "event_id").alias("value"))
 
+    def storage_changes_between(self, first: int | None, last: int | None) -> DataFrame:
+        """block, address, slot, before (null: never written), after; one row per block, address and slot."""
+        return self._slots(self._between(self._log_segments, "block", first, last))
+
+    def storage_changes_at(self, blocks: list[int]) -> DataFrame:
+        return self._slots(self._at(self._log_segments, "block", blocks))
+
+    @staticmethod
+    def _slots(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("block", "address", F.col("topic0").alias("slot")).agg(F.min_by("before_slot", "event_id").alias("before"), F.max_by("value", "event_id").alias("after"))
+
     @cached_property
     def storage_changes(self) -> DataFrame:
-        """block, address, slot, before (null: never written), after; one row per block, address and slot."""
-        return self._log_segments[0].groupBy("block", "address", F.col("topic0").alias("slot")).agg(F.min_by("before_slot", "event_id").alias("before"), F.max_by("value", "event_id").alias("after"))
+        return self.storage_changes_between(None, None)
 
     @cached_property
     def storages(self) -> DataFrame:
@@ -230,14 +282,7 @@ class Ledger:
         return self.traces_between(None, None)
 
     def traces_between(self, first: int | None, last: int | None) -> DataFrame:
-        """tx_num, number, idx, path (of the call), from_, to_, value, gas, kind: a call for each transaction,
-        an inner one for every third, and a creation below every seventeenth."""
-        call = lambda path, a, b, value, kind: F.struct(F.lit(path).alias("path"), a.alias("from_"), b.alias("to_"), value.alias("value"), F.lit(kind).alias("kind"))
-        sender, recipient = F.col("sender").cast("long"), F.col("recipient").cast("long")
-        rows = F.array_compact(F.array(
-            call("", sender, recipient, F.col("tip"), "call"), F.when(F.col("tx_num") % 3 == 0, call("0", recipient, sender, F.col("gas"), "call")), F.when(F.col("tx_num") % 17 == 0, call("1", recipient, F.col("tx_num") % 500, F.lit(0).cast("long"), "create")),
-        ))
-        return self.transactions_between(first, last).select("tx_num", "number", "idx", "gas", F.explode(rows).alias("t")).select("tx_num", "number", "idx", "t.path", "t.from_", "t.to_", "t.value", "gas", "t.kind")
+        return of_transactions(self.transactions_between(first, last))
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -262,6 +307,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400 + hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS BIGINT) AS ts,
                o_custkey AS beneficiary, gas_used, CAST({GAS_LIMIT} + number // 64 % 4 * 2 AS BIGINT) AS gas_limit, CAST(floor(o_totalprice / 1000) AS BIGINT) AS base_fee
         FROM blocks"""),
+    "branches": (("headers",), """
+        SELECT number AS f, k FROM headers, (VALUES (CAST(1 AS BIGINT)), (2), (3), (4), (5), (6), (7)) v(k)
+        WHERE number % 50 = 25 AND number + 9 <= (SELECT max(number) FROM headers) AND k <= 1 + number // 50 % 7"""),
+    "tree": (("headers", "branches"), """
+        SELECT number, hash, 'chain' AS kind, number AS f, CAST(0 AS BIGINT) AS k FROM headers UNION ALL SELECT f + k, md5('fork-' || f || '-' || k), 'fork', f, k FROM branches
+        UNION ALL SELECT f + 3, md5('twig-' || f), 'twig', f, 3 FROM branches WHERE k = 3 AND f % 150 = 25
+        UNION ALL SELECT number + 1, md5('lost-' || number), 'lost', number, 1 FROM headers WHERE number % 200 = 125 AND number + 9 <= (SELECT max(number) FROM headers)"""),
     "body_indices": (("blocks",), """
         SELECT number, CAST(coalesce(sum(tx_count) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_tx_num, tx_count FROM blocks"""),
     "transactions": (("blocks", "body_indices"), f"""
@@ -269,6 +321,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS tip, CAST(floor(l_extendedprice) AS BIGINT) AS max_fee, l_returnflag <> 'R' AS success
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS idx FROM lineitem)
         JOIN blocks ON l_orderkey = o_orderkey JOIN body_indices USING (number)"""),
+    "paid": (("transactions", "headers"), """
+        SELECT t.*, h.base_fee, h.beneficiary, CASE WHEN t.max_fee >= h.base_fee THEN least(t.tip, t.max_fee - h.base_fee) END AS effective FROM transactions t JOIN headers h USING (number)"""),
     "receipts": (("transactions",), """
         SELECT tx_num, number, idx, CAST(sum(gas) OVER (PARTITION BY number ORDER BY idx) AS BIGINT) AS cumulative_gas, success FROM transactions"""),
     "evts": ((), f"""

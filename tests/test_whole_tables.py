@@ -1,4 +1,4 @@
-"""Queries over a slice have a counterpart over the whole table."""
+"""Queries that list rows of a table list all of them."""
 
 import pytest
 
@@ -8,8 +8,8 @@ from blockloom.plans.views import Ledger
 from .conftest import SF
 
 WHOLE = {
-    "block_assembled_all": "headers", "block_of_transaction_all": "transactions", "segment_split_and_append_all": "headers",
-    "storage_values_batch_all": "accounts", "pool_replacements_all": "pool", "hot_and_cold_all": "headers",
+    "block_assembled": "headers", "block_of_transaction": "transactions", "segment_split_and_append": "headers",
+    "storage_values_batch": "accounts", "pool_replacements": "pool", "hot_and_cold": "headers",
 }
 
 
@@ -20,8 +20,8 @@ def test_one_row_for_each_of_the_table(spark, name):
 
 def test_rewards_of_all_blocks_and_prefixes_of_all_senders(spark):
     x = Ledger(spark, SF)
-    assert QUERIES["trace_blocks_with_rewards_all"](spark, SF).count() == x.traces.count() + x.headers.count()
-    got = QUERIES["pool_within_bytes_all"](spark, SF).join(x.pool.select("submission_id", "sender"), "submission_id")
+    assert QUERIES["trace_blocks_with_rewards"](spark, SF).count() == x.traces.count() + x.headers.count()
+    got = QUERIES["pool_within_bytes"](spark, SF).join(x.pool.select("submission_id", "sender"), "submission_id")
     # A sender has a row exactly if its first transaction fits.
     first = x.pool.groupBy("sender").agg({"submission_id": "min"}).withColumnRenamed("min(submission_id)", "submission_id").join(x.pool, ["sender", "submission_id"]).where("size <= 2000")
     assert got.select("sender").distinct().count() == first.count()
