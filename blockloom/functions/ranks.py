@@ -11,24 +11,33 @@ GROUP_WIDTH = 1 << 20
 
 
 def prefix_sums(df: DataFrame, key: str, amount: str, out: str, width: int = WIDTH, levels: int = 2) -> DataFrame:
-    """df with the sum of `amount` over all rows with a smaller `key` (unique, integral).
+    """df with the sum of `amount` over all rows with a smaller `key` (unique, integral)."""
+    return running_sums(df, key, {out: amount}, width, levels)
+
+
+def running_sums(df: DataFrame, key: str, amounts: dict[str, str], width: int = WIDTH, levels: int = 2) -> DataFrame:
+    """df with the sum over all rows with a smaller `key` (unique, integral) of each amount: {new column: amount}.
 
     Keys fall into ranges of `width`, their totals into ranges of ranges, and so on: at the last level one
     total for each width ** levels keys meets in one window (60,000 for 10 ** 12 keys), the rest is
     summed within the ranges.
     """
     range_ = F.floor(F.col(key) / width).alias("__range")
-    totals = df.groupBy(range_).agg(F.sum(amount).alias("__total"))
+    at = list(amounts.values())
+    totals = df.groupBy(range_).agg(*[F.sum(c).alias(f"__total{k}") for k, c in enumerate(at)])
     if levels > 1:
-        offsets = prefix_sums(totals, "__range", "__total", "__offset", width, levels - 1).drop("__total")
+        offsets = running_sums(totals, "__range", {f"__offset{k}": f"__total{k}" for k in range(len(at))}, width, levels - 1)
     else:
         before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+        offsets = totals.withColumns({f"__offset{k}": F.coalesce(F.sum(f"__total{k}").over(before), F.lit(0)) for k in range(len(at))})
+    offsets = offsets.select("__range", *[f"__offset{k}" for k in range(len(at))])
     held = "__held" if key == "__range" else key  # totals of ranges are keyed by their range
     rows = df.withColumnRenamed(key, held).withColumn("__range", F.floor(F.col(held) / width))
     inner = Window.partitionBy("__range").orderBy(held).rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.join(offsets, "__range").withColumn("__sum", (F.col("__offset") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).cast("long"))
-    return summed.drop("__range", "__offset").withColumnRenamed(held, key).withColumnRenamed("__sum", out)
+    near = rows.withColumns({f"__near{k}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for k, c in enumerate(at)})
+    summed = near.join(offsets, "__range").withColumns({f"__sum{k}": (F.col(f"__offset{k}") + F.col(f"__near{k}")).cast("long") for k in range(len(at))})
+    summed = summed.drop("__range", *[f"__{x}{k}" for x in ("offset", "near") for k in range(len(at))]).withColumnRenamed(held, key)
+    return summed.withColumnsRenamed({f"__sum{k}": out for k, out in enumerate(amounts)})
 
 
 def prefix_minima(df: DataFrame, key: str, amount: str, out: str, width: int = WIDTH) -> DataFrame:
@@ -58,9 +67,7 @@ def take_until(df: DataFrame, keys: list[str], needs: dict[str, int]) -> DataFra
         return df.limit(0)
     taken = df.limit(0)
     for depth, key in enumerate(keys):
-        totals = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in needs])
-        for c in needs:
-            totals = prefix_sums(totals, key, c, f"__before_{c}")
+        totals = running_sums(df.groupBy(key).agg(*[F.sum(c).alias(c) for c in needs]), key, {f"__before_{c}": c for c in needs})
         reached = F.lit(True)
         for c, n in needs.items():
             reached = reached & (F.col(f"__before_{c}") + F.col(c) >= n)
@@ -73,8 +80,8 @@ def take_until(df: DataFrame, keys: list[str], needs: dict[str, int]) -> DataFra
     return taken
 
 
-def position_within(df: DataFrame, groups: list[str], key: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
-    """df with the number of rows of its group that have a smaller key (unique, integral).
+def position_within(df: DataFrame, groups: list[str], key: str, out: str, width: int = GROUP_WIDTH, total: str | None = None) -> DataFrame:
+    """df with the number of rows of its group that have a smaller key (unique, integral), and, if asked for, of all its rows.
 
     A group is split at ranges of keys, so that one with very many rows is not one task; only counts of its
     ranges meet.
@@ -82,9 +89,12 @@ def position_within(df: DataFrame, groups: list[str], key: str, out: str, width:
     range_ = F.floor(F.col(key) / width)
     counts = df.groupBy(*groups, range_.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy(*groups)))
     inner = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(key)) - 1
-    return df.withColumn("__range", range_).withColumn("__at", inner).join(offsets, [*groups, "__range"]).withColumn(out, (F.col("__offset") + F.col("__at")).cast("long")).drop("__range", "__at", "__offset")
+    placed = df.withColumn("__range", range_).withColumn("__at", inner).join(offsets.drop("__n"), [*groups, "__range"])
+    return placed.withColumn(out, (F.col("__offset") + F.col("__at")).cast("long")).drop("__range", "__at", "__offset")
 
 
 def previous_within(df: DataFrame, groups: list[str], key: str, value: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
@@ -100,6 +110,21 @@ def previous_within(df: DataFrame, groups: list[str], key: str, value: str, out:
     return joined.withColumn(out, F.coalesce("__near", "__carried")[value]).drop("__range", "__near", "__carried")
 
 
+def next_within(df: DataFrame, groups: list[str], key: str, value: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
+    """df with the first `value` that is not null among the rows of its group with a greater key (unique, integral); null if none.
+
+    As above: a group is split at ranges of keys, and only the first value of each range is carried back.
+    """
+    range_ = F.floor(F.col(key) / width)
+    firsts = df.where(F.col(value).isNotNull()).groupBy(*groups, range_.alias("__range")).agg(F.min_by(value, key).alias("__first"))
+    ranges = df.select(*groups, range_.alias("__range")).distinct().join(firsts, [*groups, "__range"], "left")
+    later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    carried = ranges.select(*groups, "__range", F.first("__first", ignorenulls=True).over(later(Window.partitionBy(*groups).orderBy("__range"))).alias("__carried"))
+    inner = F.first(value, ignorenulls=True).over(later(Window.partitionBy(*groups, "__range").orderBy(key)))
+    joined = df.withColumn("__range", range_).withColumn("__near", inner).join(carried, [*groups, "__range"])
+    return joined.withColumn(out, F.coalesce("__near", "__carried")).drop("__range", "__near", "__carried")
+
+
 def positions(df: DataFrame, key: str, out: str, width: int = WIDTH) -> DataFrame:
     """df with the number of rows that have a smaller key (unique, integral): 0, 1, 2, ..."""
     return prefix_sums(df.withColumn("__one", F.lit(1)), key, "__one", out, width).drop("__one")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import GROUP_WIDTH, next_within, position_within
+
 SHARD = 2000
+#: The end of a key's last shard.
+OPEN = 2**63 - 1
 
 
 def as_of(changes: DataFrame, current: DataFrame, block: int, key: str = "address") -> DataFrame:
@@ -18,14 +22,13 @@ def as_of(changes: DataFrame, current: DataFrame, block: int, key: str = "addres
     return current.join(later, key, "left").select(key, F.when(F.col("first").isNotNull(), F.col("first.before")).otherwise(F.col("value")).alias("value"))
 
 
-def as_of_many(changes: DataFrame, current: DataFrame, wanted: DataFrame, key: str = "address") -> DataFrame:
+def as_of_many(changes: DataFrame, current: DataFrame, wanted: DataFrame, key: str = "address", width: int = GROUP_WIDTH) -> DataFrame:
     """The value for each (key, block) of wanted, in one pass: requests and changes are merged per key,
-    and each request takes the nearest change at or after its block."""
-    asked = wanted.select(key, "block").distinct().select(key, "block", F.lit(1).alias("ask"), F.lit(None).cast("struct<before:double>").alias("change"))
-    made = changes.select(key, "block", F.lit(0).alias("ask"), F.struct(F.col("before").cast("double").alias("before")).alias("change"))
-    nearest = F.first("change", ignorenulls=True).over(Window.partitionBy(key).orderBy("block", F.desc("ask")).rowsBetween(0, Window.unboundedFollowing))
-    merged = asked.unionByName(made).withColumn("nearest", nearest).where("ask = 1")
-    return merged.join(current, key, "left").select(key, "block", F.when(F.col("nearest").isNotNull(), F.col("nearest.before")).otherwise(F.col("value")).alias("value"))
+    and each request takes the nearest change at or after its block; a hot key is split at ranges of blocks."""
+    asked = wanted.select(key, "block").distinct().select(key, (F.col("block") * 2).alias("at"), F.lit(None).cast("struct<before:double>").alias("change"))
+    made = changes.select(key, (F.col("block") * 2 + 1).alias("at"), F.struct(F.col("before").cast("double").alias("before")).alias("change"))
+    merged = next_within(asked.unionByName(made), [key], "at", "change", "nearest", width).where("at % 2 = 0")
+    return merged.join(current, key, "left").select(key, F.call_function("div", F.col("at"), F.lit(2)).alias("block"), F.when(F.col("nearest").isNotNull(), F.col("nearest.before")).otherwise(F.col("value")).alias("value"))
 
 
 def classify(changes: DataFrame, keys: DataFrame, block: int, lowest: int | None = None, key: str = "address") -> DataFrame:
@@ -41,24 +44,31 @@ def classify(changes: DataFrame, keys: DataFrame, block: int, lowest: int | None
     return joined.select(key, F.col("next").alias("block"), kind.alias("found"))
 
 
-def index_shards(changes: DataFrame, keys: list[str], size: int = SHARD) -> DataFrame:
-    """keys, shard_end, blocks: the blocks that changed a key, in shards; the last one is open (Long.MAX)."""
+def index_shards(changes: DataFrame, keys: list[str], size: int = SHARD, width: int = GROUP_WIDTH) -> DataFrame:
+    """keys, shard_end, blocks: the blocks that changed a key, in shards; the last one is open (OPEN).
+
+    A key's blocks are ranked in ranges, so a hot key is many tasks; rows are dealt out by key and shard.
+    """
     distinct = changes.select(*keys, "block").distinct()
-    ranked = distinct.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("block")) - 1) / size))
-    last = F.max("shard").over(Window.partitionBy(*keys))
-    shards = ranked.groupBy(*keys, "shard").agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # at most `size` each
-    return shards.withColumn("last", last).select(*keys, F.when(F.col("shard") == F.col("last"), F.lit(2**63 - 1)).otherwise(F.element_at("blocks", -1)).alias("shard_end"), "blocks")
+    ranked = position_within(distinct, keys, "block", "at", width, total="n")
+    last = F.floor((F.max("n") - 1) / size)
+    shards = ranked.groupBy(*keys, F.floor(F.col("at") / size).alias("shard")).agg(F.array_sort(F.collect_list("block")).alias("blocks"), last.alias("last"))  # at most `size` each
+    return shards.select(*keys, F.when(F.col("shard") == F.col("last"), F.lit(OPEN)).otherwise(F.element_at("blocks", -1)).alias("shard_end"), "blocks")
 
 
-def shard_lookup(shards: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def shard_lookup(shards: DataFrame, wanted: DataFrame, keys: list[str], width: int = GROUP_WIDTH) -> DataFrame:
     """wanted (keys, block) with next_block: the first block at or after it that changed the key, null if none.
 
-    The shard is the first whose end is not below the block; the block is searched in that shard only.
+    Requests and the ends of shards are merged by key, without the shards' blocks: a request takes the first
+    end that is not below its block, and fetches that one shard.
     """
-    reached = wanted.join(shards, keys).where(F.col("shard_end") >= F.col("block"))
-    found = reached.groupBy(*keys, "block").agg(F.min_by("blocks", "shard_end").alias("blocks"))
-    later = F.element_at(F.filter("blocks", lambda b: b >= F.col("block")), 1)
-    return wanted.join(found.select(*keys, "block", F.when(F.array_max("blocks") >= F.col("block"), later).alias("next_block")), [*keys, "block"], "left")
+    code = lambda c, odd: F.least(c, F.lit(OPEN // 4)) * 2 + odd
+    asked = wanted.select(*keys, code(F.col("block"), 0).alias("at"), F.lit(None).cast("long").alias("end")).distinct()
+    ends = shards.select(*keys, code(F.col("shard_end"), 1).alias("at"), F.col("shard_end").alias("end"))
+    nearest = next_within(asked.unionByName(ends), keys, "at", "end", "shard_end", width).where("at % 2 = 0")
+    fetched = nearest.select(*keys, F.call_function("div", F.col("at"), F.lit(2)).alias("block"), "shard_end").join(shards, [*keys, "shard_end"])
+    found = fetched.select(*keys, "block", F.array_min(F.filter("blocks", lambda b: b >= F.col("block"))).alias("next_block"))
+    return wanted.join(found, [*keys, "block"], "left")
 
 
 def account_info(changes: DataFrame, current: DataFrame, txs: DataFrame, creations: DataFrame, block: int) -> DataFrame:

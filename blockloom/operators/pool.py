@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import position_within, take_until
+from ..sources.shared import written
 
 # Bits of a transaction's state, from the weakest to the strongest.
 BLOB, BLOB_FEE_CAP, FEE_CAP, NOT_HEAVY, BALANCE, NO_GAPS, NO_PARKED = 2, 4, 8, 16, 32, 64, 128
@@ -81,21 +82,26 @@ def evicted(pool: DataFrame, base_fee: int, max_count: int, max_bytes: int) -> D
 
     In each round every sender's highest nonce goes, the lowest priorities first. The first pass spares local
     transactions, and with them what a sender has below; only if that is not enough, a second pass takes any.
+    The pool is ranked once: what the first pass may take of a sender lies above what it spares, so rounds
+    of the second are places less what the first took.
     """
+    local = pool.where("is_local").groupBy("sender").agg(F.max("nonce").alias("top_local"))
+    rows = pool.join(local, "sender", "left").withColumns({"down": -F.col("nonce"), "spared": F.coalesce(F.col("nonce") <= F.col("top_local"), F.lit(False))})
+    ranked = position_within(rows, ["sender"], "down", "round")
+    free = ranked.where("NOT spared").groupBy("sender").agg(F.count(F.lit(1)).alias("free"))
+    ranked = ranked.join(free, "sender", "left").withColumn("round", F.when(F.col("spared"), F.col("round") - F.coalesce("free", F.lit(0))).otherwise(F.col("round")))
+    ranked = ranked.withColumns({"worth": F.coalesce(priority(base_fee), F.lit(-1)), "age": -F.col("submission_id"), "one": F.lit(1)})
+    ranked = written(ranked.select("submission_id", "spared", "round", "worth", "age", "one", "size"))
+    sums = {r["spared"]: r for r in ranked.groupBy("spared").agg(F.sum("one").alias("one"), F.sum("size").alias("size")).collect()}  # two rows
+    held = {c: sum(r[c] for r in sums.values()) for c in ("one", "size")}
+    needs = {"one": held["one"] - max_count, "size": held["size"] - max_bytes}
     goes = None
-    for spare in (True, False):
-        sums = pool.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-        needs = {"one": sums["n"] - max_count, "size": sums["bytes"] - max_bytes}
-        rows = pool
-        if spare:
-            local = pool.where("is_local").groupBy("sender").agg(F.max("nonce").alias("top_local"))
-            rows = pool.join(local, "sender", "left").where("top_local IS NULL OR nonce > top_local").drop("top_local")
-        ranked = position_within(rows.withColumn("down", -F.col("nonce")), ["sender"], "down", "round")
-        ranked = ranked.withColumns({"worth": F.coalesce(priority(base_fee), F.lit(-1)), "age": -F.col("submission_id"), "one": F.lit(1)})
-        ranked = ranked.select("submission_id", "round", "worth", "age", "one", "size").persist()  # read once for each key; spills to disk
-        out = take_until(ranked, ["round", "worth", "age"], needs).select("submission_id", F.lit(1 if spare else 2).alias("pass"), (F.col("round") + 1).alias("round"))
+    for spared in (False, True):
+        out = take_until(ranked.where(F.col("spared") == spared), ["round", "worth", "age"], needs).select("submission_id", F.lit(2 if spared else 1).alias("pass"), (F.col("round") + 1).alias("round"))
         goes = out if goes is None else goes.unionByName(out)
-        pool = pool.join(out.select("submission_id"), "submission_id", "left_anti")
+        needs = {c: n - (sums[spared][c] if spared in sums else 0) for c, n in needs.items()}
+        if all(n <= 0 for n in needs.values()):
+            break
     return goes
 
 

@@ -6,10 +6,10 @@ table in the shared folder and ends, with its checkpoint beside it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranks import day_hours
+from ..functions.ranks import GROUP_WIDTH, day_hours, previous_within
 from ..sources.shared import shared_dir
 
 
@@ -53,14 +53,14 @@ def windowed_counts(events: DataFrame, window: str = "6 hours", delay: str = "1
     return timed.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n", "ids")
 
 
-def balance_changes(events: DataFrame) -> DataFrame:
+def balance_changes(events: DataFrame, width: int = GROUP_WIDTH) -> DataFrame:
     """Each event of a table with the value that its account had before, by event_id.
 
-    An event may arrive after its successors, so this is a window over what the stream has written:
-    the result doesn't depend on how files were dealt to batches.
+    An event may arrive after its successors, so this looks at all that the stream has written: the result
+    doesn't depend on how files were dealt to batches. An account's events are split at ranges of event_id.
     """
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return events.select("event_id", F.col("user_id").alias("address"), before.alias("before"), F.col("value").alias("after"))
+    rows = previous_within(events, ["user_id"], "event_id", "value", "before", width)
+    return rows.select("event_id", F.col("user_id").alias("address"), "before", F.col("value").alias("after"))
 
 
 def run_once(stream: DataFrame, path: str | None = None) -> DataFrame:

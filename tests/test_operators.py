@@ -116,15 +116,39 @@ def test_take_until(spark):
 
 def test_reward_percentiles_of_empty_block_and_ties(spark):
     headers = table(spark, [(0, 0), (1, 30)], "number long, gas_used long")
-    txs = table(spark, [(1, 5, 0, 10), (1, 5, 1, 10), (1, 9, 2, 10)], "number long, tip long, tx_num long, gas long")
+    txs = table(spark, [(1, 5, 0, 10, 100, 7), (1, 5, 1, 10, 100, 7), (1, 9, 2, 10, 100, 7)], "number long, tip long, tx_num long, gas long, max_fee long, base_fee long")
     got = {(r["number"], r["p"]): r["reward"] for r in fees.reward_percentiles(txs, headers, (0, 60, 70, 100)).collect()}
     assert got == {(0, p): 0 for p in (0.0, 60.0, 70.0, 100.0)} | {(1, 0.0): 5, (1, 60.0): 5, (1, 70.0): 9, (1, 100.0): 9}
 
 
-def test_fake_exponential():
-    assert fees.fake_exponential(1, 0, 1) == 1
-    assert fees.fake_exponential(1, 2, 1) == 6  # the series in whole numbers stays below e^2
-    assert fees.fake_exponential(10_000, 5, 1) > 1_400_000
+#: tx_num, sender, gas, tip cap, fee cap of a block of beneficiary 9 with a base fee of 100, and the tip that is paid.
+PAID = [
+    (0, 1, 10, 50, 99, None), (1, 1, 10, 50, 100, 0), (2, 2, 10, 50, 101, 1), (3, 2, 10, 50, 130, 30), (4, 3, 10, 50, 150, 50), (5, 3, 10, 50, 400, 50), (6, 9, 10, 2, 400, 2), (7, 4, 10, 0, 400, 0), (8, 4, 10, 7, 107, 7),
+]
+
+
+def test_tips_are_what_is_paid_above_the_base_fee(spark):
+    """Caps below the base fee, at it, between it and the tip, and beyond."""
+    txs = table(spark, [(5, *r[:5], 100, 9) for r in PAID], "number long, tx_num long, sender long, gas long, tip long, max_fee long, base_fee long, beneficiary long")
+    headers = table(spark, [(5, 90)], "number long, gas_used long")
+    assert [r["t"] for r in txs.select("tx_num", fees.effective_tip().alias("t")).orderBy("tx_num").collect()] == [r[5] for r in PAID]
+    # Without the beneficiary's own, and those below 2, refused ones included: 7, 30, 50 (the earlier of two).
+    assert [(r["place"], r["tip"]) for r in fees.lowest_tips(txs).orderBy("place").collect()] == [(1, 7), (2, 30), (3, 50)]
+    assert [r["tip"] for r in fees.lowest_tips(txs, 9, 0).orderBy("place").collect()] == [0, 0, 1, 7, 30, 50, 50]
+    # By ascending reward (a refused one counts 0): 0 0 0 1 2 7 30 50 50, ten gas each.
+    assert {r["p"]: r["reward"] for r in fees.reward_percentiles(txs, headers, (0, 33, 34, 50, 70, 78, 100)).collect()} == {0.0: 0, 33.0: 0, 34.0: 0, 50.0: 2, 70.0: 30, 78.0: 30, 100.0: 50}
+    assert fees.median_tips(txs).first()["median_tip"] == 4.5  # of 0 0 1 2 7 30 50 50
+    tip = fees.suggested_tip(txs, headers.select("number"), 5)
+    assert tip.first()["tip"] == 30  # the value at 60 % of 7 30 50
+    assert fees.gas_price(tip, table(spark, [(4, 10), (5, 100)], "number long, base_fee long")).first()["gas_price"] == 130
+
+
+def fake_exponential(factor, numerator, denominator):
+    """factor * e^(numerator / denominator) by its series, in whole numbers."""
+    out, term, k = 0, factor * denominator, 1
+    while term > 0:
+        out, term, k = out + term, term * numerator // (denominator * k), k + 1
+    return out // denominator
 
 
 @pytest.mark.parametrize("fee, used, limit, after", [
@@ -137,7 +161,7 @@ def test_next_base_fee(spark, fee, used, limit, after):
 
 def test_blob_fees_and_excess(spark):
     df = table(spark, [(0,), (2_314_057,), (10 * 1024 * 1024,), (40_000_000,)], "e long")
-    assert [r[0] for r in df.select(fees.blob_base_fee(F.col("e"))).collect()] == [fees.fake_exponential(1, e, fees.UPDATE_FRACTION) for e in (0, 2_314_057, 10 * 1024 * 1024, 40_000_000)]
+    assert [r[0] for r in df.select(fees.blob_base_fee(F.col("e"))).collect()] == [fake_exponential(1, e, fees.UPDATE_FRACTION) for e in (0, 2_314_057, 10 * 1024 * 1024, 40_000_000)]
     blobs, excess, want = [6, 6, 0, 0, 0, 6, 3, 4, 0], 0, []
     for n in blobs:
         want.append(excess)
