@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import changes
+from ..sources.shared import shared_dir
+from ..streaming import assembly, changes
+from ..streaming.changelog import ChangeLog
 from .registry import query
 from .views import HOURS, Ledger
 
@@ -30,6 +32,35 @@ def stream_balances(x: Ledger):
     return changes.balance_changes(changes.run_once(changes.event_stream(x.spark, x.sf_dir).select("event_id", "user_id", "value")))
 
 
+@query("bodies_reassembled", "headers", """
+    WITH d AS (SELECT number, hash, number // 1024 AS bucket FROM headers WHERE number // 64 % 41 <> 40),
+    g AS (SELECT number // 1024 AS bucket, min(number) AS gap FROM headers WHERE number // 64 % 41 = 40 GROUP BY 1)
+    SELECT number, hash FROM d LEFT JOIN g USING (bucket) WHERE gap IS NULL OR number < gap""")
+def bodies_reassembled(x: Ledger):
+    """Blocks downloaded in batches of 64 that arrive in any order, some twice and some never: runs without gaps."""
+    path, batch = f"{shared_dir(x.spark)}/downloads", F.floor(F.col("number") / 64)
+    arrival = F.pmod(F.xxhash64(batch), F.lit(4))
+    sent = x.headers.where(batch % 41 != 40).select("number", "hash", F.explode(F.when(batch % 7 == 0, F.array(arrival, (arrival + 1) % 4)).otherwise(F.array(arrival))).alias("arrival"))
+    sent.repartition(4, "arrival").write.partitionBy("arrival").parquet(path)
+    stream = x.spark.readStream.schema("number long, hash string").option("maxFilesPerTrigger", 2).parquet(path)
+    return changes.run_once(assembly.assembled(stream)).where("kind = 'block'").select("number", "hash")
+
+
+FEED = f"""
+    SELECT DISTINCT {HOURS} AS block, n.seq, CASE WHEN n.seq = 1 THEN 'revert' ELSE 'commit' END AS op
+    FROM events JOIN (VALUES (0), (1), (2)) n(seq) ON n.seq = 0 OR {HOURS} % 10 = 0"""
+
+
+@query("change_log", "", f"SELECT CAST(block AS BIGINT) AS number, md5('block-' || block || '-' || CASE WHEN block % 10 = 0 AND seq < 2 THEN 'left' ELSE 'chain' END) AS hash, op, CAST(seq AS BIGINT) AS seq FROM ({FEED}) WHERE block > (SELECT min({HOURS}) + 99 FROM events)")
+def change_log(x: Ledger):
+    """Commits and reverts of all blocks logged from a stream; what all consumers have finished is taken away, if it fills a batch."""
+    log = ChangeLog(x.spark, f"{shared_dir(x.spark)}/log")
+    log.sink(changes.block_notifications(changes.notifications(changes.event_stream(x.spark, x.sf_dir))))
+    first = log.read().agg(F.min("number")).first()[0]
+    log.truncate((first or 0) + 99)
+    return log.read(None if first is None else first + 100).select("number", "hash", "op", "seq")
+
+
 @query("finalized_commits", "", f"SELECT event_id, CAST({HOURS} AS BIGINT) AS block FROM events WHERE {HOURS} <= (SELECT min({HOURS}) + 500 FROM events)")
 def finalized_commits(x: Ledger):
     notes = changes.notifications(x.table("events"))

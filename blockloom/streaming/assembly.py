@@ -2,8 +2,8 @@
 
 A stream of received blocks is keyed by range of numbers. Each range keeps the next number that it waits for
 and the blocks beyond it, and hands on a run as soon as it is contiguous; what it has handed on is dropped, so
-its state is what lies beyond its gap. A range that waits while event time goes on asks again for what is
-missing, by a timer. Ranges are independent tasks; `gapless` then takes the rows up to the first gap of all.
+its state is what lies beyond its gap. A range that has waited asks again for what is missing, by a timer.
+The time is that of the batch that brings a block, so no block is ever late. Ranges are independent tasks; `gapless` then takes the rows up to the first gap of all.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Blocks of a range, and the event time (in milliseconds) that a range waits before it asks again.
+#: Blocks of a range, and the time in milliseconds that a range waits before it asks again.
 RANGE, PATIENCE_MS = 1024, 60_000
 RELEASED = "bucket long, kind string, number long, last long, hash string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,38 +29,35 @@ class Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.next = handle.getValueState("next", "number long")
-        self.held = handle.getMapState("held", "number long", "hash string")
+        self.state = handle.getValueState("state", "next long, numbers array<long>, hashes array<string>")  # at most `width` held
         self.timer = handle.getValueState("timer", "at long")
 
+    def _held(self, bucket: int) -> tuple[int, dict[int, str]]:
+        row = self.state.get() if self.state.exists() else (bucket * self.width, [], [])
+        return int(row[0]), dict(zip((int(n) for n in row[1]), row[2]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bucket = int(key[0])
-        at = int(self.next.get()[0]) if self.next.exists() else bucket * self.width
-        out, news = [], False
+        bucket, out = int(key[0]), []
+        at, held = self._held(bucket)
         for part in rows:
             for number, hash_ in zip(part["number"].tolist(), part["hash"].tolist()):
-                if number == at:
-                    out.append((bucket, "block", number, number, hash_))
-                    at += 1
-                    while self.held.containsKey((at,)):
-                        out.append((bucket, "block", at, at, self.held.getValue((at,))[0]))
-                        self.held.removeKey((at,))
-                        at += 1
-                elif number > at and not self.held.containsKey((number,)):
-                    self.held.updateValue((number,), (hash_,))
-                news = True
-        self.next.update((at,))
-        if news:
-            self._wait(at, bucket, timerValues)
+                if number >= at:
+                    held.setdefault(number, hash_)
+        while at in held:
+            out.append((bucket, "block", at, at, held.pop(at)))
+            at += 1
+        self.state.update((at, list(held), list(held.values())))
+        self._wait(at, bucket, timerValues)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Asks for each gap up to the last block that is held, or for the rest of the range, once a timer."""
-        bucket, at = int(key[0]), int(self.next.get()[0])
+        """Asks for each gap below a block that is held, or for the rest of the range where none is, once a timer."""
+        bucket = int(key[0])
+        at, held = self._held(bucket)
         self.timer.clear()
-        end, out = (bucket + 1) * self.width, []
-        for number in [*sorted(k[0] for k in self.held.keys()), end]:
-            if number > at and (number < end or not out):
+        out = []
+        for number in sorted(held) or [(bucket + 1) * self.width]:
+            if number > at:
                 out.append((bucket, "request", at, number - 1, None))
             at = number + 1
         yield _frame(out)
@@ -84,9 +81,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def assembled(received: DataFrame, width: int = RANGE, patience_ms: int = PATIENCE_MS) -> DataFrame:
-    """Streaming: bucket, kind, number, last, hash from a stream of number, hash, at (timestamp of arrival)."""
+    """Streaming: bucket, kind, number, last, hash from a stream of number, hash."""
     received.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    keyed = received.withColumn("bucket", F.floor(F.col("number") / width)).withWatermark("at", "0 seconds")
+    keyed = received.select("number", "hash", F.current_timestamp().alias("at"), F.floor(F.col("number") / width).alias("bucket")).withWatermark("at", "0 seconds")
     return keyed.groupBy("bucket").transformWithStateInPandas(Assembler(width, patience_ms), RELEASED, "append", "eventTime")
 
 

@@ -42,6 +42,13 @@ def notifications(events: DataFrame, every: int = 10) -> DataFrame:
     return events.withColumn("block", block).withColumn("n", F.explode(ops)).select("*", "n.seq", "n.op", (F.col("n.op") == "revert").alias("removed")).drop("n")
 
 
+def block_notifications(notes: DataFrame, every: int = 10) -> DataFrame:
+    """number, hash, parent_hash, op, seq: what happened to each block; one that was committed again has another hash."""
+    name = lambda n, seq: F.md5(F.concat(F.lit("block-"), n.cast("string"), F.when((n % every == 0) & (seq < 2), F.lit("-left")).otherwise(F.lit("-chain"))))
+    blocks = notes.select("block", F.col("seq").cast("long").alias("seq"), "op").dropDuplicates(["block", "seq", "op"])
+    return blocks.select(F.col("block").alias("number"), name(F.col("block"), F.col("seq")).alias("hash"), name(F.col("block") - 1, F.lit(2)).alias("parent_hash"), "op", "seq")
+
+
 def log_stream(stream: DataFrame, topics: list[str]) -> DataFrame:
     """Logs of the topics, removed ones included."""
     return stream.where(F.col("event_type").isin(topics)).select("block", "seq", "event_id", F.col("user_id").alias("address"), F.col("event_type").alias("topic0"), "removed")
