@@ -110,14 +110,15 @@ def previous_within(df: DataFrame, groups: list[str], key: str, value: str, out:
     return joined.withColumn(out, F.coalesce("__near", "__carried")[value]).drop("__range", "__near", "__carried")
 
 
-def next_within(df: DataFrame, groups: list[str], key: str, value: str, out: str, width: int = GROUP_WIDTH) -> DataFrame:
+def next_within(df: DataFrame, groups: list[str], key: str, value: str, out: str, width: int = GROUP_WIDTH, slot: Column | None = None) -> DataFrame:
     """df with the first `value` that is not null among the rows of its group with a greater key (unique, integral); null if none.
 
-    As above: a group is split at ranges of keys, and only the first value of each range is carried back.
+    As above: a group is split at ranges of keys, and only the first value of each range is carried back. Keys
+    of other types are split by slot, which must not fall as keys rise.
     """
-    range_ = F.floor(F.col(key) / width)
+    range_ = F.floor(F.col(key) / width) if slot is None else slot
     firsts = df.where(F.col(value).isNotNull()).groupBy(*groups, range_.alias("__range")).agg(F.min_by(value, key).alias("__first"))
-    ranges = df.select(*groups, range_.alias("__range")).distinct().join(firsts, [*groups, "__range"], "left")
+    ranges = df.groupBy(*groups, range_.alias("__range")).agg(F.count(F.lit(1)).alias("__n")).drop("__n").join(firsts, [*groups, "__range"], "left")
     later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
     carried = ranges.select(*groups, "__range", F.first("__first", ignorenulls=True).over(later(Window.partitionBy(*groups).orderBy("__range"))).alias("__carried"))
     inner = F.first(value, ignorenulls=True).over(later(Window.partitionBy(*groups, "__range").orderBy(key)))

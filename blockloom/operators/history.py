@@ -80,6 +80,19 @@ def account_info(changes: DataFrame, current: DataFrame, txs: DataFrame, creatio
     return state.join(nonces, "address", "left").join(codes, "address", "left").fillna(0, ["nonce"]).select("address", "balance", "nonce", "code")
 
 
+def unwind_shards(shards: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Shards without the blocks above block: later ones go, the one that holds the cut is cut and, as a key's last, open.
+
+    Shards below the cut are passed on as they are: their blocks are neither taken apart nor ranked again.
+    """
+    kept = shards.where(F.array_min("blocks") <= block)
+    # One row for each key, without blocks: where its last shard that is left begins.
+    last = kept.groupBy(*keys).agg(F.max(F.array_min("blocks")).alias("__last"))
+    is_last = F.array_min("blocks") == F.col("__last")
+    cut = F.when(F.array_max("blocks") > block, F.filter("blocks", lambda b: b <= block)).otherwise(F.col("blocks"))
+    return kept.join(last, keys).select(*keys, F.when(is_last, F.lit(OPEN)).otherwise(F.col("shard_end")).alias("shard_end"), cut.alias("blocks"))
+
+
 def trim_shards(shards: DataFrame, keys: list[str], block: int, size: int = SHARD) -> DataFrame:
     """Shards without blocks <= block; empty ones go, and the last that is left is open."""
     kept = shards.select(*keys, F.explode("blocks").alias("block")).where(F.col("block") > block)

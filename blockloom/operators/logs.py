@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blooms
+
 MAX_BLOCKS, MAX_LOGS = 100_000, 20_000
 
 
@@ -49,6 +51,18 @@ def search(logs: DataFrame, bounds: tuple[int, int] | None, addresses=None, topi
     return logs.where(F.col("block").between(*bounds)).where(matches(addresses, topics))
 
 
+def by_blooms(open_logs, segments: DataFrame, blocks: DataFrame, wanted: dict[str, Sequence | None]) -> DataFrame:
+    """Logs that have one of the wanted values in each of the columns (None: any), by filters of segments and blocks.
+
+    Segments whose filter misses a value are not opened (open_logs: from a list of segments to their logs); of the
+    others, logs of blocks whose filter misses one are left out before values are compared.
+    """
+    rows = open_logs(blooms.opened(segments, wanted)).join(blooms.candidates(blocks, wanted), "block", "left_semi")
+    for column, values in wanted.items():
+        rows = rows.where(F.col(column).isin(list(values))) if values else rows
+    return rows
+
+
 def checked(found: DataFrame, bounds: tuple[int, int], max_logs: int = MAX_LOGS) -> DataFrame:
     """found, or an error with the last block that would still fit when a range of blocks has too many logs."""
     if bounds[0] == bounds[1] or found.limit(max_logs + 1).count() <= max_logs:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import position_within, take_until
+from ..functions.ranks import position_within, positions, running_sums, take_until
 from ..sources.shared import written
 
 # Bits of a transaction's state, from the weakest to the strongest.
@@ -69,6 +69,42 @@ def best(pool: DataFrame, base_fee: int, n: int) -> DataFrame:
     return best_order(pool, base_fee).orderBy(F.desc("held_priority"), "held_by", "nonce").limit(n)
 
 
+def accepted(pool: DataFrame, predicate: Column) -> DataFrame:
+    """pool without what a filter refuses, and without what waits for it: a sender's later nonces."""
+    refused = pool.where(~F.coalesce(predicate, F.lit(False))).groupBy("sender").agg(F.min("nonce").alias("__refused"))
+    return pool.join(refused, "sender", "left").where("__refused IS NULL OR nonce < __refused").drop("__refused")
+
+
+def prioritized(pool: DataFrame, senders: DataFrame, base_fee: int, max_gas: int) -> DataFrame:
+    """pool with place (0, 1, ...): transactions of the named senders first, as many as fit, then all others in their order.
+
+    In the order in which they would be taken, one of a named sender goes ahead if its gas still fits what is
+    left of max_gas; one that doesn't fit is passed over and stays among the others. Step by step, what can't
+    fit any more is left out, and the longest run that fits together is taken by running sums.
+    """
+    ordered = best_order(pool, base_fee).withColumns({"worth": -F.coalesce("held_priority", F.lit(-1)), "wait": F.col("held_by")})
+    rank = F.row_number().over(Window.partitionBy("worth").orderBy("wait", "nonce")) - 1
+    per_worth = ordered.groupBy("worth").agg(F.count(F.lit(1)).alias("n"))
+    starts = running_sums(per_worth, "worth", {"before": "n"}).drop("n")
+    ranked = written(ordered.withColumn("rank", rank).join(starts, "worth").withColumn("rank", (F.col("before") + F.col("rank")).cast("long")).drop("worth", "wait", "before", "held_priority", "held_by"))
+    mine = ranked.join(senders.select("sender").distinct(), "sender", "left_semi").select("rank", "gas")
+    after, left, ahead = -1, max_gas, None
+    while True:
+        fitting = mine.where((F.col("rank") > after) & (F.col("gas") <= left))
+        summed = running_sums(fitting, "rank", {"sum": "gas"}).withColumn("sum", F.col("sum") + F.col("gas"))
+        ends = summed.agg(F.min(F.when(F.col("sum") > left, F.col("rank"))).alias("stop"), F.max("rank").alias("last")).first()
+        if ends["last"] is None:
+            break
+        run = fitting if ends["stop"] is None else fitting.where(F.col("rank") < ends["stop"])
+        ahead = run if ahead is None else ahead.unionByName(run)
+        if ends["stop"] is None:
+            break
+        after, left = ends["stop"], left - run.agg(F.sum("gas")).first()[0]
+    chosen = ranked.select("rank").limit(0) if ahead is None else ahead.select("rank")
+    both = ranked.join(chosen.withColumn("ahead", F.lit(True)), "rank", "left").withColumn("turn", F.when(F.col("ahead"), F.col("rank")).otherwise(F.col("rank") + F.lit(1 << 40)))
+    return positions(both, "turn", "place").drop("turn", "rank", "ahead")
+
+
 def consecutive(pool: DataFrame, next_nonces: DataFrame) -> DataFrame:
     """sender, nonce, submission_id of the highest transaction that is reached from the sender's next nonce without a gap."""
     rows = pool.join(next_nonces, "sender", "left").fillna(0, ["next_nonce"]).where(F.col("nonce") >= F.col("next_nonce"))

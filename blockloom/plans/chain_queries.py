@@ -50,6 +50,21 @@ def log_search_with_balance(x: Ledger):
     return found.join(history.as_of(x.account_changes, x.accounts, 360).withColumnRenamed("value", "balance"), "address")
 
 
+@query("log_search_by_bloom", "logs", "SELECT block, log_index, address, topic0, topic1 FROM logs WHERE address IN (3, 5, 77, 101) AND topic0 = 'purchase' AND topic1 BETWEEN 20 AND 39")
+def log_search_by_bloom(x: Ledger):
+    wanted = {"address": [3, 5, 77, 101], "topic0": ["purchase"], "topic1": range(20, 40)}
+    return logs.by_blooms(x.logs_of_segments, x.segment_blooms, x.block_blooms, wanted).select("block", "log_index", "address", "topic0", "topic1")
+
+
+@query("block_blooms", "logs", """
+    WITH v AS (SELECT block, md5('address=' || address) AS h FROM logs UNION ALL SELECT block, md5('topic0=' || topic0) FROM logs UNION ALL SELECT block, md5('topic1=' || topic1) FROM logs WHERE topic1 IS NOT NULL),
+    b AS (SELECT block, CAST('0x' || substr(h, 4 * k + 1, 4) AS INTEGER) % 2048 AS bit FROM v, (VALUES (0), (1), (2)) t(k))
+    SELECT block, count(DISTINCT bit) AS bits FROM b GROUP BY 1""")
+def block_blooms(x: Ledger):
+    """How full each block's filter is."""
+    return x.block_blooms.select("block", F.bitmap_count("bloom").alias("bits"))
+
+
 @query("block_logs_digest", "logs", "SELECT block, count(*) AS n_logs, count(DISTINCT address) AS n_addresses, count(DISTINCT topic0) AS n_topics FROM logs GROUP BY block")
 def block_logs_digest(x: Ledger):
     return x.logs.groupBy("block").agg(F.count(F.lit(1)).alias("n_logs"), F.countDistinct("address").alias("n_addresses"), F.countDistinct("topic0").alias("n_topics"))

@@ -91,6 +91,16 @@ def history_index_trimmed(x: Ledger):
     return shards.select("address", "shard_end", F.size("blocks").cast("long").alias("n"))
 
 
+@query("history_index_unwound", "account_changes", """
+    WITH r AS (SELECT address, block, (row_number() OVER (PARTITION BY address ORDER BY block) - 1) // 8 AS shard FROM (SELECT DISTINCT address, block FROM account_changes WHERE block <= 300)),
+    s AS (SELECT address, shard, max(block) AS top, string_agg(block, ',' ORDER BY block) AS blocks FROM r GROUP BY ALL)
+    SELECT address, CASE WHEN shard = max(shard) OVER (PARTITION BY address) THEN 9223372036854775807 ELSE top END AS shard_end, blocks FROM s""")
+def history_index_unwound(x: Ledger):
+    """The index after all blocks above 300 are taken back, without building it again."""
+    shards = history.unwind_shards(history.index_shards(x.account_changes, ["address"], 8), ["address"], 300)
+    return shards.select("address", "shard_end", F.array_join(F.transform("blocks", lambda v: v.cast("string")), ",").alias("blocks"))
+
+
 @query("live_over_stored", "accounts account_changes", """
     WITH l AS (SELECT address, arg_max_null(after, block) AS value FROM account_changes WHERE block >= 700 GROUP BY 1), s AS (SELECT * FROM (""" + AS_OF.format(n=700) + """))
     SELECT address, value FROM l UNION ALL SELECT address, value FROM s WHERE address NOT IN (SELECT address FROM l)""")

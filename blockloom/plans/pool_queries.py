@@ -162,3 +162,28 @@ def pool_next_nonce(x: Ledger):
 @query("pool_price_rank", "pool", "SELECT submission_id, rank() OVER (PARTITION BY sender ORDER BY max_fee DESC) AS place FROM pool")
 def pool_price_rank(x: Ledger):
     return x.pool.select("submission_id", F.rank().over(Window.partitionBy("sender").orderBy(F.desc("max_fee"))).cast("long").alias("place"))
+
+
+BEST = """
+    h AS (SELECT *, -CAST(coalesce(min(rank) OVER (PARTITION BY sender ORDER BY nonce), 0) AS HUGEINT) AS turn FROM (
+        SELECT *, CAST(CASE WHEN max_fee >= 60000 THEN least(max_tip, max_fee - 60000) ELSE -1 END AS HUGEINT) * 1000000000000 - submission_id AS rank FROM pool)),
+    o AS (SELECT submission_id, sender, nonce, gas, row_number() OVER (ORDER BY turn, nonce) - 1 AS rank FROM h)"""
+
+
+@query("pool_prioritized", "pool", f"""
+    WITH RECURSIVE {BEST},
+    m AS (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM o WHERE sender % 25 = 0),
+    g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS ahead UNION ALL SELECT m.k, CASE WHEN used + gas <= 30000 THEN used + gas ELSE used END, used + gas <= 30000 FROM g JOIN m ON m.k = g.k + 1),
+    a AS (SELECT rank FROM m JOIN g USING (k) WHERE ahead)
+    SELECT submission_id, CAST(row_number() OVER (ORDER BY rank NOT IN (SELECT rank FROM a), rank) - 1 AS BIGINT) AS place FROM o""")
+def pool_prioritized(x: Ledger):
+    """The whole pool in the order of being taken, with some senders ahead up to a sum of gas."""
+    senders = x.table("customer").where("c_custkey % 25 = 0").select(F.col("c_custkey").alias("sender"))
+    return pool.prioritized(x.pool, senders, BASE, 30_000).select("submission_id", "place")
+
+
+@query("pool_without_blobs", "pool", """
+    SELECT submission_id FROM pool p WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.sender = p.sender AND b.is_blob AND b.nonce <= p.nonce)""")
+def pool_without_blobs(x: Ledger):
+    """What is left to be taken if blobs are refused, and with them what waits for them."""
+    return pool.accepted(x.pool, ~F.col("is_blob")).select("submission_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
-from ..streaming import assembly, changes
+from ..streaming import assembly, changes, lifecycle
 from ..streaming.changelog import ChangeLog
 from .registry import query
 from .views import HOURS, Ledger
@@ -46,6 +46,38 @@ def bodies_reassembled(x: Ledger):
     return changes.run_once(assembly.assembled(stream)).where("kind = 'block'").select("number", "hash")
 
 
+SUBMITTED = """
+    p AS (SELECT submission_id AS id, sender, nonce, max_fee FROM pool),
+    s AS (SELECT id, sender, max(nonce) OVER (PARTITION BY sender) - nonce AS nonce, id * 4 AS seq FROM p)"""
+
+
+@query("pool_lifecycle", "pool", f"""
+    WITH {SUBMITTED},
+    t AS (SELECT *, max(id) OVER (PARTITION BY sender) * 4 AS top FROM s),
+    e AS (
+        SELECT sender, seq, 0 AS step, id, 'queued' AS event FROM t WHERE nonce > 0 UNION ALL SELECT sender, seq, 0, id, 'pending' FROM t WHERE nonce = 0
+        UNION ALL SELECT f.sender, f.seq, CAST(t.nonce AS INTEGER), t.id, 'pending' FROM t JOIN t f ON f.sender = t.sender AND f.nonce = 0 AND t.nonce > 0
+        UNION ALL SELECT sender, top + 1, 0, id, 'mined' FROM t WHERE nonce = 0
+        UNION ALL SELECT sender, top + 2, 0, id, 'discarded' FROM t WHERE nonce = 1
+        UNION ALL SELECT sender, top + 2, CAST(nonce - 1 AS INTEGER), id, 'queued' FROM t WHERE nonce > 1)
+    SELECT sender, CAST(seq AS BIGINT) AS seq, step, id, event FROM e""")
+def pool_lifecycle(x: Ledger):
+    """The pool's transactions, submitted from each sender's last nonce down; its first one is mined, its second dropped."""
+    path = f"{shared_dir(x.spark)}/submissions"
+    pool = x.pool.select(F.col("submission_id").alias("id"), "sender", "nonce", "max_fee")
+    ids = pool.groupBy("sender").agg(F.max("id").alias("top"), F.max("nonce").alias("last"))
+    # Ids rise with nonces; the row of a nonce takes the id of its mirror, so that a sender's ids rise as nonces fall.
+    mirrored = pool.join(ids, "sender").select("sender", (F.col("last") - F.col("nonce")).alias("nonce"), F.col("id"), "max_fee", "top")
+    rows = mirrored.select(F.array(
+        F.struct((F.col("id") * 4).alias("seq"), F.lit("submit").alias("kind"), "nonce", "id", "max_fee"),
+        F.when(F.col("nonce") == 0, F.struct((F.col("top") * 4 + 1).alias("seq"), F.lit("included").alias("kind"), "nonce", "id", "max_fee")),
+        F.when(F.col("nonce") == 1, F.struct((F.col("top") * 4 + 2).alias("seq"), F.lit("drop").alias("kind"), "nonce", "id", "max_fee")),
+    ).alias("r"), "sender")
+    rows.select("sender", F.explode(F.array_compact("r")).alias("r")).select("sender", "r.*").write.parquet(path)
+    stream = x.spark.readStream.schema("sender long, seq long, kind string, nonce long, id long, max_fee long").parquet(path)
+    return changes.run_once(lifecycle.events(stream))
+
+
 FEED = f"""
     SELECT DISTINCT {HOURS} AS block, n.seq, CASE WHEN n.seq = 1 THEN 'revert' ELSE 'commit' END AS op
     FROM events JOIN (VALUES (0), (1), (2)) n(seq) ON n.seq = 0 OR {HOURS} % 10 = 0"""

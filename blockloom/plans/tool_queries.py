@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.encodings import be_key, compact_path, from_be_key, keccak256_hex
-from ..operators import tools
+from ..operators import prefixes, tools
 from ..sources import archive
 from ..sources.shared import shared_dir
 from .registry import query
@@ -58,6 +58,41 @@ def state_prefix_sets(x: Ledger):
     return tools.prefix_sets(changed, "key", 2)
 
 
+CHANGED = "k AS (SELECT DISTINCT sha256(address::VARCHAR) AS key FROM account_changes WHERE block BETWEEN 100 AND 102), a AS (SELECT sha256(address::VARCHAR) AS key FROM accounts)"
+
+
+def _changed_keys(x: Ledger):
+    return x.changes_between(100, 102).select(F.sha2(F.col("address").cast("string"), 256).alias("key"))
+
+
+@query("prefixes_changed", "account_changes accounts", f"""
+    WITH {CHANGED}, p AS (SELECT DISTINCT substr(key, 1, n) AS prefix FROM a, (VALUES (1), (2), (3), (64)) v(n))
+    SELECT prefix, EXISTS (SELECT 1 FROM k WHERE starts_with(k.key, p.prefix)) AS held FROM p""")
+def prefixes_changed(x: Ledger):
+    """Every path of the accounts' keys, of several lengths: whether a few blocks changed something below it."""
+    keys = x.accounts.select(F.sha2(F.col("address").cast("string"), 256).alias("key"))
+    paths = keys.select(F.explode(F.array(*[F.substring("key", 1, n) for n in (1, 2, 3, 64)])).alias("prefix")).distinct()
+    return prefixes.contains(paths, _changed_keys(x))
+
+
+@query("prefix_ranges_changed", "account_changes accounts", f"""
+    WITH {CHANGED}, r AS (SELECT key AS start, lead(key) OVER (ORDER BY key) AS "end" FROM a)
+    SELECT start, "end", EXISTS (SELECT 1 FROM k WHERE k.key >= r.start AND (r."end" IS NULL OR k.key < r."end")) AS held FROM r""")
+def prefix_ranges_changed(x: Ledger):
+    """The ranges between neighbouring accounts' keys: whether a changed key lies in each."""
+    keys = x.accounts.select(F.sha2(F.col("address").cast("string"), 256).alias("key"))
+    after = prefixes.first_keys(keys.select(F.concat("key", F.lit("-")).alias("start")), keys)
+    return prefixes.contains_range(after.select(F.substring("start", 1, 64).alias("start"), F.col("key").alias("end")), _changed_keys(x))
+
+
+@query("paths_retained", "account_changes accounts", f"""
+    WITH {CHANGED} SELECT DISTINCT substr(key, 1, 2) AS path FROM a WHERE substr(key, 1, 2) NOT IN (SELECT substr(key, 1, 2) FROM k)""")
+def paths_retained(x: Ledger):
+    """The paths of two digits whose stored hashes stay right after a few blocks."""
+    paths = x.accounts.select(F.substring(F.sha2(F.col("address").cast("string"), 256), 1, 2).alias("path")).distinct()
+    return prefixes.retain_difference(paths, _changed_keys(x))
+
+
 @query("state_partitioned", "account_changes", """
     SELECT address IN (SELECT address FROM account_changes WHERE block < 50) AS known, count(*) AS n FROM account_changes WHERE block >= 50 GROUP BY 1""")
 def state_partitioned(x: Ledger):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
+from ..operators import blooms
 from ..operators.stages import write_segments
 from ..operators.traces import of_transactions
 from ..sources.shared import shared_dir
@@ -136,6 +137,24 @@ class Ledger:
 
         return self._segments("logs", ("events",), build, "block")
 
+    @cached_property
+    def _bloom_segments(self) -> tuple[DataFrame, int]:
+        """block, bloom of each block's addresses and topics, in the segments of the logs."""
+        return self._segments("blooms", ("events",), lambda: blooms.of_blocks(self.logs, ("address", "topic0", "topic1")), "block")
+
+    @property
+    def block_blooms(self) -> DataFrame:
+        return self._bloom_segments[0].select("block", "bloom")
+
+    @property
+    def segment_blooms(self) -> DataFrame:
+        """bucket, bloom of each segment of logs."""
+        return blooms.merged(self.block_blooms, self._bloom_segments[1])
+
+    def logs_of_segments(self, buckets: list[int]) -> DataFrame:
+        """The logs of a few segments; opens their folders only."""
+        return self._log_segments[0].where(F.col("bucket").isin(buckets)).select("block", "log_index", "address", "topic0", "topic1", "data", "event_id")
+
     @cached_property
     def _hash_index(self) -> DataFrame:
         """hash, kind (block or tx), number, tx_num, in folders by the first characters of the hash, sorted inside."""
@@ -363,4 +382,7 @@ def with_views(names: str, body: str) -> str:
         need(name)
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
     body = body.strip()
-    return f"WITH {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
+    return f"WITH {head}\n{body}"
