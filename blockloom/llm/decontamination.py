@@ -28,6 +28,8 @@ from .shared import written
 WORDS = 10
 #: Hashes of one broadcast; larger benchmarks take another scan for each block.
 BLOCK = 2_000_000
+#: Windows of a part of a text.
+PART = 64
 # The characters that are not part of a word, and the letters that are lower-cased.
 SEPARATORS, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,20 +61,30 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.md5(_text(text_col)).alias("digest"), _text(text_col).alias("text"))
 
 
+def _scanned(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, digest, part, w (the words of a part), at, hash of each window of a length.
+
+    A text is cut into parts of PART windows, so a window's row carries some words and not its whole text. Arrays
+    are bound to lambdas' variables, so that a text is split once and not for each part or window.
+    """
+    bound = lambda array, f: F.transform(F.array(array), f)[0]
+    starts = lambda n, step: F.when(n >= length, F.sequence(F.lit(1), n - length + 1, F.lit(step)))
+    parts = bound(words(F.col("text")), lambda w: F.transform(starts(F.size(w), PART), lambda i: F.slice(w, i, PART + length - 1)))
+    each = docs.select("doc_id", "digest", F.posexplode(parts).alias("part", "w"))
+    return each.select("doc_id", "digest", "part", "w", F.posexplode(bound("w", lambda w: F.transform(starts(F.size(w), 1), lambda i: F.xxhash64(F.slice(w, i, length))))).alias("at", "hash"))
+
+
 def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """doc_id, digest, at (from 1), length, item_id: the windows of items in documents (keyed), each once."""
     sets = grams.groupBy("length").agg(F.countDistinct("hash").alias("n")).collect()  # at most WORDS rows
     found = None
     for length, count in sorted((r["length"], r["n"]) for r in sets):
-        # The array of words is bound to a lambda's variable, so that it is split once for a text and not for each window.
-        hashed = lambda w: F.when(F.size(w) >= length, F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.xxhash64(F.slice(w, i, length))))  # noqa: B023, E731
-        split = docs.select("doc_id", "digest", words(F.col("text")).alias("w"))
-        scanned = split.select("doc_id", "digest", "w", F.posexplode(F.transform(F.array("w"), hashed)[0]).alias("at", "hash"))
+        scanned = _scanned(docs, length)
         blocks = -(-count // BLOCK)
         for block in range(blocks):
             mine = grams.where((F.col("length") == length) & (F.pmod(F.col("hash"), F.lit(blocks)) == block)).select("hash").distinct()
             hit = scanned.join(F.broadcast(mine), "hash", "left_semi")
-            rows = hit.select("doc_id", "digest", (F.col("at") + 1).alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("w", F.col("at") + 1, length), " ").alias("gram"))
+            rows = hit.select("doc_id", "digest", (F.col("part") * PART + F.col("at") + 1).alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("w", F.col("at") + 1, length), " ").alias("gram"))
             found = rows if found is None else found.unionByName(rows)
     if found is None:
         return docs.select("doc_id", "digest", F.lit(0).alias("at"), F.lit(0).alias("length")).limit(0).join(grams.select("item_id"), F.lit(False))
