@@ -75,7 +75,7 @@ def tree_depth(leaves: int, per_group: int = 1000) -> int:
     return depth
 
 
-def hash_tree(leaves: DataFrame, depth: int) -> DataFrame:
+def content_digests(leaves: DataFrame, depth: int) -> DataFrame:
     """level, path, hash of a 16-way tree over leaves (path: hex key, hash).
 
     At each level the hashes below a prefix are joined in path order and hashed, so equal contents give

@@ -189,17 +189,17 @@ def account_slots(x: Ledger):
     return x.storage_changes_between(None, 500).groupBy("address").agg(F.countDistinct("slot").alias("slots"), F.count(F.lit(1)).alias("n"))
 
 
-@query("recent_access_cache", "account_changes", """
+@query("recently_changed_accounts", "account_changes", """
     SELECT address, max(block) AS last_access FROM account_changes GROUP BY 1 HAVING max(block) > (SELECT max(block) - 12 FROM account_changes)""")
-def recent_access_cache(x: Ledger):
-    """Addresses touched in the last 12 blocks: what a sliding cache of that length holds."""
+def recently_changed_accounts(x: Ledger):
+    """Accounts that the last 12 blocks changed."""
     head = x.account_changes.agg(F.max("block")).first()[0]
     return x.account_changes.groupBy("address").agg(F.max("block").alias("last_access")).where(F.col("last_access") > head - 12)
 
 
-@query("cache_misses", "account_changes", """
+@query("changed_after_pause", "account_changes", """
     SELECT DISTINCT block, address FROM account_changes c WHERE block BETWEEN 100 AND 160 AND NOT EXISTS (SELECT 1 FROM account_changes p WHERE p.address = c.address AND p.block < c.block AND p.block >= c.block - 12)""")
-def cache_misses(x: Ledger):
-    """Accesses whose address was not touched in the 12 blocks before."""
+def changed_after_pause(x: Ledger):
+    """Changes of accounts that the 12 blocks before left alone."""
     before = F.lag("block").over(Window.partitionBy("address").orderBy("block"))
     return x.account_changes.select("block", "address").withColumn("prev", before).where("prev IS NULL OR prev < block - 12").where("block BETWEEN 100 AND 160").select("block", "address")

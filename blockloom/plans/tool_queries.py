@@ -104,15 +104,15 @@ TREE = "WITH l AS (SELECT sha256('a' || number) AS path, sha256(number || ':' ||
 TREE += "".join(f", t{d} AS (SELECT substr(p, 1, {d}) AS p, sha256(string_agg(hash, '' ORDER BY t{d + 1}.p)) AS hash FROM t{d + 1} GROUP BY substr(t{d + 1}.p, 1, {d}))" for d in range(4, -1, -1))
 
 
-@query("state_hash_tree", "headers", TREE + " UNION ALL ".join(f" SELECT {d}::BIGINT AS level, p AS path, hash FROM t{d}" for d in range(6)))
-def state_hash_tree(x: Ledger):
+@query("content_digests", "headers", TREE + " UNION ALL ".join(f" SELECT {d}::BIGINT AS level, p AS path, hash FROM t{d}" for d in range(6)))
+def content_digests(x: Ledger):
     """Five levels: enough for groups of a thousand leaves up to a thousand million headers."""
     n = F.col("number").cast("string")
-    return tools.hash_tree(x.headers.select(F.sha2(F.concat(F.lit("a"), n), 256).alias("path"), F.sha2(F.concat_ws(":", n, "hash"), 256).alias("hash")), 5)
+    return tools.content_digests(x.headers.select(F.sha2(F.concat(F.lit("a"), n), 256).alias("path"), F.sha2(F.concat_ws(":", n, "hash"), 256).alias("hash")), 5)
 
 
-@query("block_root", "transactions", "SELECT number, sha256(string_agg(hash, '' ORDER BY idx)) AS root FROM transactions GROUP BY 1")
-def block_root(x: Ledger):
+@query("block_content_digest", "transactions", "SELECT number, sha256(string_agg(hash, '' ORDER BY idx)) AS root FROM transactions GROUP BY 1")
+def block_content_digest(x: Ledger):
     listed = F.array_sort(F.collect_list(F.struct("idx", "hash")))
     return x.transactions.groupBy("number").agg(F.sha2(F.array_join(F.transform(listed, lambda s: s["hash"]), ""), 256).alias("root"))
 

@@ -5,23 +5,27 @@ the pool. Names and types are fixed here once; every query is written against th
 
 What numbers all rows (blocks, transactions, log entries) or looks at a row's predecessor is worked out once
 for each state of the tables: the result is written as segments, Parquet in folders of a range of block
-numbers, sorted inside, and every view reads from there. A range of blocks opens its folders only.
+numbers, sorted inside, with a manifest, and every view reads from there. A range of blocks opens its folders only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cached_property
+import inspect
+import sys
+import uuid
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import ranks
 from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
 from ..operators import blooms
-from ..operators.stages import write_segments
 from ..operators.traces import of_transactions
-from ..sources.shared import shared_dir
+from ..sources.files import Folder
+from ..sources.manifest import Segments
+from ..sources.shared import shared_root
 
 #: Gas of a unit of quantity. The gas limit goes up by 2 every 64 blocks, three times, and then back at once.
 UNIT_GAS, GAS_LIMIT = 20, 4998
@@ -30,7 +34,14 @@ SEGMENT, SEGMENTS = 8192, 2048
 #: Characters of a hash that name its folder in the index of hashes.
 PREFIX = 2
 
-_stored: dict[tuple[str, ...], tuple] = {}
+#: What this session has found or built: segments, or the path of the index of hashes.
+_stored: dict[tuple[str, ...], Segments | str] = {}
+
+
+@cache
+def _code() -> str:
+    """A digest of the code that makes the stored views."""
+    return hashlib.md5("".join(inspect.getsource(m) for m in (sys.modules[__name__], ranks, blooms)).encode()).hexdigest()
 
 
 def tag(kind: str, column) -> F.Column:
@@ -55,20 +66,22 @@ class Ledger:
         for name in names:
             files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.sf_dir}/{name}.parquet").select("path", "length", F.col("modificationTime").cast("string"))
             seen.append(files.groupBy().agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[:])
-        return hashlib.md5(repr(seen).encode()).hexdigest()
+        return hashlib.md5(repr((seen, SEGMENT, SEGMENTS, PREFIX, _code())).encode()).hexdigest()
 
     def _segments(self, name: str, tables: tuple[str, ...], build, key: str = "number") -> tuple[DataFrame, int]:
-        """The stored rows of a view with their bucket, and the length of a segment; built at the first use in a session."""
-        at = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._state(tables))
+        """The stored rows of a view with their bucket, and the length of a segment; built at the first use.
+
+        Later sessions over the same shared folder find them by the state of the tables and of this code.
+        """
+        at = (self.spark.sparkContext.applicationId, name, self._state(tables))
         if at not in _stored:
-            path, df = f"{shared_dir(self.spark)}/{name}", build()
-            # Lengths are powers of two, so that segments of one table lie within those of another.
-            top = (self.table(tables[0]).count() if key == "number" else self._hours) // SEGMENTS
-            size = max(SEGMENT if key == "number" else 64, 1 << top.bit_length())
-            write_segments(df, path, size, key)
-            _stored[at] = path, size, T.StructType([*df.schema.fields, T.StructField("bucket", T.LongType())])
-        path, size, schema = _stored[at]
-        return self.spark.read.schema(schema).parquet(path), size  # a table without rows has no files to infer it from
+            held = Segments(self.spark, f"{shared_root(self.spark)}/ledger-segments/{name}-{at[-1]}")
+            if not held.stored():
+                # Lengths are powers of two, so that segments of one table lie within those of another.
+                top = (self.table(tables[0]).count() if key == "number" else self._hours) // SEGMENTS
+                held.build(build(), max(SEGMENT if key == "number" else 64, 1 << top.bit_length()), key)
+            _stored[at] = held
+        return _stored[at].read(), _stored[at].size
 
     def _between(self, view: tuple[DataFrame, int], key: str, first: int | None, last: int | None) -> DataFrame:
         """Rows of a range of keys; its folders are named, as Spark can't infer them."""
@@ -158,16 +171,20 @@ class Ledger:
     @cached_property
     def _hash_index(self) -> DataFrame:
         """hash, kind (block or tx), number, tx_num, in folders by the first characters of the hash, sorted inside."""
-        at = (self.spark.sparkContext.applicationId, self.sf_dir, "hashes", self._state(("orders", "lineitem")))
+        at = (self.spark.sparkContext.applicationId, "hashes", self._state(("orders", "lineitem")))
+        folder = Folder(self.spark, f"{shared_root(self.spark)}/ledger-segments/hashes-{at[-1]}")
+        if at not in _stored and (held := folder.read("manifest.json")) and folder.exists(held["data"]):
+            _stored[at] = f"{folder.path}/{held['data']}"
         if at not in _stored:
             nothing = F.lit(None).cast("long")
             blocks = self.headers.select("hash", F.lit("block").alias("kind"), "number", nothing.alias("tx_num"))
             index = blocks.unionByName(self.transactions.select("hash", F.lit("tx").alias("kind"), "number", "tx_num"))
-            path = f"{shared_dir(self.spark)}/hashes"
+            data = f"data-{uuid.uuid4().hex}"
             ordered = index.withColumn("prefix", F.substring("hash", 1, PREFIX)).repartitionByRange("hash").sortWithinPartitions("prefix", "hash")
-            ordered.write.partitionBy("prefix").option("compression", "zstd").parquet(path)
-            _stored[at] = (path,)
-        return self.spark.read.schema("hash string, kind string, number long, tx_num long, prefix string").parquet(_stored[at][0])
+            ordered.write.partitionBy("prefix").option("compression", "zstd").parquet(f"{folder.path}/{data}")
+            folder.replace("manifest.json", {"data": data})
+            _stored[at] = f"{folder.path}/{data}"
+        return self.spark.read.schema("hash string, kind string, number long, tx_num long, prefix string").parquet(_stored[at])
 
     def of_hashes(self, hashes: list[str], kind: str) -> DataFrame:
         """hash, number, tx_num of those hashes that are there; opens their folders only."""

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; only where a local session leaves it unset, a temporary folder is set.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where a local session leaves it unset, a temporary folder is set.
 
     On a cluster that is an error: executors would not see the driver's folder.
     """
@@ -19,7 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

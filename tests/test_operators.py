@@ -313,9 +313,9 @@ def test_diff_and_checksum(spark):
     assert tools.checksum(a.limit(0)).first()["rows"] == 0
 
 
-def test_hash_tree_depends_on_contents_only(spark):
+def test_content_digests_depends_on_contents_only(spark):
     leaves = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.md5(F.col("id").cast("string")).alias("hash"))
-    root = lambda df: tools.hash_tree(df, 2).where("level = 0").first()["hash"]
+    root = lambda df: tools.content_digests(df, 2).where("level = 0").first()["hash"]
     assert root(leaves) == root(leaves.repartition(7))
     assert root(leaves) != root(leaves.where("hash <> md5('7')"))
 
