@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import prefix_sums
+from ..functions.ranks import next_within, prefix_sums
+from ..sources.shared import written
+from .tree import followed
 
 
 def append_bodies(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -28,6 +30,33 @@ def next_range(body_indices: DataFrame, checkpoint: int, max_txs: int) -> DataFr
     return rows.agg(F.lit(checkpoint + 1).cast("long").alias("first_block"), F.max("number").alias("last_block"), F.sum("tx_count").alias("txs"))
 
 
+def batch_ends(blocks: DataFrame, max_blocks: int, limits: dict[str, int]) -> DataFrame:
+    """number, end: where a batch that begins with a block ends: with its max_blocks-th block, or with the first at
+    which the sum of an amount reaches its limit, or with the last block there is.
+
+    blocks: number (all from the first on), and the amounts, none negative. Sums that are looked for and sums
+    that are reached are merged in order, in ranges of sums, so no task gets all blocks and none are crossed.
+    """
+    last = blocks.agg(F.max("number")).first()[0]
+    out = blocks.select("number", F.least(F.col("number") + (max_blocks - 1), F.lit(last)).alias("end"))
+    for amount, limit in limits.items():
+        sums = prefix_sums(blocks.select("number", F.col(amount).alias("__n")), "number", "__n", "__before")
+        place = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.col("number").alias("number")).alias("place")
+        asked = sums.select(place(F.col("__before") + limit, 0), F.lit(None).cast("long").alias("own"))
+        reached = sums.select(place(F.col("__before") + F.col("__n"), 1), F.col("number").alias("own"))
+        found = next_within(asked.unionByName(reached), [], "place", "own", "reached", slot=F.floor(F.col("place.at") / (1024 * limit)))
+        out = out.join(found.where("place.kind = 0").select(F.col("place.number").alias("number"), "reached"), "number").select("number", F.least("end", "reached").alias("end"))
+    return out
+
+
+def batches(blocks: DataFrame, first: int, max_blocks: int, limits: dict[str, int]) -> DataFrame:
+    """first, last of the batches from a block on, each as long as batch_ends allows; the next begins after it."""
+    ends = written(batch_ends(blocks.where(F.col("number") >= first), max_blocks, limits))
+    last = ends.agg(F.max("number")).first()[0]
+    links = ends.select(F.col("number").alias("id"), F.when(F.col("end") < F.lit(last), F.col("end") + 1).alias("up"))
+    return ends.join(followed(links, first).select(F.col("id").alias("number")), "number").select(F.col("number").alias("first"), F.col("end").alias("last"))
+
+
 def segments(body_indices: DataFrame, size: int) -> DataFrame:
     """The fixed-size block ranges of the cold store."""
     return body_indices.groupBy(F.floor(F.col("number") / size).alias("bucket")).agg(

@@ -41,19 +41,27 @@ def rooted(headers: DataFrame, stop: Column | None = None) -> DataFrame:
     return state.select("number", "hash", F.col("top").alias("root"), "depth")
 
 
-def ancestors(headers: DataFrame, hash_: str, steps: int | None = None) -> DataFrame:
-    """number, hash, depth of a block (0) and its ancestors, so many steps at most; no rows if it isn't there."""
-    state = written(_linked(headers))
-    found, k = state.where(F.col("hash") == hash_).select("hash", F.lit(0).cast("long").alias("depth")), 0
+def followed(links: DataFrame, start, steps: int | None = None) -> DataFrame:
+    """id, depth of what is reached from start (0) by links (id, up: null at an end), so many steps at most.
+
+    Links must not run in a circle. Those within 2 ^ k - 1 steps are found; their 2 ^ k-th successors are the next 2 ^ k.
+    """
+    state = written(links.select("id", "up"))
+    found, k = state.where(F.col("id") == start).select("id", F.lit(0).cast("long").alias("depth")), 0
     while steps is None or 1 << k <= steps:
-        # Those within 2 ^ k - 1 steps are found; their 2 ^ k-th ancestors are the next 2 ^ k.
-        further = found.join(state.select("hash", "up"), "hash").where("up IS NOT NULL").select(F.col("up").alias("hash"), (F.col("depth") + (1 << k)).alias("depth"))
+        further = found.join(state, "id").where("up IS NOT NULL").select(F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
         if further.isEmpty():
             break
         found = written(found.unionByName(further))
-        state, k = written(_doubled(state)), k + 1
-    found = found if steps is None else found.where(F.col("depth") <= steps)
-    return headers.select("number", "hash").join(found, "hash").select("number", "hash", "depth")
+        ends = state.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        state, k = written(state.where("up IS NOT NULL").join(ends, "up").select("id", F.col("up2").alias("up")).unionByName(state.where("up IS NULL"))), k + 1
+    return found if steps is None else found.where(F.col("depth") <= steps)
+
+
+def ancestors(headers: DataFrame, hash_: str, steps: int | None = None) -> DataFrame:
+    """number, hash, depth of a block (0) and its ancestors, so many steps at most; no rows if it isn't there."""
+    found = followed(_linked(headers).select(F.col("hash").alias("id"), "up"), hash_, steps)
+    return headers.select("number", "hash").join(found.withColumnRenamed("id", "hash"), "hash").select("number", "hash", "depth")
 
 
 def best_head(headers: DataFrame) -> str | None:

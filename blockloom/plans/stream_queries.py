@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import stages
+from ..sources import backfill
 from ..sources.shared import shared_dir
 from ..streaming import assembly, changes, lifecycle
 from ..streaming.changelog import ChangeLog
@@ -78,6 +80,21 @@ def pool_lifecycle(x: Ledger):
     return changes.run_once(lifecycle.events(stream))
 
 
+CUTS = """
+    g AS (SELECT number, CAST(sum(gas_used) OVER (ORDER BY number) AS BIGINT) AS gas, CAST(sum(tx_count) OVER (ORDER BY number) AS BIGINT) AS txs FROM headers JOIN body_indices USING (number)),
+    c AS (SELECT CAST(40 AS BIGINT) AS first, min(number) AS last FROM g WHERE number >= 40 AND (number - 39 >= 300 OR gas - (SELECT gas FROM g WHERE number = 39) >= 500000 OR txs - (SELECT txs FROM g WHERE number = 39) >= 1000)
+          UNION ALL SELECT p.last + 1, min(g.number) FROM (SELECT c.last, h.gas, h.txs FROM c JOIN g h ON h.number = c.last) p
+          JOIN g ON g.number > p.last AND (g.number - p.last >= 300 OR g.gas - p.gas >= 500000 OR g.txs - p.txs >= 1000 OR g.number = (SELECT max(number) FROM headers)) GROUP BY p.last)"""
+
+
+@query("feed_backfilled", "headers body_indices", f"WITH RECURSIVE {CUTS} SELECT first AS batch, number, hash FROM c JOIN headers h ON h.number BETWEEN c.first AND c.last")
+def feed_backfilled(x: Ledger):
+    """All blocks from 40 on for a consumer that starts late, in batches cut by blocks, gas and transactions."""
+    blocks = x.headers.select("number", "gas_used").join(x.body_indices.select("number", "tx_count"), "number")
+    cuts = stages.batches(blocks, 40, 300, {"gas_used": 500_000, "tx_count": 1000})
+    return changes.run_once(backfill.stream(x.spark, cuts)).join(x.headers.select("number", "hash"), "number")
+
+
 FEED = f"""
     SELECT DISTINCT {HOURS} AS block, n.seq, CASE WHEN n.seq = 1 THEN 'revert' ELSE 'commit' END AS op
     FROM events JOIN (VALUES (0), (1), (2)) n(seq) ON n.seq = 0 OR {HOURS} % 10 = 0"""
