@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import history, retention, stages
+from ..sources.manifest import Segments
+from ..sources.shared import shared_dir
 from .registry import query
 from .views import Ledger
 
@@ -176,6 +178,17 @@ def prune_logs_except_addresses(x: Ledger):
     return retention.prune_logs(x.logs, rules, 500).select("block", "log_index", "address")
 
 
+@query("pruned_in_runs", "logs", """
+    SELECT block, log_index, address FROM (SELECT *, row_number() OVER (ORDER BY block, log_index) AS r FROM logs) WHERE block > 300 OR r > 1500""")
+def pruned_in_runs(x: Ledger):
+    """All logs after two runs of deletion up to block 300, the second going on within the block where the first stopped."""
+    stored = Segments(x.spark, f"{shared_dir(x.spark)}/pruned")
+    stored.build(x.logs.select("block", "log_index", "address"), 64, "block")
+    for limit in (1000, 500):
+        stored.prune(300, limit, "log_index")
+    return stored.read().drop("bucket")
+
+
 @query("prune_receipts_with_allowed_log", "receipts transactions", """
     SELECT r.number, count(*) AS n FROM receipts r WHERE r.number > 2000 OR r.number IN (SELECT number FROM transactions WHERE recipient IN (10, 20, 30, 40, 50)) GROUP BY 1""")
 def prune_receipts_with_allowed_log(x: Ledger):

@@ -1,8 +1,10 @@
 """Archives of typed entries (type, length, value), readable and writable as Spark data sources.
 
 A file is a run of entries: a type of two bytes, a length of four, two reserved bytes, all
-little-endian, then the value. The reader gives one partition for each file; the writer one file
-for each partition, committed by renaming.
+little-endian, then the value. The writer makes one file for each partition, committed by renaming, and ends
+it with an index: the place of each entry, then their number. The reader cuts files at multiples of a size; a
+part finds the entries that begin in its range by the index and reads those bytes only, so many tasks read one
+file and an entry across a cut is read once. A file without an index is read by the part with its beginning.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -19,7 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 HEAD = struct.Struct("<HIH")
 # Entry types.
-VERSION, HEADER, BODY, RECEIPTS = 0x3265, 0x03, 0x04, 0x05
+VERSION, INDEX, HEADER, BODY, RECEIPTS = 0x3265, 0x3266, 0x03, 0x04, 0x05
+#: Bytes of a part of a file.
+SPLIT = 16 << 20
 SCHEMA = "file string, position long, kind int, value binary"
 
 
@@ -40,26 +46,44 @@ def entry(kind: int, value: bytes) -> bytes:
     return HEAD.pack(kind, len(value), 0) + value
 
 
+def index(positions: list[int]) -> bytes:
+    """The last entry of a file: where each other one begins, and how many they are."""
+    return entry(INDEX, struct.pack(f"<{len(positions) + 1}q", *positions, len(positions)))
+
+
+def bounds(file, size: int, start: int, end: int) -> tuple[int, int]:
+    """The bytes of the entries that begin within a range of a file; a file without an index lies in its first range."""
+    if size >= HEAD.size + 8:
+        count = struct.unpack("<q", file.read_at(8, size - 8))[0]
+        at = size - HEAD.size - 8 * (count + 1)
+        if 0 <= at and 0 <= count and HEAD.unpack(file.read_at(HEAD.size, at)) == (INDEX, 8 * (count + 1), 0):
+            places = [*struct.unpack(f"<{count}q", file.read_at(8 * count, at + HEAD.size)), at]
+            return places[min(bisect_left(places, start), count)], places[min(bisect_left(places, end), count)]
+    return (0, size) if start == 0 else (0, 0)
+
+
 class Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, size: int, start: int, end: int):
+        self.path, self.size, self.start, self.end = path, size, start, end
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int = SPLIT):
+        self.path, self.split = path, split
 
     def partitions(self):
         fs, base = pafs.FileSystem.from_uri(self.path)
-        return [Part(f.path) for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.path.endswith(".tlv")] or [Part("")]
+        files = [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.path.endswith(".tlv")]
+        return [Part(f.path, f.size, at, at + self.split) for f in files for at in range(0, f.size, self.split)] or [Part("", 0, 0, 0)]
 
     def read(self, partition):
         if not partition.path:
             return
         fs, _ = pafs.FileSystem.from_uri(self.path)
         with fs.open_input_file(partition.path) as file:
-            for at, kind, value in entries(file.read()):
-                yield os.path.basename(partition.path), at, kind, value
+            first, last = bounds(file, partition.size, partition.start, partition.end)
+            for at, kind, value in entries(file.read_at(last - first, first)):
+                yield os.path.basename(partition.path), first + at, kind, value
 
 
 class Written(WriterCommitMessage):
@@ -76,9 +100,11 @@ class ArchiveWriter(DataSourceWriter):
         fs.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}"
         with fs.open_output_stream(name + ".part") as out:
-            out.write(entry(VERSION, b""))
-            for row in iterator:
-                out.write(entry(row["kind"], bytes(row["value"])))
+            places, at = [], 0
+            for kind, value in chain([(VERSION, b"")], ((row["kind"], bytes(row["value"])) for row in iterator)):
+                places.append(at)
+                at += out.write(entry(kind, value))
+            out.write(index(places))
         return Written([name])
 
     def commit(self, messages):
@@ -105,7 +131,7 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return ArchiveReader(self.options["path"])
+        return ArchiveReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite):
         return ArchiveWriter(self.options["path"])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranks import take_until
 from ..operators.stages import write_segments
 from .files import Folder
 
@@ -105,6 +106,37 @@ class Segments:
         self._replaced(held, gone, fresh)
         return sorted(int(b) for b in gone)
 
+    def prune(self, target: int, limit: int, order: str) -> dict:
+        """Deletes the first rows by (key, order) up to a key, so many at most; the next run goes on from there.
+
+        Returns deleted, done, and checkpoint: key and order of the last row that is gone. Segments that go whole
+        are not read; the one where the run stops, which may be within a block, is written again.
+        """
+        held, left, gone, fresh = self.manifest(), limit, {}, {}
+        key, checkpoint, done = held["key"], held.get("pruned"), True
+        for bucket, s in sorted(held["segments"].items(), key=lambda item: int(item[0])):
+            if s["first"] > target:
+                break
+            if left <= 0:
+                done = False
+                break
+            rows = self.read().where(F.col("bucket") == int(bucket)).drop("bucket").where(F.col(key) <= target)
+            if s["last"] <= target and s["rows"] <= left:
+                taken = s["rows"]
+                last = rows.where(F.col(key) == s["last"]).agg(F.max(order)).first()[0]
+                checkpoint = [s["last"], last]
+            else:
+                cut = take_until(rows.withColumn("__one", F.lit(1)), [key, order], {"__one": left})
+                ends = cut.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(key, order)).alias("last")).first()
+                taken, checkpoint = ends["n"], list(ends["last"])
+                after = (F.col(key) > checkpoint[0]) | ((F.col(key) == checkpoint[0]) & (F.col(order) > checkpoint[1]))
+                fresh |= self._written(self.read().where(F.col("bucket") == int(bucket)).drop("bucket").where(after), uuid.uuid4().hex, held["size"], key)
+                done = bucket not in fresh or fresh[bucket]["first"] > target
+            gone[bucket] = s
+            left -= taken
+        self._replaced(held | {"pruned": checkpoint}, gone, fresh)
+        return {"deleted": limit - left, "done": done, "checkpoint": checkpoint}
+
     def _replaced(self, held: dict, gone: dict, fresh: dict) -> None:
         """The manifest first, then the folders that it doesn't name any more."""
         if gone:

@@ -64,6 +64,31 @@ def test_truncation_writes_one_segment_again(held):
     assert held.truncate_above(-1) == [0, 1, 2, 3, 4] and held.read().isEmpty()
 
 
+@pytest.mark.parametrize("limit", [7, 64])
+def test_many_small_deletions_equal_a_large_one(spark, tmp_path, limit):
+    rows = [(b, i) for b in range(60) for i in range(b % 7)]
+    build = lambda name: Segments(spark, f"file://{tmp_path}/{name}")
+    table = spark.createDataFrame(rows, "number long, idx long")
+    small, large = build("small"), build("large")
+    for held in (small, large):
+        held.build(table, 10, "number")
+    want = [r for r in rows if r[0] > 43]
+    assert large.prune(43, 10**6, "idx") == {"deleted": len(rows) - len(want), "done": True, "checkpoint": [43, 0]}
+    deleted, done, runs = 0, False, 0
+    while not done:
+        before = small.manifest()["segments"]
+        got = small.prune(43, limit, "idx")
+        deleted, done, runs = deleted + got["deleted"], got["done"], runs + 1
+        left = sorted(map(tuple, small.read().drop("bucket").collect()))
+        assert left == rows[deleted:] and got["deleted"] <= limit and (done or got["deleted"] == limit) and tuple(got["checkpoint"]) == rows[deleted - 1]
+        after = small.manifest()["segments"]
+        assert sum(after[b] != before[b] for b in after) <= 1 and small.faults()[0] == []  # one folder is written again
+        if limit == 7 and runs == 4:
+            break
+    if limit != 7:
+        assert left == want == sorted(map(tuple, large.read().drop("bucket").collect())) and small.prune(43, limit, "idx")["deleted"] == 0
+
+
 def test_a_kill_before_the_manifest_changes_nothing(held, monkeypatch):
     def killed(*_):
         raise RuntimeError("killed")

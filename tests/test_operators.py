@@ -357,3 +357,18 @@ def test_archive_entries():
 
 def test_md5_chain_is_what_the_views_say(spark):
     assert spark.range(1).select(F.md5(F.lit("block-5")).alias("h")).first()["h"] == hashlib.md5(b"block-5").hexdigest()
+
+
+@pytest.mark.parametrize("split", [111, 1 << 20])
+def test_archives_don_t_depend_on_the_size_of_parts(spark, tmp_path, split):
+    """Entries of many lengths in two files with an index and one without: each is read once, whatever the cuts are."""
+    spark.dataSource.register(archive.ArchiveSource)
+    rows = [("", 0, archive.HEADER, bytes([k % 251]) * (k * 13 % 90)) for k in range(40)]
+    path = f"file://{tmp_path}/a"
+    spark.createDataFrame(rows, archive.SCHEMA).repartition(2).write.format("archive").mode("append").save(path)
+    (tmp_path / "a" / "old.tlv").write_bytes(archive.entry(archive.VERSION, b"") + archive.entry(archive.BODY, b"x" * 300))
+    got = spark.read.format("archive").option("split", split).load(path)
+    assert sorted(bytes(r["value"]) for r in got.where(F.col("kind") == archive.HEADER).collect()) == sorted(r[3] for r in rows)
+    assert got.where(F.col("kind") == archive.BODY).count() == 1 and got.where(F.col("kind") == archive.VERSION).count() == 3 and got.where(F.col("kind") == archive.INDEX).isEmpty()
+    assert got.select("file", "position").distinct().count() == got.count() == 44
+    assert split > 200 or got.rdd.getNumPartitions() > 20
