@@ -61,25 +61,47 @@ def take_until(df: DataFrame, keys: list[str], needs: dict[str, int]) -> DataFra
     """The first rows by ascending keys (integral, together unique) until the sum of every amount named in
     `needs` reaches what is needed; all rows if they don't suffice, none if nothing is needed.
 
-    Key by key, only totals by value are summed up (in ranges); no task gets all rows.
+    Key by key, the value where that happens is found from totals of ranges of values, each a WIDTH-th of the
+    one before: at most WIDTH totals are looked at a time, and no task gets all rows.
     """
     if all(n <= 0 for n in needs.values()):
         return df.limit(0)
     taken = df.limit(0)
     for depth, key in enumerate(keys):
-        totals = running_sums(df.groupBy(key).agg(*[F.sum(c).alias(c) for c in needs]), key, {f"__before_{c}": c for c in needs})
-        reached = F.lit(True)
-        for c, n in needs.items():
-            reached = reached & (F.col(f"__before_{c}") + F.col(c) >= n)
-        cut = totals.where(reached).orderBy(key).first()
+        cut = _reached(df, key, needs)
         if cut is None:
             return taken.unionByName(df)
+        value, before = cut
         last = depth == len(keys) - 1
-        taken = taken.unionByName(df.where(F.col(key) <= cut[key] if last else F.col(key) < cut[key]))
-        df, needs = df.where(F.col(key) == cut[key]), {c: n - cut[f"__before_{c}"] for c, n in needs.items()}
+        taken = taken.unionByName(df.where(F.col(key) <= value if last else F.col(key) < value))
+        df, needs = df.where(F.col(key) == value), {c: n - before[c] for c, n in needs.items()}
     return taken
 
 
+def _reached(df: DataFrame, key: str, needs: dict[str, int], width: int = WIDTH) -> tuple[int, dict[str, int]] | None:
+    """The value of key at which all sums reach what is needed, and the sums before it; None if they don't."""
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if ends["lo"] is None:
+        return None
+    lo, hi, step, before = ends["lo"], ends["hi"], 1, dict.fromkeys(needs, 0)
+    while (hi - lo) // step >= width:
+        step *= width
+    while True:
+        slot = F.call_function("div", F.col(key) - F.lit(lo), F.lit(step)).alias("__slot")
+        totals = df.where(F.col(key).between(lo, hi)).groupBy(slot).agg(*[F.sum(c).alias(c) for c in needs]).collect()  # at most `width`
+        for row in sorted(totals, key=lambda r: r["__slot"]):
+            after = {c: before[c] + (row[c] or 0) for c in needs}
+            if all(after[c] >= n for c, n in needs.items()):
+                lo, hi = lo + row["__slot"] * step, lo + (row["__slot"] + 1) * step - 1
+                break
+            before = after
+        else:
+            return None
+        if step == 1:
+            return lo, before
+        step //= width
+
+
 def position_within(df: DataFrame, groups: list[str], key: str, out: str, width: int = GROUP_WIDTH, total: str | None = None) -> DataFrame:
     """df with the number of rows of its group that have a smaller key (unique, integral), and, if asked for, of all its rows.
 
