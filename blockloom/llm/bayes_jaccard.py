@@ -4,15 +4,17 @@ Documents with one and the same set are taken together. Sets that agree in any o
 MinHash values are candidates (a pair at the threshold is missed with probability 3e-6). Candidates
 are compared MinHash by MinHash, 32 at a time: under a uniform prior, the pair is dropped as soon as
 the posterior probability that it reaches the threshold falls below the tolerance. Sets that
-stay connected form clusters. A cluster of more than a few hundred sets is split into blocks; the same
-test on signatures alone tells which pairs of blocks have any pair left, and only these fetch their
+stay connected form clusters. A cluster of more than a few hundred sets is split into blocks along the
+bands (sets of one crowded bucket lie together); of the pairs of blocks that share a bucket, the same
+test on signatures alone tells which have any pair left, and only these fetch their
 blocks' complete sets (packed and compressed, as near copies share most n-grams) to verify them
 exactly. No pair of documents is ever a row: tasks count links and hand on one edge per set, so the rows
 stay in proportion to the documents. Buckets beyond a task's share are compared block against block too.
 
 The complete sets are worked out again from the texts of one document of each clustered set. Up to
-FEW_WANTED of them, 64-bit keys are broadcast to leave all other texts out before the join; beyond that
-the join shuffles the texts once.
+FEW_WANTED of them, 64-bit keys are broadcast to leave all other texts out before the join, up to FILTERED
+a Bloom filter of them (500 MB at most), which lets some 2 % of the others pass; beyond that the join
+shuffles the texts once.
 
 Words are what white space separates, in lower case; a text of fewer than n words has one n-gram of
 all its words. Defined results: null and empty texts have no n-grams and link with nothing; repeated
@@ -44,8 +46,10 @@ HASHES = BANDS * ROWS
 BUCKET, CLUSTER_MEMBERS, CLUSTER_GRAMS = 4096, 256, 1_500_000
 #: Larger clusters have blocks of at least so many members, about so many blocks, and blocks of at most so many.
 BLOCK_LEAST, BLOCKS, BLOCK_MOST = 64, 40, 4096
-#: Documents whose texts are read again, up to which their keys (8 bytes each) are broadcast.
-FEW_WANTED = 2_000_000
+#: The block of a cluster that has one only.
+WHOLE = -1
+#: Documents whose texts are read again, up to which their keys (8 bytes each), or a filter of them (10 bits each) are broadcast.
+FEW_WANTED, FILTERED = 2_000_000, 400_000_000
 GROUP_CHARS = 3_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,20 +267,63 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda c: b"".join(rows[c].to_pylist())
         numbers = lambda c: np.asarray(rows[c]).astype(np.int64).tobytes()
         sets = pa.compress(join("set"), codec="zstd", asbytes=True)
-        head = [rows["cluster"][:1], rows["block"][:1], rows["blocks"][:1]]
+        head = [rows["cluster"][:1], rows["block"][:1]]
         yield pa.RecordBatch.from_arrays([*head, *(pa.array([x], pa.binary()) for x in (join("node"), numbers("docs"), numbers("grams"), join("sig"), sets))], names=_BLOCK.names)
 
 
 _BLOCK = T.StructType([
-    T.StructField("cluster", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("blocks", T.IntegerType()),
+    T.StructField("cluster", T.BinaryType()), T.StructField("block", T.LongType()),
     *(T.StructField(c, T.BinaryType()) for c in ("nodes", "docs", "sizes", "sigs", "sets")),
 ])
+_PAIR = T.StructType([T.StructField("cluster", T.BinaryType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])
 
 
-def _block_pairs(blocks: DataFrame) -> DataFrame:
-    """Each block once for each pair (i <= j) of blocks of its cluster."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return blocks.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
+def _homes(chosen: DataFrame, classes: DataFrame, many: DataFrame) -> DataFrame:
+    """cluster, node, block, keys of the sets in clusters of several blocks.
+
+    A set's home is the fullest of its buckets, so that near copies share a block; a home with more sets or
+    n-grams than a block holds is dealt to several. keys are the buckets that it shares with others.
+    """
+    members, grams = F.count(F.lit(1)), F.ceil(F.sum("grams") / CLUSTER_GRAMS)
+    wide = F.when(members > CLUSTER_MEMBERS, F.greatest(F.least(F.ceil(members / BLOCK_LEAST), F.lit(BLOCKS)), F.ceil(members / BLOCK_MOST))).otherwise(F.lit(1))
+    sizes = chosen.groupBy("cluster").agg(members.alias("members"), F.greatest(wide, grams).cast("long").alias("cells")).where("cells > 1")
+    large = chosen.join(sizes, "cluster").select("cluster", "members", "cells", "node", "grams")
+    keyed = large.join(classes.select("node", "bands"), "node").withColumn("key", F.explode("bands")).drop("bands").join(many, "key")
+    first = ["cluster", "members", "cells", "grams"]
+    homed = written(keyed.groupBy("node").agg(*[F.first(c).alias(c) for c in first], F.max(F.struct("n", "key"))["key"].alias("home"), F.collect_list("key").alias("keys")))
+    most = F.least(F.greatest(F.ceil(F.col("members") / F.col("cells")), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
+    crowds = homed.groupBy("cluster", "home").agg(members.alias("n"), grams.alias("parts"), F.first(most).alias("most"))
+    crowds = written(crowds.select("cluster", "home", F.greatest(F.ceil(F.col("n") / F.col("most")), "parts").alias("parts")))
+    block = F.pmod(F.xxhash64("home"), F.col("cells")) * F.lit(1 << 24) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    return homed.join(crowds, ["cluster", "home"]).select("cluster", "node", block.cast("long").alias("block"), "keys")
+
+
+def _block_pairs(homes: DataFrame) -> DataFrame:
+    """cluster, i, j (i <= j): the blocks of which some sets share a bucket, each with itself included."""
+    held = homes.select("cluster", "block", F.explode("keys").alias("key")).distinct()
+    mine = held.groupBy("cluster", "key").agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # a number for 4096 sets or so
+    each = mine.select("cluster", "blocks", F.posexplode("blocks").alias("at", "i"))
+    return each.select("cluster", "i", F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("j")).distinct()
+
+
+def _of_keys(texts: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The texts whose (id, text_key) is among n keys, and perhaps few others; all of them beyond FILTERED keys.
+
+    Up to FEW_WANTED keys are broadcast as they are, more as a Bloom filter of ten bits and three places a key,
+    in blocks of 32,768 bits that Spark's bitmap aggregate builds.
+    """
+    if n > FILTERED:
+        return texts
+    texts = texts.withColumn("key", F.xxhash64("id", "text_key"))
+    if n <= FEW_WANTED:
+        return texts.join(F.broadcast(keys.distinct()), "key", "left_semi").drop("key")
+    blocks = -(-10 * n // 32768)
+    part = F.pmod("key", F.lit(blocks)).alias("part")
+    places = F.transform(F.array(*map(F.lit, range(1, 4))), lambda k: F.pmod(F.xxhash64("key", k), F.lit(32768)))
+    bits = keys.select(part, F.explode(places).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = lambda at: F.conv(F.hex(F.col("bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = texts.withColumn("part", part).join(F.broadcast(bits), "part")
+    return near.where(F.forall(places, lambda at: F.getbit(byte(at), (at % 8).cast("int")) == 1)).drop("key", "part", "bits")
 
 
 def _plausible_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +332,9 @@ def _plausible_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for rows in _grouped(batches, ["cluster", "i", "j"]):
         sigs = [np.frombuffer(x, np.uint8).reshape(-1, HASHES) for x in rows["sigs"].to_pylist()]
         a, b, same = sigs[0], sigs[-1], rows["i"][0] == rows["j"][0]
-        if not same and len(sigs) == 1:  # the hash left the other block empty
-            continue
         if any(((p + x.start < q + y.start) if same else np.ones(len(p), bool)).any() for x, y in _tiles(len(a), len(b)) for p, q in [plausible(a[x], b[y], rules)]):
             found.append([rows[c][0].as_py() for c in ("cluster", "i", "j")])
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["cluster", "i", "j"])
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["cluster", "i", "j"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,15 +412,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clusters = components(pairs.mapInArrow(_linked_in_bucket, edge)).withColumnRenamed("root", "cluster")
     # Each cluster's complete sets, in blocks.
     chosen = written(clusters.join(classes.select("node", "docs", "one", "grams", "sig"), "node"))
-    members, grams = F.count(F.lit(1)), F.ceil(F.sum("grams") / CLUSTER_GRAMS)
-    many = F.greatest(F.least(F.ceil(members / BLOCK_LEAST), F.lit(BLOCKS)), F.ceil(members / BLOCK_MOST))
-    sizes = chosen.groupBy("cluster").agg(F.greatest(F.when(members > CLUSTER_MEMBERS, many).otherwise(F.lit(1)), grams).cast("int").alias("blocks"))
+    homes = written(_homes(chosen, classes, many))
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.unhex(F.sha1("text")))
-    wanted = chosen.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "docs", "grams", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
-    if chosen.count() <= FEW_WANTED:
-        keys = wanted.select(F.xxhash64("one_id", "one_key").alias("key")).distinct()
-        texts = texts.withColumn("key", F.xxhash64("id", "text_key")).join(F.broadcast(keys), "key", "left_semi").drop("key")
-    ready = texts.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).select("cluster", "block", "blocks", "node", "docs", "grams", "sig", "text")
+    placed = chosen.join(homes.select("node", "block"), "node", "left")
+    wanted = placed.select("cluster", F.coalesce("block", F.lit(WHOLE)).alias("block"), "node", "docs", "grams", "sig", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"))
+    texts = _of_keys(texts, wanted.select(F.xxhash64("one_id", "one_key").alias("key")), chosen.count())
+    ready = texts.join(wanted, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_key") == F.col("one_key"))).select("cluster", "block", "node", "docs", "grams", "sig", "text")
     with_set = T.StructType([*ready.drop("text").schema.fields, T.StructField("set", T.BinaryType())])
 
     def add_sets(batches):
@@ -384,11 +426,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in with_set.names[:-1]], sets], names=with_set.names)
 
     blocks = written(ready.mapInArrow(add_sets, with_set).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "node").mapInArrow(_packed, _BLOCK))
-    pair = T.StructType([T.StructField("cluster", T.BinaryType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
-    split = _block_pairs(blocks.where("blocks > 1").select("cluster", "block", "blocks", "sigs")).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
-    alive = split.mapInArrow(_plausible_blocks, pair)
-    sides = alive.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tasks = blocks.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(blocks.where("blocks > 1").join(sides, ["cluster", "block"])).drop("blocks")
+    split = blocks.where(F.col("block") != WHOLE)
+    sides = F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
+    signed = split.select("cluster", "block", "sigs").join(_block_pairs(homes).select("cluster", "i", "j", sides), ["cluster", "block"])
+    alive = signed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(_plausible_blocks, _PAIR)
+    whole = blocks.where(F.col("block") == WHOLE).withColumns({"i": F.col("block"), "j": F.col("block")})
+    tasks = whole.unionByName(split.join(alive.select("cluster", "i", "j", sides), ["cluster", "block"]))
     found = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
     verified = written(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(_verified, found))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

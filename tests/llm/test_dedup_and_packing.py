@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import bayes_jaccard, grace_dedup, slack_packing, streaming_viterbi, token_attribution
 from blockloom.llm.bpe import WordBpe, vocabulary_path
@@ -95,13 +96,36 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
             rows.append((100 * k + c + 10, " ".join(copy + (passage if c % 3 == 0 else []))))
     links, component = jaccard_by_hand(rows)
     for bucket, members, least, blocks in ((4096, 256, 64, 40), (3, 3, 2, 3), (4096, 1, 1, 40)):  # also with buckets and clusters split into blocks
-        for name, value in (("BUCKET", bucket), ("CLUSTER_MEMBERS", members), ("BLOCK_LEAST", least), ("BLOCKS", blocks), ("FEW_WANTED", 10**6 if members > 3 else 0)):
+        for name, value in (("BUCKET", bucket), ("CLUSTER_MEMBERS", members), ("BLOCK_LEAST", least), ("BLOCKS", blocks), ("FEW_WANTED", 10**6 if members > 3 else 0), ("FILTERED", 0 if members == 1 else 10**9)):
             monkeypatch.setattr(bayes_jaccard, name, value)
         got = {r["doc_id"]: r for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
         for (i, _), near, c in zip(rows, links, component):
             assert (got[i]["n_links"], got[i]["class_id"], got[i]["kept"]) == (len(near), c, i == c), i
 
 
+def test_a_chain_of_texts_compares_few_pairs_of_blocks(spark, monkeypatch):
+    """Each text shares 95 of 100 words with the next: one cluster, but only blocks that share a bucket meet."""
+    monkeypatch.setattr(bayes_jaccard, "CLUSTER_MEMBERS", 8)
+    monkeypatch.setattr(bayes_jaccard, "BLOCK_LEAST", 4)
+    seen = []
+    pairs = bayes_jaccard._block_pairs
+    monkeypatch.setattr(bayes_jaccard, "_block_pairs", lambda homes: (seen.append((pairs(homes).count(), homes.select("cluster", "block").distinct().count())), pairs(homes))[1])
+    rows = [(k, " ".join(f"w{x}" for x in range(5 * k, 5 * k + 100))) for k in range(240)]
+    links, component = jaccard_by_hand(rows)
+    got = {r["doc_id"]: r for r in bayes_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [(got[k]["n_links"], got[k]["class_id"]) for k, _ in rows] == [(len(near), c) for near, c in zip(links, component)] and len(set(component)) == 1
+    n_pairs, n_blocks = seen[0]
+    assert n_blocks >= 10 and n_pairs < n_blocks * (n_blocks + 1) / 4
+
+
+def test_the_filter_of_keys_passes_all_wanted_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(bayes_jaccard, "FEW_WANTED", 0)
+    texts = spark.range(20_000).select("id", F.unhex(F.sha1(F.col("id").cast("string"))).alias("text_key"))
+    wanted = texts.where("id % 4 = 1")
+    got = {r["id"] for r in bayes_jaccard._of_keys(texts, wanted.select(F.xxhash64("id", "text_key").alias("key")), 5000).collect()}
+    assert {k for k in range(20_000) if k % 4 == 1} <= got and len(got) < 5000 + 0.04 * 15_000
+
+
 def test_jaccard_keep_and_empty_tables(spark):
     text = " ".join(f"w{k}" for k in range(50))
     df = spark.createDataFrame([(1, text, 5, 0), (2, text + " more", 6, 0), (3, "", 7, 0), (4, None, 8, 0), (None, "lonely text of its own here", 9, 0)], "doc_id long, text string, node long, __id long")
