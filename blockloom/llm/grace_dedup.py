@@ -32,6 +32,12 @@ _TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 MEMORY, FANOUT_BITS = 48 << 20, 4
 
 
+def _spill_root() -> str | None:
+    """One of the folders that Spark gives the executor for its own spills; None where it names none."""
+    named = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return named[os.getpid() % len(named)] if named else None
+
+
 def normalised(text: str | None) -> bytes:
     """UTF-8 of text with each run of ASCII white space made one space."""
     b = (text or "").encode().translate(_TO_SPACE)
@@ -160,7 +166,7 @@ def grace(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, memory:
         if held:
             yield fold(_joined(held), id_col, text_col)
         return
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:  # gone with the task
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=_spill_root()) as folder:  # gone with the task
         writers: dict[int, tuple[pa.OSFile, pa.ipc.RecordBatchStreamWriter]] = {}
         shift = 64 - (level + 1) * FANOUT_BITS
 

@@ -3,7 +3,8 @@
 Every text is described by some twenty shares and means (distinct words, repeated neighbours,
 signs, capitals, repeated lines, ...), each unfolded into steps at quantiles of the sample, and a
 linear model over them is fitted by non-negative unbiased risk. Only the text is read: no labels,
-language, source or id are inputs of a score. All numbers are defined for texts of every length: runs of
+language, source or id are inputs of a score. The prior is the share of label 1 among labelled rows that
+may be learnt from, and is taken to hold for the unlabelled texts too. All numbers are defined for texts of every length: runs of
 two or five words of a shorter text are one run of all its words, a mean over no pairs is 0, and the
 share of the top word counts its repetitions (its occurrences but one).
 

@@ -33,6 +33,8 @@ from .shared import text_or_empty
 
 MARK, STRETCHES_KEPT, _NOTHING = "▁", 300_000, (None, None, 0.0)
 _STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
+#: What no piece may hold, as texts are cut there: a marker after another character, a line feed but at the beginning.
+_TORN = re.compile(f"[^{MARK}]{MARK}|.\n", re.DOTALL)
 
 
 class PieceModel:
@@ -45,6 +47,8 @@ class PieceModel:
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
+        if torn := [p for p in self.pieces if _TORN.search(p)]:
+            raise ValueError(f"pieces that run across a blank or a line feed, such as {torn[0]!r}, are not supported")
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10

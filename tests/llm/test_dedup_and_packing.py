@@ -318,6 +318,19 @@ def test_streaming_viterbi_equals_the_whole_table():
     assert out + stream.finish() == full_viterbi(model, "abcdefghij" * 500)
 
 
+@pytest.mark.parametrize("piece", ["a\u2581b", "a\n", "\n\n", "\u2581\n"])
+def test_models_whose_pieces_cross_stretches_are_refused(piece, monkeypatch):
+    import sentencepiece
+
+    class Model(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, i):
+            return piece if i == 300 else super().id_to_piece(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="run across"):
+        streaming_viterbi.PieceModel()
+
+
 def test_sentencepiece_tables(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(TEXTS)] + [(None, None), (1, " ")], DOCS)
     coded = streaming_viterbi.encode(df)
