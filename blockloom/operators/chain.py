@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,15 +54,19 @@ def with_effective_price(receipts: DataFrame) -> DataFrame:
 MINIMUM_GAS_LIMIT, LIMIT_DIVISOR = 5000, 1024
 
 
-def header_faults(headers: DataFrame) -> DataFrame:
-    """number, fault: each rule that a header breaks on its own or against its parent."""
+def with_parent(headers: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """headers with p_... of the header before each one."""
     # A range's first header finds its parent in the row before it, which is sent along.
     edge = headers.where(F.pmod("number", F.lit(8192)) == 8191)
     both = headers.withColumn("own", F.lit(True)).unionByName(edge.withColumns({"own": F.lit(False)}))
     both = both.withColumn("slot", F.when(F.col("own"), F.floor(F.col("number") / 8192)).otherwise(F.floor(F.col("number") / 8192) + 1))
     order = Window.partitionBy("slot").orderBy("number")
-    parent = {c: F.lag(c).over(order) for c in ("number", "hash", "ts", "gas_limit", "gas_used", "base_fee")}
-    rows = both.withColumns({f"p_{c}": e for c, e in parent.items()}).where("own")
+    return both.withColumns({f"p_{c}": F.lag(c).over(order) for c in columns}).where("own").drop("own", "slot")
+
+
+def header_faults(headers: DataFrame) -> DataFrame:
+    """number, fault: each rule that a header breaks on its own or against its parent."""
+    rows = with_parent(headers, ("number", "hash", "ts", "gas_limit", "gas_used", "base_fee"))
     known = F.col("p_number").isNotNull()
     rules = {
         "gas used beyond limit": F.col("gas_used") > F.col("gas_limit"),

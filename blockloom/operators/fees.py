@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..functions.ranks import prefix_minima, prefix_sums
 
 #: Defaults of the tip suggestion: blocks sampled, lowest tips of each, percentile, ceiling.
 BLOCKS, SAMPLE, PERCENTILE, MAX_HISTORY, CEILING = 20, 3, 60, 1024, 500_000_000_000
+#: Points of a grid of rewards for one percent.
+RESOLUTION = 4
 # Gas of a blob, and how fast the blob fee follows the excess.
 GAS_PER_BLOB, UPDATE_FRACTION = 131_072, 3_338_477
 
@@ -48,6 +51,29 @@ def rewards_of_blocks(txs: DataFrame, percentiles: Sequence[float]) -> DataFrame
     return ranked.groupBy("number").agg(F.array(*at).alias("rewards"))
 
 
+def reward_grid(txs: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """number, grid: the rewards at 0, 1 / resolution, ... 100 percent of the block's gas, as rewards_of_blocks defines them.
+
+    Each transaction stands for the points that the running gas reaches with it, so an array is laid out in one pass.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    points = 100 * resolution
+    order = Window.partitionBy("number").orderBy("reward", "tx_num")
+    ranked = txs.select("number", "tx_num", F.col("gas").cast("long").alias("gas"), F.coalesce(effective_tip(), F.lit(0)).cast("long").alias("reward"))
+    ranked = ranked.withColumns({"reached": F.sum("gas").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("gas").over(Window.partitionBy("number"))})
+    held = F.when(F.col("total") > 0, F.least(div((F.col("reached") + 1) * points + F.col("total") - 1, F.col("total")), F.lit(points + 1))).otherwise(points + 1)
+    counted = ranked.withColumn("held", held).withColumn("times", (F.col("held") - F.lag("held", 1, 0).over(order)).cast("int"))
+    steps = F.array_sort(F.collect_list(F.struct("reached", "reward", "tx_num", "times")))
+    return counted.where("times > 0").groupBy("number").agg(steps.alias("steps")).select("number", F.flatten(F.transform("steps", lambda s: F.array_repeat(s["reward"], s["times"]))).alias("grid"))
+
+
+def rewards_from_grid(headers: DataFrame, grid: DataFrame, percentiles: Sequence[float], resolution: int = RESOLUTION) -> DataFrame:
+    """number, p, reward: the point of the grid next to each percentile (outside of 0 to 100 the end); 0 without transactions."""
+    at = [min(max(floor(p * resolution + 0.5), 0), 100 * resolution) for p in percentiles]
+    named = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.coalesce(F.element_at("grid", k + 1), F.lit(0)).cast("long").alias("reward")) for p, k in zip(percentiles, at)])
+    return headers.select("number").join(grid, "number", "left").select("number", F.inline(named).alias("p", "reward"))
+
+
 def full_fee_history(headers: DataFrame, txs: DataFrame, first: int, last: int, percentiles: Sequence[float], blobs: DataFrame | None = None, blob_limit: int = 6, blob_target: int = 3) -> DataFrame:
     """number, base_fee, gas_used_ratio, rewards, blob_base_fee, blob_gas_used_ratio of a range, and a last row with the fees after it.
 

@@ -1,3 +1,3 @@
 """Views and registered queries; importing any of them registers all."""
 
-from . import chain_queries, history_queries, lookup_queries, pool_queries, stream_queries, tool_queries, trace_queries  # noqa: F401
+from . import body_queries, chain_queries, history_queries, lookup_queries, pool_queries, stream_queries, tool_queries, trace_queries  # noqa: F401

@@ -138,11 +138,16 @@ def keccak_hashes(x: Ledger):
     return x.headers.select("number", keccak256_hex("hash").alias("keccak"))
 
 
-@query("archive_round_trip", "headers", "SELECT number, hash, parent_hash, gas_used FROM headers")
-def archive_round_trip(x: Ledger):
+def archive_path(x: Ledger) -> str:
+    """A fresh folder for an archive, as a URI."""
     path = shared_dir(x.spark)
     path = path if "://" in path or path.startswith("file:") else "file://" + path
-    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+@query("archive_round_trip", "headers", "SELECT number, hash, parent_hash, gas_used FROM headers")
+def archive_round_trip(x: Ledger):
+    path = archive_path(x)
     archive.export_headers(x.headers.select("number", "hash", "parent_hash", "gas_used"), path)
     return archive.import_headers(x.spark, path, "number long, hash string, parent_hash string, gas_used long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.ranks import day_hours, position_within, positions, prefix_sums, previous_within, seconds
-from ..operators import blooms
+from ..operators import blooms, bodies, fees
 from ..operators.traces import of_transactions
 from ..sources.files import Folder
 from ..sources.manifest import Segments
@@ -41,7 +41,7 @@ _stored: dict[tuple[str, ...], Segments | str] = {}
 @cache
 def _code() -> str:
     """A digest of the code that makes the stored views."""
-    return hashlib.md5("".join(inspect.getsource(m) for m in (sys.modules[__name__], ranks, blooms)).encode()).hexdigest()
+    return hashlib.md5("".join(inspect.getsource(m) for m in (sys.modules[__name__], ranks, blooms, fees)).encode()).hexdigest()
 
 
 def tag(kind: str, column) -> F.Column:
@@ -257,6 +257,33 @@ class Ledger:
     def _enriched(rows: DataFrame) -> DataFrame:
         return rows.withColumns({"hash": tag("tx-", F.col("tx_num")), "gas_used": F.col("gas"), "block_hash": tag("block-", F.col("number"))})
 
+    @cached_property
+    def _grid_segments(self) -> tuple[DataFrame, int]:
+        """number, grid: each block's rewards at every quarter of a percent."""
+        return self._segments("reward-grids", ("orders", "lineitem"), lambda: fees.reward_grid(self.enriched_between(None, None)))
+
+    def reward_grids_between(self, first: int | None, last: int | None) -> DataFrame:
+        return self._between(self._grid_segments, "number", first, last)
+
+    @cached_property
+    def blob_headers(self) -> DataFrame:
+        """number, blobs (of the body, bound to its number of transactions), blob_gas_used, excess_blob_gas; some headers name wrong ones or none."""
+        counted = F.when(F.col("tx_count") >= 7, F.lit(6)).otherwise(F.col("tx_count") % 4).cast("long")
+        rows = fees.excess_blob_gas(self.body_indices.select("number", counted.alias("blobs")))
+        every = lambda n, k: F.col("number") % n == k
+        gas = F.col("blobs") * fees.GAS_PER_BLOB
+        used = F.when(every(211, 5), gas + 1).when(every(307, 11), gas + 7 * fees.GAS_PER_BLOB).when(~every(401, 7), gas)
+        excess = F.when(every(503, 13), F.col("excess") + fees.GAS_PER_BLOB).when(~every(601, 17), F.col("excess"))
+        return rows.select("number", "blobs", used.alias("blob_gas_used"), excess.alias("excess_blob_gas"))
+
+    def withdrawn_between(self, first: int | None, last: int | None) -> DataFrame:
+        """number, withdrawals (index, validator, address, amount; two a block), withdrawals_root; some blocks lack one or name a wrong root."""
+        pay = lambda k: F.struct((F.col("number") * 2 + k).alias("index"), ((F.col("number") * 2 + k) % 1000).alias("validator"), F.col("beneficiary").cast("long").alias("address"), (F.col("base_fee") * 7 + k).alias("amount"))
+        rows = self.headers_between(first, last).select("number", F.array(pay(0), pay(1)).alias("paid"))
+        every = lambda n, k: F.col("number") % n == k
+        root = bodies.withdrawals_root(F.col("paid"))
+        return rows.select("number", F.when(~every(307, 4), F.col("paid")).alias("withdrawals"), F.when(every(211, 3), F.reverse(root)).when(~every(401, 6), root).alias("withdrawals_root"))
+
     def blocks_of_tx_range(self, first: int, last: int) -> tuple[int, int]:
         """The first and last block that hold transactions first to last; an empty range (0, -1) where none does."""
         ends = F.col("first_tx_num") + F.col("tx_count")
@@ -376,6 +403,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT tx_num, number, idx, '' AS path, CAST(sender AS BIGINT) AS from_, CAST(recipient AS BIGINT) AS to_, tip AS value, gas, 'call' AS kind FROM transactions
         UNION ALL SELECT tx_num, number, idx, '0', recipient, sender, gas, gas, 'call' FROM transactions WHERE tx_num % 3 = 0
         UNION ALL SELECT tx_num, number, idx, '1', recipient, tx_num % 500, 0, gas, 'create' FROM transactions WHERE tx_num % 17 = 0"""),
+    "blob_headers": (("body_indices",), """
+        SELECT number, blobs, CASE WHEN number % 211 = 5 THEN blobs * 131072 + 1 WHEN number % 307 = 11 THEN (blobs + 7) * 131072 WHEN number % 401 <> 7 THEN blobs * 131072 END AS blob_gas_used,
+               CASE WHEN number % 503 = 13 THEN excess + 131072 WHEN number % 601 <> 17 THEN excess END AS excess_blob_gas
+        FROM (SELECT number, blobs, s - least(min(s) OVER (ORDER BY number), 0) AS excess FROM (
+            SELECT number, blobs, CAST(coalesce(sum((blobs - 3) * 131072) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+            FROM (SELECT number, CAST(CASE WHEN tx_count >= 7 THEN 6 ELSE tx_count % 4 END AS BIGINT) AS blobs FROM body_indices)))"""),
+    "withdrawn": (("headers",), """
+        SELECT number, k, number * 2 + k AS index, (number * 2 + k) % 1000 AS validator, CAST(beneficiary AS BIGINT) AS address, base_fee * 7 + k AS amount FROM headers, (VALUES (CAST(0 AS BIGINT)), (1)) v(k) WHERE number % 307 <> 4"""),
     "accounts": (("evts",), "SELECT address, arg_max_null(value, event_id) AS value FROM evts GROUP BY address"),
     "pool": ((), """
         SELECT o_orderkey AS submission_id, o_custkey AS sender, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS nonce, CAST(floor(o_totalprice) AS BIGINT) AS max_fee,

@@ -4,7 +4,8 @@ A file is a run of entries: a type of two bytes, a length of four, two reserved
 little-endian, then the value. The writer makes one file for each partition, committed by renaming, and ends
 it with an index: the place of each entry, then their number. The reader cuts files at multiples of a size; a
 part finds the entries that begin in its range by the index and reads those bytes only, so many tasks read one
-file and an entry across a cut is read once. A file without an index is read by the part with its beginning.
+file and an entry across a cut is read once. A file without an index is read by the part with its beginning. With the option framing=snappy,
+values (but for those of the version and the index) are framed snappy streams in the file and plain in rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .framing import framed, unframed
+
 HEAD = struct.Struct("<HIH")
 # Entry types.
 VERSION, INDEX, HEADER, BODY, RECEIPTS = 0x3265, 0x3266, 0x03, 0x04, 0x05
@@ -62,14 +65,20 @@ def bounds(file, size: int, start: int, end: int) -> tuple[int, int]:
     return (0, size) if start == 0 else (0, 0)
 
 
+def _known(framing: str) -> str:
+    if framing not in ("", "snappy"):
+        raise ValueError(f"unknown framing {framing!r}")
+    return framing
+
+
 class Part(InputPartition):
     def __init__(self, path: str, size: int, start: int, end: int):
         self.path, self.size, self.start, self.end = path, size, start, end
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, split: int = SPLIT):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int = SPLIT, framing: str = ""):
+        self.path, self.split, self.framing = path, split, _known(framing)
 
     def partitions(self):
         fs, base = pafs.FileSystem.from_uri(self.path)
@@ -83,7 +92,7 @@ class ArchiveReader(DataSourceReader):
         with fs.open_input_file(partition.path) as file:
             first, last = bounds(file, partition.size, partition.start, partition.end)
             for at, kind, value in entries(file.read_at(last - first, first)):
-                yield os.path.basename(partition.path), first + at, kind, value
+                yield os.path.basename(partition.path), first + at, kind, unframed(value) if self.framing and kind not in (VERSION, INDEX) else value
 
 
 class Written(WriterCommitMessage):
@@ -92,8 +101,8 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, framing: str = ""):
+        self.path, self.framing = path, _known(framing)
 
     def write(self, iterator):
         fs, base = pafs.FileSystem.from_uri(self.path)
@@ -103,7 +112,7 @@ class ArchiveWriter(DataSourceWriter):
             places, at = [], 0
             for kind, value in chain([(VERSION, b"")], ((row["kind"], bytes(row["value"])) for row in iterator)):
                 places.append(at)
-                at += out.write(entry(kind, value))
+                at += out.write(entry(kind, framed(value) if self.framing and kind not in (VERSION, INDEX) else value))
             out.write(index(places))
         return Written([name])
 
@@ -131,24 +140,24 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return ArchiveReader(self.options["path"], int(self.options.get("split", SPLIT)))
+        return ArchiveReader(self.options["path"], int(self.options.get("split", SPLIT)), self.options.get("framing", ""))
 
     def writer(self, schema, overwrite):
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], self.options.get("framing", ""))
 
 
-def export_headers(headers: DataFrame, path: str, blocks_per_file: int = 8192) -> None:
+def export_headers(headers: DataFrame, path: str, blocks_per_file: int = 8192, framing: str = "") -> None:
     """Headers as JSON entries, so many blocks to a file at most, each file in block order."""
     headers.sparkSession.dataSource.register(ArchiveSource)
     value = F.encode(F.to_json(F.struct(*headers.columns)), "UTF-8")
     files = F.floor(F.col("number") / blocks_per_file)
     n = headers.agg(F.max("number")).first()[0]
     parts = headers.repartitionByRange(max(1, (n or 0) // blocks_per_file + 1), files).sortWithinPartitions("number")
-    parts.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("position"), F.lit(HEADER).alias("kind"), value.alias("value")).write.format("archive").mode("append").save(path)
+    parts.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("position"), F.lit(HEADER).alias("kind"), value.alias("value")).write.format("archive").option("framing", framing).mode("append").save(path)
 
 
-def import_headers(spark, path: str, schema: str) -> DataFrame:
+def import_headers(spark, path: str, schema: str, framing: str = "") -> DataFrame:
     """Back from such an archive."""
     spark.dataSource.register(ArchiveSource)
-    rows = spark.read.format("archive").load(path).where(F.col("kind") == HEADER)
+    rows = spark.read.format("archive").option("framing", framing).load(path).where(F.col("kind") == HEADER)
     return rows.select(F.from_json(F.decode("value", "UTF-8"), schema).alias("h")).select("h.*")
