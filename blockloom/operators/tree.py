@@ -1,67 +1,129 @@
-"""Trees of blocks with forks, by pointer doubling over parent links.
+"""Trees of blocks with forks, by walks within ranges and pointer doubling between them.
 
 A block's parent is the block whose hash it names and whose number is one less, so links can't run in a
-circle. In every round each block learns from the ancestor it has reached what that one has reached:
-after k rounds 2 ^ k steps are known, so chains of n blocks take log2(n) joins. Rounds are written to the
-shared folder, so lineage stays short and a lost executor costs one round.
+circle. Links are rows (id, place, up, up_place) with up_place below place. Rows of a range of places are walked
+together, in the order of places: a row learns where the range ends for it, at a root or at a link that leaves the
+range. Only those links (one for each range and fork) are doubled: in every round each learns from the one it has
+reached what that one has reached, so n of them take log2(n) joins. Rounds are written to the shared folder, so
+lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import written
 
+#: Places of a range; a task holds the rows of one range at a time.
+WIDTH = 8192
 
-def _linked(headers: DataFrame, stop: Column | None = None) -> DataFrame:
-    """hash, number, up (the parent's hash; null at roots and where stop holds), top (itself), depth 0."""
-    rows = headers.select("hash", "number", "parent_hash", (F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))).alias("stop"))
-    parents = headers.select(F.col("hash").alias("parent_hash"), (F.col("number") + 1).alias("number"), F.lit(True).alias("known"))
-    joined = rows.join(parents, ["parent_hash", "number"], "left")
-    return joined.select("hash", "number", F.when(F.col("known") & ~F.col("stop"), F.col("parent_hash")).alias("up"), F.col("hash").alias("top"), F.lit(0).cast("long").alias("depth"))
 
+def _links(headers: DataFrame, stop: Column | None = None) -> DataFrame:
+    """id, place, up, up_place of headers with a number; no up where stop holds."""
+    up = F.col("parent_hash") if stop is None else F.when(~F.coalesce(stop, F.lit(False)), F.col("parent_hash"))
+    return headers.where("number IS NOT NULL").select(F.col("hash").alias("id"), F.col("number").alias("place"), up.alias("up"), (F.col("number") - 1).alias("up_place"))
 
-def _doubled(state: DataFrame) -> DataFrame:
-    """Every block's reach, added to that of the ancestor it ends at."""
-    ends = state.select(F.col("hash").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
-    near = state.where("up IS NOT NULL").join(ends, "up").select("hash", "number", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + 1 + F.col("depth2")).alias("depth"))
-    return state.where("up IS NULL").unionByName(near)
 
+def _walked(links: DataFrame, width: int) -> DataFrame:
+    """id, place, top, depth, out, out_place: where a row's links end within its range, the steps to it, and the link
+    that leaves the range there (null at a root)."""
 
-def rooted(headers: DataFrame, stop: Column | None = None) -> DataFrame:
+    def walk(rows: pa.Table) -> pa.Table:
+        ids, places, ups, up_places = (rows.column(c).to_pylist() for c in ("id", "place", "up", "up_place"))
+        at: dict = {}
+        top, depth, out, out_place = ([None] * len(ids) for _ in range(4))
+        for k in sorted(range(len(ids)), key=places.__getitem__):
+            top[k], depth[k] = ids[k], 0
+            if ups[k] is not None and up_places[k] // width != places[k] // width:
+                out[k], out_place[k] = ups[k], up_places[k]
+            elif ups[k] is not None and (j := at.get((ups[k], up_places[k]))) is not None:
+                top[k], depth[k], out[k], out_place[k] = top[j], depth[j] + 1, out[j], out_place[j]
+            at[ids[k], places[k]] = k
+        kind = rows.column("id").type
+        cols = [rows.column("id"), rows.column("place"), pa.array(top, kind), pa.array(depth, pa.int64()), pa.array(out, kind), pa.array(out_place, pa.int64())]
+        return pa.table(cols, names=["id", "place", "top", "depth", "out", "out_place"])
+
+    id_ = links.schema["id"].dataType.simpleString()
+    schema = f"id {id_}, place long, top {id_}, depth long, out {id_}, out_place long"
+    return written(_ranged(links, width).applyInArrow(walk, schema))
+
+
+def _ranged(links: DataFrame, width: int):
+    return links.groupBy(F.floor(F.col("place") / width).alias("range"))
+
+
+def _of(local: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of local that wanted (out, out_place; small) names, as out, out_place and their top2, depth2, out2, out_place2."""
+    renamed = {"id": "out", "place": "out_place", "top": "top2", "depth": "depth2", "out": "out2", "out_place": "out_place2"}
+    return wanted.join(local.select(*[F.col(c).alias(new) for c, new in renamed.items()]), ["out", "out_place"])
+
+
+def rooted(headers: DataFrame, stop: Column | None = None, width: int = WIDTH) -> DataFrame:
     """number, hash, root, depth: the first block that each block's parents lead to, and the steps to it.
 
     headers: number, hash (unique), parent_hash. Walks end at blocks whose parent is not there, and at those
     for which stop holds, which count as roots.
     """
-    state = written(_linked(headers, stop))
+    local = _walked(_links(headers, stop), width)
+    leaving = written(local.where("depth = 0 AND out IS NOT NULL").select("id", "out", "out_place"))
+    hops = leaving.join(written(_of(local, leaving.select("out", "out_place").distinct())), ["out", "out_place"], "left")
+    # up: the next row whose link leaves its range, null once top is a root; depth: the steps to either.
+    state = written(hops.select("id", F.when(F.col("out2").isNotNull(), F.col("top2")).alias("up"), F.when(F.col("depth2").isNull(), F.col("id")).otherwise(F.col("top2")).alias("top"), F.coalesce(F.col("depth2") + 1, F.lit(0)).alias("depth")))
     while not state.where("up IS NOT NULL").isEmpty():
-        state = written(_doubled(state))
-    return state.select("number", "hash", F.col("top").alias("root"), "depth")
+        ends = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
+        near = state.where("up IS NOT NULL").join(ends, "up").select("id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        state = written(state.where("up IS NULL").unionByName(near))
+    further = state.select(F.col("id").alias("top"), F.col("top").alias("root"), F.col("depth").alias("more"))
+    found = local.join(further, "top", "left").select(F.col("place").alias("number"), F.col("id").alias("hash"), F.coalesce("root", "top").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    unnumbered = headers.where("number IS NULL").select("number", "hash", F.col("hash").alias("root"), F.lit(0).cast("long").alias("depth"))
+    return found.unionByName(unnumbered)
 
 
-def followed(links: DataFrame, start, steps: int | None = None) -> DataFrame:
-    """id, depth of what is reached from start (0) by links (id, up: null at an end), so many steps at most.
+def followed(links: DataFrame, start, steps: int | None = None, width: int = WIDTH) -> DataFrame:
+    """id, depth of what is reached from start (0) by links (id, place, up, up_place), so many steps at most.
 
-    Links must not run in a circle. Those within 2 ^ k - 1 steps are found; their 2 ^ k-th successors are the next 2 ^ k.
+    Where walks enter ranges is found by doubling: entries within 2 ^ k - 1 others are known, and their 2 ^ k-th
+    successors are the next 2 ^ k. Then the ranges are walked from their entries.
     """
-    state = written(links.select("id", "up"))
-    found, k = state.where(F.col("id") == start).select("id", F.lit(0).cast("long").alias("depth")), 0
+    local = _walked(links, width)
+    first = local.where(F.col("id") == start).select(F.col("id").alias("out"), F.col("place").alias("out_place"))
+    entries = written(local.where("depth = 0 AND out IS NOT NULL").select("out", "out_place").unionByName(first).distinct())
+    state = written(_of(local, entries).select(F.col("out").alias("id"), F.col("out2").alias("up"), F.col("out_place2").alias("up_place"), (F.col("depth2") + 1).alias("far"), F.col("out_place").alias("place")))
+    found, k = written(state.where(F.col("id") == start).select("id", "place", F.lit(0).cast("long").alias("depth"))), 0
     while steps is None or 1 << k <= steps:
-        further = found.join(state, "id").where("up IS NOT NULL").select(F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
+        ends = state.select(F.col("id").alias("up"), F.col("place").alias("up_place"), F.col("up").alias("up2"), F.col("up_place").alias("up_place2"), F.col("far").alias("far2"))
+        linked = written(state.join(ends, ["up", "up_place"]))  # a link to a row that isn't there is an end
+        further = found.join(linked.select("id", "place", "up", "up_place", "far"), ["id", "place"]).select(F.col("up").alias("id"), F.col("up_place").alias("place"), (F.col("depth") + F.col("far")).alias("depth"))
         if further.isEmpty():
             break
         found = written(found.unionByName(further))
-        ends = state.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        state, k = written(state.where("up IS NOT NULL").join(ends, "up").select("id", F.col("up2").alias("up")).unionByName(state.where("up IS NULL"))), k + 1
-    return found if steps is None else found.where(F.col("depth") <= steps)
+        state, k = written(linked.select("id", F.col("up2").alias("up"), F.col("up_place2").alias("up_place"), (F.col("far") + F.col("far2")).alias("far"), "place").unionByName(state.join(linked.select("id", "place"), ["id", "place"], "left_anti").select("id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(None).cast("long").alias("up_place"), "far", "place"))), k + 1
+
+    def walk(rows: pa.Table) -> pa.Table:
+        ids, places, ups, up_places, depths = (rows.column(c).to_pylist() for c in ("id", "place", "up", "up_place", "entered"))
+        at = {(i, p): k for k, (i, p) in enumerate(zip(ids, places))}
+        out: list[tuple] = []
+        for k in [k for k, d in enumerate(depths) if d is not None]:
+            depth = depths[k]
+            while k is not None:
+                out.append((ids[k], depth))
+                k, depth = None if ups[k] is None or up_places[k] // width != places[k] // width else at.get((ups[k], up_places[k])), depth + 1
+        return pa.table([pa.array([i for i, _ in out], rows.column("id").type), pa.array([d for _, d in out], pa.int64())], names=["id", "depth"])
+
+    entered = links.select("id", "place", "up", "up_place").join(found.withColumnRenamed("depth", "entered"), ["id", "place"], "left")
+    reached = _ranged(entered, width).applyInArrow(walk, T.StructType([links.schema["id"], T.StructField("depth", T.LongType())]))
+    return reached if steps is None else reached.where(F.col("depth") <= steps)
 
 
-def ancestors(headers: DataFrame, hash_: str, steps: int | None = None) -> DataFrame:
+def ancestors(headers: DataFrame, hash_: str, steps: int | None = None, width: int = WIDTH) -> DataFrame:
     """number, hash, depth of a block (0) and its ancestors, so many steps at most; no rows if it isn't there."""
-    found = followed(_linked(headers).select(F.col("hash").alias("id"), "up"), hash_, steps)
-    return headers.select("number", "hash").join(found.withColumnRenamed("id", "hash"), "hash").select("number", "hash", "depth")
+    number = headers.where(F.col("hash") == hash_).agg(F.max("number")).first()[0]
+    found = followed(_links(headers), hash_, steps, width)
+    # A step is a number, so a block's depth tells its number.
+    return found.select((F.lit(number).cast("long") - F.col("depth")).alias("number"), F.col("id").alias("hash"), "depth")
 
 
 def best_head(headers: DataFrame) -> str | None:

@@ -92,7 +92,10 @@ def feed_backfilled(x: Ledger):
     """All blocks from 40 on for a consumer that starts late, in batches cut by blocks, gas and transactions."""
     blocks = x.headers.select("number", "gas_used").join(x.body_indices.select("number", "tx_count"), "number")
     cuts = stages.batches(blocks, 40, 300, {"gas_used": 500_000, "tx_count": 1000})
-    return changes.run_once(backfill.stream(x.spark, cuts)).join(x.headers.select("number", "hash"), "number")
+    path = shared_dir(x.spark)
+    for stream in backfill.in_runs(x.spark, cuts):
+        fed = changes.run_once(stream, path)
+    return fed.join(x.headers.select("number", "hash"), "number")
 
 
 FEED = f"""

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from blockloom.functions import ranks
 from blockloom.operators import stages
 from blockloom.sources import backfill
 from blockloom.streaming import changes
@@ -48,3 +49,21 @@ def test_more_cuts_than_a_source_takes(spark, monkeypatch):
     monkeypatch.setattr(backfill, "MOST", 3)
     with pytest.raises(ValueError, match="end the range at block 29"):
         backfill.stream(spark, spark.createDataFrame([(k, k + 9) for k in range(0, 40, 10)], "first long, last long"))
+
+
+def test_a_longer_range_is_read_by_runs(spark, tmp_path):
+    """Runs of two cuts give the blocks of all five; there are never more partitions than a run may have."""
+    cuts = spark.createDataFrame([(k, k + 9) for k in range(0, 50, 10)], "first long, last long")
+    for feed in backfill.in_runs(spark, cuts, 2):
+        got = changes.run_once(feed, f"file://{tmp_path}/feed")
+    assert sorted((r["batch"], r["number"]) for r in got.collect()) == [(n // 10 * 10, n) for n in range(50)]
+    parts = backfill.BackfillReader([[k, k] for k in range(5000)]).partitions({"number": 7}, {"number": 4999})
+    assert len(parts) <= backfill.PARTITIONS and [b for p in parts for b in p.batches] == [(k, k, k) for k in range(7, 4999)]
+
+
+def test_no_frame_runs_to_the_end_of_its_group(spark):
+    """Frames that end with their group are worked out anew for each row: quadratic in the rows of a range."""
+    df = spark.createDataFrame([(1, 1, None), (1, 4, 40), (1, 9, 90), (2, 3, 30)], "g long, k long, v long")
+    found = ranks.next_within(df, ["g"], "k", "v", "later", 4)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString()
+    assert sorted((r["g"], r["k"], r["later"]) for r in found.collect()) == [(1, 1, 40), (1, 4, 90), (1, 9, None), (2, 3, None)]
