@@ -52,3 +52,14 @@ def test_links_need_numbers_that_follow(spark):
     """Hashes that name each other, or a block of the wrong height, make no link and no endless walk."""
     df = spark.createDataFrame([(1, "x", "y"), (1, "y", "x"), (5, "z", "x"), (2, "v", "x"), (None, "w", "v"), (3, "u", None)], "number long, hash string, parent_hash string")
     assert {r["hash"]: (r["root"], r["depth"]) for r in tree.rooted(df).collect()} == {"x": ("x", 0), "y": ("y", 0), "z": ("z", 0), "v": ("x", 1), "w": ("w", 0), "u": ("u", 0)}
+
+
+@pytest.mark.parametrize("width", [64, 999])
+def test_rounds_hold_only_links_that_leave_a_range(long_chains, monkeypatch, width):
+    """What is written for a tree is about its blocks once, not once for each round."""
+    rows, df = long_chains
+    held = []
+    monkeypatch.setattr(tree, "written", lambda made, write=tree.written: held.append(write(made)) or held[-1])
+    assert {r["hash"]: (r["root"], r["depth"]) for r in tree.rooted(df, width=width).collect()} == by_hand(rows)
+    assert sum(h.count() for h in held) < 2 * len(rows) + 40 * 13_000 // width
+    assert {r["hash"] for r in tree.ancestors(df, "b9000", width=width).collect()} == {f"a{n}" for n in range(6001)} | {f"b{n}" for n in range(6001, 9001)}
