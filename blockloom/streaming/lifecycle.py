@@ -1,7 +1,8 @@
 """What happens to transactions in the pool, from a stream of submissions, drops and included blocks.
 
-The stream is keyed by sender; a sender's state is its next nonce and the transactions that wait for it, so it
-is bounded by the pool's limits. Rows of one micro-batch are taken in the order of `seq`, whatever files they
+The stream is keyed by groups of senders, so that a call takes the rows of many; a sender's state, an entry of its
+group's map, is its next nonce and the transactions that wait for it, so it is bounded by the pool's limits. Only
+entries of senders that have rows in a micro-batch are read and written. Rows of one micro-batch are taken in the order of `seq`, whatever files they
 come from; across batches seq must not go back for a sender.
 
 Input rows: seq, kind, sender, nonce, id, max_fee. Kinds: submit; drop (id); included (all nonces up to nonce
@@ -18,6 +19,8 @@ A transaction that goes takes its successors back to queued; they stay in the po
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .assembly import STATE_STORE
 
 BUMP = 10
+#: Groups of senders; a checkpoint is bound to their number.
+GROUPS = 1024
 EVENTS = "sender long, seq long, step int, id long, event string"
 
 
@@ -74,19 +79,24 @@ class Sender:
 
 class Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "next long, nonces array<long>, ids array<long>, fees array<long>, told array<boolean>")
+        self.state = handle.getMapState("state", "sender long", "next long, nonces array<long>, ids array<long>, fees array<long>, told array<boolean>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (0, [], [], [], [])
-        sender = Sender(int(held[0]), {int(n): (int(i), int(f), bool(t)) for n, i, f, t in zip(*held[1:])})
-        out, batch = [], pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, kind, nonce, id_, fee in batch[["seq", "kind", "nonce", "id", "max_fee"]].itertuples(index=False):
-            for step, (who, event) in enumerate(sender.take(kind, int(nonce), int(id_), int(fee))):
-                out.append((int(key[0]), int(seq), step, who, event))
-        w = sorted(sender.waiting.items())
-        self.state.update((sender.next, [n for n, _ in w], [x[0] for _, x in w], [x[1] for _, x in w], [x[2] for _, x in w]))
+        out, known, batch = [], self.state.exists(), pd.concat(list(rows)).sort_values(["sender", "seq"], kind="stable")
+        columns = [batch[c].tolist() for c in ("sender", "seq", "kind", "nonce", "id", "max_fee")]
+        for who, mine in groupby(zip(*columns), key=itemgetter(0)):
+            sender = self._held(who) if known else Sender()
+            for _, seq, kind, nonce, id_, fee in mine:
+                for step, (about, event) in enumerate(sender.take(kind, nonce, id_, fee)):
+                    out.append((who, seq, step, about, event))
+            w = sorted(sender.waiting.items())
+            self.state.updateValue((who,), (sender.next, [n for n, _ in w], [x[0] for _, x in w], [x[1] for _, x in w], [x[2] for _, x in w]))
         yield pd.DataFrame(out, columns=["sender", "seq", "step", "id", "event"]).astype({"sender": "int64", "seq": "int64", "step": "int32", "id": "int64", "event": object})
 
+    def _held(self, who: int) -> Sender:
+        held = self.state.getValue((who,))
+        return Sender() if held is None else Sender(int(held[0]), {int(n): (int(i), int(f), bool(t)) for n, i, f, t in zip(*held[1:])})
+
     def close(self) -> None:
         pass
 
@@ -94,7 +104,8 @@ class Lifecycle(StatefulProcessor):
 def events(stream: DataFrame) -> DataFrame:
     """Streaming: sender, seq, step, id, event."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.select("sender", "seq", "kind", "nonce", "id", "max_fee").groupBy("sender").transformWithStateInPandas(Lifecycle(), EVENTS, "append", "none")
+    keyed = stream.select("sender", "seq", "kind", "nonce", "id", "max_fee", F.pmod(F.xxhash64("sender"), F.lit(GROUPS)).alias("group"))
+    return keyed.groupBy("group").transformWithStateInPandas(Lifecycle(), EVENTS, "append", "none")
 
 
 def standing(told: DataFrame) -> DataFrame:
