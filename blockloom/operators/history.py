@@ -18,8 +18,8 @@ def as_of(changes: DataFrame, current: DataFrame, block: int, key: str = "addres
     The first change at or after the block holds the value in its before-image; without one the
     current value stands. One aggregation on the key and one left join, no windows.
     """
-    later = changes.where(F.col("block") >= block).groupBy(key).agg(F.min_by(F.struct("before"), "block").alias("first"))
-    return current.join(later, key, "left").select(key, F.when(F.col("first").isNotNull(), F.col("first.before")).otherwise(F.col("value")).alias("value"))
+    later = changes.where(F.col("block") >= block).groupBy(key).agg(F.min("block").alias("first"), F.min_by("before", "block").alias("before"))
+    return current.join(later, key, "left").select(key, F.when(F.col("first").isNotNull(), F.col("before")).otherwise(F.col("value")).alias("value"))
 
 
 def as_of_many(changes: DataFrame, current: DataFrame, wanted: DataFrame, key: str = "address", width: int = GROUP_WIDTH) -> DataFrame:
