@@ -43,9 +43,8 @@ def bodies_reassembled(x: Ledger):
     path, batch = f"{shared_dir(x.spark)}/downloads", F.floor(F.col("number") / 64)
     arrival = F.pmod(F.xxhash64(batch), F.lit(4))
     sent = x.headers.where(batch % 41 != 40).select("number", "hash", F.explode(F.when(batch % 7 == 0, F.array(arrival, (arrival + 1) % 4)).otherwise(F.array(arrival))).alias("arrival"))
-    sent.repartition(4, "arrival").write.partitionBy("arrival").parquet(path)
-    stream = x.spark.readStream.schema("number long, hash string").option("maxFilesPerTrigger", 2).parquet(path)
-    return changes.run_once(assembly.assembled(stream)).where("kind = 'block'").select("number", "hash")
+    sent.repartition("arrival", F.floor(F.col("number") / (1 << 17))).write.partitionBy("arrival").parquet(path)
+    return changes.run_once(assembly.assembled(changes.in_batches(x.spark, path, "number long, hash string", 2))).where("kind = 'block'").select("number", "hash")
 
 
 SUBMITTED = """
