@@ -97,7 +97,7 @@ def bodies_by_range(x: Ledger):
     FROM headers h CROSS JOIN (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (12.6, 12.5), (37.38, 37.5), (50.0, 50.0), (99.9, 100.0)) v(p, q) LEFT JOIN p ON p.number = h.number GROUP BY h.number, v.p""")
 def rewards_from_grid(x: Ledger):
     """Rewards of all blocks at any percentiles, from the stored points at quarters of a percent."""
-    return fees.rewards_from_grid(x.headers, x.reward_grids_between(None, None), (0, 12.6, 37.38, 50, 99.9))
+    return fees.rewards_from_steps(x.headers, x.reward_grids_between(None, None), (0, 12.6, 37.38, 50, 99.9))
 
 
 @query("accounts_at_block_hash", "account_changes accounts", AS_OF.format(n=251))
