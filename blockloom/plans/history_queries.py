@@ -136,7 +136,7 @@ def stage_next_range(x: Ledger):
 @query("stage_hash_index", "transactions", "SELECT substr(hash, 1, 2) AS prefix, count(*) AS n, min(hash) AS first_hash, arg_min(tx_num, hash) AS first_tx FROM transactions GROUP BY 1")
 def stage_hash_index(x: Ledger):
     """The folders of the index of hashes, and what each begins with."""
-    index = x._hash_index.where("kind = 'tx'")
+    index = x.hash_index("tx")
     return index.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"), F.min_by("tx_num", "hash").alias("first_tx"))
 
 
