@@ -1,8 +1,8 @@
 """What happens to transactions in the pool, from a stream of submissions, drops and included blocks.
 
-The stream is keyed by groups of senders, so that a call takes the rows of many; a sender's state, an entry of its
-group's map, is its next nonce and the transactions that wait for it, so it is bounded by the pool's limits. Only
-entries of senders that have rows in a micro-batch are read and written. Rows of one micro-batch are taken in the order of `seq`, whatever files they
+The stream is keyed by groups of senders, so that a call takes the rows of many and fetches and keeps their state at
+once; a sender's state is its next nonce and the transactions that wait for it, so it is bounded by the pool's
+limits. Only groups that have rows in a micro-batch are read and written. Rows of one micro-batch are taken in the order of `seq`, whatever files they
 come from; across batches seq must not go back for a sender.
 
 Input rows: seq, kind, sender, nonce, id, max_fee. Kinds: submit; drop (id); included (all nonces up to nonce
@@ -31,7 +31,7 @@ from .assembly import STATE_STORE
 
 BUMP = 10
 #: Groups of senders; a checkpoint is bound to their number.
-GROUPS = 1024
+GROUPS = 8192
 EVENTS = "sender long, seq long, step int, id long, event string"
 
 
@@ -79,23 +79,29 @@ class Sender:
 
 class Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("state", "sender long", "next long, nonces array<long>, ids array<long>, fees array<long>, told array<boolean>")
+        # A row for each sender in senders and nexts, for each waiting transaction in the others (of: its sender's place).
+        self.state = handle.getValueState("state", "senders array<long>, nexts array<long>, of array<long>, nonces array<long>, ids array<long>, fees array<long>, told array<boolean>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, known, batch = [], self.state.exists(), pd.concat(list(rows)).sort_values(["sender", "seq"], kind="stable")
+        out, pool, batch = [], self._held(), pd.concat(list(rows)).sort_values(["sender", "seq"], kind="stable")
         columns = [batch[c].tolist() for c in ("sender", "seq", "kind", "nonce", "id", "max_fee")]
         for who, mine in groupby(zip(*columns), key=itemgetter(0)):
-            sender = self._held(who) if known else Sender()
+            sender = pool.setdefault(who, Sender())
             for _, seq, kind, nonce, id_, fee in mine:
                 for step, (about, event) in enumerate(sender.take(kind, nonce, id_, fee)):
                     out.append((who, seq, step, about, event))
-            w = sorted(sender.waiting.items())
-            self.state.updateValue((who,), (sender.next, [n for n, _ in w], [x[0] for _, x in w], [x[1] for _, x in w], [x[2] for _, x in w]))
+        waiting = [(place, nonce, *w) for place, sender in enumerate(pool.values()) for nonce, w in sorted(sender.waiting.items())]
+        self.state.update((list(pool), [s.next for s in pool.values()], *([w[k] for w in waiting] for k in range(5))))
         yield pd.DataFrame(out, columns=["sender", "seq", "step", "id", "event"]).astype({"sender": "int64", "seq": "int64", "step": "int32", "id": "int64", "event": object})
 
-    def _held(self, who: int) -> Sender:
-        held = self.state.getValue((who,))
-        return Sender() if held is None else Sender(int(held[0]), {int(n): (int(i), int(f), bool(t)) for n, i, f, t in zip(*held[1:])})
+    def _held(self) -> dict[int, Sender]:
+        if not self.state.exists():
+            return {}
+        senders, nexts, *waiting = self.state.get()
+        pool = [Sender(int(n)) for n in nexts]
+        for place, nonce, id_, fee, told in zip(*waiting):
+            pool[place].waiting[int(nonce)] = (int(id_), int(fee), bool(told))
+        return dict(zip((int(s) for s in senders), pool))
 
     def close(self) -> None:
         pass
