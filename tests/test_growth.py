@@ -51,6 +51,14 @@ def test_bodies_are_shuffled_without_their_hashes(spark):
     assert made.count("md5(") == 1 and made.index("md5(") < made.index("Window") < made.index("Exchange")
 
 
+def test_receipts_find_their_contracts_in_place(spark):
+    made = plan(QUERIES["receipts_with_contract"](spark, SF))
+    assert "Exchange" not in made and "Join" not in made and "Generate" not in made
+    txs = spark.range(40).select(F.col("id").alias("tx_num"), F.col("id").alias("number"), F.col("id").alias("idx"), F.col("id").alias("sender"), F.col("id").alias("recipient"), F.col("id").alias("tip"), F.col("id").alias("gas"))
+    created = {r["tx_num"]: r["to_"] for r in traces.of_transactions(txs).where("kind = 'create'").collect()}
+    assert {r["tx_num"]: r["contract"] for r in traces.with_contract(txs).collect()} == {n: created.get(n) for n in range(40)} and sorted(created) == [0, 17, 34]
+
+
 def test_first_changes_and_creations_are_found_without_a_sort(spark):
     made = spark.range(10).select("id", F.lit(1).cast("long").alias("address"), F.col("id").alias("block"), F.lit(None).cast("double").alias("before"), F.lit(2.0).alias("value"))
     calls = traces.of_transactions(made.select(F.col("id").alias("tx_num"), F.col("id").alias("number"), F.col("id").alias("idx"), F.col("id").alias("sender"), F.col("id").alias("recipient"), F.col("id").alias("tip"), F.col("id").alias("gas")))
