@@ -10,7 +10,9 @@ lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,23 +29,38 @@ def _links(headers: DataFrame, stop: Column | None = None) -> DataFrame:
     return headers.where("number IS NOT NULL").select(F.col("hash").alias("id"), F.col("number").alias("place"), up.alias("up"), (F.col("number") - 1).alias("up_place"))
 
 
+def _parents(width: int):
+    """A function of the rows of a range: where the row that each one's link names lies (its own place if it isn't
+    there), and whether its link leaves the range. Nested, so that it goes to the workers by value."""
+
+    def found(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, ids, ups = rows.num_rows, *(rows.column(c).combine_chunks() for c in ("id", "up"))
+        places, up_places = (rows.column(c).fill_null(0).to_numpy() for c in ("place", "up_place"))
+        linked = ups.is_valid().to_numpy(zero_copy_only=False)
+        leaves = linked & (up_places // width != places // width)
+        codes = pa.concat_arrays([ids, ups]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+        keys, wanted = codes[:n] * width + places % width, codes[n:] * width + up_places % width
+        order = np.argsort(keys, kind="stable")
+        at = order[np.maximum(np.searchsorted(keys[order], wanted, "right") - 1, 0)]
+        return np.where(linked & ~leaves & (up_places < places) & (keys[at] == wanted), at, np.arange(n)), leaves
+
+    return found
+
+
 def _walked(links: DataFrame, width: int) -> DataFrame:
     """id, place, top, depth, out, out_place: where a row's links end within its range, the steps to it, and the link
     that leaves the range there (null at a root)."""
 
+    parents = _parents(width)
+
     def walk(rows: pa.Table) -> pa.Table:
-        ids, places, ups, up_places = (rows.column(c).to_pylist() for c in ("id", "place", "up", "up_place"))
-        at: dict = {}
-        top, depth, out, out_place = ([None] * len(ids) for _ in range(4))
-        for k in sorted(range(len(ids)), key=places.__getitem__):
-            top[k], depth[k] = ids[k], 0
-            if ups[k] is not None and up_places[k] // width != places[k] // width:
-                out[k], out_place[k] = ups[k], up_places[k]
-            elif ups[k] is not None and (j := at.get((ups[k], up_places[k]))) is not None:
-                top[k], depth[k], out[k], out_place[k] = top[j], depth[j] + 1, out[j], out_place[j]
-            at[ids[k], places[k]] = k
-        kind = rows.column("id").type
-        cols = [rows.column("id"), rows.column("place"), pa.array(top, kind), pa.array(depth, pa.int64()), pa.array(out, kind), pa.array(out_place, pa.int64())]
+        top, leaves = parents(rows)
+        depth = (top != np.arange(len(top))).astype("int64")
+        while not np.array_equal(further := top[top], top):
+            top, depth = further, depth + depth[top]
+        ends, left = pa.array(top), pa.array(leaves)
+        out, out_place = (pc.if_else(left, rows.column(c).combine_chunks(), None).take(ends) for c in ("up", "up_place"))
+        cols = [rows.column("id"), rows.column("place"), rows.column("id").combine_chunks().take(ends), pa.array(depth), out, out_place]
         return pa.table(cols, names=["id", "place", "top", "depth", "out", "out_place"])
 
     id_ = links.schema["id"].dataType.simpleString()
@@ -83,7 +100,7 @@ def rooted(headers: DataFrame, stop: Column | None = None, width: int = WIDTH) -
 
 
 def followed(links: DataFrame, start, steps: int | None = None, width: int = WIDTH) -> DataFrame:
-    """id, depth of what is reached from start (0) by links (id, place, up, up_place), so many steps at most.
+    """id, place, depth of what is reached from start (0) by links (id, place, up, up_place), so many steps at most.
 
     Where walks enter ranges is found by doubling: entries within 2 ^ k - 1 others are known, and their 2 ^ k-th
     successors are the next 2 ^ k. Then the ranges are walked from their entries.
@@ -102,34 +119,33 @@ def followed(links: DataFrame, start, steps: int | None = None, width: int = WID
         found = written(found.unionByName(further))
         state, k = written(linked.select("id", F.col("up2").alias("up"), F.col("up_place2").alias("up_place"), (F.col("far") + F.col("far2")).alias("far"), "place").unionByName(state.join(linked.select("id", "place"), ["id", "place"], "left_anti").select("id", F.lit(None).cast(state.schema["up"].dataType).alias("up"), F.lit(None).cast("long").alias("up_place"), "far", "place"))), k + 1
 
+    parents = _parents(width)
+
     def walk(rows: pa.Table) -> pa.Table:
-        ids, places, ups, up_places, depths = (rows.column(c).to_pylist() for c in ("id", "place", "up", "up_place", "entered"))
-        at = {(i, p): k for k, (i, p) in enumerate(zip(ids, places))}
-        out: list[tuple] = []
+        nexts, depths, at, out = parents(rows)[0].tolist(), rows.column("entered").to_pylist(), [], []
         for k in [k for k, d in enumerate(depths) if d is not None]:
-            depth = depths[k]
-            while k is not None:
-                out.append((ids[k], depth))
-                k, depth = None if ups[k] is None or up_places[k] // width != places[k] // width else at.get((ups[k], up_places[k])), depth + 1
-        return pa.table([pa.array([i for i, _ in out], rows.column("id").type), pa.array([d for _, d in out], pa.int64())], names=["id", "depth"])
+            at.append(k)
+            out.append(depths[k])
+            while nexts[k] != k:
+                k = nexts[k]
+                at.append(k)
+                out.append(out[-1] + 1)
+        return rows.select(["id", "place"]).take(pa.array(at, pa.int64())).append_column("depth", pa.array(out, pa.int64()))
 
     entered = links.select("id", "place", "up", "up_place").join(found.withColumnRenamed("depth", "entered"), ["id", "place"], "left")
-    reached = _ranged(entered, width).applyInArrow(walk, T.StructType([links.schema["id"], T.StructField("depth", T.LongType())]))
+    reached = _ranged(entered, width).applyInArrow(walk, T.StructType([links.schema["id"], T.StructField("place", T.LongType()), T.StructField("depth", T.LongType())]))
     return reached if steps is None else reached.where(F.col("depth") <= steps)
 
 
 def ancestors(headers: DataFrame, hash_: str, steps: int | None = None, width: int = WIDTH) -> DataFrame:
     """number, hash, depth of a block (0) and its ancestors, so many steps at most; no rows if it isn't there."""
-    number = headers.where(F.col("hash") == hash_).agg(F.max("number")).first()[0]
-    found = followed(_links(headers), hash_, steps, width)
-    # A step is a number, so a block's depth tells its number.
-    return found.select((F.lit(number).cast("long") - F.col("depth")).alias("number"), F.col("id").alias("hash"), "depth")
+    return followed(_links(headers), hash_, steps, width).select(F.col("place").alias("number"), F.col("id").alias("hash"), "depth")
 
 
 def best_head(headers: DataFrame) -> str | None:
     """The hash of the block with the highest number, of several the smallest."""
-    row = headers.orderBy(F.desc("number"), "hash").select("hash").first()
-    return row and row["hash"]
+    top = headers.agg(F.max("number")).first()[0]  # hashes are looked at where this number is
+    return headers.where(F.col("number").eqNullSafe(F.lit(top).cast("long"))).agg(F.min("hash")).first()[0]
 
 
 def canonical(headers: DataFrame, head: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Trees of blocks: long chains, forks, unknown parents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.operators import tree
 
@@ -63,3 +64,26 @@ def test_rounds_hold_only_links_that_leave_a_range(long_chains, monkeypatch, wid
     assert {r["hash"]: (r["root"], r["depth"]) for r in tree.rooted(df, width=width).collect()} == by_hand(rows)
     assert sum(h.count() for h in held) < 2 * len(rows) + 40 * 13_000 // width
     assert {r["hash"] for r in tree.ancestors(df, "b9000", width=width).collect()} == {f"a{n}" for n in range(6001)} | {f"b{n}" for n in range(6001, 9001)}
+
+
+def test_the_best_head_hashes_its_own_number_only(spark):
+    """Hashes that a view works out are worked out where the highest number is, not for all blocks."""
+    made = spark.sparkContext.accumulator(0)
+
+    def hashed(n):
+        made.add(1)
+        return f"a{n:05}"
+
+    df = spark.range(5000).select(F.col("id").alias("number"), F.udf(hashed)("id").alias("hash"))
+    assert tree.best_head(df) == "a04999" and made.value == 1
+    assert tree.best_head(df.limit(0)) is None
+    assert tree.best_head(spark.createDataFrame([(3, "c"), (3, "b"), (2, "a"), (None, "0")], "number long, hash string")) == "b"
+
+
+def test_a_range_is_walked_by_places_and_ids(spark):
+    """Links count only where id and place both fit; one whose range is left keeps its way out, whatever the order of rows."""
+    rows = [(12, 7, 11, 6), (11, 6, 10, 5), (10, 5, 3, 3), (13, 7, 11, 5), (14, 6, None, None), (9, 8, 12, 7)]
+    links = spark.createDataFrame(rows, "id long, place long, up long, up_place long").repartition(3, "id")
+    found = {r["id"]: tuple(r)[1:] for r in tree._walked(links, 4).collect()}
+    assert found == {12: (7, 10, 2, 3, 3), 11: (6, 10, 1, 3, 3), 10: (5, 10, 0, 3, 3), 13: (7, 13, 0, None, None), 14: (6, 14, 0, None, None), 9: (8, 9, 0, 12, 7)}
+    assert sorted(map(tuple, tree.followed(links, 9, width=4).collect())) == [(9, 8, 0), (10, 5, 3), (11, 6, 2), (12, 7, 1)]
